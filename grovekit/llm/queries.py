@@ -8,6 +8,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
+from .personal_data import find
 from .quality_rules import fit, score
 from .secrets import secret_scan
 from .sharding import shard
@@ -28,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -44,7 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sampled_shards, op3_quality_rules, op5_warc, op7_temperature_mixing, op8_exact_dedup, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sampled_shards, op3_quality_rules, op4_personal_data, op5_warc, op7_temperature_mixing, op8_exact_dedup, op9_packing)}
 
 ORACLES = {
     "op8_exact_dedup": r"""
