@@ -1,13 +1,81 @@
-"""The registered queries over tree collections and their SQL."""
+"""The registered queries over tree collections and their SQL.
+
+The collections are derived from the orders tables (see sources.derived): `binary` trees, `wide` ones with nodes of
+up to four children, and the summary tree in the order of the nations.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.masks import Masks
+from ..operators import clusters, matrices, partitions, support, taxa, transitions, weights
+from ..sources import derived, newick
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+N = 25
+MASKS = Masks(N)
+ANCHOR = 0
+
+
+def binary(spark: SparkSession, d: str) -> DataFrame:
+    return derived.block_nodes(derived.leaves(spark, d), MASKS, 1, 5)
+
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    return derived.block_nodes(derived.leaves(spark, d), MASKS, 2, 3)
+
+
+def summary(spark: SparkSession, d: str, bits: int = 1) -> DataFrame:
+    return derived.block_nodes(derived.label_leaves(spark, d), MASKS, bits, 5 if bits == 1 else 3)
+
+
+def _cte(name: str, bits: int, levels: int, leaf: str = "leaf") -> str:
+    """Nodes with parent interval, as a chain of CTEs: name has tree, lo, hi, size, mask, plo, phi (of the parent), kids."""
+    return f"""
+    {name}_b AS (
+        SELECT tree, l, pos >> (l * {bits}) AS b, min(pos) AS lo, max(pos) + 1 AS hi, count(*) AS size, bit_or(1::BIGINT << taxon) AS mask, min(taxon) AS taxon
+        FROM {leaf}, (SELECT unnest(range({levels + 1})) AS l) GROUP BY tree, l, pos >> (l * {bits})),
+    {name}_k AS (SELECT * FROM {name}_b WHERE l = 0 OR size > (1 << ((l - 1) * {bits}))),
+    {name} AS (
+        SELECT c.tree, c.lo, c.hi, c.size, c.mask, CASE WHEN c.l = 0 THEN c.taxon END AS taxon,
+               min(p.size) AS psize, arg_min(p.lo, p.size) AS plo, arg_min(p.hi, p.size) AS phi, count(p.size) AS lvl,
+               CASE WHEN c.l = 0 THEN 0 ELSE CAST(ceil(c.size / (1 << ((c.l - 1) * {bits}))) AS INT) END AS kids
+        FROM {name}_k c LEFT JOIN {name}_k p ON p.tree = c.tree AND p.lo <= c.lo AND p.hi >= c.hi AND p.size > c.size
+        GROUP BY c.tree, c.lo, c.hi, c.size, c.mask, c.taxon, c.l)"""
+
+
+_LEAF = """
+    counted AS (
+        SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS tree, c_nationkey AS taxon, count(*) AS c
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+    leaf AS (SELECT tree, taxon, CAST(row_number() OVER (PARTITION BY tree ORDER BY c DESC, taxon) - 1 AS INT) AS pos FROM counted),
+    label_leaf AS (SELECT 0 AS tree, n_nationkey AS taxon, n_nationkey AS pos FROM nation)"""
+_FULL = (1 << N) - 1
+_BINARY, _WIDE = _cte("node", 1, 5), _cte("wnode", 2, 3)
+_SPECIES, _WSPECIES = _cte("sp", 1, 5, "label_leaf"), _cte("wsp", 2, 3, "label_leaf")
+_KIDS = """
+    kid AS (SELECT tree, plo AS lo, phi AS hi, list_sort(list(mask)) AS kids, min(mask) AS m1, max(mask) AS m2 FROM {n} WHERE psize IS NOT NULL GROUP BY 1, 2, 3),
+    whole AS (SELECT tree, mask AS whole FROM {n} WHERE psize IS NULL),
+    around AS (SELECT x.tree, x.lo, x.hi, x.mask, x.psize, k.kids, k.m1, k.m2, w.whole & ~x.mask AS m3, w.whole FROM {n} x JOIN kid k USING (tree, lo, hi) JOIN whole w USING (tree))"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",".join((_LEAF, *parts))
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,3 +84,249 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+@query(_with(_BINARY) + " SELECT tree, lo, hi, CAST(lvl AS INT) AS lvl, kids AS n_children, taxon, mask FROM node")
+def s4_nodes(spark, d):
+    return binary(spark, d).select("tree", "lo", "hi", "lvl", "n_children", "taxon", "mask")
+
+
+def _as_newick(nodes: DataFrame) -> DataFrame:
+    """Newick text of derived trees by plain aggregation: what opens before and closes after each leaf."""
+    leaf = nodes.filter("taxon is not null").select("tree", F.col("lo").alias("pos"), F.concat(F.lit("n"), "taxon").alias("name"))
+    inner = nodes.filter("n_children > 0")
+    opens = inner.groupBy("tree", F.col("lo").alias("pos")).agg(F.count("*").cast("int").alias("o"))
+    closes = inner.groupBy("tree", (F.col("hi") - 1).alias("pos")).agg(F.count("*").cast("int").alias("c"))
+    each = leaf.join(opens, ["tree", "pos"], "left").join(closes, ["tree", "pos"], "left")
+    text = F.concat(F.repeat(F.lit("("), F.coalesce("o", F.lit(0))), "name", F.repeat(F.lit(")"), F.coalesce("c", F.lit(0))))
+    return each.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))).alias("a")).select("tree", F.concat(F.array_join("a.t", ","), F.lit(";")).alias("newick"))
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    return spark.range(N).select(F.col("id").cast("int").alias("taxon"), F.concat(F.lit("n"), "id").alias("name"))
+
+
+@query(_with(_WIDE) + " SELECT tree, lo, hi, CAST(lvl AS INT) AS lvl, kids AS n_children, taxon, mask FROM wnode WHERE tree IN (SELECT tree FROM leaf GROUP BY tree HAVING count(*) > 1)")
+def s3_newick_round_trip(spark, d):
+    """Derived trees are written as text and parsed back to the same nodes."""
+    text = _as_newick(wide(spark, d)).filter(F.col("newick").startswith("("))
+    return newick.parse(text, _names(spark), MASKS).select("tree", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "lvl", "n_children", "taxon", "mask")
+
+
+@query(_with() + " SELECT DISTINCT 'n' || taxon AS name FROM leaf")
+def f2_taxa_union(spark, d):
+    return taxa.union(_as_newick(binary(spark, d)))
+
+
+@query(_with() + " SELECT 'n' || taxon AS name FROM leaf GROUP BY taxon HAVING count(DISTINCT tree) = (SELECT count(DISTINCT tree) FROM leaf)")
+def f3_taxa_intersection(spark, d):
+    return taxa.intersection(_as_newick(binary(spark, d)))
+
+
+_ASIA = "(SELECT n_nationkey AS taxon FROM nation WHERE n_regionkey <= 1)"
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/nation.parquet").filter("n_regionkey <= 1").select(F.col("n_nationkey").cast("int").alias("taxon"))
+
+
+@query(_with() + f" SELECT tree, count(*) FILTER (WHERE taxon IN {_ASIA}) AS present, (SELECT count(*) FROM {_ASIA}) - count(*) FILTER (WHERE taxon IN {_ASIA}) AS missing, count(*) FILTER (WHERE taxon NOT IN {_ASIA}) AS ignored FROM leaf GROUP BY tree")
+def f5_selection_scan(spark, d):
+    return taxa.coverage(derived.leaves(spark, d), _listed(spark, d), "taxon")
+
+
+@query(_with() + f", c AS (SELECT tree, (SELECT count(*) FROM {_ASIA}) - count(*) FILTER (WHERE taxon IN {_ASIA}) AS missing, count(*) FILTER (WHERE taxon NOT IN {_ASIA}) AS ignored FROM leaf GROUP BY tree) SELECT count(*) AS trees, avg(missing) AS mean_missing, min(missing) AS min_missing, max(missing) AS max_missing, CAST(sum(ignored) AS BIGINT) AS ignored FROM c")
+def f4_coverage_stats(spark, d):
+    return taxa.coverage_report(derived.leaves(spark, d), _listed(spark, d), "taxon")
+
+
+@query(_with(_BINARY) + f", n AS (SELECT x.tree, x.mask & (SELECT bit_or(1::BIGINT << taxon) FROM {_ASIA}) AS mask FROM node x WHERE x.kids > 0) SELECT DISTINCT tree, mask FROM n WHERE bit_count(mask) > 1")
+def s6_restricted_nodes(spark, d):
+    """Parsing with a list of leaves to keep: the inner nodes of the induced trees."""
+    keep = _listed(spark, d).select(F.concat(F.lit("n"), "taxon").alias("name"))
+    return newick.parse(_as_newick(binary(spark, d)), _names(spark), MASKS, keep).filter("n_children > 0").select("tree", "mask")
+
+
+@query(_with(_WIDE) + f" SELECT tree, CAST(max(hi) AS INT) AS n_leaves, max(hi) = {N} AS is_complete, bool_or(kids > 3 OR (kids = 3 AND psize IS NOT NULL)) AS has_polytomy FROM wnode GROUP BY tree")
+def f11_f12_tree_flags(spark, d):
+    return newick.trees_summary(wide(spark, d), N)
+
+
+@query(_with(_BINARY) + f" SELECT mask, CAST(bit_count(mask) AS BIGINT) AS sz, count(*) AS freq FROM (SELECT unnest([mask, {_FULL} & ~mask]) AS mask FROM node WHERE psize IS NOT NULL) WHERE mask NOT IN (0, {_FULL}) GROUP BY mask")
+def a1_cluster_table(spark, d):
+    return clusters.cluster_table(binary(spark, d), MASKS)
+
+
+_A2 = f"(SELECT mask, count(*) AS freq FROM (SELECT CASE WHEN mask & 1 = 1 THEN {_FULL} & ~mask ELSE mask END AS mask FROM node WHERE psize IS NOT NULL) WHERE mask NOT IN (0, {_FULL}) GROUP BY mask UNION ALL SELECT 1::BIGINT, 1)"
+
+
+@query(_with(_BINARY) + f" SELECT mask, CAST(bit_count(mask) AS BIGINT) AS sz, freq FROM {_A2}")
+def a2_cluster_table_anchored(spark, d):
+    return clusters.cluster_table(binary(spark, d), MASKS, ANCHOR)
+
+
+@query(_with(_BINARY) + f" SELECT CAST(bit_count(mask) AS BIGINT) AS sz, count(*) AS clusters FROM {_A2} GROUP BY 1")
+def a3_size_bins(spark, d):
+    return clusters.size_bins(clusters.cluster_table(binary(spark, d), MASKS, ANCHOR))
+
+
+@query(_with(_BINARY, _KIDS.format(n="node")) + " SELECT m1, m2, m3, count(*) AS freq FROM around WHERE psize IS NOT NULL GROUP BY 1, 2, 3")
+def a4_tripartitions(spark, d):
+    return partitions.tripartitions(partitions.partition_table(binary(spark, d), MASKS))
+
+
+_PARTS = "(SELECT CASE WHEN len(kids) > 2 THEN list_sort(list_append(kids, m3)) ELSE list_append(kids, m3) END AS parts, count(*) AS freq FROM around WHERE psize IS NOT NULL GROUP BY 1)"
+
+
+@query(_with(_WIDE, _KIDS.format(n="wnode")) + f" SELECT list_aggregate(parts, 'string_agg', ',') AS parts, CAST(len(parts) AS INT) AS d, freq FROM {_PARTS}")
+def a5_partitions(spark, d):
+    p = partitions.partition_table(wide(spark, d), MASKS)
+    return p.select(F.array_join(F.transform("parts", lambda m: m.cast("string")), ",").alias("parts"), "d", "freq")
+
+
+_CANON = f"""(SELECT DISTINCT tree, CASE WHEN least(a, b) = 1 THEN CASE WHEN a < b THEN r ELSE mask END WHEN a < b THEN mask WHEN a > b THEN r ELSE least(mask, r) END AS mask
+    FROM (SELECT tree, mask, {_FULL} & ~mask AS r, bit_count(mask) AS a, {N} - bit_count(mask) AS b FROM node WHERE psize IS NOT NULL AND kids > 0) WHERE a BETWEEN 2 AND {N - 1})"""
+
+
+@query(_with(_BINARY) + f" SELECT mask, count(*) AS freq FROM {_CANON} GROUP BY mask")
+def a11_bipartition_frequency(spark, d):
+    return clusters.bipartition_table(binary(spark, d), MASKS)
+
+
+@query(_with(_BINARY) + " SELECT a.taxon AS a, b.taxon AS b, CAST(sum(abs_path) AS BIGINT) AS total, count(*) AS trees, sum(abs_path) / count(*) AS dist FROM (SELECT x.tree, x.taxon AS ta, y.taxon AS tb, x.lvl + y.lvl - 2 * (SELECT count(*) - 1 FROM node p WHERE p.tree = x.tree AND p.lo <= least(x.lo, y.lo) AND p.hi >= greatest(x.hi, y.hi)) AS abs_path FROM node x JOIN node y ON x.tree = y.tree AND x.taxon < y.taxon) q JOIN (SELECT n_nationkey AS taxon FROM nation) a ON a.taxon = q.ta JOIN (SELECT n_nationkey AS taxon FROM nation) b ON b.taxon = q.tb GROUP BY 1, 2")
+def a6_distance_matrix(spark, d):
+    return matrices.distances(binary(spark, d))
+
+
+_SIM = """,
+    sides AS (
+        SELECT p.tree, p.lo AS nlo, p.hi AS nhi, c.lo AS side, c.hi - c.lo AS size, l.taxon FROM {n} c JOIN {n} p ON p.tree = c.tree AND p.lo = c.plo AND p.hi = c.phi JOIN leaf l ON l.tree = c.tree AND l.pos >= c.lo AND l.pos < c.hi
+        UNION ALL
+        SELECT p.tree, p.lo, p.hi, -1, w.n - p.size, l.taxon FROM {n} p JOIN (SELECT tree, count(*) AS n FROM leaf GROUP BY tree) w USING (tree) JOIN leaf l ON l.tree = p.tree AND (l.pos < p.lo OR l.pos >= p.hi) WHERE p.kids > 0),
+    k AS (SELECT tree, count(*) AS n FROM leaf GROUP BY tree),
+    num AS (SELECT x.taxon AS a, y.taxon AS b, sum((n - x.size - y.size) * (n - x.size - y.size - 1) // 2) AS num FROM sides x JOIN sides y ON x.tree = y.tree AND x.nlo = y.nlo AND x.nhi = y.nhi AND x.side <> y.side AND x.taxon < y.taxon JOIN k ON k.tree = x.tree GROUP BY 1, 2),
+    den AS (SELECT x.taxon AS a, y.taxon AS b, sum((n - 2) * (n - 3) // 2) AS den FROM leaf x JOIN leaf y ON x.tree = y.tree AND x.taxon < y.taxon JOIN k ON k.tree = x.tree WHERE n >= 4 GROUP BY 1, 2),
+    sim AS (SELECT a, b, CAST(coalesce(num, 0) AS BIGINT) AS num, CAST(den AS BIGINT) AS den, CAST(coalesce(num, 0) AS DOUBLE) / CAST(den AS DOUBLE) AS sim FROM den LEFT JOIN num USING (a, b))"""
+
+
+@query(_with(_BINARY) + _SIM.format(n="node") + " SELECT * FROM sim")
+def a7_similarity_matrix(spark, d):
+    return matrices.similarities(binary(spark, d))
+
+
+@query(_with(_WIDE) + _SIM.format(n="wnode") + " SELECT * FROM sim")
+def a8_similarity_polytomous(spark, d):
+    return matrices.similarities(wide(spark, d))
+
+
+@query(_with(_BINARY) + _SIM.format(n="node") + " SELECT a, b, num FROM sim")
+def a9_similarity_closed_form(spark, d):
+    return matrices.similarities_closed(binary(spark, d))
+
+
+_ROWS = ", both_ways AS (SELECT a AS x, b AS y, sim FROM sim UNION ALL SELECT b, a, sim FROM sim), ranked AS (SELECT x, y, CAST(row_number() OVER (PARTITION BY x ORDER BY sim DESC, y DESC) - 1 AS INT) AS rank FROM both_ways)"
+
+
+@query(_with(_BINARY) + _SIM.format(n="node") + _ROWS + " SELECT * FROM ranked")
+def c1_sorted_rows(spark, d):
+    return matrices.sorted_rows(matrices.similarities(binary(spark, d)))
+
+
+@query(_with(_BINARY) + _SIM.format(n="node") + _ROWS + " SELECT t.tree, r.x, arg_min(r.y, r.rank) AS y FROM (SELECT DISTINCT tree FROM leaf) t CROSS JOIN ranked r JOIN leaf l ON l.tree = t.tree AND l.taxon = r.y WHERE NOT EXISTS (SELECT 1 FROM leaf m WHERE m.tree = t.tree AND m.taxon = r.x) GROUP BY 1, 2")
+def j8_nearest_present(spark, d):
+    nodes = binary(spark, d)
+    return matrices.nearest_present(matrices.sorted_rows(matrices.similarities(nodes)), newick.leaf_table(nodes).select("tree", "taxon"))
+
+
+@query(_with(_BINARY) + _SIM.format(n="node") + " SELECT x.n_regionkey AS g, y.n_regionkey AS h, avg(coalesce(sim, 0)) AS sim FROM nation x JOIN nation y ON x.n_regionkey < y.n_regionkey LEFT JOIN sim ON a = least(x.n_nationkey, y.n_nationkey) AND b = greatest(x.n_nationkey, y.n_nationkey) GROUP BY 1, 2")
+def a17_group_average(spark, d):
+    groups = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").cast("int").alias("taxon"))
+    return matrices.group_average(groups, matrices.similarities(binary(spark, d)))
+
+
+_TRANS = f""",
+    down AS (SELECT mask AS parent, m1 AS lo, m2 AS hi FROM around WHERE len(kids) = 2),
+    side AS (SELECT c.mask, c.kids, a.mask AS up, CASE WHEN a.m1 = c.mask THEN a.m2 ELSE a.m1 END AS sib FROM {{n}} c JOIN around a ON a.tree = c.tree AND a.lo = c.plo AND a.hi = c.phi WHERE len(a.kids) = 2),
+    up AS (SELECT {_FULL} & ~mask AS parent, least(sib, {_FULL} & ~up) AS lo, greatest(sib, {_FULL} & ~up) AS hi FROM side WHERE kids <= 2 AND up <> {_FULL}),
+    trans AS (SELECT * FROM down UNION SELECT * FROM up)"""
+
+
+@query(_with(_WIDE, _KIDS.format(n="wnode")) + _TRANS.format(n="wnode") + " SELECT * FROM trans")
+def t3_t4_transitions(spark, d):
+    return transitions.from_nodes(wide(spark, d), MASKS)
+
+
+@query(_with(_BINARY) + f" SELECT DISTINCT {_FULL}::BIGINT AS parent, least(mask, {_FULL} & ~mask) AS lo, greatest(mask, {_FULL} & ~mask) AS hi FROM node WHERE psize IS NULL AND mask <> {_FULL}")
+def t5_incomplete_roots(spark, d):
+    return transitions.from_incomplete(binary(spark, d), MASKS)
+
+
+_ANCH = f", anch AS (SELECT * FROM trans WHERE parent & 1 = 0 UNION SELECT {_FULL}, 1, {_FULL - 1})"
+
+
+@query(_with(_BINARY, _KIDS.format(n="node")) + _TRANS.format(n="node") + _ANCH + " SELECT * FROM anch")
+def t7_anchored_transitions(spark, d):
+    return transitions.anchored(transitions.from_nodes(binary(spark, d), MASKS), MASKS, ANCHOR)
+
+
+
+
+@query(_with(_BINARY) + f", x AS (SELECT DISTINCT unnest([mask, {_FULL} & ~mask]) AS mask FROM node WHERE psize IS NOT NULL), xs AS (SELECT mask FROM x WHERE mask NOT IN (0, {_FULL})), w AS (SELECT mask FROM xs UNION SELECT {_FULL}) SELECT a.mask AS parent, b.mask AS lo, c.mask AS hi FROM w a JOIN xs b ON b.mask & a.mask = b.mask AND b.mask <> a.mask JOIN xs c ON c.mask = (a.mask & ~b.mask) AND b.mask < c.mask")
+def j1_cross_tree_splits(spark, d):
+    return transitions.across_trees(clusters.cluster_table(binary(spark, d), MASKS), MASKS)
+
+
+
+_TRIPLES = ", cell AS (SELECT parts, freq, i, j, k FROM (SELECT parts, freq, unnest(range(1, len(parts) + 1)) AS i FROM {p}), (SELECT unnest(range(1, 6)) AS j), (SELECT unnest(range(1, 6)) AS k) WHERE i <> j AND j <> k AND i <> k AND j <= len(parts) AND k <= len(parts))"
+_TERM = "bit_count(s1 & parts[i])::BIGINT * bit_count(s2 & parts[j]) * bit_count(s3 & parts[k]) * greatest(bit_count(s1 & parts[i]) + bit_count(s2 & parts[j]) + bit_count(s3 & parts[k]) - 3, 0) * freq"
+
+
+@query(_with(_BINARY, _KIDS.format(n="node")) + _TRANS.format(n="node") + _ANCH + _TRIPLES.format(p=_PARTS) + f" SELECT s1 AS lo, s2 AS hi, CAST(sum({_TERM}) // 2 AS BIGINT) AS weight FROM (SELECT DISTINCT lo AS s1, hi AS s2, {_FULL} & ~(lo | hi) AS s3 FROM anch) CROSS JOIN cell GROUP BY 1, 2")
+def a13_split_weights(spark, d):
+    nodes = binary(spark, d)
+    t = transitions.anchored(transitions.from_nodes(nodes, MASKS), MASKS, ANCHOR)
+    return weights.split_weights(t, partitions.partition_table(nodes, MASKS), MASKS)
+
+
+_SP = ", sps AS (SELECT list_sort(list(c.mask)) AS kids, p.mask AS mask FROM {s} c JOIN {s} p ON p.lo = c.plo AND p.hi = c.phi GROUP BY p.mask), sides AS (SELECT list_filter(list_append(kids, " + str(_FULL) + " & ~mask), lambda m: m <> 0) AS s FROM sps), tri AS (SELECT s[1] AS s1, s[2] AS s2, s[3] AS s3 FROM sides WHERE len(s) = 3)"
+
+
+@query(_with(_WIDE, _KIDS.format(n="wnode"), _SPECIES) + _SP.format(s="sp") + _TRIPLES.format(p=_PARTS) + f" SELECT s1 AS lo, s2 AS hi, CAST(sum({_TERM}) // 2 AS BIGINT) AS weight FROM tri CROSS JOIN cell GROUP BY 1, 2")
+def t10_polytomous_weights(spark, d):
+    sides = weights.species_sides(summary(spark, d), MASKS).select(F.element_at("sides", 1).alias("lo"), F.element_at("sides", 2).alias("hi"))
+    return weights.split_weights(sides, partitions.partition_table(wide(spark, d), MASKS), MASKS)
+
+
+@query(_with(_BINARY, _KIDS.format(n="node"), _SPECIES) + _SP.format(s="sp") + _TRIPLES.format(p=_PARTS) + f" SELECT CAST(sum({_TERM}) // 4 AS BIGINT) AS quartet_score FROM tri CROSS JOIN cell")
+def t19_fixed_tree_score(spark, d):
+    return weights.fixed_tree_score(summary(spark, d), partitions.partition_table(binary(spark, d), MASKS), MASKS)
+
+
+#: Straight from the definition: pairs of cells that share neither row nor column, beside a pair within a third cell.
+_T21 = f""",
+    part AS (SELECT row_number() OVER () AS g, parts, freq FROM {_PARTS}),
+    spn AS (SELECT row_number() OVER () AS v, s FROM sides WHERE len(s) > 2),
+    cells AS (SELECT v, g, freq, i, p, bit_count(s[i] & parts[p])::BIGINT AS n FROM (SELECT v, s, unnest(range(1, len(s) + 1)) AS i FROM spn), (SELECT g, parts, freq, unnest(range(1, len(parts) + 1)) AS p FROM part)),
+    filled AS (SELECT * FROM cells WHERE n > 0)
+    SELECT CAST(sum(x.freq * (x.n * (x.n - 1) // 2) * y.n * z.n) // 2 AS BIGINT) AS quartet_score
+    FROM filled x JOIN filled y ON x.v = y.v AND x.g = y.g AND x.i <> y.i AND x.p <> y.p AND x.n > 1
+    JOIN filled z ON z.v = x.v AND z.g = x.g AND z.i <> x.i AND z.p <> x.p AND z.i > y.i AND z.p <> y.p"""
+
+
+@query(_with(_WIDE, _KIDS.format(n="wnode"), _WSPECIES) + _SP.format(s="wsp") + _T21)
+def t21_polytomous_score(spark, d):
+    return weights.fixed_tree_score(summary(spark, d, 2), partitions.partition_table(wide(spark, d), MASKS), MASKS)
+
+
+_NONTRIV = f"bip AS (SELECT DISTINCT tree, CASE WHEN mask & 1 = 1 THEN {_FULL} & ~mask ELSE mask END AS mask FROM node WHERE psize IS NOT NULL AND kids > 0 AND bit_count(mask) BETWEEN 2 AND {N - 2})"
+
+
+@query(_with(_BINARY, _NONTRIV) + f", k AS (SELECT tree, (SELECT count(*) FROM bip b WHERE b.tree = t.tree) AS k FROM (SELECT DISTINCT tree FROM leaf) t), s AS (SELECT a.tree AS t1, b.tree AS t2, count(*) AS s FROM bip a JOIN bip b ON a.mask = b.mask AND a.tree < b.tree GROUP BY 1, 2) SELECT a.tree AS t1, b.tree AS t2, a.k + b.k - 2 * coalesce(s, 0) AS rf, least(1.0, (a.k + b.k - 2 * coalesce(s, 0)) / {2.0 * (N - 3)}::DOUBLE) AS nrf FROM k a JOIN k b ON a.tree < b.tree LEFT JOIN s ON t1 = a.tree AND t2 = b.tree")
+def u2_all_pairs_rf(spark, d):
+    nodes = binary(spark, d)
+    return clusters.rf_distances(nodes, nodes, MASKS, pairs_below=True)
+
+
+@query(_with(_WIDE) + " SELECT CAST(kids + CASE WHEN psize IS NULL THEN 0 ELSE 1 END AS INT) AS degree, count(*) AS nodes FROM wnode WHERE kids > 0 GROUP BY 1")
+def u5_degree_histogram(spark, d):
+    return clusters.degree_histogram(wide(spark, d))
