@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,32 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables as Parquet in the shared folder, compressed, which an operator drops when it is done with them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self._paths, self._n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}, 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        self._n += 1
+        path = f"{self.folder}/{self._n}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of keep(), and lets Spark free the shuffle files of what made them."""
+        jvm = self.spark._jvm
+        for t in tables:
+            _, path = self._paths.pop(id(t))
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        jvm.System.gc()
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df doesn't use (Spark compares without case)."""
     taken, out = {c.lower() for c in df.columns}, []

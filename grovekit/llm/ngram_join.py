@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, durable, fields, free_names
+from .common import Scratch, body, fields, free_names
 from .components import components
 from .count_rtree import CountRTree
 
@@ -41,10 +42,10 @@ class Join:
     words: int = 3
     num: int = 90
     den: int = 100
-    groups: int = 64
+    groups: int = 256
     frequent: int = 100_000  # hashes held as frequent; bounds what is broadcast, not what is found
     block: int = 2048  # classes in a tree
-    best: tuple[int, ...] = (1, 8, 128)  # candidates a search gives, round by round; then all
+    best: tuple[int, ...] = (1, 32)  # candidates a search gives, round by round; then all
 
 
 class _WordHash(dict):
@@ -123,8 +124,16 @@ def first_hashes(s: np.ndarray, often: tuple[np.ndarray, np.ndarray], join: Join
     return s[np.lexsort((s, rank))[:take]]
 
 
-def group_counts(s: np.ndarray, groups: int) -> np.ndarray:
-    return np.minimum(np.bincount((_mixed(s) % np.uint64(groups)).astype(np.int64), minlength=groups), 65535).astype(np.uint16)
+def group_counts(s: np.ndarray, groups: int) -> bytes:
+    """The counts in one byte each if they fit, else in four."""
+    n = np.bincount((_mixed(s) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return n.astype(np.uint8 if n.max() < 256 else np.uint32).tobytes()
+
+
+def _count_rows(packed: list[bytes], groups: int) -> np.ndarray:
+    if all(len(x) == groups for x in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, groups)
+    return np.stack([np.frombuffer(x, np.uint8 if len(x) == groups else np.uint32).astype(np.uint32) for x in packed])
 
 
 def _class_id(s: np.ndarray) -> bytes:
@@ -142,7 +151,7 @@ def _points(often: tuple[np.ndarray, np.ndarray], join: Join):
                 n.append(len(s))
                 c.append(_class_id(s))
                 first.append(first_hashes(s, often, join).view(np.int64) if len(s) else s.view(np.int64))
-                counts.append(group_counts(s, join.groups).tobytes())
+                counts.append(group_counts(s, join.groups))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "n", "c", "first", "counts"])
 
     return run
@@ -163,7 +172,7 @@ def _sets(join: Join):
 
 def _search_one(key: int, block: int, rows: dict[str, list], join: Join, best: int | None) -> Iterator[tuple]:
     """Pairs of one tree: key, block, a, b, more (whether a search had more to give)."""
-    counts = np.frombuffer(b"".join(rows["counts"]), np.uint16).reshape(-1, join.groups)
+    counts = _count_rows(rows["counts"], join.groups)
     sizes = np.array(rows["n"], np.int64)
     _, labels = np.unique(np.array([x.hex() for x in rows["label"]]), return_inverse=True)
     guest = np.array(rows["guest"], bool)
@@ -226,7 +235,7 @@ def _search(join: Join, best: int | None):
     return run
 
 
-def _trees(filed: DataFrame, labels: DataFrame | None, join: Join) -> DataFrame:
+def _trees(filed: DataFrame, classes: DataFrame, labels: DataFrame | None, join: Join) -> DataFrame:
     """The rows of every tree: key, block, n, c, counts, label, guest. Keys whose classes are all in one component are left out.
 
     Guests are the only ones that search, in a block of a large key: the classes outside its largest component.
@@ -243,58 +252,73 @@ def _trees(filed: DataFrame, labels: DataFrame | None, join: Join) -> DataFrame:
     guests = F.ceil((F.col("m") - F.col("main.k")) / join.block).cast("int")
     large = large.withColumn("guests", F.greatest(F.lit(1), guests))
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    names = ["key", "block", "n", "c", "counts", "label", "guest"]
+    names = ["key", "block", "c", "label", "guest"]
+    points = classes.select("c", "n", "counts")
     if labels is None:  # no components yet: the blocks by themselves, later each with its guests
-        return small.select(*names).unionByName(large.withColumn("block", own).withColumn("guest", F.lit(False)).select(*names))
+        return small.select(*names).unionByName(large.withColumn("block", own).withColumn("guest", F.lit(False)).select(*names)).join(points, "c")
     seat = F.pmod(F.xxhash64("c", F.lit(7)), F.col("guests")).cast("int")
     # hosts of a block stand in it once for every group of guests; guests stand once in every block
     hosts = large.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("guests") - 1))).withColumn("block", own * F.col("guests") + F.col("g")).withColumn("guest", F.lit(False))
     visitors = large.filter(F.col("label") != F.col("main.label")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.col("g") * F.col("guests") + seat).withColumn("guest", F.lit(True))
-    return small.select(*names).unionByName(hosts.select(*names)).unionByName(visitors.select(*names))
+    return small.select(*names).unionByName(hosts.select(*names)).unionByName(visitors.select(*names)).join(points, "c")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
     """The pairs that link, checked on whole sets."""
     ids = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     readers = ids.join(classes.select("c", "rep"), "c").select(F.col("rep").alias("doc_id")).distinct()
     named = texts.filter(F.col("doc_id").isNotNull()).join(readers, "doc_id")
     odd = texts.filter(F.col("doc_id").isNull())  # a class may have rows without identifier only
     sets = named.select("text").union(odd.select("text")).mapInArrow(_sets(join), _SETS).join(ids, "c", "left_semi").dropDuplicates(["c"])
-    sets = durable(sets)
+    sets = scratch.keep(sets)
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.filter((join.den + join.num) * shared >= join.num * (F.size("sa") + F.size("sb")).cast("long")).select("a", "b")
+    good = scratch.keep(both.filter((join.den + join.num) * shared >= join.num * (F.size("sa") + F.size("sb")).cast("long")).select("a", "b"))
+    scratch.drop(sets)
+    return good
 
 
 _SETS = "c binary, s array<long>"
 
 
+def _filed(classes: DataFrame) -> DataFrame:
+    """c, key: the classes under each of their first hashes that others share.
+
+    Hashes with the very same classes (a passage has many) are one: of each such set, told by its number and two sums
+    of hashes, the least hash stays.
+    """
+    each = classes.select("c", F.explode("first").alias("key"))
+    told = each.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.xxhash64("c", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    keys = told.filter("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return each.join(keys, "key")
+
+
 def class_components(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, n, c) and, for each class with a link, its component (node, label)."""
+    scratch = Scratch(docs.sparkSession, "ngram-join")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).cast("binary").alias("text"))
     often = frequent(texts, join)
-    points = durable(texts.mapInArrow(_points(often, join), "doc_id long, n long, c binary, first array<long>, counts binary"))
-    classes = points.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("counts").alias("counts"))
-    classes = durable(classes)
-    filed = classes.select("c", F.explode("first").alias("key"))
-    shared = filed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    filed = durable(filed.join(shared, "key").join(classes.select("c", "n", "counts"), "c"))
+    points = texts.mapInArrow(_points(often, join), "doc_id long, n long, c binary, first array<long>, counts binary")
+    whole = scratch.keep(points)
+    classes = scratch.keep(whole.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("counts").alias("counts")))
+    rows = scratch.keep(whole.select("doc_id", "n", "c"))
+    filed = scratch.keep(_filed(classes))
+    scratch.drop(whole)
     large = filed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > join.block).select("key")
-    links, labels, best = None, None, [*join.best, None]
+    links, labels, best, rest = [], None, [*join.best, None], filed
     for k, most in enumerate(best):
-        trees = _trees(filed, labels, join)
-        found = durable(trees.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_search(join, most), fields(_FOUND)))
-        pairs = found.select("a", "b").distinct()
-        new = durable(_verified(pairs, classes, texts, join))
-        links = new if links is None else links.union(new)
-        labels = components(links)
+        trees = _trees(rest, classes, labels, join)
+        found = scratch.keep(trees.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_search(join, most), fields(_FOUND)))
+        links.append(_verified(found.select("a", "b").distinct(), classes, texts, join, scratch))
+        labels = components(functools.reduce(DataFrame.union, links), scratch)
         # keys whose searches had more to give; blocks of large keys meet their guests from the second round on
         unfinished = found.filter("more").select("key")
         unfinished = (unfinished.union(large) if k == 0 else unfinished).distinct()
         if k == len(best) - 1 or not unfinished.limit(1).count():
             break
-        filed = filed.join(unfinished, "key", "left_semi")
-    return points.select("doc_id", "n", "c"), labels
+        rest = scratch.keep(rest.join(unfinished, "key", "left_semi"))
+        scratch.drop(found)
+    return rows, labels
 
 
 def ngram_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
