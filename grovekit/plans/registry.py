@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masks import Masks
-from ..operators import clusters, matrices, partitions, support, taxa, transitions, weights
+from ..operators import clusters, kernels, matrices, partitions, support, taxa, transitions, weights
 from ..sources import derived, newick
+from . import inference
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -330,3 +331,78 @@ def u2_all_pairs_rf(spark, d):
 @query(_with(_WIDE) + " SELECT CAST(kids + CASE WHEN psize IS NULL THEN 0 ELSE 1 END AS INT) AS degree, count(*) AS nodes FROM wnode WHERE kids > 0 GROUP BY 1")
 def u5_degree_histogram(spark, d):
     return clusters.degree_histogram(wide(spark, d))
+
+
+def _weighed(nodes: DataFrame) -> DataFrame:
+    moves = transitions.anchored(transitions.from_nodes(nodes, MASKS), MASKS, ANCHOR)
+    return moves.join(weights.split_weights(moves, partitions.partition_table(nodes, MASKS), MASKS), ["lo", "hi"])
+
+
+@query()
+def t17_best_divisions(spark, d):
+    """The dynamic program; its rows are checked by t17_division_faults."""
+    return inference.best_divisions(_weighed(binary(spark, d)), MASKS)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS faults")
+def t17_division_faults(spark, d):
+    """Chosen divisions whose sides don't make up the cluster, or whose total isn't weight and the totals of both sides."""
+    best = t17_best_divisions(spark, d).select(*[F.col(c).cast("long").alias(c) for c in ("mask", "total", "lo", "hi", "weight")])
+    side = best.select("mask", "total")
+    j = best.join(side.select(F.col("mask").alias("lo"), F.col("total").alias("tl")), "lo", "left").join(side.select(F.col("mask").alias("hi"), F.col("total").alias("th")), "hi", "left")
+    wrong = (F.col("lo") + F.col("hi") != F.col("mask")) | (F.col("total") != F.col("weight") + F.coalesce("tl", F.lit(0)) + F.coalesce("th", F.lit(0)))
+    return j.agg(F.count_if(wrong).alias("faults"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS faults")
+def s28_node_faults(spark, d):
+    """Inner nodes whose children don't make up their taxa, and repeated ranges."""
+    nodes = wide(spark, d)
+    around = partitions.around(nodes, MASKS, root_too=True).join(nodes.select("tree", "node", "mask"), ["tree", "node"])
+    return around.agg(F.count_if(F.aggregate("kids", F.lit(0).cast("long"), lambda t, m: t + m) != F.col("mask")).alias("faults"))
+
+
+@query()
+def c8_upgma_guide(spark, d):
+    """The merges of the guide tree on the similarities of all taxa."""
+    s = inference.dense(matrices.similarities(binary(spark, d)), N)
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(kernels.upgma(s))], "step int, a int, b int")
+
+
+@query(_with() + f" SELECT tree::BIGINT AS tree, {N} AS n_leaves, {2 * N - 1}::BIGINT AS n_nodes FROM leaf GROUP BY tree HAVING count(*) > 1")
+def c5_completed_trees(spark, d):
+    """Every tree with all taxa, placed by the four-point rule; the trees' sizes are checked."""
+    nodes = binary(spark, d)
+    s = inference.dense(matrices.similarities(nodes), N)
+    near = inference.nearest_rows(s)
+    whole = nodes.join(nodes.filter("parent is null and n_children > 0").select("tree"), "tree", "left_semi")
+    done = inference.map_trees(whole, lambda t: kernels.complete(t, s, near), MASKS)
+    return done.groupBy("tree").agg(F.max("hi").alias("n_leaves"), F.count("*").alias("n_nodes"))
+
+
+@query()
+def g1_greedy_consensus(spark, d):
+    """The laminar families at all thresholds."""
+    nodes = binary(spark, d)
+    counted = [(r["mask"], r["freq"]) for r in clusters.bipartition_table(nodes, MASKS).toLocalIterator()]
+    rows = kernels.greedy_consensus(counted, N, nodes.select("tree").distinct().count())
+    return spark.createDataFrame(rows, "family int, threshold double, mask long")
+
+
+@query()
+def b2_branch_support(spark, d):
+    """Quartet frequencies, posteriors and lengths of the summary tree's branches."""
+    nodes, species = binary(spark, d), summary(spark, d)
+    branch = support.branches(species, MASKS)
+    return support.annotate(support.quartet_frequencies(branch, support.gene_sides(nodes, MASKS), MASKS), branch, MASKS)
+
+
+@query(_with(_BINARY, _SPECIES) + f""", gb AS (SELECT DISTINCT tree, CASE WHEN mask & 1 = 1 THEN {_FULL} & ~mask ELSE mask END AS mask FROM node WHERE psize IS NOT NULL AND kids > 0 AND bit_count(mask) BETWEEN 2 AND {N - 2}),
+    sb AS (SELECT DISTINCT CASE WHEN mask & 1 = 1 THEN {_FULL} & ~mask ELSE mask END AS mask FROM sp WHERE psize IS NOT NULL AND kids > 0 AND bit_count(mask) BETWEEN 2 AND {N - 2}),
+    t AS (SELECT DISTINCT tree FROM leaf),
+    rf AS (SELECT t.tree, (SELECT count(*) FROM gb WHERE gb.tree = t.tree) + (SELECT count(*) FROM sb) - 2 * (SELECT count(*) FROM gb JOIN sb USING (mask) WHERE gb.tree = t.tree) AS rf FROM t),
+    pair AS (SELECT a.tree AS t1, b.tree AS t2 FROM t a JOIN t b ON a.tree < b.tree),
+    gg AS (SELECT (SELECT count(*) FROM gb WHERE gb.tree IN (t1, t2)) - 2 * (SELECT count(*) FROM gb x JOIN gb y USING (mask) WHERE x.tree = t1 AND y.tree = t2) AS rf FROM pair)
+    SELECT (SELECT avg(rf / {2.0 * (N - 3)}::DOUBLE) FROM gg) AS gt_gt, (SELECT avg(least(1.0, rf / {2.0 * (N - 3)}::DOUBLE)) FROM rf) AS gt_st""")
+def u9_discordance(spark, d):
+    return clusters.discordance(binary(spark, d), summary(spark, d), MASKS)
