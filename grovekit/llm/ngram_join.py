@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, body, fields, free_names
@@ -33,6 +33,7 @@ from .count_rtree import CountRTree
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MOST_WORDS = 400_000
+_BITS = 23
 
 
 @dataclass(frozen=True)
@@ -263,13 +264,25 @@ def _trees(filed: DataFrame, classes: DataFrame, labels: DataFrame | None, join:
     return small.select(*names).unionByName(hosts.select(*names)).unionByName(visitors.select(*names)).join(points, "c")
 
 
+def _bit(doc_id: Column) -> tuple[Column, Column]:
+    """Where an identifier stands in a bit table of fixed size: the word, and the bit within it."""
+    at = F.pmod(F.xxhash64(doc_id), F.lit(1 << _BITS))
+    return F.shiftright(at, 5).alias("word"), F.expr("1L") * F.pow(F.lit(2.0), at % 32).cast("long")
+
+
+def _asked(texts: DataFrame, readers: DataFrame) -> DataFrame:
+    """The rows whose identifier may be among the readers'. The table of bits has at most 2**(_BITS - 5) rows, so it is broadcast, and no text is shuffled; what passes wrongly is sorted out by class later."""
+    word, bit = _bit(F.col("doc_id"))
+    table = readers.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows = texts.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word")
+    return rows.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
     """The pairs that link, checked on whole sets."""
     ids = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    readers = ids.join(classes.select("c", "rep"), "c").select(F.col("rep").alias("doc_id")).distinct()
-    named = texts.filter(F.col("doc_id").isNotNull()).join(readers, "doc_id")
-    odd = texts.filter(F.col("doc_id").isNull())  # a class may have rows without identifier only
-    sets = named.select("text").union(odd.select("text")).mapInArrow(_sets(join), _SETS).join(ids, "c", "left_semi").dropDuplicates(["c"])
+    readers = ids.join(classes.select("c", "rep"), "c").select(F.col("rep").alias("doc_id"))
+    sets = _asked(texts, readers).select("text").mapInArrow(_sets(join), _SETS).join(ids, "c", "left_semi").dropDuplicates(["c"])
     sets = scratch.keep(sets)
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
