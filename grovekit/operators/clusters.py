@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import Masks
@@ -93,7 +93,7 @@ def degree_histogram(nodes: DataFrame) -> DataFrame:
 
 def dump(clusters: DataFrame, names: DataFrame, masks: Masks) -> DataFrame:
     """line: the sorted names of each cluster in braces. names: taxon, name."""
-    bit = names.select("name", masks.union_of("taxon").over(Window.partitionBy("taxon", "name")).alias("bit"))
+    bit = names.groupBy("name").agg(masks.union_of("taxon").alias("bit"))
     hit = clusters.select("mask").join(F.broadcast(bit), masks.both(F.col("mask"), F.col("bit")) != masks.empty)
     lines = hit.groupBy("mask").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return lines.select(F.concat(F.lit("{"), F.array_join("names", ","), F.lit("}")).alias("line")).orderBy("line")

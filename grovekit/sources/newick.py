@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.masks import Masks
 
-TOKEN = r"'(?:[^']|'')*'|[(),;]|[^(),;']+"
+TOKEN = r"'(?:[^']|'')*'[^(),;']*|[(),;]|[^(),;']+"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
