@@ -3,8 +3,9 @@
 1. A document's set of n-grams becomes sorted 64-bit hashes. Documents with the same set form one class; only
    classes go on.
 2. Two sets that reach the threshold share one of the first hashes of each (as many as may be missing, plus one),
-   in any one order of all hashes. So a class is filed under those hashes. The order puts hashes that are counted
-   often last; the counts cover all documents, but any order gives the same links.
+   in any one order of all hashes. So a class is filed under those hashes. The order puts rare hashes first, by a
+   table of counters over all documents; the counters are shared by many hashes, but any order gives the same links.
+   Linked sets are of a like size, so what is filed under a hash falls into runs of sizes that may link.
 3. Under each hash the classes are points in an R-tree: hashes are dealt into groups, and a set is the counts of
    its groups. The summed minima of two points bound the overlap. A search passes over sets that are in the
    query's component already.
@@ -18,13 +19,14 @@
 
 from __future__ import annotations
 
-import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, body, fields, free_names
@@ -44,7 +46,7 @@ class Join:
     num: int = 90
     den: int = 100
     groups: int = 256
-    frequent: int = 100_000  # hashes held as frequent; bounds what is broadcast, not what is found
+    counter_bits: int = 23  # 2**23 counters of hashes order them by rarity; bounds what is broadcast, not what is found
     block: int = 2048  # classes in a tree
     best: tuple[int, ...] = (1, 32)  # candidates a search gives, round by round; then all
 
@@ -82,47 +84,65 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _frequencies(words: int, chunk: int = 1 << 20, least: int = 4):
-    """Hashes and how often they occur, as far as it is `least` times within about a chunk of them."""
+def _slots(s: np.ndarray, join: Join) -> np.ndarray:
+    return (s >> np.uint64(64 - join.counter_bits)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
 
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n >= least].view(np.int64)), pa.array(n[n >= least].astype(np.int64))], names=["hash", "n"])
+def _partial_counts(join: Join, chunk: int = 1 << 21, part: int = 1 << 17):
+    """How many hashes of a task fall to each counter, as compressed parts of the table."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = np.zeros(1 << join.counter_bits, np.uint32), [], 0
         for batch in batches:
             for text in batch.column(0):
-                held.append(shingles(text.as_py(), words))
+                held.append(shingles(text.as_py(), join.words))
                 size += len(held[-1])
                 if size >= chunk:
-                    yield flush()
+                    counts += np.bincount(_slots(np.concatenate(held), join), minlength=len(counts)).astype(np.uint32)
                     held, size = [], 0
         if held:
-            yield flush()
+            counts += np.bincount(_slots(np.concatenate(held), join), minlength=len(counts)).astype(np.uint32)
+        for i in range(0, len(counts), part):
+            if (some := counts[i : i + part]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // part], pa.int64()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], names=["part", "counts"])
 
     return run
 
 
-def frequent(texts: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent hashes, ascending, and their ranks (more frequent: higher). At most join.frequent of them."""
-    counted = texts.select("text").mapInArrow(_frequencies(join.words), fields("hash long, n long")).groupBy("hash").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "hash").limit(join.frequent).toPandas()
-    h = top["hash"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], (len(h) - np.arange(len(h)))[order]
+def _summed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the parts; a task holds one table of its parts, however many rows come."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts = np.frombuffer(zlib.decompress(packed.as_py()), np.uint32).astype(np.uint64)
+            sums[k] = sums[k] + counts if k in sums else counts
+    for k, counts in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(_ranks(counts).tobytes(), 1)], pa.binary())], names=["part", "counts"])
+
+
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits: themselves up to 4,096, then in steps of a sixteen-hundredth of a doubling."""
+    large = 4096 + 1600 * np.log2(np.maximum(counts, 4096) / 4096.0)
+    return np.minimum(np.where(counts <= 4096, counts, large), 65535).astype(np.uint16)
+
+
+def rarity(texts: DataFrame, join: Join) -> np.ndarray:
+    """How often the hashes of each counter occur in all documents. Its size is fixed, and so is what is broadcast."""
+    part = 1 << 17
+    schema = fields("part long, counts binary")
+    rows = texts.select("text").mapInArrow(_partial_counts(join, part=part), schema).repartition("part").mapInArrow(_summed_counts, schema).collect()
+    out = np.zeros(1 << join.counter_bits, np.uint16)
+    for r in rows:
+        some = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint16)
+        out[r["part"] * part : r["part"] * part + len(some)] = some
+    return out
 
 
-def first_hashes(s: np.ndarray, often: tuple[np.ndarray, np.ndarray], join: Join) -> np.ndarray:
-    """Those under which a set is filed: as many as the other set may lack, and one."""
+def first_hashes(s: np.ndarray, often: np.ndarray, join: Join) -> np.ndarray:
+    """Those under which a set is filed: as many as the other set may lack, and one. The rarest, by the counters."""
     need = -(-join.num * len(s) // join.den)
     take = len(s) - need + 1
-    at = np.searchsorted(often[0], s)
-    at[at == len(often[0])] = 0
-    rank = np.where(often[0][at] == s, often[1][at], 0) if len(often[0]) else np.zeros(len(s), np.int64)
-    return s[np.lexsort((s, rank))[:take]]
+    return s[np.lexsort((s, often[_slots(s, join)]))[:take]]
 
 
 def group_counts(s: np.ndarray, groups: int) -> bytes:
@@ -143,7 +163,7 @@ def _class_id(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _points(often: tuple[np.ndarray, np.ndarray], join: Join):
+def _points(often: Broadcast, join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, c, first, counts = [], [], [], []
@@ -151,7 +171,7 @@ def _points(often: tuple[np.ndarray, np.ndarray], join: Join):
                 s = shingles(text.as_py(), join.words)
                 n.append(len(s))
                 c.append(_class_id(s))
-                first.append(first_hashes(s, often, join).view(np.int64) if len(s) else s.view(np.int64))
+                first.append(first_hashes(s, often.value, join).view(np.int64) if len(s) else s.view(np.int64))
                 counts.append(group_counts(s, join.groups))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "n", "c", "first", "counts"])
 
@@ -254,7 +274,7 @@ def _trees(filed: DataFrame, classes: DataFrame, labels: DataFrame | None, join:
     large = large.withColumn("guests", F.greatest(F.lit(1), guests))
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     names = ["key", "block", "c", "label", "guest"]
-    points = classes.select("c", "n", "counts")
+    points = _asked(classes.select("c", "n", "counts"), filed.select("c").distinct(), "c")
     if labels is None:  # no components yet: the blocks by themselves, later each with its guests
         return small.select(*names).unionByName(large.withColumn("block", own).withColumn("guest", F.lit(False)).select(*names)).join(points, "c")
     seat = F.pmod(F.xxhash64("c", F.lit(7)), F.col("guests")).cast("int")
@@ -264,25 +284,25 @@ def _trees(filed: DataFrame, classes: DataFrame, labels: DataFrame | None, join:
     return small.select(*names).unionByName(hosts.select(*names)).unionByName(visitors.select(*names)).join(points, "c")
 
 
-def _bit(doc_id: Column) -> tuple[Column, Column]:
-    """Where an identifier stands in a bit table of fixed size: the word, and the bit within it."""
-    at = F.pmod(F.xxhash64(doc_id), F.lit(1 << _BITS))
+def _bit(value: Column) -> tuple[Column, Column]:
+    """Where a value stands in a bit table of fixed size: the word, and the bit within it."""
+    at = F.pmod(F.xxhash64(value), F.lit(1 << _BITS))
     return F.shiftright(at, 5).alias("word"), F.expr("1L") * F.pow(F.lit(2.0), at % 32).cast("long")
 
 
-def _asked(texts: DataFrame, readers: DataFrame) -> DataFrame:
-    """The rows whose identifier may be among the readers'. The table of bits has at most 2**(_BITS - 5) rows, so it is broadcast, and no text is shuffled; what passes wrongly is sorted out by class later."""
-    word, bit = _bit(F.col("doc_id"))
+def _asked(rows: DataFrame, readers: DataFrame, by: str) -> DataFrame:
+    """The rows whose `by` may be among the readers'. The table of bits has at most 2**(_BITS - 5) rows, so it is broadcast, and the other rows are not shuffled; what passes wrongly is sorted out by the join that follows."""
+    word, bit = _bit(F.col(by))
     table = readers.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    rows = texts.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word")
-    return rows.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    met = rows.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word")
+    return met.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*rows.columns)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
     """The pairs that link, checked on whole sets."""
     ids = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     readers = ids.join(classes.select("c", "rep"), "c").select(F.col("rep").alias("doc_id"))
-    sets = _asked(texts, readers).select("text").mapInArrow(_sets(join), _SETS).join(ids, "c", "left_semi").dropDuplicates(["c"])
+    sets = _asked(texts, readers, "doc_id").select("text").mapInArrow(_sets(join), _SETS).join(ids, "c", "left_semi").dropDuplicates(["c"])
     sets = scratch.keep(sets)
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -294,36 +314,52 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, join: Join
 _SETS = "c binary, s array<long>"
 
 
-def _filed(classes: DataFrame) -> DataFrame:
-    """c, key: the classes under each of their first hashes that others share.
+def _filed(classes: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
+    """c, key: the classes under each of their first hashes that others of a like size share.
 
-    Hashes with the very same classes (a passage has many) are one: of each such set, told by its number and two sums
-    of hashes, the least hash stays.
+    The sizes under a hash, in order, fall into runs wherever one is too large to link with the one before; a key is a
+    hash and a run of two classes or more. Only sizes are ordered, so a hash that most documents share is no more than
+    as many rows as there are sizes. Classes go by a short number, with which no two need differ: who is filed under
+    another's keys as well is compared in vain.
+    Keys with the very same classes (a passage has many) are one: of each such set, told by its number and two sums
+    of hashes, the least key stays.
     """
-    each = classes.select("c", F.explode("first").alias("key"))
-    told = each.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.xxhash64("c", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    keys = told.filter("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
-    return each.join(keys, "key")
+    each = classes.select(F.xxhash64("c").alias("id"), F.col("n").cast("int").alias("n"), F.explode("first").alias("hash"))
+    sizes = each.groupBy("hash", "n").agg(F.count("*").alias("m"))
+    by_size = Window.partitionBy("hash").orderBy("n")
+    before = F.lag("n").over(by_size)
+    apart = F.coalesce(join.num * F.col("n").cast("long") > join.den * before, F.lit(True))
+    runs = sizes.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_size))
+    runs = runs.groupBy("hash", "run").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("m").alias("m")).filter("m > 1").select("hash", "low", "high")
+    filed = scratch.keep(each.join(runs, "hash").filter("n between low and high").select("id", F.xxhash64("hash", "low").alias("key")))
+    told = filed.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("id").alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("y"))
+    keys = told.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    out = scratch.keep(filed.join(keys, "key").join(classes.select(F.xxhash64("c").alias("id"), "c"), "id").select("c", "key"))
+    scratch.drop(filed)
+    return out
 
 
 def class_components(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, n, c) and, for each class with a link, its component (node, label)."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).cast("binary").alias("text"))
-    often = frequent(texts, join)
+    often = docs.sparkSession.sparkContext.broadcast(rarity(texts, join))
     points = texts.mapInArrow(_points(often, join), "doc_id long, n long, c binary, first array<long>, counts binary")
     whole = scratch.keep(points)
     classes = scratch.keep(whole.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("counts").alias("counts")))
     rows = scratch.keep(whole.select("doc_id", "n", "c"))
-    filed = scratch.keep(_filed(classes))
+    filed = _filed(classes, join, scratch)
     scratch.drop(whole)
     large = filed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > join.block).select("key")
-    links, labels, best, rest = [], None, [*join.best, None], filed
+    labels, best, rest = None, [*join.best, None], filed
     for k, most in enumerate(best):
         trees = _trees(rest, classes, labels, join)
         found = scratch.keep(trees.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_search(join, most), fields(_FOUND)))
-        links.append(_verified(found.select("a", "b").distinct(), classes, texts, join, scratch))
-        labels = components(functools.reduce(DataFrame.union, links), scratch)
+        links = _verified(found.select("a", "b").distinct(), classes, texts, join, scratch)
+        if labels is None:
+            labels = components(links, scratch)
+        elif links.limit(1).count():  # what is in a component already is a star of it
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links), scratch)
         # keys whose searches had more to give; blocks of large keys meet their guests from the second round on
         unfinished = found.filter("more").select("key")
         unfinished = (unfinished.union(large) if k == 0 else unfinished).distinct()
