@@ -1,14 +1,20 @@
-"""Licence scan: normalised segments against licence templates by the Dice coefficient over word bigrams.
+"""Licence scan: normalised segments and word windows against licence templates by the Dice coefficient over bigrams.
 
 Segments are a text's lines, its paragraphs of several lines, and the whole text. A segment's bigrams are counted
 as often as they occur, a template's once each, so a segment of n words has n - 1 bigrams; dice = 2 * shared /
 (both sizes), and only templates whose size lies within t / (2 - t) and (2 - t) / t times the segment's can reach
-the threshold t. Segments outside the bounds of all templates are left out before any bigram is made. Spark
-expressions only; no row leaves its partition.
+the threshold t. Notices that stand within longer lines or paragraphs, or run over comment signs, are found by
+windows over the words of the whole text: of every length that can reach the threshold, from each place where one
+of the template's bigrams is to each later one (windows that begin or end elsewhere have a lower coefficient).
+Of windows that overlap the best counts, and none counts where a segment is already a hit of the same template.
+A hit shares at least t / (2 - t) of a template's bigrams, so a text without any of certain words has none and
+is left out at once. Spark expressions only; no row leaves its partition.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,12 +62,49 @@ def within(n: Column | int, size: int):
     return ((40 - t) * n >= t * size) & ((40 - t) * size >= t * n)
 
 
-def segments(text: Column) -> Column:
-    """Lines, then paragraphs of several lines, then the whole text if it has several lines; normalised, not empty."""
-    lines = F.split(text, r"\n", -1)
-    many = F.filter(F.split(text, r"\n[\x20\x09\x0B-\x0D]*\n", -1), lambda p: F.contains(p, F.lit("\n")))
-    whole = F.when(text.rlike(r"\n[\x20\x09\x0B-\x0D]*\n"), F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.transform(F.concat(lines, many, whole), plain), lambda s: s != "")
+def least_shared(size: int) -> int:
+    """Bigrams that any hit shares with a template of this size: a segment has no fewer than it shares."""
+    return -(-THRESHOLD * size // (40 - THRESHOLD))
+
+
+_COMMON = {"the", "this", "that", "under", "with", "and", "can", "any", "all", "may", "you", "not", "for", "use", "by", "of", "is", "in", "to", "a", "0", "4", "2", "3", "work"}
+
+
+def gate_words() -> list[str]:
+    """Words one of which every hit has: for each template so many of its bigrams have one that no hit lacks them all."""
+    out: set[str] = set()
+    for _, _, b in template_bigrams():
+        spare = len(b) - least_shared(len(b))
+        left = [x for x in b if out.isdisjoint(x.split())]
+        while len(b) - len(left) <= spare:
+            words = {w for x in left for w in x.split()}
+            best = max(words, key=lambda w: (w not in _COMMON, sum(w in x.split() for x in left) * len(w), w))
+            out.add(best)
+            left = [x for x in left if best not in x.split()]
+    # a word that has another one of them within itself says nothing new
+    return sorted(w for w in out if len(w) < 5 or not any(v != w and len(v) >= 5 and v in w for v in out))
+
+
+def may_hit(text: Column) -> Column:
+    low = F.lower(text)
+    words = gate_words()
+    found = [F.contains(low, F.lit(w)) for w in words if len(w) >= 5]
+    found += [low.rlike(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])") for short in [[w for w in words if len(w) < 5]] if short]
+    return functools.reduce(Column.__or__, found)
+
+
+def _literals(bigrams: list[str]) -> Column:
+    """An array of bigrams, which are letters, digits and a space, in one call."""
+    return F.expr("array(" + ", ".join(f"'{x}'" for x in bigrams) + ")")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _spaces(s: Column) -> Column:
+    return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
 def _bigrams(segment: Column) -> Column:
@@ -69,21 +112,98 @@ def _bigrams(segment: Column) -> Column:
     return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def hits(text: Column) -> Column:
-    """Array of (shared, n, size, template) of the segments and templates that reach the threshold."""
+_HIT = "array<struct<shared:int,n:int,size:int,template:int,first:int>>"
+
+
+def _hit(shared, n, size: int, k: int, first) -> Column:
+    return F.struct(shared.cast("int").alias("shared"), n.cast("int").alias("n"), F.lit(size).alias("size"), F.lit(k).alias("template"), first.cast("int").alias("first"))
+
+
+def _segment_hits(parts: Column, several: bool) -> Column:
+    """Hits of the parts of a text (all of them, or those of several lines); first is the word where the part begins."""
+    templates = template_bigrams()
+    sizes = F.array(*[F.lit(x) for x in sorted({len(b) for _, _, b in templates})])
+
+    def found(plains: Column) -> Column:
+        at = F.transform(plains, lambda p, i: F.struct(p["s"].alias("s"), p["many"].alias("many"), _spaces(p["s"]).alias("n"), i.alias("i")))
+        may = F.filter(at, lambda x: (x["s"] != "") & (x["many"] if several else F.lit(True)) & F.exists(sizes, lambda z: ((40 - THRESHOLD) * x["n"] >= THRESHOLD * z) & ((40 - THRESHOLD) * z >= THRESHOLD * x["n"])))
+        counted = F.transform(may, lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i"), _bigrams(x["s"]).alias("b")))
+
+        def compare(x: Column) -> Column:
+            each = []
+            for k, (_, _, b) in enumerate(templates):
+                shared = F.size(F.array_intersect(x["b"], _literals(b)))
+                each.append(F.when(within(x["n"], len(b)), _hit(shared, x["n"], len(b), k, x["i"])))
+            return F.filter(F.array(*each), lambda h: h.isNotNull() & (40 * h["shared"] >= THRESHOLD * (h["n"] + h["size"])))
+
+        words = lambda p: F.when(p["s"] == "", 0).otherwise(_spaces(p["s"]) + 1)
+        before = lambda h: F.aggregate(F.slice(plains, 1, h["first"]), F.lit(0), lambda t, p: t + words(p))
+        return F.transform(F.flatten(F.transform(counted, compare)), lambda h: h.withField("first", before(h)))
+
+    return _let(F.transform(parts, lambda p: F.struct(plain(p).alias("s"), F.contains(p, F.lit("\n")).alias("many"))), found)
+
+
+def _windows(marked: Column, size: int, k: int) -> Column:
+    """The best windows of a template that don't overlap, from its bigrams' places (i) and names (g) in order."""
+    need, reach = least_shared(size), (40 - THRESHOLD) * size // THRESHOLD
+
+    def best_from(p: Column, last: Column, x: Column, at: Column) -> Column:
+        """The best window from the place x on: a bigram is new in it if its last place before lies before x."""
+        ends = F.filter(F.slice(last, at + 1, reach), lambda e: e["i"] < x["i"] + reach)
+        start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("shared"), F.lit(1).alias("n"))
+
+        def step(t: Column, e: Column) -> Column:
+            seen, n = t["seen"] + F.when(e["last"] < x["i"], 1).otherwise(0), e["i"] - x["i"] + 1
+            better = seen * (t["n"] + size) > t["shared"] * (n + size)
+            return F.struct(seen.alias("seen"), F.when(better, seen).otherwise(t["shared"]).alias("shared"), F.when(better, n).otherwise(t["n"]).alias("n"))
+
+        return F.aggregate(ends, start, step, lambda t: _hit(t["shared"], t["n"], size, k, x["i"]))
+
+    def search(p: Column) -> Column:
+        def same(x: Column, at: Column) -> Column:
+            earlier = F.slice(p, F.greatest(F.lit(1), at - reach + 1), F.least(at, F.lit(reach)))
+            return F.coalesce(F.array_max(F.transform(F.filter(earlier, lambda e: e["g"] == x["g"]), lambda e: e["i"])), F.lit(-1))
+
+        return _let(F.transform(p, lambda x, at: F.struct(x["i"].alias("i"), at.alias("at"), same(x, at).alias("last"))), lambda last: apart(p, last))
+
+    def apart(p: Column, last: Column) -> Column:
+        dense = F.filter(last, lambda x: F.coalesce(F.get(last, x["at"] + need - 1)["i"] - x["i"] < reach, F.lit(False)))
+        good = F.filter(F.transform(dense, lambda x: best_from(p, last, x, x["at"])), lambda h: 40 * h["shared"] >= THRESHOLD * (h["n"] + h["size"]))
+
+        def step(t: Column, h: Column) -> Column:
+            end = F.element_at(t, -1)
+            clear = (F.size(t) == 0) | (h["first"] >= end["first"] + end["n"])
+            better = h["shared"] * (end["n"] + size) > end["shared"] * (h["n"] + size)
+            return F.when(clear, F.concat(t, F.array(h))).when(better, F.concat(F.slice(t, 1, F.size(t) - 1), F.array(h))).otherwise(t)
+
+        return F.when(F.size(good) == 0, F.array().cast(_HIT)).otherwise(F.aggregate(good, F.array().cast(_HIT), step))
+
+    distinct = F.size(F.array_distinct(F.transform(marked, lambda x: x["g"])))
+    return F.when(distinct >= need, search(marked)).otherwise(F.array().cast(_HIT))
+
+
+def _window_hits(text: Column) -> Column:
     templates = template_bigrams()
-    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    may = F.filter(segments(text), lambda s: F.exists(F.array(*[F.lit(x) for x in sorted({len(b) for _, _, b in templates})]), lambda z: ((40 - THRESHOLD) * spaces(s) >= THRESHOLD * z) & ((40 - THRESHOLD) * z >= THRESHOLD * spaces(s))))
-    counted = F.transform(may, lambda s: F.struct(spaces(s).alias("n"), _bigrams(s).alias("b")))
-
-    def compare(x: Column) -> Column:
-        each = []
-        for k, (_, _, b) in enumerate(templates):
-            shared = F.size(F.array_intersect(x["b"], F.array(*map(F.lit, b))))
-            each.append(F.when(within(x["n"], len(b)), F.struct(shared.alias("shared"), x["n"].alias("n"), F.lit(len(b)).alias("size"), F.lit(k).alias("template"))))
-        return F.filter(F.array(*each), lambda h: h.isNotNull() & (40 * h["shared"] >= THRESHOLD * (h["n"] + h["size"])))
-
-    return F.flatten(F.transform(counted, compare))
+    every = sorted({x for _, _, b in templates for x in b})
+    placed = F.transform(_bigrams(plain(text)), lambda g, i: F.struct(g.alias("g"), i.alias("i")))
+
+    def one(marked: Column, k: int, b: list[str]) -> Column:
+        return _let(F.filter(marked, lambda x: F.array_contains(_literals(b), x["g"])), lambda p: _windows(p, len(b), k))
+
+    def each(marked: Column) -> Column:
+        return F.flatten(F.array(*[one(marked, k, b) for k, (_, _, b) in enumerate(templates)]))
+
+    return _let(F.filter(placed, lambda x: x["g"].isin(*every)), each)
+
+
+def hits(text: Column) -> Column:
+    """Array of (shared, n, size, template, first) of the segments, then of the windows, that reach the threshold."""
+    lines = _segment_hits(F.split(text, r"\n", -1), False)
+    many = _segment_hits(F.split(text, r"\n[\x20\x09\x0B-\x0D]*\n", -1), True)
+    whole = F.when(text.rlike(r"\n[\x20\x09\x0B-\x0D]*\n"), _segment_hits(F.array(text), False)).otherwise(F.array().cast(_HIT))
+    meets = lambda a, b: (a["template"] == b["template"]) & (a["first"] < b["first"] + b["n"]) & (b["first"] < a["first"] + a["n"])
+    both = _let(F.concat(lines, many, whole), lambda found: F.concat(found, F.filter(_window_hits(text), lambda h: ~F.exists(found, lambda g: meets(h, g)))))
+    return F.when(may_hit(text), both).otherwise(F.array().cast(_HIT))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
