@@ -12,6 +12,7 @@ length that a third of all rows share doesn't meet in one task.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,8 +33,8 @@ class _Ids(dict):
     """Stretch of text between single spaces -> the ids of a space and that stretch, as bytes; forgets all when full.
 
     A space between two characters that aren't white space always starts a new pre-token, so the ids of a text are
-    those of its stretches. They equal the ids of `tokenizers` with the JSON file of the same vocabulary, where the
-    strings of special tokens are ordinary text.
+    those of its stretches. They equal the ids of `tokenizers` with the JSON file of the same vocabulary between the
+    strings of added tokens.
     """
 
     def __init__(self, ranks: str, pattern: str):
@@ -58,15 +59,33 @@ class _Ids(dict):
 
 
 _known: _Ids | None = None
+_added: tuple[re.Pattern, dict[str, bytes]] | None = None
 
 
-def token_bytes(text: str) -> bytes:
-    """The ids of a text, 4 bytes each, without the closing id."""
-    global _known
+def _added_tokens(path: str) -> tuple[re.Pattern, dict[str, bytes]]:
+    """A pattern of the JSON file's added tokens, longer ones first, and the id of each as bytes."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if bad := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that depend on what stands beside them: {bad}")
+    ids = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in tokens}
+    return re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")" if ids else "((?!))"), ids
+
+
+def token_bytes(text: str, special: bool = False) -> bytes:
+    """The ids of a text, 4 bytes each, without the closing id. special: strings of added tokens give their ids, as `tokenizers` does by default."""
+    global _known, _added
     if _known is None:
         import public_tokenizers as p
 
-        _known = _Ids(p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+        _known, _added = _Ids(p.path("byte_bpe_50k.tiktoken"), p.PATTERN), _added_tokens(p.path("byte_bpe_50k.json"))
+    if special:
+        pattern, ids = _added
+        return b"".join(ids[x] if k % 2 else _plain_bytes(x) for k, x in enumerate(pattern.split(text)))
+    return _plain_bytes(text)
+
+
+def _plain_bytes(text: str) -> bytes:
     if not text:
         return b""
     first, *rest = re.split(r"(?<=\S) (?=\S)", text) if re.search(r"\s\s", text) else text.split(" ")
@@ -78,7 +97,7 @@ def _cut(window: int):
         for batch in batches:
             ids, tokens, starts, lengths, sums = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = token_bytes(text.as_py()) + b"\0\0\0\0"
+                data = token_bytes(text.as_py(), special=True) + b"\0\0\0\0"
                 n = len(data) // 4
                 for a in range(0, n, window):
                     piece = data[4 * a : 4 * (a + window)]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 
-from grovekit.llm import licenses
+import numpy as np
+
+from grovekit.llm import licenses, packing
 
 
 def _best_window(text: str) -> dict[int, float]:
@@ -35,3 +39,17 @@ def test_licenses_within_longer_text(spark):
         assert (found[200 + k]["n_hits"] > 0) == bool(_best_window(rows[3 * k + 2][1])), k
     assert (found[300]["license"], found[300]["dice"], found[300]["n_hits"]) == ("MIT", 1.0, 2)
     assert found[301]["n_hits"] == 0
+
+
+def test_packing_gives_added_tokens_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # with its own settings
+    r, end = random.Random(7), "<|endoftext|>"
+    texts = [end, end + end, f"one {end} two", f"{end}\n x  {end}y", "<|endoftext|", f"<{end}>", f"a {end[:-1]} |>"]
+    texts += ["".join(r.choice(["a", " ", "  ", "\n", " \n", "it's", "12", "é", "<|", "|>", end, "word "]) for _ in range(r.randint(0, 25))) for _ in range(200)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert 50256 in ids[0]
+    assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in rows} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
