@@ -1,9 +1,12 @@
 """Secret scan: assignment-aware lexing of source and configuration syntax.
 
-Besides the three fixed patterns, the scan reads every line that holds an assignment sign as source or
-configuration text: it splits it into names, string literals, bare values and signs, builds name-literal pairs,
-carries constants from one statement to later ones (also through concatenation), and scores each literal by how
-sensitive the name is that it reaches and by how much the literal looks like a key.
+Besides the three fixed patterns, the scan reads a whole text as source or configuration: it splits it into names,
+string literals, bare values, signs, brackets and line ends, builds name-literal pairs, carries constants from one
+statement to later ones (also through concatenation), and scores each literal by how sensitive the name is that it
+reaches and by how much the literal looks like a key. A target may be a name, a string or a subscript, with or
+without a type; a value may stand in brackets, on the next line, as a default within a call, under nested keys
+(by braces or by indentation), or as the text of an XML element. A text without any part of a sensitive name has
+no such pair and isn't split.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _TOKEN = re.compile(
-    r"""(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)|(?P<sign>:=|=>|==|!=|<=|>=|[=:+])|(?P<space>\s+)|(?P<bare>[^\s"'`=:+,;(){}\[\]<>#]+)|(?P<other>.)""",
+    r"""(?P<nl>\n[^\S\n]*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)|(?P<sign>:=|=>|==|!=|<=|>=|[=:+])|(?P<space>[^\S\n]+)|(?P<bare>[^\s"'`=:+,;(){}\[\]<>#]+)|(?P<other>.)""",
     re.S,
 )
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -44,6 +47,12 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "sec
 HARMLESS = {"public": -0.6, "name": -0.5, "id": -0.3, "count": -0.8, "length": -0.8, "size": -0.8, "type": -0.5, "url": -0.4, "path": -0.5, "file": -0.5, "max": -0.6, "min": -0.6, "field": -0.6, "label": -0.6, "hint": -0.6}
 _DUMMY = re.compile(r"(?i)x{4,}|\*{3,}|changeme|example|placeholder|your|dummy|todo|none|null|true|false|\$\{|\{\{|<")
 LEAST_SCORE = 0.5
+#: Each sensitive name part has one of these within it.
+_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "private", "access", "auth", "bearer", "signature", "salt", "api")
+_XML = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*([^<>\s]+)\s*</\1\s*>")
+_ATTRIBUTES = re.compile(r"""\b(?:key|name)\s*=\s*(["'])([^"'<>]+)\1\s+value\s*=\s*(["'])([^"'<>]+)\3""")
+_SIGNS = ("=", ":", ":=", "=>")
+_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
 def name_score(name: str) -> float:
@@ -53,7 +62,7 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """0 for short, spaced or dummy values; rises with length, entropy and mixed classes of characters."""
-    if len(value) < 8 or len(value) > 4096 or any(c.isspace() for c in value) or _DUMMY.search(value):
+    if len(value) < 8 or any(c.isspace() for c in value) or _DUMMY.search(value):
         return 0.0
     n = len(value)
     bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
@@ -61,58 +70,218 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 4) * (1.0 if classes >= 2 else 0.4)
 
 
-def _regions(text: str) -> Iterator[tuple[int, int]]:
-    """The lines with an assignment sign, as start and end."""
-    at = 0
-    while True:
-        found = [k for k in (text.find("=", at), text.find(":", at)) if k >= 0]
-        if not found:
-            return
-        sign = min(found)
-        start, end = text.rfind("\n", 0, sign) + 1, text.find("\n", sign)
-        end = len(text) if end < 0 else end
-        yield max(start, at), end
-        at = end
+class _Reader:
+    """The tokens of a text and the name-literal pairs they make."""
 
+    def __init__(self, text: str):
+        self.text = text
+        self.t = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "space"]
+        self.known: dict[str, tuple[str, dict]] = {}
+        self.closed: dict[int, int] = {}  # opening brackets, with the closing ones
+        opened = []
+        for i, (kind, a, b) in enumerate(self.t):
+            if kind == "other" and text[a:b] in _OPEN:
+                opened.append(i)
+            elif kind == "other" and text[a:b] in _CLOSE and opened:
+                self.closed[opened.pop()] = i
 
-def pairs(text: str, regions: Iterator[tuple[int, int]] | None = None) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """Name, value and the places of the literals that make it up, for every assignment of a known value."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    for start, end in regions or _regions(text):
-        tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text, start, end) if m.lastgroup != "space"]
-        i = 0
-        while i + 2 < len(tokens):
-            kind, a, b = tokens[i]
-            sign = text[tokens[i + 1][1] : tokens[i + 1][2]]
-            if kind not in ("name", "str") or sign not in ("=", ":", ":=", "=>"):
-                i += 1
-                continue
-            name = text[a:b].strip("\"'`")
-            j, value, places = i + 2, "", []
-            while j < len(tokens):
-                kind, a, b = tokens[j]
-                if kind == "str":
-                    piece, where = text[a + 1 : b - 1], [(a + 1, b - 1)]
-                elif kind == "name" and text[a:b] in known:
-                    piece, where = known[text[a:b]]
-                elif kind in ("name", "bare"):
-                    while j + 1 < len(tokens) and tokens[j + 1][0] in ("name", "bare", "sign") and tokens[j + 1][1] == b:
-                        j, b = j + 1, tokens[j + 1][2]  # a bare value as in a shell or configuration line
-                    piece, where = text[a:b], [(a, b)]
+    def kind(self, i: int) -> str | None:
+        return self.t[i][0] if 0 <= i < len(self.t) else None
+
+    def word(self, i: int) -> str:
+        return self.text[self.t[i][1] : self.t[i][2]] if 0 <= i < len(self.t) else ""
+
+    def bare_name(self, i: int) -> str:
+        return self.word(i).strip("\"'`")
+
+    def sign(self, i: int) -> bool:
+        return self.kind(i) == "sign" and self.word(i) in _SIGNS
+
+    def skip_lines(self, i: int) -> int:
+        while self.kind(i) == "nl":
+            i += 1
+        return i
+
+    def indent(self, i: int) -> int:
+        """White space before the line of token i."""
+        while i >= 0 and self.kind(i) != "nl":
+            i -= 1
+        return len(self.word(i)) - 1 if i >= 0 else 0
+
+    def target(self, i: int) -> str | None:
+        """The name that the sign at i gives a value to."""
+        at = i - 1
+        if self.word(at) == "]":
+            key, at = at - 1, at - 2
+            if self.word(key) == "[":  # an array without a size
+                return self.bare_name(key - 1) if self.kind(key - 1) == "name" else None
+            if self.word(at) == "[" and self.kind(key) == "str":
+                return self.bare_name(key)
+            return self.bare_name(at - 1) if self.word(at) == "[" and self.kind(at - 1) == "name" else None
+        if self.kind(at) not in ("name", "str"):
+            return None
+        if self.word(i) == "=" and self.kind(at - 1) == "name" and self.word(at - 2) in ("var", "const", "let"):
+            return self.bare_name(at - 1)  # the type follows the name
+        return self.bare_name(at)
+
+    def after_type(self, i: int) -> int | None:
+        """Where a colon at i begins a type, the place of the assignment sign behind it."""
+        j, names = i + 1, 0
+        while j < len(self.t):
+            kind, word = self.kind(j), self.word(j)
+            if self.sign(j) and word == "=":
+                return j if names else None
+            if kind in ("nl", "sign", "str") or word in ("{", "}", ";", ")"):
+                return None
+            # two names side by side are no type, but for a lifetime or a mutability
+            if kind == "name" and self.kind(j - 1) == "name" and self.word(j - 2) != "'" and self.word(j - 1) not in ("mut", "const", "readonly", "unsigned"):
+                return None
+            names, j = names + (kind == "name"), j + 1
+        return None
+
+    def call_defaults(self, i: int) -> list[tuple[str | None, int]]:
+        """The literals behind a first argument in the call whose bracket is at i and in calls within it, each with the literal that names it.
+
+        A call within it that has a target of its own is read with that target, so each token is read once.
+        """
+        calls, out, j = [], [], i
+        while j < len(self.t):
+            word = self.word(j)
+            if word in _OPEN:
+                if calls and self.sign(j - 2):
+                    if j not in self.closed:
+                        break
+                    j = self.closed[j]
                 else:
+                    calls.append([False, None])
+            elif word in _CLOSE:
+                calls.pop()
+                if not calls:
                     break
-                value, places = value + piece, [*places, *where]
-                j += 1
-                if j < len(tokens) and text[tokens[j][1] : tokens[j][2]] == "+" and len(value) < 4096:
-                    j += 1
+            elif word == ",":
+                calls[-1][0] = True
+            elif self.kind(j) == "str":
+                if calls[-1][0]:
+                    out.append((calls[-1][1], j))
                 else:
-                    break
-            if places:
-                known[name] = (value, places)
-                yield name, value, places
-                i = j
+                    calls[-1][1] = self.bare_name(j)
+            j += 1
+        return out
+
+    def piece(self, j: int, one_line: bool) -> tuple[str, dict, int] | None:
+        """Value, places and end of one operand."""
+        kind, a, b = self.t[j]
+        if kind == "str":
+            return self.text[a + 1 : b - 1], {(a + 1, b - 1): None}, j + 1
+        if kind == "name" and self.text[a:b] in self.known:
+            return *self.known[self.text[a:b]], j + 1
+        if kind == "name" and j + 2 < len(self.t) and self.kind(j + 1) == "str" and self.t[j + 1][1] == b and b - a <= 2:
+            return self.piece(j + 1, one_line)  # a prefixed string
+        if kind in ("name", "bare") and one_line:
+            while j + 1 < len(self.t) and self.t[j + 1][0] in ("name", "bare", "sign") and self.t[j + 1][1] == b:
+                j, b = j + 1, self.t[j + 1][2]  # a bare value as in a shell or configuration line
+            return self.text[a:b], {(a, b): None}, j + 1
+        return None
+
+    def joined(self, j: int, inside: bool) -> tuple[str, dict, int]:
+        """Operands joined by plus signs or, within brackets, side by side. An operand whose literals all are there adds nothing."""
+        value, places = "", {}
+        while j < len(self.t):
+            found = self.piece(j, not inside)
+            if not found:
+                break
+            piece, where, j = found
+            if not where.keys() <= places.keys():
+                value, places = value + piece, places | where
+            k = self.skip_lines(j)
+            if self.word(k) == "+" and self.kind(self.skip_lines(k + 1)) in ("str", "name", "bare"):
+                j = self.skip_lines(k + 1)
+            elif not (inside and self.kind(k) == "str"):
+                break
             else:
-                i += 1
+                j = k
+        return value, places, j
+
+    def pairs(self) -> Iterator[tuple[str, str, dict]]:
+        owners: list[tuple[str, str, int]] = []  # bracket or indentation, name, indentation
+        given: dict[int, str] = {}  # the opening brackets of values, with their names
+        last, i = -1, 0
+        while i < len(self.t):
+            word = self.word(i)
+            if self.kind(i) == "nl" and owners and self.kind(i + 1) != "nl":
+                while owners and owners[-1][0] == "line" and len(word) - 1 <= owners[-1][2]:
+                    owners.pop()
+            elif word in _OPEN:
+                owners.append((word, given.pop(i, ""), 0))
+            elif word in _CLOSE:
+                while owners and owners[-1][0] == "line":
+                    owners.pop()
+                if owners:
+                    owners.pop()
+            elif self.kind(i) == "str" and owners and owners[-1][0] == "[" and owners[-1][1] and not self.sign(i + 1) and i >= last:
+                value, places, last = self.joined(i, True)
+                yield owners[-1][1], value, places
+            elif self.sign(i) and i >= last and (name := self.target(i)):
+                at = i
+                if word == ":" and (typed := self.after_type(i)):
+                    at = typed
+                outer = " ".join(n for _, n, _ in owners[-3:] if n)
+                full = f"{outer} {name}".strip()
+                j = at + 1
+                if self.word(at) == ":" and self.word(j) in ("|", ">", "|-", ">-", "|+", ">+") and self.kind(self.skip_lines(j + 1)) and self.kind(j + 1) == "nl":
+                    j += 1
+                if self.word(j) == "\\":
+                    j += 1
+                line = self.kind(j) == "nl"
+                if line:
+                    j = self.skip_lines(j)
+                    if self.word(j) == "-":
+                        j += 1
+                    deeper = self.indent(j) > self.indent(i)
+                    if self.word(j) not in _OPEN and (self.sign(j + 1) or not deeper and self.kind(j) != "str"):
+                        if deeper and self.word(at) == ":":
+                            owners.append(("line", name, self.indent(i)))
+                        i += 1
+                        continue
+                if self.word(j) == "(":
+                    value, places, end = self.joined(self.skip_lines(j + 1), True)
+                elif self.word(j) in _OPEN:
+                    given[j] = name
+                    i = max(i + 1, at)
+                    last = max(last, at + 1)
+                    continue
+                elif self.kind(j) == "name" and self.word(j + 1) == "(" and self.t[j + 1][1] == self.t[j][2]:
+                    for first, k in self.call_defaults(j + 1):
+                        a, b = self.t[k][1] + 1, self.t[k][2] - 1
+                        yield full, self.text[a:b], {(a, b): None}
+                        if first:
+                            yield first, self.text[a:b], {(a, b): None}
+                    i, last = max(i + 1, j), max(last, at + 1)
+                    continue
+                else:
+                    value, places, end = self.joined(j, False)
+                if places:
+                    self.known[name] = (value, places)
+                    yield full, value, places
+                    if full != name:
+                        yield name, value, places
+                    last = end
+                    i = max(i + 1, end)
+                    if self.word(j) == "(":
+                        i = j
+                    continue
+                last = max(last, at + 1)
+            i += 1
+
+
+def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """Name, value and the places of the literals that make it up, for every assignment of a known value."""
+    for name, value, places in _Reader(text).pairs():
+        yield name, value, list(places)
+    for m in _XML.finditer(text):
+        yield m[1], m[2], [m.span(2)]
+    for m in _ATTRIBUTES.finditer(text):
+        yield m[2], m[4], [m.span(4)]
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -120,7 +289,8 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     base = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     base += [(kind, m.start(), m.end()) for kind, p in (("access", _ACCESS), ("hex", _HEX)) for m in p.finditer(text)]
     found = set()
-    for name, value, places in pairs(text):
+    low = text.lower()
+    for name, value, places in pairs(text) if any(h in low for h in _HINTS) else ():
         weight = name_score(name)
         if weight and weight * literal_score(value) >= LEAST_SCORE:
             found.update(p for p in places if p[1] - p[0] >= 4 and not any(s < p[1] and p[0] < e for _, s, e in base))

@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 
-from grovekit.llm import licenses, packing
+from grovekit.llm import licenses, packing, secrets
 
 
 def _best_window(text: str) -> dict[int, float]:
@@ -53,3 +53,18 @@ def test_packing_gives_added_tokens_their_ids(spark):
     ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     assert 50256 in ids[0]
     assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in rows} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+
+
+def test_secret_lexer_reads_whole_syntax():
+    key = "Zk3v9QpL8xW2mN5b"
+    forms = [
+        'config["db_passphrase"] = "{}"', 'passphrase: str = "{}"', 'const passphrase: string = "{}";', 'PASSPHRASE = (\n    "{}"\n)', "passphrase:\n  {}\n", "passphrase: |\n  {}\n",
+        '{{"passphrase": {{"value": "{}"}}}}', "passphrase:\n  value: {}\nother: 1\n", "<passphrase>{}</passphrase>", '<add key="passphrase" value="{}"/>', 'passphrase = os.getenv("X", "{}")', 'passphrase = str(os.getenv("X", "{}"))',
+        'passphrase: Optional[str] = "{}"', 'var passphrase string = "{}"', 'passphrase_list = ["{}"]', 'char passphrase[] = "{}";', 'passphrase =\n    "{}"', 'passphrase = "{}"', "passphrase: {}", 'x = 1\nf(passphrase="{}")',
+    ]
+    for f in forms:
+        text = "plain words, don't mind\n" + f.format(key) + "\nand more\n"
+        assert [text[a:b] for k, a, b in secrets.scan(text) if k == "literal"] == [key], f
+    long = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=6000))
+    assert [b - a for k, a, b in secrets.scan(f'passphrase = "{long}"') if k == "literal"] == [6000]
+    assert len(secrets.scan('passphrase = "Zk3v9QpL8xW2"\n' + "passphrase = passphrase + passphrase\n" * 60)) == 1
