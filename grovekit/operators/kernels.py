@@ -336,9 +336,9 @@ def _members(mask: int) -> list[int]:
     return [t for t in range(mask.bit_length()) if mask >> t & 1]
 
 
-def resolve_by_similarity(groups: list[int], similar: np.ndarray) -> list[int]:
-    """Unions of groups that UPGMA on their average similarity makes below the root."""
-    sets = [_members(g) for g in groups]
+def resolve_by_similarity(groups: list[int], similar: np.ndarray, reps: list[int] | None = None) -> list[int]:
+    """Unions of groups that UPGMA on their average similarity, or that of one taxon of each, makes below the root."""
+    sets = [[t] for t in reps] if reps else [_members(g) for g in groups]
     s = np.array([[similar[np.ix_(a, b)].mean() for b in sets] for a in sets])
     unions, out = list(groups), []
     merges = upgma(s)
@@ -348,17 +348,18 @@ def resolve_by_similarity(groups: list[int], similar: np.ndarray) -> list[int]:
     return out
 
 
-def resolve_by_sampling(groups: list[int], trees: list[list[int]], seed: int, rounds: int = 10, bonus: int = 2, most: int = 100) -> list[int]:
+def resolve_by_sampling(groups: list[int], trees: list[list[int]], seed: int, rounds: int = 10, bonus: int = 2, most: int = 100, similar: np.ndarray | None = None, balls: bool = False) -> list[int]:
     """Unions of groups from greedy consensus of the splits that gene trees induce on one sampled taxon per group.
 
     trees: the clusters of each gene tree. A round that adds a union seen in more than 5 trees and 1 % of them earns
-    two more rounds, up to `most`. The choice depends on the groups and the seed alone.
+    two more rounds, up to `most`. The choice depends on the groups and the seed alone. With similarities, each round
+    with splits also gives the unions of UPGMA on its sampled taxa, and the first rounds, with balls, their nested balls.
     """
     d = len(groups)
     if d < 4:
         return []
     rng = random.Random(f"{seed}:{groups}")
-    sets, out, earned, done = [_members(g) for g in groups], [], 0, 0
+    sets, out, near, earned, done = [_members(g) for g in groups], [], [], 0, 0
     while done < rounds + earned:
         done += 1
         reps = [rng.choice(s) for s in sets]
@@ -380,7 +381,11 @@ def resolve_by_sampling(groups: list[int], trees: list[list[int]], seed: int, ro
                     gain |= f > 5 and f >= 0.01 * len(trees)
         if gain:
             earned = min(most, earned + bonus)
-    return out
+        if seen and similar is not None:
+            near += resolve_by_similarity(groups, similar, reps)
+            if balls and done <= rounds:
+                near += nested_balls(groups, similar, reps)
+    return list(dict.fromkeys(out + near))
 
 
 def sample_multifurcation(groups: list[int], guide: list[int], seed: int, rounds: int = 3) -> list[int]:
@@ -399,9 +404,9 @@ def sample_multifurcation(groups: list[int], guide: list[int], seed: int, rounds
     return out
 
 
-def nested_balls(groups: list[int], similar: np.ndarray) -> list[int]:
-    """For each group the unions with its nearest, second nearest ... group: nested neighbourhoods."""
-    sets, out = [_members(g) for g in groups], []
+def nested_balls(groups: list[int], similar: np.ndarray, reps: list[int] | None = None) -> list[int]:
+    """For each group the unions with its nearest, second nearest ... group: nested neighbourhoods, by averages or by one taxon of each."""
+    sets, out = [[t] for t in reps] if reps else [_members(g) for g in groups], []
     for i, a in enumerate(sets):
         near = sorted((j for j in range(len(sets)) if j != i), key=lambda j: (-similar[np.ix_(a, sets[j])].mean(), j))
         ball = groups[i]

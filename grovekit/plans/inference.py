@@ -121,15 +121,15 @@ def enrich(x: DataFrame, nodes: DataFrame, s: np.ndarray, masks: Masks, o: Optio
     limit = kernels.within_budget([len(g) for g in pool], n)
     tree_masks = nodes.filter("parent is not null and n_children > 0").groupBy("tree").agg(F.collect_list("mask").alias("m"))
     trees = [[masks.unpack(v) for v in r["m"]] for r in tree_masks.toLocalIterator()]
-    tasks = spark.createDataFrame([([str(x) for x in g],) for g in pool if len(g) <= limit] or [(["1"],)], "groups array<string>")
+    tasks = spark.createDataFrame([([str(x) for x in g], i) for g, i in pool.items() if len(g) <= limit] or [(["1"], 0)], "groups array<string>, family int")
 
     def run(parts):
         for p in parts:
             found = set()
-            for g in p.groups:
+            for g, family in zip(p.groups, p.family, strict=True):
                 groups = [int(v) for v in g]
                 if len(groups) > 3:
-                    found.update(kernels.resolve_by_similarity(groups, s), kernels.resolve_by_sampling(groups, trees, o.seed))
+                    found.update(kernels.resolve_by_similarity(groups, s), kernels.resolve_by_sampling(groups, trees, o.seed, similar=s, balls=o.nearest_balls and family <= 2 and len(groups) <= 31))
                     if o.nearest_balls:
                         found.update(kernels.nested_balls(groups, s))
             yield pd.DataFrame({"m": [str(v) for v in sorted(found)]})

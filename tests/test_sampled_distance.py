@@ -1,0 +1,22 @@
+"""Each sampling round also proposes what the similarities of its own taxa say."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from grovekit.operators import kernels
+
+
+def test_rounds_propose_by_distance():
+    groups = [0b11, 0b100, 0b1000, 0b10000, 0b100000]
+    s = np.full((6, 6), 0.1)
+    for a, b, x in ((0, 2, 0.9), (1, 3, 0.8), (4, 5, 0.7)):
+        s[a, b] = s[b, a] = x
+    trees = [[0b110000, 0b111000]]
+    plain = kernels.resolve_by_sampling(groups, trees, 1)
+    near = kernels.resolve_by_sampling(groups, trees, 1, similar=s)
+    balls = kernels.resolve_by_sampling(groups, trees, 1, similar=s, balls=True)
+    assert 0b111 not in plain and 0b1011 not in plain  # group 0 with taxon 2 if 0 is sampled, with taxon 3 if 1 is
+    assert {0b111, 0b1011, 0b110000} | set(plain) <= set(near) <= set(balls)
+    assert set(balls) >= {b for reps in ([0, 2, 3, 4, 5], [1, 2, 3, 4, 5]) for b in kernels.nested_balls(groups, s, reps)}
+    assert kernels.resolve_by_sampling(groups, [], 1, similar=s, balls=True) == []
