@@ -111,7 +111,8 @@ def mix(docs: DataFrame, source: str = "source", entropy_share: float = 0.98, mo
 
     Without a budget every document comes at least once. A null text counts one token, as an empty one; a null
     source is a source; repeated rows are placed side by side, each in a slot of its own; extra columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Weights are solved on the driver and broadcast: with more than most_sources
+    sources it raises ValueError and gives no result.
     """
     placed, _ = place_units(_units(docs, source), entropy_share, most_repeats, budget, block_tokens, seed, most_sources)
     each = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
@@ -120,7 +121,7 @@ def mix(docs: DataFrame, source: str = "source", entropy_share: float = 0.98, mo
 
 
 def mixed_documents(docs: DataFrame, source: str = "source", entropy_share: float = 0.98, most_repeats: float = 2.0, seed: int = 20) -> DataFrame:
-    """The documents with their own columns, each as often as the mixture takes it."""
+    """The documents with their own columns, each as often as the mixture takes it. Raises ValueError beyond 50,000 sources."""
     units = _units(docs, source)
     placed, _ = place_units(units, entropy_share, most_repeats, None, 1 << 17, seed, 50_000)
     taken = placed.groupBy("doc_id", "text_hash", "source").agg(F.count("*").cast("int").alias("times"))
