@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not sc.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="grovekit-")
         sc.setCheckpointDir(named)
@@ -53,14 +53,12 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables of keep(), and lets Spark free the shuffle files of what made them."""
+        """Deletes tables of keep()."""
         jvm = self.spark._jvm
         for t in tables:
             _, path = self._paths.pop(id(t))
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        gc.collect()
-        jvm.System.gc()
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

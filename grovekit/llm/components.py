@@ -21,20 +21,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return tied.select(F.col("least").alias("a"), "b").union(own).filter("a <> b").distinct()
 
 
-def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (the least node of its component) for every node that has a link. Columns a and b, in any order.
 
     The rounds needed grow with the logarithm of the longest path. The last table of links stays in scratch.
     """
     edges = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         before, edges = edges, scratch.keep(_star(_star(edges, True), False))
         scratch.drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())

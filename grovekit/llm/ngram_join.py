@@ -5,22 +5,28 @@
 2. Two sets that reach the threshold share one of the first hashes of each (as many as may be missing, plus one),
    in any one order of all hashes. So a class is filed under those hashes. The order puts rare hashes first, by a
    table of counters over all documents; the counters are shared by many hashes, but any order gives the same links.
-   Linked sets are of a like size, so what is filed under a hash falls into runs of sizes that may link.
-3. Under each hash the classes are points in an R-tree: hashes are dealt into groups, and a set is the counts of
-   its groups. The summed minima of two points bound the overlap. A search passes over sets that are in the
-   query's component already.
-4. Of the pairs that survive, each search gives its best few; they are verified on the whole sets, and the links
-   found merge components. Searches that had more to give are repeated with a larger number, the last time with
-   all, so that no link between different components is lost. A group of near copies merges in the first rounds
-   and is then passed over as a whole; its pairs are never listed.
-5. A hash with more classes than fit a tree is divided into blocks: each block meets the classes outside the
-   largest component, also in blocks.
+   Linked sets are of a like size, so what is filed under a hash falls into runs of sizes that may link; a hash and
+   a run make a key.
+3. Under a key the classes are points in an R-tree: hashes are dealt into groups, and a set is the counts of its
+   groups. The summed minima of two points bound the overlap. A search passes over sets that are in the query's
+   component already.
+4. Contraction: each class goes with its set to one key, the one with most classes, where survivors of the search
+   are verified at once and merge. Then each component sends one member to one key, in the same way. A group of near
+   copies becomes a few components here, at one row for each class.
+5. The filter: in every key that still has several components, the classes outside its largest one search all
+   others, on counts alone. It gives the classes that survive, each once for a place: the key itself for two that
+   are both outside, the largest component for one that is within. So a place has no more rows than its key or
+   component has classes, and pairs are never listed.
+6. The refinement: survivors bring their sets to their places, are verified there, and the links found merge
+   components. No link between different components is lost.
+7. What meets in one place is divided into blocks of bounded number and bytes; in the last two steps each block of
+   those who are searched meets each block of those who search.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +34,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, body, fields, free_names
 from .components import components
-from .count_rtree import CountRTree
+from .count_rtree import CountRTree, reaches
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_MOST_WORDS = 400_000
+_MOST_WORDS = 1 << 17
 _BITS = 23
 
 
@@ -48,7 +55,7 @@ class Join:
     groups: int = 256
     counter_bits: int = 23  # 2**23 counters of hashes order them by rarity; bounds what is broadcast, not what is found
     block: int = 2048  # classes in a tree
-    best: tuple[int, ...] = (1, 32)  # candidates a search gives, round by round; then all
+    block_hashes: int = 1 << 21  # and hashes of their sets
 
 
 class _WordHash(dict):
@@ -85,23 +92,28 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 
 def _slots(s: np.ndarray, join: Join) -> np.ndarray:
-    return (s >> np.uint64(64 - join.counter_bits)).astype(np.int64)
+    return (s >> np.uint64(64 - join.counter_bits)).astype(np.int32)
 
 
-def _partial_counts(join: Join, chunk: int = 1 << 21, part: int = 1 << 17):
+def _partial_counts(join: Join, chunk: int = 1 << 19, part: int = 1 << 17):
     """How many hashes of a task fall to each counter, as compressed parts of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, size = np.zeros(1 << join.counter_bits, np.uint32), [], 0
+
+        def add() -> None:
+            slots, n = np.unique(_slots(np.concatenate(held), join), return_counts=True)
+            counts[slots] += n.astype(np.uint32)
+
         for batch in batches:
             for text in batch.column(0):
                 held.append(shingles(text.as_py(), join.words))
                 size += len(held[-1])
                 if size >= chunk:
-                    counts += np.bincount(_slots(np.concatenate(held), join), minlength=len(counts)).astype(np.uint32)
+                    add()
                     held, size = [], 0
         if held:
-            counts += np.bincount(_slots(np.concatenate(held), join), minlength=len(counts)).astype(np.uint32)
+            add()
         for i in range(0, len(counts), part):
             if (some := counts[i : i + part]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // part], pa.int64()), pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())], names=["part", "counts"])
@@ -166,122 +178,236 @@ def _class_id(s: np.ndarray) -> bytes:
 def _points(often: Broadcast, join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, c, first, counts = [], [], [], []
+            n, c, first = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), join.words)
                 n.append(len(s))
                 c.append(_class_id(s))
                 first.append(first_hashes(s, often.value, join).view(np.int64) if len(s) else s.view(np.int64))
-                counts.append(group_counts(s, join.groups))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "n", "c", "first", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "c", "first"])
 
     return run
 
 
+_SETS = "c binary, counts binary, s array<long>"
+
+
 def _sets(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, sets = [], []
+            c, sets, counts = [], [], []
             for text in batch.column(0):
                 s = shingles(text.as_py(), join.words)
                 c.append(_class_id(s))
                 sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "s"])
+                counts.append(group_counts(s, join.groups))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(counts, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "counts", "s"])
 
     return run
 
 
-def _search_one(key: int, block: int, rows: dict[str, list], join: Join, best: int | None) -> Iterator[tuple]:
-    """Pairs of one tree: key, block, a, b, more (whether a search had more to give)."""
-    counts = _count_rows(rows["counts"], join.groups)
-    sizes = np.array(rows["n"], np.int64)
-    _, labels = np.unique(np.array([x.hex() for x in rows["label"]]), return_inverse=True)
-    guest = np.array(rows["guest"], bool)
-    c = rows["c"]
-    if len(np.unique(labels)) < 2:
-        return
-    tree = CountRTree(counts, sizes, labels, join.num, join.den)
-    ask = np.flatnonzero(guest) if guest.any() else np.arange(len(c))
-    for i in ask:
-        at, bound = tree.search(counts[i], int(sizes[i]), int(labels[i]))
-        at, bound = (at[keep], bound[keep]) if not (keep := at != i).all() else (at, bound)
-        if not len(at):
-            continue
-        # the tightest first; among equals the same one for all, so that they meet in a star
-        order = sorted(range(len(at)), key=lambda j: (-bound[j] / (sizes[i] + sizes[at[j]]), c[at[j]]))
-        more = best is not None and len(order) > best
-        for j in order[: best if more else None]:
-            a, b = sorted((c[i], c[at[j]]))
-            yield key, block, a, b, more
-
-
-_FOUND = "key long, block int, a binary, b binary, more boolean"
-
-
-def _search(join: Join, best: int | None):
-    """Over rows sorted by key and block: a tree for each."""
+class _Place:
+    """The rows that meet in one task: who is searched (hosts), who searches (guests), and their components."""
+
+    def __init__(self, rows: pa.Table, join: Join):
+        self.join = join
+        self.n = rows["n"].to_numpy()
+        self.counts = _count_rows(rows["counts"].to_pylist(), join.groups)
+        labels = rows["label"].to_pylist()
+        self.names = sorted(set(labels))  # numbers in the order of the names, so every block gives two labels the same order
+        number = {x: k for k, x in enumerate(self.names)}
+        self.label = np.array([number[x] for x in labels], np.int64)
+        self.hosts = np.flatnonzero(rows["host"].to_numpy())
+        self.guests = np.flatnonzero(rows["guest"].to_numpy())
+
+    def tree(self) -> CountRTree:
+        h = self.hosts
+        return CountRTree(self.counts[h], self.n[h], self.label[h], self.join.num, self.join.den)
+
+    def candidates(self, tree: CountRTree, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, bound = tree.search(self.counts[i], int(self.n[i]), int(self.label[i]))
+        return self.hosts[at], bound
+
+
+def _merged(rows: pa.Table, join: Join) -> tuple[_Place, np.ndarray]:
+    """The place, and the number of the component of each of its labels after all links in it are found."""
+    place = _Place(rows, join)
+    now = np.arange(len(place.names))
+    if len(now) < 2 or not len(place.hosts) or not len(place.guests):
+        return place, now
+    lists = rows["s"].combine_chunks()
+    flat, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    sets = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    tree = place.tree()
+    asks = np.zeros(len(place.n), bool)
+    asks[place.guests] = True
+    for i in place.guests:
+        at, bound = place.candidates(tree, i)
+        first = ~asks[at] | (at < i)  # of two that both ask, one will do
+        at, bound = at[first], bound[first]
+        at = at[np.argsort(-(bound / (place.n[i] + place.n[at])), kind="stable")]  # the tightest first
+        step = 2
+        while len(at := at[place.label[at] != place.label[i]]):
+            some, at, step = at[:step], at[step:], min(4 * step, 512)
+            shared = _overlaps(sets[i], [sets[j] for j in some])
+            linked = some[reaches(shared, place.n[i] + place.n[some], join.num, join.den)]
+            if len(linked):
+                old = np.unique(np.append(place.label[linked], place.label[i]))
+                into = int(old[0])
+                for x in (place.label, now):
+                    x[np.isin(x, old)] = into
+                tree.merge(old, into)
+    return place, now
+
+
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of the others shares with the one; all are sorted and not empty."""
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
+def _contracted(join: Join):
+    """label, into: for each label the component that its links under this key give it."""
+
+    def one(rows: pa.Table) -> dict[str, list]:
+        place, now = _merged(rows, join)
+        return {"label": place.names, "into": [place.names[k] for k in now]}
+
+    return _by_place(one, fields("label binary, into binary"))
+
+
+def _refined(join: Join):
+    """a, b: links that join the components of a place, no more than their number."""
+
+    def one(rows: pa.Table) -> dict[str, list]:
+        place, now = _merged(rows, join)
+        moved = np.flatnonzero(now != np.arange(len(now)))
+        return {"a": [place.names[now[k]] for k in moved], "b": [place.names[k] for k in moved]}
+
+    return _by_place(one, fields("a binary, b binary"))
+
+
+_SURVIVOR = "place long, c binary, label binary, n long, host boolean, guest boolean"
+
+
+def _filtered(join: Join):
+    """The rows that survive the search on counts, each once for a place."""
+
+    def one(rows: pa.Table) -> dict[str, list]:
+        import xxhash
+
+        place = _Place(rows, join)
+        main = rows["main"].to_numpy()
+        within, asks, outside = (np.zeros(len(main), bool) for _ in range(3))
+        tree = place.tree() if len(place.hosts) and len(place.guests) else None
+        for i in place.guests if tree else ():
+            at, _ = place.candidates(tree, i)
+            in_main = main[at]
+            within[at[in_main]] = True
+            asks[i] |= bool(in_main.any())
+            # of two that are both outside, the one with the larger label finds the other
+            pair = at[~in_main & (place.label[at] < place.label[i])]
+            if len(pair):
+                outside[pair] = outside[i] = True
+        key = rows["place"][0].as_py()
+        home = xxhash.xxh3_64_intdigest(place.names[place.label[np.argmax(main)]]) - (1 << 63) if within.any() else 0
+        out: dict[str, list] = {x.split()[0]: [] for x in _SURVIVOR.split(", ")}
+        for at, where, host, guest in ((within, home, True, False), (asks, home, False, True), (outside, key, True, True)):
+            k = np.flatnonzero(at)
+            out["place"] += [where] * len(k)
+            for x in ("c", "label", "n"):
+                out[x] += rows[x].take(pa.array(k)).to_pylist()
+            out["host"] += [host] * len(k)
+            out["guest"] += [guest] * len(k)
+        return out
+
+    return _by_place(one, fields(_SURVIVOR))
+
+
+def _by_place(one: Callable[[pa.Table], dict[str, list]], returns: T.StructType):
+    """Over rows sorted by place and block: `one` of the rows of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(fields(_FOUND))
-        names = ("n", "c", "counts", "label", "guest")
-        current, held, out = None, {k: [] for k in names}, []
+        schema = to_arrow_schema(returns)
+        current, held = None, []
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                out = one(pa.Table.from_batches(held).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
         for batch in batches:
-            columns = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in names}
-            keys = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "block")], 1)
+            keys = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("place", "block")], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 k = (int(keys[a][0]), int(keys[a][1]))
                 if k != current:
-                    if current is not None:
-                        out += _search_one(*current, held, join, best)
-                    current, held = k, {x: [] for x in names}
-                for x in names:
-                    held[x] += columns[x][a:b]
-                if len(out) >= 10_000:
-                    yield batch_of(out)
-                    out = []
-        if current is not None:
-            out += _search_one(*current, held, join, best)
-        if out:
-            yield batch_of(out)
+                    yield from done()
+                    current, held = k, []
+                held.append(batch.slice(a, b - a))
+        yield from done()
 
     return run
 
 
-def _trees(filed: DataFrame, classes: DataFrame, labels: DataFrame | None, join: Join) -> DataFrame:
-    """The rows of every tree: key, block, n, c, counts, label, guest. Keys whose classes are all in one component are left out.
+def _seated(rows: DataFrame, join: Join, meet_all: bool) -> DataFrame:
+    """rows (place, c, label, n, host, guest, ...) with a block, for places that are too large for one tree.
 
-    Guests are the only ones that search, in a block of a large key: the classes outside its largest component.
+    meet_all: each block of hosts meets each block of guests, so rows of such places come several times; else a
+    row stands in one block only.
     """
+    size = [F.sum(F.col(x).cast("long")).alias(f"{x}s") for x in ("host", "guest")] + [F.sum(F.when(F.col(x), F.col("n"))).alias(f"{x}_n") for x in ("host", "guest")]
+    blocks = {x: F.greatest(F.lit(1), F.ceil(F.col(f"{x}s") / join.block), F.ceil(F.coalesce(F.col(f"{x}_n"), F.lit(0)) / join.block_hashes)).cast("int").alias(f"{x}_blocks") for x in ("host", "guest")}
+    large = rows.groupBy("place").agg(*size).select("place", *blocks.values()).filter("host_blocks > 1 OR guest_blocks > 1")
+    met = rows.join(large, "place", "left").withColumn("host_blocks", F.coalesce("host_blocks", F.lit(1))).withColumn("guest_blocks", F.coalesce("guest_blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("c"), F.col("host_blocks")).cast("int")
+    if not meet_all:
+        return met.withColumn("block", own).drop("host_blocks", "guest_blocks")
+    seat = F.pmod(F.xxhash64("c", F.lit(7)), F.col("guest_blocks")).cast("int")
+    at = lambda block, host: F.struct(block.cast("int").alias("block"), F.lit(host).alias("host"), F.lit(not host).alias("guest"))
+    none = F.expr("cast(array() as array<struct<block:int,host:boolean,guest:boolean>>)")
+    as_host = F.when(F.col("host"), F.transform(F.sequence(F.lit(0), F.col("guest_blocks") - 1), lambda g: at(own * F.col("guest_blocks") + g, True))).otherwise(none)
+    as_guest = F.when(F.col("guest"), F.transform(F.sequence(F.lit(0), F.col("host_blocks") - 1), lambda b: at(b * F.col("guest_blocks") + seat, False))).otherwise(none)
+    one = (F.col("host_blocks") == 1) & (F.col("guest_blocks") == 1)
+    seats = F.when(one, F.array(F.struct(F.lit(0).alias("block"), F.col("host").alias("host"), F.col("guest").alias("guest")))).otherwise(F.concat(as_host, as_guest))
+    others = [x for x in rows.columns if x not in ("host", "guest")]
+    return met.withColumn("seat", F.explode(seats)).select(*others, "seat.*")
+
+
+def _meet(rows: DataFrame, run, returns: str) -> DataFrame:
+    return rows.repartition("place", "block").sortWithinPartitions("place", "block").mapInArrow(run, fields(returns))
+
+
+def _contract(filed: DataFrame, labels: DataFrame | None, sets: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
+    """c, label: the components after one member of each has met others under one key, the one with most of them."""
     if labels is None:
-        rows = filed.withColumn("label", F.col("c"))
+        rows = filed.select(F.struct("c", "n").alias("one"), "key", "m", F.col("c").alias("label"))
     else:
-        rows = filed.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+        rows = filed.join(labels, "c").groupBy("key", "label").agg(F.min(F.struct("c", "n")).alias("one"))
+        several = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+        rows = rows.join(several, "key")
+    chosen = rows.groupBy("label").agg(F.max(F.struct("m", "key", "one")).alias("x"))
+    chosen = scratch.keep(chosen.select("label", F.col("x.key").alias("place"), "x.one.*", F.lit(True).alias("host"), F.lit(True).alias("guest")))
+    met = _seated(chosen, join, False).join(sets if labels is None else _asked(sets, chosen.select("c"), "c"), "c")
+    found = scratch.keep(_meet(met, _contracted(join), "label binary, into binary"))
+    if labels is None:
+        return found.select(F.col("label").alias("c"), F.col("into").alias("label"))
+    return scratch.keep(labels.join(found.filter("label <> into"), "label", "left").select("c", F.coalesce("into", "label").alias("label")))
+
+
+def _survivors(filed: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Rows for the refinement, from the search on counts under all keys with several components."""
+    rows = filed.select("c", "n", "key").join(labels, "c")
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
-    keys = parts.groupBy("key").agg(F.sum("k").alias("m"), F.count("*").alias("n_labels"), F.max(F.struct("k", "label")).alias("main")).filter("n_labels > 1")
-    rows = rows.join(keys.select("key", "m", "main"), "key")
-    small = rows.filter(F.col("m") <= join.block).withColumn("block", F.lit(0)).withColumn("guest", F.lit(False))
-    large = rows.filter(F.col("m") > join.block).withColumn("blocks", F.ceil(F.col("m") / join.block).cast("int"))
-    guests = F.ceil((F.col("m") - F.col("main.k")) / join.block).cast("int")
-    large = large.withColumn("guests", F.greatest(F.lit(1), guests))
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    names = ["key", "block", "c", "label", "guest"]
-    points = _asked(classes.select("c", "n", "counts"), filed.select("c").distinct(), "c")
-    if labels is None:  # no components yet: the blocks by themselves, later each with its guests
-        return small.select(*names).unionByName(large.withColumn("block", own).withColumn("guest", F.lit(False)).select(*names)).join(points, "c")
-    seat = F.pmod(F.xxhash64("c", F.lit(7)), F.col("guests")).cast("int")
-    # hosts of a block stand in it once for every group of guests; guests stand once in every block
-    hosts = large.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("guests") - 1))).withColumn("block", own * F.col("guests") + F.col("g")).withColumn("guest", F.lit(False))
-    visitors = large.filter(F.col("label") != F.col("main.label")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.col("g") * F.col("guests") + seat).withColumn("guest", F.lit(True))
-    return small.select(*names).unionByName(hosts.select(*names)).unionByName(visitors.select(*names)).join(points, "c")
+    keys = parts.groupBy("key").agg(F.count("*").alias("n_labels"), F.max(F.struct("k", "label")).alias("most")).filter("n_labels > 1")
+    rows = rows.join(keys.select("key", F.col("most.label").alias("most")), "key").withColumn("main", F.col("label") == F.col("most"))
+    rows = rows.select(F.col("key").alias("place"), "c", "label", "n", F.lit(True).alias("host"), (~F.col("main")).alias("guest"), "main")
+    return _meet(_seated(rows, join, True).join(sets.select("c", "counts"), "c"), _filtered(join), _SURVIVOR)
 
 
 def _bit(value: Column) -> tuple[Column, Column]:
@@ -298,24 +424,8 @@ def _asked(rows: DataFrame, readers: DataFrame, by: str) -> DataFrame:
     return met.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*rows.columns)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
-    """The pairs that link, checked on whole sets."""
-    ids = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    readers = ids.join(classes.select("c", "rep"), "c").select(F.col("rep").alias("doc_id"))
-    sets = _asked(texts, readers, "doc_id").select("text").mapInArrow(_sets(join), _SETS).join(ids, "c", "left_semi").dropDuplicates(["c"])
-    sets = scratch.keep(sets)
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    good = scratch.keep(both.filter((join.den + join.num) * shared >= join.num * (F.size("sa") + F.size("sb")).cast("long")).select("a", "b"))
-    scratch.drop(sets)
-    return good
-
-
-_SETS = "c binary, s array<long>"
-
-
 def _filed(classes: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
-    """c, key: the classes under each of their first hashes that others of a like size share.
+    """c, n, key, m: the classes under each of their first hashes that others of a like size share; m of them do.
 
     The sizes under a hash, in order, fall into runs wherever one is too large to link with the one before; a key is a
     hash and a run of two classes or more. Only sizes are ordered, so a hash that most documents share is no more than
@@ -333,41 +443,32 @@ def _filed(classes: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
     runs = runs.groupBy("hash", "run").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("m").alias("m")).filter("m > 1").select("hash", "low", "high")
     filed = scratch.keep(each.join(runs, "hash").filter("n between low and high").select("id", F.xxhash64("hash", "low").alias("key")))
     told = filed.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("id").alias("x"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("y"))
-    keys = told.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
-    out = scratch.keep(filed.join(keys, "key").join(classes.select(F.xxhash64("c").alias("id"), "c"), "id").select("c", "key"))
+    keys = told.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
+    out = scratch.keep(filed.join(keys, "key").join(classes.select(F.xxhash64("c").alias("id"), "c", "n"), "id").select("c", "n", "key", "m"))
     scratch.drop(filed)
     return out
 
 
 def class_components(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, n, c) and, for each class with a link, its component (node, label)."""
+    """The documents (doc_id, n, c) and, for each class that is filed with others, its component (c, label)."""
     scratch = Scratch(docs.sparkSession, "ngram-join")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).cast("binary").alias("text"))
     often = docs.sparkSession.sparkContext.broadcast(rarity(texts, join))
-    points = texts.mapInArrow(_points(often, join), "doc_id long, n long, c binary, first array<long>, counts binary")
-    whole = scratch.keep(points)
-    classes = scratch.keep(whole.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("counts").alias("counts")))
-    rows = scratch.keep(whole.select("doc_id", "n", "c"))
+    whole = scratch.keep(texts.mapInArrow(_points(often, join), "doc_id long, n long, c binary, first array<long>"))
+    often.unpersist()
+    classes = scratch.keep(whole.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first")))
     filed = _filed(classes, join, scratch)
-    scratch.drop(whole)
-    large = filed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > join.block).select("key")
-    labels, best, rest = None, [*join.best, None], filed
-    for k, most in enumerate(best):
-        trees = _trees(rest, classes, labels, join)
-        found = scratch.keep(trees.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_search(join, most), fields(_FOUND)))
-        links = _verified(found.select("a", "b").distinct(), classes, texts, join, scratch)
-        if labels is None:
-            labels = components(links, scratch)
-        elif links.limit(1).count():  # what is in a component already is a star of it
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links), scratch)
-        # keys whose searches had more to give; blocks of large keys meet their guests from the second round on
-        unfinished = found.filter("more").select("key")
-        unfinished = (unfinished.union(large) if k == 0 else unfinished).distinct()
-        if k == len(best) - 1 or not unfinished.limit(1).count():
-            break
-        rest = scratch.keep(rest.join(unfinished, "key", "left_semi"))
-        scratch.drop(found)
-    return rows, labels
+    ids = filed.select("c").distinct().join(classes.select("c", "rep"), "c")
+    sets = _asked(texts, ids.select(F.col("rep").alias("doc_id")), "doc_id").select("text").mapInArrow(_sets(join), _SETS)
+    sets = scratch.keep(sets.dropDuplicates(["c"]).join(ids.select("c"), "c", "left_semi"))
+    scratch.drop(classes)
+    labels = _contract(filed, None, sets, join, scratch)
+    labels = _contract(filed, labels, sets, join, scratch)
+    left = scratch.keep(_survivors(filed, labels, sets, join).groupBy("place", "c").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.max("host").alias("host"), F.max("guest").alias("guest")))
+    seated = _seated(left, join, True).join(_asked(sets, left.select("c"), "c"), "c")
+    links = components(_meet(seated, _refined(join), "a binary, b binary"), scratch)
+    labels = labels.join(links.select(F.col("node").alias("label"), F.col("label").alias("into")), "label", "left").select("c", F.coalesce("into", "label").alias("label"))
+    return whole.select("doc_id", "n", "c"), labels
 
 
 def ngram_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -378,12 +479,10 @@ def ngram_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     Extra columns are ignored; an empty table gives an empty result.
     """
     points, labels = class_components(docs, join)
-    rows = points.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     # each class first, so that a large group of copies is one row in what follows
-    ids = rows.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    known = labels.withColumnRenamed("node", "c").join(ids, "label").select("c", "least")
     own = points.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("own"))
-    least = own.join(known, "c", "left").select("c", F.coalesce("least", "own").alias("least"))
+    own = own.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    least = own.join(own.groupBy("label").agg(F.min("own").alias("least")), "label").select("c", "least")
     out = points.join(least, "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 

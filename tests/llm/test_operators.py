@@ -313,9 +313,10 @@ def test_ngram_join_in_blocks_equals_brute_force(spark):
             w[r.randrange(len(w))] = f"x{r.randint(0, 5)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame([(i, t, "en", "a", 1, "c", 1) for i, t in rows], SCHEMA)
-    join = Join(words=3, num=80, block=8, best=(1, 2), groups=32)  # trees so small that hot hashes are divided
-    out = got(ngram_components(df, join))
-    assert multiset((x["doc_id"], x["n_shingles"], x["component_id"]) for x in out) == _components(rows, 3, 80, 100)
+    right = _components(rows, 3, 80, 100)
+    for join in (Join(words=3, num=80, block=8, groups=32), Join(words=3, num=80, block=1000, block_hashes=500, groups=4)):  # trees so small that hot hashes are divided
+        out = got(ngram_components(df, join))
+        assert multiset((x["doc_id"], x["n_shingles"], x["component_id"]) for x in out) == right
     assert one_of_each(df, join).count() == len({x["component_id"] for x in out})
 
 
