@@ -1,8 +1,8 @@
 """Licence scan: normalised segments and word windows against licence templates by the Dice coefficient over bigrams.
 
-Segments are a text's lines, its paragraphs of several lines, and the whole text. A segment's bigrams are counted
-as often as they occur, a template's once each, so a segment of n words has n - 1 bigrams; dice = 2 * shared /
-(both sizes), and only templates whose size lies within t / (2 - t) and (2 - t) / t times the segment's can reach
+Segments are a text's lines, its paragraphs of several lines, and the whole text. Bigrams are counted as often as
+they occur, on both sides, so n words have n - 1 bigrams, and an exact copy has a coefficient of 1; dice = 2 * shared
+/ (both sizes), and only templates whose size lies within t / (2 - t) and (2 - t) / t times the segment's can reach
 the threshold t. Notices that stand within longer lines or paragraphs, or run over comment signs, are found by
 windows over the words of the whole text: of every length that can reach the threshold, from each place where one
 of the template's bigrams is to each later one (windows that begin or end elsewhere have a lower coefficient).
@@ -14,6 +14,7 @@ is left out at once. Spark expressions only; no row leaves its partition.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +27,13 @@ TEMPLATES = (
     ("Apache-2.0", "permissive", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("MIT", "permissive", "Released under the MIT License."),
     ("MIT", "permissive", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MIT", "permissive", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "copyleft", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "copyleft", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("MPL-2.0", "copyleft", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "permissive", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "permissive", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("ISC", "permissive", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -49,13 +52,19 @@ def _template_words(text: str) -> list[str]:
 
 
 def template_bigrams() -> list[tuple[str, str, list[str]]]:
+    """Name, class and bigrams of each template, as often as they occur."""
     out = []
     for name, kind, text in TEMPLATES:
         w = _template_words(text)
-        out.append((name, kind, list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))))
+        out.append((name, kind, [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]))
     return out
 
 
+def repeated(bigrams: list[str]) -> dict[str, int]:
+    """The bigrams that a template has twice or more, with their number."""
+    return {g: n for g, n in Counter(bigrams).items() if n > 1}
+
+
 def within(n: Column | int, size: int):
     """Whether a segment of n bigrams and a template of this size can reach the threshold at all."""
     t = THRESHOLD
@@ -95,7 +104,11 @@ def may_hit(text: Column) -> Column:
 
 def _literals(bigrams: list[str]) -> Column:
     """An array of bigrams, which are letters, digits and a space, in one call."""
-    return F.expr("array(" + ", ".join(f"'{x}'" for x in bigrams) + ")")
+    return F.expr("array(" + ", ".join(f"'{x}'" for x in dict.fromkeys(bigrams)) + ")")
+
+
+def _equals(value: str):
+    return lambda x: x == value
 
 
 def _let(value: Column, then) -> Column:
@@ -122,17 +135,22 @@ def _hit(shared, n, size: int, k: int, first) -> Column:
 def _segment_hits(parts: Column, several: bool) -> Column:
     """Hits of the parts of a text (all of them, or those of several lines); first is the word where the part begins."""
     templates = template_bigrams()
+    every = sorted({x for _, _, b in templates for x in b})
     sizes = F.array(*[F.lit(x) for x in sorted({len(b) for _, _, b in templates})])
 
     def found(plains: Column) -> Column:
         at = F.transform(plains, lambda p, i: F.struct(p["s"].alias("s"), p["many"].alias("many"), _spaces(p["s"]).alias("n"), i.alias("i")))
         may = F.filter(at, lambda x: (x["s"] != "") & (x["many"] if several else F.lit(True)) & F.exists(sizes, lambda z: ((40 - THRESHOLD) * x["n"] >= THRESHOLD * z) & ((40 - THRESHOLD) * z >= THRESHOLD * x["n"])))
-        counted = F.transform(may, lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i"), _bigrams(x["s"]).alias("b")))
+        # only bigrams of some template count
+        counted = F.transform(may, lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i"), F.filter(_bigrams(x["s"]), lambda g: g.isin(*every)).alias("b")))
+        counted = F.filter(counted, lambda x: 40 * F.size(x["b"]) >= THRESHOLD * x["n"])
 
         def compare(x: Column) -> Column:
             each = []
             for k, (_, _, b) in enumerate(templates):
                 shared = F.size(F.array_intersect(x["b"], _literals(b)))
+                for g, r in repeated(b).items():
+                    shared = shared + F.greatest(F.lit(0), F.least(F.size(F.filter(x["b"], _equals(g))), F.lit(r)) - 1)
                 each.append(F.when(within(x["n"], len(b)), _hit(shared, x["n"], len(b), k, x["i"])))
             return F.filter(F.array(*each), lambda h: h.isNotNull() & (40 * h["shared"] >= THRESHOLD * (h["n"] + h["size"])))
 
@@ -143,12 +161,13 @@ def _segment_hits(parts: Column, several: bool) -> Column:
     return _let(F.transform(parts, lambda p: F.struct(plain(p).alias("s"), F.contains(p, F.lit("\n")).alias("many"))), found)
 
 
-def _windows(marked: Column, size: int, k: int) -> Column:
+def _windows(marked: Column, bigrams: list[str], k: int) -> Column:
     """The best windows of a template that don't overlap, from its bigrams' places (i) and names (g) in order."""
+    size, twice = len(bigrams), repeated(bigrams)
     need, reach = least_shared(size), (40 - THRESHOLD) * size // THRESHOLD
 
     def best_from(p: Column, last: Column, x: Column, at: Column) -> Column:
-        """The best window from the place x on: a bigram is new in it if its last place before lies before x."""
+        """The best window from the place x on. A bigram counts in it if it has not been there as often as in the template: its place so many times before lies before x."""
         ends = F.filter(F.slice(last, at + 1, reach), lambda e: e["i"] < x["i"] + reach)
         start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("shared"), F.lit(1).alias("n"))
 
@@ -162,7 +181,8 @@ def _windows(marked: Column, size: int, k: int) -> Column:
     def search(p: Column) -> Column:
         def same(x: Column, at: Column) -> Column:
             earlier = F.slice(p, F.greatest(F.lit(1), at - reach + 1), F.least(at, F.lit(reach)))
-            return F.coalesce(F.array_max(F.transform(F.filter(earlier, lambda e: e["g"] == x["g"]), lambda e: e["i"])), F.lit(-1))
+            times = functools.reduce(lambda t, g: F.when(x["g"] == g, F.lit(twice[g])).otherwise(t), twice, F.lit(1))
+            return _let(F.filter(earlier, lambda e: e["g"] == x["g"]), lambda e: F.coalesce(F.get(e, F.size(e) - times)["i"], F.lit(-1)))
 
         return _let(F.transform(p, lambda x, at: F.struct(x["i"].alias("i"), at.alias("at"), same(x, at).alias("last"))), lambda last: apart(p, last))
 
@@ -179,7 +199,7 @@ def _windows(marked: Column, size: int, k: int) -> Column:
         return F.when(F.size(good) == 0, F.array().cast(_HIT)).otherwise(F.aggregate(good, F.array().cast(_HIT), step))
 
     distinct = F.size(F.array_distinct(F.transform(marked, lambda x: x["g"])))
-    return F.when(distinct >= need, search(marked)).otherwise(F.array().cast(_HIT))
+    return F.when(distinct >= need - (size - len(set(bigrams))), search(marked)).otherwise(F.array().cast(_HIT))
 
 
 def _window_hits(text: Column) -> Column:
@@ -188,7 +208,7 @@ def _window_hits(text: Column) -> Column:
     placed = F.transform(_bigrams(plain(text)), lambda g, i: F.struct(g.alias("g"), i.alias("i")))
 
     def one(marked: Column, k: int, b: list[str]) -> Column:
-        return _let(F.filter(marked, lambda x: F.array_contains(_literals(b), x["g"])), lambda p: _windows(p, len(b), k))
+        return _let(F.filter(marked, lambda x: F.array_contains(_literals(b), x["g"])), lambda p: _windows(p, b, k))
 
     def each(marked: Column) -> Column:
         return F.flatten(F.array(*[one(marked, k, b) for k, (_, _, b) in enumerate(templates)]))
@@ -210,7 +230,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_hits, license, license_class, dice of the best hit (ties: the first template).
 
     A null or empty text has no segments: n_hits 0, the others null. A null doc_id stays null; repeated rows give
-    repeated results; extra columns are ignored.
+    repeated results; extra columns are ignored; an empty table gives an empty result.
     """
     templates = template_bigrams()
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), hits(body(docs)).alias("h"))
@@ -222,11 +242,12 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     templates = template_bigrams()
-    quoted = lambda b: "[" + ", ".join("'" + x + "'" for x in b) + "]"
-    values = ", ".join(f"({k}, '{n}', '{c}', {quoted(b)})" for k, (n, c, b) in enumerate(templates))
+    quoted = lambda b: "[" + ", ".join("'" + x + "'" for x in dict.fromkeys(b)) + "]"
+    more = lambda b: "[" + ", ".join(f"{{'g': '{g}', 'r': {r}}}" for g, r in (repeated(b) or {"": 1}).items()) + "]"
+    values = ", ".join(f"({k}, '{n}', '{c}', {len(b)}, {quoted(b)}, {more(b)})" for k, (n, c, b) in enumerate(templates))
     t = THRESHOLD
     return rf"""
-        WITH template(k, license, license_class, bigrams) AS (VALUES {values}),
+        WITH template(k, license, license_class, size, bigrams, more) AS (VALUES {values}),
         doc AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
         raw AS (
             SELECT row, unnest(string_split(text, chr(10))) AS s FROM doc
@@ -235,8 +256,9 @@ def oracle() -> str:
         words AS (SELECT row, string_split(lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM raw),
         seg AS (SELECT row, len(w) - 1 AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM words WHERE len(w) > 1),
         hit AS (
-            SELECT row, k, license, license_class, n, len(bigrams) AS size, len(list_intersect(b, bigrams)) AS shared
-            FROM seg JOIN template ON {40 - t} * n >= {t} * len(bigrams) AND {40 - t} * len(bigrams) >= {t} * n),
+            SELECT row, k, license, license_class, n, size,
+                   len(list_intersect(b, bigrams)) + list_sum(list_transform(more, lambda x: greatest(0, least(len(list_filter(b, lambda y: y = x.g)), x.r) - 1))) AS shared
+            FROM seg JOIN template ON {40 - t} * n >= {t} * size AND {40 - t} * size >= {t} * n),
         good AS (
             SELECT *, 2.0::DOUBLE * shared / (n + size) AS dice, count(*) OVER (PARTITION BY row) AS n_hits,
                    row_number() OVER (PARTITION BY row ORDER BY 2.0::DOUBLE * shared / (n + size) DESC, k) AS r

@@ -10,9 +10,9 @@
 3. Under a key the classes are points in an R-tree: hashes are dealt into groups, and a set is the counts of its
    groups. The summed minima of two points bound the overlap. A search passes over sets that are in the query's
    component already.
-4. Contraction: each class goes with its set to one key, the one with most classes, where survivors of the search
-   are verified at once and merge. Then each component sends one member to one key, in the same way. A group of near
-   copies becomes a few components here, at one row for each class.
+4. Contraction: each class goes to one key, the one with most classes. Those that survive a search on counts bring
+   their sets, are verified at once and merge. Then each component sends one member to one key, in the same way. A
+   group of near copies becomes a few components here, at one row for each class.
 5. The filter: in every key that still has several components, the classes outside its largest one search all
    others, on counts alone. It gives the classes that survive, each once for a place: the key itself for two that
    are both outside, the largest component for one that is within. So a place has no more rows than its key or
@@ -178,13 +178,14 @@ def _class_id(s: np.ndarray) -> bytes:
 def _points(often: Broadcast, join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, c, first = [], [], []
+            n, c, first, counts = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), join.words)
                 n.append(len(s))
                 c.append(_class_id(s))
                 first.append(first_hashes(s, often.value, join).view(np.int64) if len(s) else s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "c", "first"])
+                counts.append(group_counts(s, join.groups))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary())], names=["doc_id", "n", "c", "first", "counts"])
 
     return run
 
@@ -206,6 +207,9 @@ def _sets(join: Join):
     return run
 
 
+_SURVIVOR = "place long, c binary, label binary, n long, host boolean, guest boolean"
+
+
 class _Place:
     """The rows that meet in one task: who is searched (hosts), who searches (guests), and their components."""
 
@@ -229,6 +233,28 @@ class _Place:
         return self.hosts[at], bound
 
 
+def _near(join: Join):
+    """The rows that survive a search on counts, in places of those that may link, however long the way."""
+
+    def one(rows: pa.Table) -> dict[str, list]:
+        import xxhash
+
+        place = _Place(rows, join)
+        now, tree = np.arange(len(place.names)), place.tree()
+        for i in place.guests if len(now) > 1 else ():
+            at, _ = place.candidates(tree, i)
+            if len(at):
+                old = np.unique(np.append(place.label[at], place.label[i]))
+                for x in (place.label, now):
+                    x[np.isin(x, old)] = old[0]
+                tree.merge(old, int(old[0]))
+        some = np.flatnonzero(np.bincount(now, minlength=len(now))[place.label] > 1)
+        out = {x: rows[x].take(pa.array(some)).to_pylist() for x in ("c", "label", "n", "host", "guest")}
+        return out | {"place": [xxhash.xxh3_64_intdigest(place.names[k]) - (1 << 63) for k in place.label[some]]}
+
+    return _by_place(one, fields(_SURVIVOR))
+
+
 def _merged(rows: pa.Table, join: Join) -> tuple[_Place, np.ndarray]:
     """The place, and the number of the component of each of its labels after all links in it are found."""
     place = _Place(rows, join)
@@ -288,9 +314,6 @@ def _refined(join: Join):
     return _by_place(one, fields("a binary, b binary"))
 
 
-_SURVIVOR = "place long, c binary, label binary, n long, host boolean, guest boolean"
-
-
 def _filtered(join: Join):
     """The rows that survive the search on counts, each once for a place."""
 
@@ -383,31 +406,48 @@ def _meet(rows: DataFrame, run, returns: str) -> DataFrame:
     return rows.repartition("place", "block").sortWithinPartitions("place", "block").mapInArrow(run, fields(returns))
 
 
-def _contract(filed: DataFrame, labels: DataFrame | None, sets: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
+@dataclass(frozen=True)
+class _Tables:
+    """texts: doc_id, text. classes: c, rep, n, first. filed: c, n, key, m. points: c, counts of filed classes."""
+
+    texts: DataFrame
+    classes: DataFrame
+    filed: DataFrame
+    points: DataFrame
+
+    def with_sets(self, rows: DataFrame, join: Join) -> DataFrame:
+        """rows, in blocks, with the sets of their classes; only these are made again from the texts."""
+        ids = rows.select("c").distinct()
+        readers = self.classes.select("c", F.col("rep").alias("doc_id")).join(ids, "c", "left_semi")
+        sets = _asked(self.texts, readers, "doc_id").select("text").mapInArrow(_sets(join), _SETS)
+        return rows.join(sets.join(ids, "c", "left_semi").dropDuplicates(["c"]), "c")
+
+
+def _contract(t: _Tables, labels: DataFrame | None, join: Join, scratch: Scratch) -> DataFrame:
     """c, label: the components after one member of each has met others under one key, the one with most of them."""
     if labels is None:
-        rows = filed.select(F.struct("c", "n").alias("one"), "key", "m", F.col("c").alias("label"))
+        rows = t.filed.select(F.struct("c", "n").alias("one"), "key", "m", F.col("c").alias("label"))
     else:
-        rows = filed.join(labels, "c").groupBy("key", "label").agg(F.min(F.struct("c", "n")).alias("one"))
+        rows = t.filed.join(labels, "c").groupBy("key", "label").agg(F.min(F.struct("c", "n")).alias("one"))
         several = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
         rows = rows.join(several, "key")
     chosen = rows.groupBy("label").agg(F.max(F.struct("m", "key", "one")).alias("x"))
     chosen = scratch.keep(chosen.select("label", F.col("x.key").alias("place"), "x.one.*", F.lit(True).alias("host"), F.lit(True).alias("guest")))
-    met = _seated(chosen, join, False).join(sets if labels is None else _asked(sets, chosen.select("c"), "c"), "c")
-    found = scratch.keep(_meet(met, _contracted(join), "label binary, into binary"))
+    near = scratch.keep(_meet(_seated(chosen, join, False).join(t.points, "c"), _near(join), _SURVIVOR))
+    found = scratch.keep(_meet(t.with_sets(_seated(near, join, False), join), _contracted(join), "label binary, into binary").filter("label <> into"))
     if labels is None:
-        return found.select(F.col("label").alias("c"), F.col("into").alias("label"))
-    return scratch.keep(labels.join(found.filter("label <> into"), "label", "left").select("c", F.coalesce("into", "label").alias("label")))
+        labels = chosen.select("c", "label")
+    return scratch.keep(labels.join(found, "label", "left").select("c", F.coalesce("into", "label").alias("label")))
 
 
-def _survivors(filed: DataFrame, labels: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+def _survivors(t: _Tables, labels: DataFrame, join: Join) -> DataFrame:
     """Rows for the refinement, from the search on counts under all keys with several components."""
-    rows = filed.select("c", "n", "key").join(labels, "c")
+    rows = t.filed.select("c", "n", "key").join(labels, "c")
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("k"))
     keys = parts.groupBy("key").agg(F.count("*").alias("n_labels"), F.max(F.struct("k", "label")).alias("most")).filter("n_labels > 1")
     rows = rows.join(keys.select("key", F.col("most.label").alias("most")), "key").withColumn("main", F.col("label") == F.col("most"))
     rows = rows.select(F.col("key").alias("place"), "c", "label", "n", F.lit(True).alias("host"), (~F.col("main")).alias("guest"), "main")
-    return _meet(_seated(rows, join, True).join(sets.select("c", "counts"), "c"), _filtered(join), _SURVIVOR)
+    return _meet(_seated(rows, join, True).join(t.points, "c"), _filtered(join), _SURVIVOR)
 
 
 def _bit(value: Column) -> tuple[Column, Column]:
@@ -454,19 +494,17 @@ def class_components(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]
     scratch = Scratch(docs.sparkSession, "ngram-join")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).cast("binary").alias("text"))
     often = docs.sparkSession.sparkContext.broadcast(rarity(texts, join))
-    whole = scratch.keep(texts.mapInArrow(_points(often, join), "doc_id long, n long, c binary, first array<long>"))
+    whole = scratch.keep(texts.mapInArrow(_points(often, join), "doc_id long, n long, c binary, first array<long>, counts binary"))
     often.unpersist()
     classes = scratch.keep(whole.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first")))
     filed = _filed(classes, join, scratch)
-    ids = filed.select("c").distinct().join(classes.select("c", "rep"), "c")
-    sets = _asked(texts, ids.select(F.col("rep").alias("doc_id")), "doc_id").select("text").mapInArrow(_sets(join), _SETS)
-    sets = scratch.keep(sets.dropDuplicates(["c"]).join(ids.select("c"), "c", "left_semi"))
-    scratch.drop(classes)
-    labels = _contract(filed, None, sets, join, scratch)
-    labels = _contract(filed, labels, sets, join, scratch)
-    left = scratch.keep(_survivors(filed, labels, sets, join).groupBy("place", "c").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.max("host").alias("host"), F.max("guest").alias("guest")))
-    seated = _seated(left, join, True).join(_asked(sets, left.select("c"), "c"), "c")
-    links = components(_meet(seated, _refined(join), "a binary, b binary"), scratch)
+    ids = filed.select("c").distinct()
+    points = _asked(whole.select("c", "counts"), ids, "c").dropDuplicates(["c"]).join(ids, "c", "left_semi")
+    t = _Tables(texts, classes, filed, scratch.keep(points))
+    labels = _contract(t, None, join, scratch)
+    labels = _contract(t, labels, join, scratch)
+    left = scratch.keep(_survivors(t, labels, join).groupBy("place", "c").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.max("host").alias("host"), F.max("guest").alias("guest")))
+    links = components(_meet(t.with_sets(_seated(left, join, True), join), _refined(join), "a binary, b binary"), scratch)
     labels = labels.join(links.select(F.col("node").alias("label"), F.col("label").alias("into")), "label", "left").select("c", F.coalesce("into", "label").alias("label"))
     return whole.select("doc_id", "n", "c"), labels
 

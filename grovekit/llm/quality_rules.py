@@ -104,43 +104,52 @@ class DecisionList:
         return [" and ".join(f"{c.feature} {'>' if c.above else '<='} {c.threshold:.4g}" for c in r) for r in self.rules]
 
 
-def _cuts(values: np.ndarray, bad: np.ndarray, most: int = 40) -> np.ndarray:
-    """Candidate thresholds: quantiles, and midpoints where the class changes along the sorted values."""
+def _cuts(values: np.ndarray, bad: np.ndarray, most: int = 40) -> list[tuple[float, float]]:
+    """Candidate thresholds with the gap they stand in: always half-way between two neighbouring values.
+
+    Of the places between values those count where the class changes (the widest gaps first, if there are many) and
+    those next to the quantiles.
+    """
     order = np.argsort(values, kind="stable")
     v, b = values[order], bad[order]
-    change = np.flatnonzero((v[1:] != v[:-1]) & (b[1:] != b[:-1]))
-    mid = (v[change] + v[change + 1]) / 2
-    if len(mid) > most:
-        mid = mid[np.linspace(0, len(mid) - 1, most).astype(int)]
-    return np.unique(np.concatenate([mid, np.quantile(v, np.linspace(0.05, 0.95, 19))])) if len(v) else mid
+    ends = np.flatnonzero(v[1:] != v[:-1])
+    if not len(ends):
+        return []
+    least, largest = np.minimum.reduceat(b, np.append(0, ends + 1)), np.maximum.reduceat(b, np.append(0, ends + 1))
+    change = ends[~((least[1:] == largest[:-1]) & (largest[1:] == least[:-1]))]
+    change = change[np.argsort(v[change] - v[change + 1], kind="stable")[:most]]
+    near = ends[np.minimum(np.searchsorted(ends, np.linspace(0.05, 0.95, 19) * len(v)), len(ends) - 1)]
+    return [(float((v[k] + v[k + 1]) / 2), float(v[k + 1] - v[k])) for k in np.unique(np.append(change, near))]
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.95, longest: int = 3, most_rules: int = 12) -> DecisionList:
     """Sequential covering: grow a conjunction by FOIL gain, prune it on held-out rows, keep it if it is precise, go on with what it leaves.
 
     bad: True for rows to reject. A rule stays only if its precision (with one pseudo-count for each class, on all
-    rows it meets) reaches least_precision, so clean documents stay.
+    rows it meets) reaches least_precision, so clean documents stay. Rows that an imprecise rule meets grow no other
+    one. Among conditions of equal gain the one in the widest gap between values, relative to their range, counts.
     """
     n = len(bad)
-    out, left, held = DecisionList(), np.ones(n, bool), np.arange(n) % 3 == 2
-    while len(out.rules) < most_rules:
-        grow, prune = left & ~held, left & held
-        if (grow & bad).sum() < 3:
+    out, left, held, fresh = DecisionList(), np.ones(n, bool), np.arange(n) % 3 == 2, np.ones(n, bool)
+    width = {f: float(v.max() - v.min()) or 1.0 for f, v in x.items()} if n else {}
+    for _ in range(4 * most_rules):
+        grow, prune = left & fresh & ~held, left & held
+        if len(out.rules) == most_rules or (grow & bad).sum() < 3:
             break
         rule: list[Condition] = []
         covered = grow.copy()
         while len(rule) < longest and (covered & ~bad).any():
             p0, n0 = (covered & bad).sum(), (covered & ~bad).sum()
-            best, gain = None, 1e-9
+            best, gain, room = None, 1e-9, 0.0
             for f, v in x.items():
-                for cut in _cuts(v[covered], bad[covered]):
+                for cut, gap in _cuts(v[covered], bad[covered]):
                     for above in (True, False):
-                        c = Condition(f, above, float(cut))
+                        c = Condition(f, above, cut)
                         hit = covered & c.holds(x)
                         p, q = (hit & bad).sum(), (hit & ~bad).sum()
                         g = p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + n0))) if p else 0
-                        if g > gain:
-                            best, gain = c, g
+                        if g > gain + 1e-9 or g > gain - 1e-9 and gap / width[f] > room and best:
+                            best, gain, room = c, max(g, gain), gap / width[f]
             if best is None:
                 break
             rule.append(best)
@@ -159,17 +168,23 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = 0.
         for c in rule:
             hit &= c.holds(x)
         p, q = (hit & bad).sum(), (hit & ~bad).sum()
-        if not rule or not p or (p + 1) / (p + q + 2) < least_precision and not (q == 0 and p >= 5):
+        if not rule:
             break
-        out.rules.append(rule)
-        left &= ~hit
+        if p and ((p + 1) / (p + q + 2) >= least_precision or q == 0 and p >= 5):
+            out.rules.append(rule)
+            left &= ~hit
+        else:
+            fresh &= ~(hit & bad)
+            if not (hit & bad & grow).any():
+                break
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> DecisionList:
     """A list learned on at most most_labels labelled documents, chosen by a hash of their identifier.
 
-    Labels without identifier or quality are left out; without labels of both classes the list is empty.
+    Labels without identifier or quality are left out; of documents with one identifier the one with the least
+    statistics counts. Without labels of both classes (or any documents) the list is empty.
     """
     label = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
@@ -182,8 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Decisi
     # at most most_labels rows of two integers: safe to broadcast
     some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).alias("t")).join(F.broadcast(label), "doc_id")
     rows = some.select("doc_id", "quality", text_stats("t").alias("s")).select("doc_id", "quality", "s.*").filter(f"NOT {base_failed()}")
-    got = rows.select("doc_id", "quality", *[F.expr(f"double({sql})").alias(f) for f, sql in FEATURES.items()]).limit(2 * most_labels).toPandas()
-    got = got.sort_values(["doc_id", *FEATURES], kind="stable")
+    one = F.struct("quality", *[F.expr(f"double({sql})").alias(f) for f, sql in FEATURES.items()])
+    got = rows.groupBy("doc_id").agg(F.min(one).alias("one")).select("doc_id", "one.*").toPandas()  # at most most_labels rows
+    got = got.sort_values("doc_id", kind="stable")
     bad = (got["quality"] == 0).to_numpy()
     if not bad.any() or bad.all():
         return DecisionList()
@@ -200,7 +216,7 @@ def score(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
+    """The documents that stay, with their own columns. Null and empty texts go; repeated rows stay or go together; an empty table stays empty."""
     rules = fit(docs, labels)
     (s,) = free_names(docs, "stats")
     failed = re.sub(r"\bn_\w+", lambda m: f"`{s}`.{m[0]}", base_failed())

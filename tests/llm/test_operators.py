@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grovekit.llm import boosting, mixing, packing, quality_rules, secrets, sharding, warc
 from grovekit.llm.count_rtree import CountRTree
@@ -198,11 +199,60 @@ def test_licenses(docs, case):
 
 def test_mixture_meets_its_targets():
     tokens = [1000, 300, 50, 10]
-    m = mixing.solve(tokens, 0.9, 100.0)
-    assert abs(mixing.entropy(m.weights) - 0.9 * np.log(4)) < 1e-6 and min(m.repeats) >= 1 - 1e-9
-    capped = mixing.solve(tokens, 0.99, 3.0)
-    assert max(capped.repeats) <= 3 + 1e-6 and capped.power > m.power
-    assert mixing.solve([7], 0.9, 2.0).weights == [1.0]
+
+    def shares(m):
+        return np.array([m.quota(t) for t in tokens]) / m.budget
+
+    m = mixing.solve(tokens, [1] * 4, 0.9, 100.0)
+    w = shares(m)
+    assert abs(w.sum() - 1) < 1e-9 and abs(-(w * np.log(w)).sum() - 0.9 * np.log(4)) < 1e-6 and min(m.quota(t) / t for t in tokens) >= 1 - 1e-9
+    capped = mixing.solve(tokens, [1] * 4, 0.99, 3.0)
+    assert max(capped.quota(t) / t for t in tokens) <= 3 + 1e-6 and capped.power > m.power
+    assert mixing.solve([7], [1], 0.9, 2.0).quota(7) == 7.0
+    several = mixing.solve([1000, 300, 10], [1, 5, 20], 0.9, 100.0)
+    flat = mixing.solve([1000] + [300] * 5 + [10] * 20, [1] * 26, 0.9, 100.0)
+    assert abs(several.power - flat.power) < 1e-9 and abs(several.budget - flat.budget) < 1e-6
+
+
+def test_mixing_equals_brute_force(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(["w"] * r.randint(1, 60)), None if i % 40 == 0 else "abcd"[min(3, int(r.expovariate(1.2)))]) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tokens = {i: len(t.split()) for i, t, _ in rows}
+    source = {i: s for i, _, s in rows}
+    totals = Counter()
+    for i, s in source.items():
+        totals[s] += tokens[i]
+    t = np.array([totals[s] for s in totals], float)
+
+    def plan(power):
+        w = t**power / (t**power).sum()
+        budget = (t / w).max()
+        return w, budget
+
+    # the power by a fine grid: the largest with enough entropy, or the smallest that keeps the limit of repeats
+    grid = np.linspace(0, 1, 20001)
+    good = [p for p in grid if -(plan(p)[0] * np.log(plan(p)[0])).sum() >= 0.9 * np.log(len(t))]
+    kept = [p for p in grid if (plan(p)[1] * plan(p)[0] / t).max() <= 3.0 + 1e-9]
+    w, budget = plan(max(good[-1], kept[0]))
+    found = got(mixing.mix(df, entropy_share=0.9, most_repeats=3.0, block_tokens=1000))
+    n_blocks = max(x["block"] for x in found) + 1
+    assert abs(n_blocks - budget / 1000) <= 1
+    per_block = Counter()
+    for s, share in zip(totals, w, strict=True):
+        own = [x for x in found if x["source"] == s]
+        times = Counter(x["doc_id"] for x in own)
+        quota, whole = share * budget, int(share * budget / totals[s] + 1e-3)
+        assert set(times) == {i for i in source if source[i] == s} and set(times.values()) <= {whole, whole + 1}
+        placed = sum(x["tokens"] for x in own)
+        assert quota * 0.999 - 60 <= placed <= quota * 1.001 + 1e-6 and all(x["tokens"] == tokens[x["doc_id"]] for x in own)
+        assert {x["epoch"] for x in own} <= set(range(whole + 1))
+        for x in own:
+            per_block[s, x["block"]] += x["tokens"]
+        assert all(abs(per_block[s, b] - quota / n_blocks) <= 121 for b in range(n_blocks))
+    for b in range(n_blocks):
+        inside = sorted((x["slot"], x["source"] or "") for x in found if x["block"] == b)
+        assert [k for k, _ in inside] == list(range(len(inside))) and [s for _, s in inside] != sorted(s for _, s in inside)
 
 
 @pytest.mark.parametrize("case", CASES)
@@ -231,6 +281,10 @@ def test_exact_dedup(docs, case):
     assert Counter(r["text_sha256"] for r in rows if r["kept"]) == Counter({r["text_sha256"]: 1 for r in rows})
     left = drop_copies(docs[case])
     assert left.count() == len(groups) and left.columns == docs[case].columns
+    bare = docs[case].select("doc_id", "text")
+    assert drop_copies(bare).count() == len(groups)
+    mapped = docs[case].withColumn("m", F.create_map("lang", "source"))
+    assert drop_copies(mapped, fan=3).count() == len(groups)
 
 
 @pytest.mark.parametrize("case", CASES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -16,9 +17,13 @@ def _best_window(text: str) -> dict[int, float]:
     w = re.sub("[^A-Za-z0-9]+", " ", text).strip().lower().split()
     grams, out = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)], {}
     for k, (_, _, b) in enumerate(licenses.template_bigrams()):
+        have = Counter(b)
         for i in range(len(grams)):
+            left, shared = dict(have), 0
             for n in range(1, min(len(grams) - i, 3 * len(b) // 2) + 1):
-                shared = len(set(grams[i : i + n]) & set(b))
+                if left.get(grams[i + n - 1], 0):
+                    left[grams[i + n - 1]] -= 1
+                    shared += 1
                 if 40 * shared >= licenses.THRESHOLD * (n + len(b)):
                     out[k] = max(out.get(k, 0.0), 2.0 * shared / (n + len(b)))
     return out
