@@ -65,7 +65,7 @@ def repeated(bigrams: list[str]) -> dict[str, int]:
     return {g: n for g, n in Counter(bigrams).items() if n > 1}
 
 
-def within(n: Column | int, size: int):
+def within(n: Column, size: Column) -> Column:
     """Whether a segment of n bigrams and a template of this size can reach the threshold at all."""
     t = THRESHOLD
     return ((40 - t) * n >= t * size) & ((40 - t) * size >= t * n)
@@ -102,13 +102,16 @@ def may_hit(text: Column) -> Column:
     return functools.reduce(Column.__or__, found)
 
 
-def _literals(bigrams: list[str]) -> Column:
-    """An array of bigrams, which are letters, digits and a space, in one call."""
-    return F.expr("array(" + ", ".join(f"'{x}'" for x in dict.fromkeys(bigrams)) + ")")
+def _templates() -> Column:
+    """The templates as one literal: number k, size, need (what a hit shares at least), reach (the longest window), distinct bigrams b, and those that occur twice or more."""
 
+    def one(k: int, b: list[str]) -> str:
+        many = repeated(b)
+        twice = ", ".join(f"named_struct('g', '{g}', 'r', {r})" for g, r in many.items())
+        words = ", ".join(f"'{x}'" for x in dict.fromkeys(b))
+        return f"named_struct('k', {k}, 'size', {len(b)}, 'need', {least_shared(len(b))}, 'reach', {(40 - THRESHOLD) * len(b) // THRESHOLD}, 'b', array({words}), 'twice', cast(array({twice}) as array<struct<g:string,r:int>>))"
 
-def _equals(value: str):
-    return lambda x: x == value
+    return F.expr("array(" + ", ".join(one(k, b) for k, (_, _, b) in enumerate(template_bigrams())) + ")")
 
 
 def _let(value: Column, then) -> Column:
@@ -128,8 +131,12 @@ def _bigrams(segment: Column) -> Column:
 _HIT = "array<struct<shared:int,n:int,size:int,template:int,first:int>>"
 
 
-def _hit(shared, n, size: int, k: int, first) -> Column:
-    return F.struct(shared.cast("int").alias("shared"), n.cast("int").alias("n"), F.lit(size).alias("size"), F.lit(k).alias("template"), first.cast("int").alias("first"))
+def _hit(shared: Column, n: Column, t: Column, first: Column) -> Column:
+    return F.struct(shared.cast("int").alias("shared"), n.cast("int").alias("n"), t["size"].alias("size"), t["k"].alias("template"), first.cast("int").alias("first"))
+
+
+def _reached(h: Column) -> Column:
+    return 40 * h["shared"] >= THRESHOLD * (h["n"] + h["size"])
 
 
 def _segment_hits(parts: Column, several: bool) -> Column:
@@ -140,19 +147,18 @@ def _segment_hits(parts: Column, several: bool) -> Column:
 
     def found(plains: Column) -> Column:
         at = F.transform(plains, lambda p, i: F.struct(p["s"].alias("s"), p["many"].alias("many"), _spaces(p["s"]).alias("n"), i.alias("i")))
-        may = F.filter(at, lambda x: (x["s"] != "") & (x["many"] if several else F.lit(True)) & F.exists(sizes, lambda z: ((40 - THRESHOLD) * x["n"] >= THRESHOLD * z) & ((40 - THRESHOLD) * z >= THRESHOLD * x["n"])))
+        may = F.filter(at, lambda x: (x["s"] != "") & (x["many"] if several else F.lit(True)) & F.exists(sizes, lambda z: within(x["n"], z)))
         # only bigrams of some template count
         counted = F.transform(may, lambda x: F.struct(x["n"].alias("n"), x["i"].alias("i"), F.filter(_bigrams(x["s"]), lambda g: g.isin(*every)).alias("b")))
         counted = F.filter(counted, lambda x: 40 * F.size(x["b"]) >= THRESHOLD * x["n"])
 
+        def shared(x: Column, t: Column) -> Column:
+            more = F.transform(t["twice"], lambda w: F.greatest(F.lit(0), F.least(F.size(F.filter(x["b"], lambda y: y == w["g"])), w["r"]) - 1))
+            return F.size(F.array_intersect(x["b"], t["b"])) + F.aggregate(more, F.lit(0), lambda u, v: u + v)
+
         def compare(x: Column) -> Column:
-            each = []
-            for k, (_, _, b) in enumerate(templates):
-                shared = F.size(F.array_intersect(x["b"], _literals(b)))
-                for g, r in repeated(b).items():
-                    shared = shared + F.greatest(F.lit(0), F.least(F.size(F.filter(x["b"], _equals(g))), F.lit(r)) - 1)
-                each.append(F.when(within(x["n"], len(b)), _hit(shared, x["n"], len(b), k, x["i"])))
-            return F.filter(F.array(*each), lambda h: h.isNotNull() & (40 * h["shared"] >= THRESHOLD * (h["n"] + h["size"])))
+            fit = F.filter(_templates(), lambda t: within(x["n"], t["size"]))
+            return F.filter(F.transform(fit, lambda t: _hit(shared(x, t), x["n"], t, x["i"])), _reached)
 
         words = lambda p: F.when(p["s"] == "", 0).otherwise(_spaces(p["s"]) + 1)
         before = lambda h: F.aggregate(F.slice(plains, 1, h["first"]), F.lit(0), lambda t, p: t + words(p))
@@ -161,57 +167,53 @@ def _segment_hits(parts: Column, several: bool) -> Column:
     return _let(F.transform(parts, lambda p: F.struct(plain(p).alias("s"), F.contains(p, F.lit("\n")).alias("many"))), found)
 
 
-def _windows(marked: Column, bigrams: list[str], k: int) -> Column:
+def _windows(marked: Column, t: Column) -> Column:
     """The best windows of a template that don't overlap, from its bigrams' places (i) and names (g) in order."""
-    size, twice = len(bigrams), repeated(bigrams)
-    need, reach = least_shared(size), (40 - THRESHOLD) * size // THRESHOLD
 
-    def best_from(p: Column, last: Column, x: Column, at: Column) -> Column:
+    def best_from(last: Column, x: Column) -> Column:
         """The best window from the place x on. A bigram counts in it if it has not been there as often as in the template: its place so many times before lies before x."""
-        ends = F.filter(F.slice(last, at + 1, reach), lambda e: e["i"] < x["i"] + reach)
+        ends = F.filter(F.slice(last, x["at"] + 1, t["reach"]), lambda e: e["i"] < x["i"] + t["reach"])
         start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("shared"), F.lit(1).alias("n"))
 
-        def step(t: Column, e: Column) -> Column:
-            seen, n = t["seen"] + F.when(e["last"] < x["i"], 1).otherwise(0), e["i"] - x["i"] + 1
-            better = seen * (t["n"] + size) > t["shared"] * (n + size)
-            return F.struct(seen.alias("seen"), F.when(better, seen).otherwise(t["shared"]).alias("shared"), F.when(better, n).otherwise(t["n"]).alias("n"))
+        def step(u: Column, e: Column) -> Column:
+            seen, n = u["seen"] + F.when(e["last"] < x["i"], 1).otherwise(0), e["i"] - x["i"] + 1
+            better = seen * (u["n"] + t["size"]) > u["shared"] * (n + t["size"])
+            return F.struct(seen.alias("seen"), F.when(better, seen).otherwise(u["shared"]).alias("shared"), F.when(better, n).otherwise(u["n"]).alias("n"))
 
-        return F.aggregate(ends, start, step, lambda t: _hit(t["shared"], t["n"], size, k, x["i"]))
+        return F.aggregate(ends, start, step, lambda u: _hit(u["shared"], u["n"], t, x["i"]))
 
     def search(p: Column) -> Column:
         def same(x: Column, at: Column) -> Column:
-            earlier = F.slice(p, F.greatest(F.lit(1), at - reach + 1), F.least(at, F.lit(reach)))
-            times = functools.reduce(lambda t, g: F.when(x["g"] == g, F.lit(twice[g])).otherwise(t), twice, F.lit(1))
+            earlier = F.slice(p, F.greatest(F.lit(1), at - t["reach"] + 1), F.least(at, t["reach"]))
+            times = F.coalesce(F.get(F.filter(t["twice"], lambda w: w["g"] == x["g"]), F.lit(0))["r"], F.lit(1))
             return _let(F.filter(earlier, lambda e: e["g"] == x["g"]), lambda e: F.coalesce(F.get(e, F.size(e) - times)["i"], F.lit(-1)))
 
-        return _let(F.transform(p, lambda x, at: F.struct(x["i"].alias("i"), at.alias("at"), same(x, at).alias("last"))), lambda last: apart(p, last))
+        return _let(F.transform(p, lambda x, at: F.struct(x["i"].alias("i"), at.alias("at"), same(x, at).alias("last"))), apart)
 
-    def apart(p: Column, last: Column) -> Column:
-        dense = F.filter(last, lambda x: F.coalesce(F.get(last, x["at"] + need - 1)["i"] - x["i"] < reach, F.lit(False)))
-        good = F.filter(F.transform(dense, lambda x: best_from(p, last, x, x["at"])), lambda h: 40 * h["shared"] >= THRESHOLD * (h["n"] + h["size"]))
+    def apart(last: Column) -> Column:
+        dense = F.filter(last, lambda x: F.coalesce(F.get(last, x["at"] + t["need"] - 1)["i"] - x["i"] < t["reach"], F.lit(False)))
+        good = F.filter(F.transform(dense, lambda x: best_from(last, x)), _reached)
 
-        def step(t: Column, h: Column) -> Column:
-            end = F.element_at(t, -1)
-            clear = (F.size(t) == 0) | (h["first"] >= end["first"] + end["n"])
-            better = h["shared"] * (end["n"] + size) > end["shared"] * (h["n"] + size)
-            return F.when(clear, F.concat(t, F.array(h))).when(better, F.concat(F.slice(t, 1, F.size(t) - 1), F.array(h))).otherwise(t)
+        def step(u: Column, h: Column) -> Column:
+            end = F.element_at(u, -1)
+            clear = (F.size(u) == 0) | (h["first"] >= end["first"] + end["n"])
+            better = h["shared"] * (end["n"] + t["size"]) > end["shared"] * (h["n"] + t["size"])
+            return F.when(clear, F.concat(u, F.array(h))).when(better, F.concat(F.slice(u, 1, F.size(u) - 1), F.array(h))).otherwise(u)
 
-        return F.when(F.size(good) == 0, F.array().cast(_HIT)).otherwise(F.aggregate(good, F.array().cast(_HIT), step))
+        return _let(good, lambda g: F.when(F.size(g) == 0, F.array().cast(_HIT)).otherwise(F.aggregate(g, F.array().cast(_HIT), step)))
 
-    distinct = F.size(F.array_distinct(F.transform(marked, lambda x: x["g"])))
-    return F.when(distinct >= need - (size - len(set(bigrams))), search(marked)).otherwise(F.array().cast(_HIT))
+    return search(marked)
 
 
 def _window_hits(text: Column) -> Column:
-    templates = template_bigrams()
-    every = sorted({x for _, _, b in templates for x in b})
+    every = sorted({x for _, _, b in template_bigrams() for x in b})
     placed = F.transform(_bigrams(plain(text)), lambda g, i: F.struct(g.alias("g"), i.alias("i")))
 
-    def one(marked: Column, k: int, b: list[str]) -> Column:
-        return _let(F.filter(marked, lambda x: F.array_contains(_literals(b), x["g"])), lambda p: _windows(p, b, k))
-
     def each(marked: Column) -> Column:
-        return F.flatten(F.array(*[one(marked, k, b) for k, (_, _, b) in enumerate(templates)]))
+        names = F.array_distinct(F.transform(marked, lambda x: x["g"]))
+        spare = lambda t: F.aggregate(t["twice"], F.lit(0), lambda u, w: u + w["r"] - 1)
+        some = _let(names, lambda d: F.filter(_templates(), lambda t: F.size(F.array_intersect(d, t["b"])) >= t["need"] - spare(t)))
+        return F.flatten(F.transform(some, lambda t: _let(F.filter(marked, lambda x: F.array_contains(t["b"], x["g"])), lambda p: _windows(p, t))))
 
     return _let(F.filter(placed, lambda x: x["g"].isin(*every)), each)
 

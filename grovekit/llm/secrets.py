@@ -11,11 +11,13 @@ no such pair and isn't split.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,10 +39,31 @@ _ASSIGN = re.compile(rf"({_WORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_TOKEN = re.compile(
-    r"""(?P<nl>\n[^\S\n]*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)|(?P<sign>:=|=>|==|!=|<=|>=|[=:+])|(?P<space>[^\S\n]+)|(?P<bare>[^\s"'`=:+,;(){}\[\]<>#]+)|(?P<other>.)""",
-    re.S,
-)
+_STRINGS = {'"': r'"(?:\\.|[^"\\\n])*+(?P<no_double>")?+', "'": r"'(?:\\.|[^'\\\n])*+(?P<no_single>')?+", "`": r"`[^`\n]*+(?P<no_back>`)?+"}
+
+
+@functools.cache
+def _token(quotes: str) -> re.Pattern:
+    """One token; strings only in the given quotes, and those that no quote ends reach to the end of the line."""
+    strings = "|".join(_STRINGS[q] for q in quotes) or "(?!)"
+    return re.compile(rf"""(?P<nl>\n[^\S\n]*)|(?P<str>{strings})|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)|(?P<sign>:=|=>|==|!=|<=|>=|[=:+])|(?P<space>[^\S\n]+)|(?P<bare>[^\s"'`=:+,;(){{}}\[\]<>#]+)|(?P<other>.)""", re.S)
+
+
+def tokens(text: str, start: int = 0, end: int | None = None, quotes: str = "\"'`") -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of each token but spaces.
+
+    Behind a quote that nothing ends on its line, no other quote of that kind on the line is ended either (all stand
+    behind a backslash), so the rest of the line is read again without that kind; no character is read more than
+    four times.
+    """
+    for m in _token(quotes).finditer(text, start, len(text) if end is None else end):
+        if m["str"] is not None and (m.end() - m.start() < 2 or not any(m.groupdict().get(x) for x in ("no_double", "no_single", "no_back"))):
+            yield "other", m.start(), m.start() + 1
+            yield from tokens(text, m.start() + 1, m.end(), quotes.replace(text[m.start()], ""))
+        elif m["space"] is None:
+            yield next(k for k in ("nl", "str", "name", "sign", "bare", "other") if m[k] is not None), m.start(), m.end()
+
+
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weights of name parts.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.5, "access": 0.4, "auth": 0.6, "bearer": 0.8, "key": 0.5, "pass": 0.7, "signature": 0.5, "salt": 0.6, "api": 0.4}
@@ -75,7 +98,7 @@ class _Reader:
 
     def __init__(self, text: str):
         self.text = text
-        self.t = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "space"]
+        self.t = list(tokens(text))
         self.known: dict[str, tuple[str, dict]] = {}
         self.closed: dict[int, int] = {}  # opening brackets, with the closing ones
         opened = []
@@ -185,14 +208,15 @@ class _Reader:
 
     def joined(self, j: int, inside: bool) -> tuple[str, dict, int]:
         """Operands joined by plus signs or, within brackets, side by side. An operand whose literals all are there adds nothing."""
-        value, places = "", {}
+        values, places = [], {}
         while j < len(self.t):
             found = self.piece(j, not inside)
             if not found:
                 break
             piece, where, j = found
             if not where.keys() <= places.keys():
-                value, places = value + piece, places | where
+                values.append(piece)
+                places.update(where)
             k = self.skip_lines(j)
             if self.word(k) == "+" and self.kind(self.skip_lines(k + 1)) in ("str", "name", "bare"):
                 j = self.skip_lines(k + 1)
@@ -200,7 +224,7 @@ class _Reader:
                 break
             else:
                 j = k
-        return value, places, j
+        return "".join(values), places, j
 
     def pairs(self) -> Iterator[tuple[str, str, dict]]:
         owners: list[tuple[str, str, int]] = []  # bracket or indentation, name, indentation
@@ -284,6 +308,24 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         yield m[2], m[4], [m.span(4)]
 
 
+def _disjoint(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _meets(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    k = bisect.bisect_right(ends, a)
+    return k < len(starts) and starts[k] < b
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind. The fixed patterns come first; a literal that meets one of theirs is left out."""
     base = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -293,7 +335,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     for name, value, places in pairs(text) if any(h in low for h in _HINTS) else ():
         weight = name_score(name)
         if weight and weight * literal_score(value) >= LEAST_SCORE:
-            found.update(p for p in places if p[1] - p[0] >= 4 and not any(s < p[1] and p[0] < e for _, s, e in base))
+            found.update(p for p in places if p[1] - p[0] >= 4)
+    starts, ends = _disjoint((s, e) for _, s, e in base)
+    found = {(a, b) for a, b in found if not _meets(starts, ends, a, b)}
     base += [("literal", a, b) for a, b in found]
     return sorted(base, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

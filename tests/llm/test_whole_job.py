@@ -8,8 +8,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from grovekit.llm import licenses, packing, secrets
+from grovekit.llm import licenses, packing, personal_data, quality_rules, secrets
 
 
 def _best_window(text: str) -> dict[int, float]:
@@ -73,3 +74,49 @@ def test_secret_lexer_reads_whole_syntax():
     long = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=6000))
     assert [b - a for k, a, b in secrets.scan(f'passphrase = "{long}"') if k == "literal"] == [6000]
     assert len(secrets.scan('passphrase = "Zk3v9QpL8xW2"\n' + "passphrase = passphrase + passphrase\n" * 60)) == 1
+
+
+def test_many_matches_in_one_text(spark):
+    """Work that grows with the square of a text would not end here."""
+    texts = ["1.2.3.4 " * 20_000, "a@b.co, " * 20_000, "call 555-123-4567 " * 5_000, "x at y dot com 10.0.0.1 " * 3_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in personal_data.find(df).collect()}
+    assert (found[0]["n_ip"], found[1]["n_email"], found[3]["n_ip"]) == (20_000, 20_000, 3_000)
+    assert found[2]["n_added"] == 5_000 and found[2]["spans"].split(",")[:2] == ["number:5:17", "number:23:35"]
+    clear = {r["doc_id"]: r["text"] for r in personal_data.redacted(df).collect()}
+    assert clear[0] == "[ip] " * 20_000 and clear[1] == "[email], " * 20_000 and clear[2] == "call [number] " * 5_000
+    quotes = 'key a="' + '\\"' * 100_000 + '\nsecret_key = "Zk3v9QpL8xW2mN5b"\n' + 'password=hunter2abc key="Zk3v9QpL8xW2mN5b" ' * 5_000
+    spans = secrets.scan(quotes)
+    assert Counter(k for k, _, _ in spans) == {"assign": 5_000, "literal": 5_001}
+    assert len(secrets.scan("secret = " + " + ".join(f'"ab{k}x"' for k in range(20_000)))) == 20_000
+
+
+def test_spans_clear_of_others(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(200):
+        others = [(a, a + r.randint(1, 9)) for a in (r.randint(0, 60) for _ in range(r.randint(0, 6)))]
+        marks = sorted(r.sample(range(70), 2 * r.randint(0, 6)))
+        rows.append((i, list(zip(marks[::2], marks[1::2], strict=True)), others))
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"i int, spans {kind}, others {kind}")
+    got = {x["i"]: [tuple(m) for m in x["kept"]] for x in df.select("i", personal_data.clear_of(F.col("spans"), F.col("others")).alias("kept")).collect()}
+    assert got == {i: [(a, b) for a, b in spans if not any(s < b and a < e for s, e in others)] for i, spans, others in rows}
+    numbers = spark.createDataFrame([(i, [r.randint(-50, 50) for _ in range(n)]) for i, n in enumerate((0, 1, 2, 3, 9, 10, 100))], "i int, v array<int>")
+    for x in numbers.select("v", personal_data.running(F.col("v"), 0, lambda a, b: a + b).alias("sums"), personal_data.running(F.col("v"), -99, lambda a, b: F.greatest(a, b)).alias("tops")).collect():
+        assert x["sums"] == [sum(x["v"][: k + 1]) for k in range(len(x["v"]))] and x["tops"] == [max(x["v"][: k + 1]) for k in range(len(x["v"]))]
+
+
+def test_rules_cut_between_the_classes():
+    r = np.random.default_rng(4)
+    n = 400
+    bad = np.arange(n) % 4 == 0
+    x = {"symbols_per_word": np.where(bad & (np.arange(n) % 8 == 0), r.uniform(0.5, 0.9, n), 0.0), "words": np.where(bad & (np.arange(n) % 8 == 4), r.uniform(10, 20, n), r.uniform(60, 300, n)), "noise": r.random(n)}
+    rules = quality_rules.learn(x, bad)
+    told = np.zeros(n, bool)
+    for rule in rules.rules:
+        told |= np.logical_and.reduce([c.holds(x) for c in rule])
+    assert (told == bad).all()
+    cut = {c.feature: c.threshold for rule in rules.rules for c in rule}
+    assert 0.2 < cut["symbols_per_word"] < 0.5 and 20 < cut["words"] < 60
+    assert quality_rules.learn({"noise": r.random(n)}, bad).rules == []
