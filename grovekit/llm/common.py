@@ -31,6 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python functions get at most so many rows at once: texts may be long, and a worker holds a batch several times over.
+
+    This is a setting of the session; a smaller one is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, which outlives lost executors."""
     shared_dir(df.sparkSession)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, body, fields, free_names
+from .common import Scratch, body, fields, free_names, small_batches
 from .components import components
 from .count_rtree import CountRTree, reaches
 
@@ -491,6 +491,7 @@ def _filed(classes: DataFrame, join: Join, scratch: Scratch) -> DataFrame:
 
 def class_components(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, n, c) and, for each class that is filed with others, its component (c, label)."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "ngram-join")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).cast("binary").alias("text"))
     often = docs.sparkSession.sparkContext.broadcast(rarity(texts, join))

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import body, durable
+from .common import body, durable, small_batches
 
 WINDOW = 1024
-_MOST_KNOWN = 400_000
+_MOST_KNOWN = 1 << 17
 _PIECES = "doc_id long, doc_tokens long, start long, length int, ids_crc32 long"
 
 
@@ -172,6 +172,7 @@ def pack(docs: DataFrame, window: int = WINDOW, salts: int = 64) -> DataFrame:
     Extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).alias("text")).mapInArrow(_cut(window), _PIECES)
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
     rows = durable(rows)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, fields, free_names
+from .common import body, fields, free_names, small_batches
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long"
 SYMBOLS = "#*$%&|<>"
@@ -186,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Decisi
     Labels without identifier or quality are left out; of documents with one identifier the one with the least
     statistics counts. Without labels of both classes (or any documents) the list is empty.
     """
+    small_batches(docs.sparkSession)
     label = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
         .dropna()
@@ -211,6 +212,7 @@ def score(docs: DataFrame, rules: DecisionList) -> DataFrame:
 
     A null text has no words, so it fails the base rule. A null doc_id stays null. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     s = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_stats(body(docs)).alias("s")).select("doc_id", "s.*")
     return s.withColumn("base_failed", F.expr(base_failed())).withColumn("rule", rules.expression()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, fields
+from .common import body, fields, small_batches
 
 KINDS = ("assign", "access", "hex", "literal")
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long"
@@ -364,4 +364,5 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     A null text counts as empty: no spans, the digest of the empty string. A null doc_id stays null; repeated
     rows give repeated results; extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), find_secrets(body(docs)).alias("s")).select("doc_id", "s.*")
