@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grovekit.llm.common import shared_dir, table
+from grovekit.llm.common import Scratch, table
 from grovekit.llm.exact_dedup import drop_copies
 from grovekit.llm.mixing import mixed_documents
 from grovekit.llm.ngram_join import Join, one_of_each
@@ -16,27 +15,27 @@ from grovekit.llm.quality_rules import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or a learned one go."""
+    """Documents that fail the base rule or a learned one go. Null and empty texts fail it; repeated rows go or stay together."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts one document stays, that with the smallest doc_id; null texts count as empty ones, and of repeated rows one stays."""
     return drop_copies(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 on five words, one stays."""
+    """Of documents linked by a similarity of 0.8 on five words, one stays, that with the smallest doc_id. Texts without words are linked with nothing."""
     return one_of_each(docs, Join(words=5, num=80))
 
 
 def temperature_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of small sources come several times; none is lost."""
+    """Documents of small sources come several times; none is lost. A null source is a source of its own."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences. A null or empty text is its closing id."""
     return pack(docs)
 
 
@@ -48,13 +47,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: SQL can express neither the learned rules nor the packing; tests hold the stages against brute force.
+#: SQL can express neither the learned rules nor the packing; tests hold every stage and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """All stages over the documents. Empty tables give an empty result; what a stage wrote is deleted once the next has ended."""
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(before)
     return docs

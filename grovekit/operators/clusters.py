@@ -81,7 +81,10 @@ def discordance(genes: DataFrame, species: DataFrame, masks: Masks) -> DataFrame
     shared = k.agg(F.sum("f").alias("all"), F.sum(F.col("f") * (F.col("f") - 1)).alias("pairs2"))
     most = float(max(1, 2 * (masks.n - 3)))
     gg = ((F.col("t") - 1) * F.col("all") - F.col("pairs2")) / (F.col("t") * (F.col("t") - 1) / 2) / most
-    gs = rf_distances(genes, species, masks).agg(F.avg("nrf").alias("gt_st"))
+    own = nontrivial(species, masks).select("mask", F.lit(1).alias("theirs"))  # one tree
+    each = s.join(own, "mask", "left").groupBy("tree").agg(F.count("*").alias("k"), F.count("theirs").alias("both"))
+    each = genes.select("tree").distinct().join(each, "tree", "left").crossJoin(own.agg(F.count("*").alias("k2")))  # one row
+    gs = each.agg(F.avg(F.least(F.lit(1.0), (F.coalesce("k", F.lit(0)) + F.col("k2") - 2 * F.coalesce("both", F.lit(0))) / most)).alias("gt_st"))
     return t.crossJoin(shared).select(gg.alias("gt_gt")).crossJoin(gs)
 
 

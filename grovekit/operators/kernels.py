@@ -5,6 +5,7 @@ They run inside Arrow functions over grouped rows (see plans.inference); nothing
 
 from __future__ import annotations
 
+import functools
 import random
 from collections import deque
 from collections.abc import Iterable
@@ -399,11 +400,19 @@ def sample_multifurcation(groups: list[int], guide: list[int], seed: int, rounds
         reps = [rng.choice(s) for s in sets]
         for m in guide:
             inside = [g for g, t in zip(groups, reps, strict=True) if m >> t & 1]
-            if 2 <= len(inside) <= d - 2 and sum(inside) not in out:
+            if 2 <= len(inside) <= d - 1 and sum(inside) not in out:
                 out.append(sum(inside))
     return out
 
 
+def clades(root: Node) -> list[int]:
+    """The taxa below each inner node but the root."""
+    below: dict[int, int] = {}
+    for n in root.postorder():
+        below[id(n)] = 1 << n.taxon if n.taxon is not None else functools.reduce(int.__or__, (below[id(k)] for k in n.kids))
+    return [below[id(n)] for n in root.postorder()[:-1] if n.taxon is None]
+
+
 def nested_balls(groups: list[int], similar: np.ndarray, reps: list[int] | None = None) -> list[int]:
     """For each group the unions with its nearest, second nearest ... group: nested neighbourhoods, by averages or by one taxon of each."""
     sets, out = [[t] for t in reps] if reps else [_members(g) for g in groups], []

@@ -5,84 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.newick import leaf_table
 from .weights import c2
 
 
-def _pairs(nodes: DataFrame) -> DataFrame:
-    """tree, a, pa, b, pb of all pairs of leaves in one tree, a < b."""
-    leaf = leaf_table(nodes)
-    x = leaf.select("tree", F.col("taxon").alias("a"), F.col("pos").alias("pa"))
-    y = leaf.select("tree", F.col("taxon").alias("b"), F.col("pos").alias("pb"))
-    return x.join(y, "tree").filter("a < b")
+def _ancestor_pairs(nodes: DataFrame) -> DataFrame:
+    """tree, n, a, b (a < b), lvl of their least common ancestor, and for either taxon x: lvl_x, size_x, part_x.
 
-
-def distances(nodes: DataFrame) -> DataFrame:
-    """a, b, total, trees, dist: mean number of edges between two taxa over the trees that have both.
-
-    Edges are depth(a) + depth(b) - 2 * depth(least common ancestor), which adds up from node memberships: the sum of
-    the depths of a taxon, and for each pair the nodes that hold both.
+    size_x is the size of the ancestor's child that holds x. part_x sums, over the nodes between x and the ancestor, the
+    pairs of taxa that such a node has besides its child on the path. Every node is met by the leaves of each of its
+    children, so each pair of a tree comes once, at its ancestor.
     """
-    leaf = nodes.filter("taxon is not null").select("tree", "taxon", F.col("lvl").cast("long").alias("lvl"))
-    both = leaf.select("tree", F.col("taxon").alias("a"), F.col("lvl").alias("da")).join(leaf.select("tree", F.col("taxon").alias("b"), F.col("lvl").alias("db")), "tree").filter("a < b")
-    depths = both.groupBy("a", "b").agg(F.sum(F.col("da") + F.col("db")).alias("depths"), F.count("*").alias("trees"))
-    inside = _members(nodes)
-    common = inside.select("tree", "node", F.col("taxon").alias("a")).join(inside.select("tree", "node", F.col("taxon").alias("b")), ["tree", "node"]).filter("a < b")
-    held = common.groupBy("a", "b").agg(F.count("*").alias("nodes"))
-    total = F.col("depths") - 2 * (F.col("nodes") - F.col("trees"))
-    return depths.join(held, ["a", "b"]).select("a", "b", total.alias("total"), "trees", (total / F.col("trees")).alias("dist"))
+    size = F.col("hi") - F.col("lo")
+    up = nodes.select("tree", F.col("node").alias("parent"), size.cast("long").alias("up_size"), F.col("lvl").alias("up_lvl"))
+    own = nodes.select("tree", "node", "parent", "lo", "hi", "taxon", "lvl").join(up, ["tree", "parent"], "left")
+    own = own.withColumn("weight", F.coalesce(c2(F.col("up_size") - size), F.lit(0)))
+    # what a node weighs counts for all in its range: running sums over where ranges begin and end
+    edges = own.withColumn("e", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("kind"), (-F.col("hi")).alias("far")), F.struct(F.col("hi").alias("at"), F.lit(0).alias("kind"), F.col("lo").alias("far")))))
+    order = Window.partitionBy("tree").orderBy("e.at", "e.kind", "e.far", "node")
+    summed = edges.withColumn("part", F.sum(F.when(F.col("e.kind") == 1, F.col("weight")).otherwise(-F.col("weight"))).over(order)).filter("e.kind = 1").drop("e")
+    n = nodes.filter("parent is null").select("tree", F.col("hi").cast("long").alias("n"))
+    leaf = summed.filter("taxon is not null").select("tree", F.col("lo").alias("pos"), "taxon", "lvl", F.col("part").alias("leaf_part"))
+    child = summed.filter("parent is not null").select("tree", "parent", "node", "up_lvl", size.cast("long").alias("size"), "part", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
+    placed = child.join(leaf, ["tree", "pos"]).join(n, "tree")
+    x = placed.select("tree", "parent", "n", F.col("up_lvl").alias("lvl"), F.col("node").alias("node_a"), F.col("taxon").alias("a"), F.col("lvl").alias("lvl_a"), F.col("size").alias("size_a"), (F.col("leaf_part") - F.col("part")).alias("part_a"))
+    y = placed.select("tree", "parent", F.col("node").alias("node_b"), F.col("taxon").alias("b"), F.col("lvl").alias("lvl_b"), F.col("size").alias("size_b"), (F.col("leaf_part") - F.col("part")).alias("part_b"))
+    return x.join(y, ["tree", "parent"]).filter("a < b and node_a <> node_b").drop("parent", "node_a", "node_b")
 
 
-def _members(nodes: DataFrame) -> DataFrame:
-    """tree, node, taxon of all inner nodes and the leaves below."""
-    leaf = leaf_table(nodes).withColumnRenamed("pos", "lo")
-    inner = nodes.filter("n_children > 0")
-    return inner.select("tree", "node", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("lo")).join(leaf, ["tree", "lo"])
+def distances(nodes: DataFrame) -> DataFrame:
+    """a, b, total, trees, dist: mean number of edges between two taxa over the trees that have both."""
+    edges = (F.col("lvl_a") + F.col("lvl_b") - 2 * F.col("lvl")).cast("long")
+    summed = _ancestor_pairs(nodes).groupBy("a", "b").agg(F.sum(edges).alias("total"), F.count("*").alias("trees"))
+    return summed.select("a", "b", "total", "trees", (F.col("total") / F.col("trees")).alias("dist"))
 
 
 def similarities(nodes: DataFrame) -> DataFrame:
     """a, b, num, den, sim for all pairs that occur together in a tree of four taxa or more.
 
     At each node a pair in two of its sides gains C2 of the taxa outside both, so num counts the quartets in which a
-    and b stand on one side; den counts all quartets with a and b. Multifurcations count all their sides.
-    """
-    n = nodes.filter("parent is null").select("tree", F.col("hi").cast("long").alias("n"))
-    kids = nodes.filter("parent is not null").select("tree", F.col("parent").alias("node"), "lo", "hi")
-    inner = nodes.filter("n_children > 1").select("tree", "node", F.col("lo").alias("nlo"), F.col("hi").alias("nhi"))
-    # sides of a node: its children, and the rest of the tree as the positions before and after
-    sides = kids.join(inner, ["tree", "node"]).join(n, "tree")
-    own = sides.select("tree", "node", "n", F.col("lo").alias("side"), (F.col("hi") - F.col("lo")).cast("long").alias("size"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
-    out = inner.join(n, "tree").filter("nhi - nlo < n")
-    rest = out.select("tree", "node", "n", F.lit(-1).alias("side"), (F.col("n") - F.col("nhi") + F.col("nlo")).alias("size"), F.explode(F.filter(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), lambda p: (p < F.col("nlo")) | (p >= F.col("nhi")))).alias("pos"))
-    placed = own.unionByName(rest).join(leaf_table(nodes), ["tree", "pos"])
-    x = placed.select("tree", "node", "n", F.col("side").alias("sa"), F.col("size").alias("za"), F.col("taxon").alias("a"))
-    y = placed.select("tree", "node", F.col("side").alias("sb"), F.col("size").alias("zb"), F.col("taxon").alias("b"))
-    num = x.join(y, ["tree", "node"]).filter("a < b and sa <> sb").groupBy("a", "b").agg(F.sum(c2(F.col("n") - F.col("za") - F.col("zb"))).alias("num"))
-    den = _pairs(nodes).join(n, "tree").filter("n >= 4").groupBy("a", "b").agg(F.sum(c2(F.col("n") - 2)).alias("den"))
-    return den.join(num, ["a", "b"], "left").select("a", "b", F.coalesce("num", F.lit(0)).alias("num"), "den", (F.coalesce("num", F.lit(0)) / F.col("den")).alias("sim"))
-
-
-def similarities_closed(nodes: DataFrame) -> DataFrame:
-    """num of binary trees by the closed form: C2(k - 2) less the quartets that put a and b apart.
-
-    Those have one more taxon on a's and one on b's side of some edge between them; over the edges of the path, the
-    sides that hang from it give sizes s_1 .. s_m, and the quartets apart are the pairs from different sides.
+    and b stand on one side; den counts all quartets with a and b. Multifurcations count all their sides. Below the
+    common ancestor the two sides of a node are the path's child and what is outside the node, so those terms are
+    differences of sums along the way from the root.
     """
-    n = nodes.filter("parent is null").select("tree", F.col("hi").cast("long").alias("n"))
-    inner = nodes.filter("n_children > 1").select("tree", "node", "lo", "hi", "parent")
-    kids = nodes.filter("parent is not null").select("tree", F.col("parent").alias("node"), F.col("lo").alias("klo"), F.col("hi").alias("khi"))
-    # hanging sides of the path of a and b at a node above one of them: the sibling; at their common ancestor: what is outside
-    held = _pairs(nodes).join(inner, "tree").filter("(pa >= lo and pa < hi) or (pb >= lo and pb < hi)")
-    at = held.join(kids, ["tree", "node"])
-    in_a, in_b = F.expr("pa >= klo and pa < khi"), F.expr("pb >= klo and pb < khi")
-    both = at.filter(in_a | in_b).withColumn("both", in_a & in_b).filter("not both").join(n, "tree")
-    common = F.expr("pa >= lo and pa < hi and pb >= lo and pb < hi")
-    size = F.when(common, F.col("n") - F.col("hi") + F.col("lo")).otherwise(F.col("hi") - F.col("lo") - F.col("khi") + F.col("klo"))
-    sized = both.withColumn("size", size).dropDuplicates(["tree", "a", "b", "node"])
-    # taxa from different hanging sides stand apart with a and b: all pairs less those within one side
-    apart = sized.groupBy("tree", "a", "b", "n").agg(F.sum(c2(F.col("size"))).alias("within"))
-    kept = apart.filter("n >= 4").withColumn("one", F.col("within"))
-    return kept.groupBy("a", "b").agg(F.sum("one").cast("long").alias("num"))
+    num = F.col("part_a") + F.col("part_b") + c2(F.col("n") - F.col("size_a") - F.col("size_b"))
+    both = _ancestor_pairs(nodes).filter("n >= 4").groupBy("a", "b").agg(F.sum(num).alias("num"), F.sum(c2(F.col("n") - 2)).alias("den"))
+    return both.select("a", "b", "num", "den", (F.col("num") / F.col("den")).alias("sim"))
 
 
 def sorted_rows(similar: DataFrame) -> DataFrame:

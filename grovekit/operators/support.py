@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,7 +47,12 @@ def quartet_frequencies(branch: DataFrame, gene_sides: DataFrame, masks: Masks)
     gene_sides: tree, sides, whole (its taxa), for each inner node. For the pairing xy|zw the quartets whose x and y
     part from z and w at a node: x and y in two sides, z and w in a third together. Each quartet has two such nodes.
     """
-    per = branch.join(gene_sides)  # every branch of one summary tree with every node
+    # every branch of one summary tree with every node: branches are dealt to chunks of 256, nodes stand once in each
+    n = branch.count()
+    chunks = max(1, -(-n // 256))
+    per = branch.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int"))
+    seats = gene_sides.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    per = seats.join(F.broadcast(per) if n <= 100_000 else per, "chunk")
     g = [F.col(x) for x in ("c1", "c2", "sister", "remaining")]
 
     def pairing(x: int, y: int, z: int, w: int) -> Column:
@@ -104,18 +110,40 @@ def low_n(annotated: DataFrame, least: float = 20.0) -> DataFrame:
     return annotated.agg(F.count_if(F.col("en") < least).alias("low"), F.sum(F.log("pp1")).alias("log_posterior"))
 
 
+def short_text(x: float | None, digits: int) -> str:
+    """At most so many decimals, half to even of the number as it is stored; no trailing zeros; groups of three before the point."""
+    if x is None or x != x:
+        return "NaN"
+    text = f"{Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN):,f}"
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if text == "-0" else text
+
+
+def _short(digits: int):
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: short_text(v, digits))
+
+    return run
+
+
+#: What a branch may be annotated with: names of the styles, as users write them.
+STYLES = ("none", "q1", "pvalue", "pp", "percent", "full", "q3", "pp3")
+
+
 def label(annotated: DataFrame, style: str) -> DataFrame:
-    """node, label in one of the styles pp, pp3, q1, q3, full, pvalue, percent, none."""
-    short = lambda c: F.format_string("%s", F.bround(F.col(c), 2))
-    named = lambda *cs: F.concat(F.lit("'["), F.concat_ws(";", *[F.concat(F.lit(c + "="), F.col(c).cast("string")) for c in cs]), F.lit("]'"))
+    """node, label, length. q1: per cent of the first pairing; percent: the posterior in whole per cent; full: unrounded."""
+    two, five = _short(2), _short(5)
+    named = lambda **cs: F.concat(F.lit("'["), F.concat_ws(";", *[F.concat(F.lit(k + "="), v) for k, v in cs.items()]), F.lit("]'"))
+    whole = lambda *cs: {c: F.col(c).cast("string") for c in cs}
     styles = {
-        "none": F.lit(""),
-        "pp": short("pp1"),
-        "q1": short("q1"),
-        "percent": F.format_string("%s", F.bround(F.col("q1") * 100, 2)),
-        "pvalue": F.coalesce(F.format_string("%s", F.bround("pvalue", 5)), F.lit("NA")),
-        "pp3": named("pp1", "pp2", "pp3"),
-        "q3": named("q1", "q2", "q3"),
-        "full": named("q1", "q2", "q3", "f1", "f2", "f3", "pp1", "pp2", "pp3", "qc", "en"),
+        "none": lambda: F.lit(""),
+        "pp": lambda: two(F.col("pp1")),
+        "q1": lambda: F.when(F.col("en") != 0, two(F.col("f1") / F.nullif(F.col("en"), F.lit(0.0)) * 100)).otherwise(F.lit("")),
+        "percent": lambda: F.floor(two(F.col("pp1")).cast("double") * 100 + 0.5).cast("string"),
+        "pvalue": lambda: F.when(F.col("pvalue").isNull(), F.lit("NA")).otherwise(five(F.coalesce("pvalue", F.lit(0.0)))),
+        "pp3": lambda: named(**{c: two(F.col(c)) for c in ("pp1", "pp2", "pp3")}),
+        "q3": lambda: named(**{c: two(F.col(c)) for c in ("q1", "q2", "q3")}),
+        "full": lambda: named(**whole("q1", "q2", "q3", "f1", "f2", "f3", "pp1", "pp2", "pp3"), QC=F.col("qc").cast("long").cast("string"), EN=F.col("en").cast("string")),
     }
-    return annotated.select("node", styles[style].alias("label"), "length")
+    return annotated.select("node", styles[style]().alias("label"), "length")

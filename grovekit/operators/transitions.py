@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import Masks
+from ..sources.durable import durable
 
 
 def _pair(parent: Column, a: Column, b: Column) -> list[Column]:
@@ -34,17 +35,34 @@ def across_trees(clusters: DataFrame, masks: Masks, with_all: bool = True) -> Da
     """Every way to divide a cluster into two others of the table, whichever trees they come from.
 
     Exactly one side holds the cluster's least taxon, so that side is found by an equi-join on it, and the other by an
-    equi-join on the difference; each split comes once.
+    equi-join on the difference; each split comes once. Half of all clusters may share one least taxon, so both sides
+    of the join are salted: clusters to divide by blocks of 1,024 of one least taxon, in each of which the possible
+    sides stand once.
     """
     x = clusters.select("mask").distinct()
     whole = x.unionByName(x.sparkSession.range(1).select(masks.full.alias("mask"))).distinct() if with_all else x
     a = whole.select(F.col("mask").alias("parent"), masks.least(F.col("mask")).alias("low"))
     b = x.select(F.col("mask").alias("side"), masks.least(F.col("mask")).alias("low"))
-    met = a.join(b, "low").filter(masks.subset(F.col("side"), F.col("parent")) & (F.col("side") != F.col("parent")))
+    salts = a.groupBy("low").agg(F.ceil(F.count("*") / 1024).cast("int").alias("salts"))  # a row for each taxon
+    a = a.join(F.broadcast(salts), "low").withColumn("salt", F.pmod(F.xxhash64("parent"), F.col("salts")).cast("int")).drop("salts")
+    b = b.join(F.broadcast(salts), "low").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    met = a.join(b, ["low", "salt"]).filter(masks.subset(F.col("side"), F.col("parent")) & (F.col("side") != F.col("parent")))
     met = met.withColumn("other", masks.less(F.col("parent"), F.col("side")))
     return met.join(x.withColumnRenamed("mask", "other"), "other").select(*_pair(F.col("parent"), F.col("side"), F.col("other")))
 
 
+def reachable(transitions: DataFrame, masks: Masks) -> DataFrame:
+    """Only divisions of clusters that repeated division of all taxa leads to. One round for each level of the deepest way."""
+    start = transitions.sparkSession.range(1).select(masks.full.alias("parent"))
+    seen = new = start
+    while True:
+        sides = transitions.join(new, "parent").select(F.explode(F.array("lo", "hi")).alias("parent")).distinct()
+        new = durable(sides.join(transitions.select("parent"), "parent", "left_semi").join(seen, "parent", "left_anti"))
+        if new.isEmpty():
+            return transitions.join(seen, "parent", "left_semi")
+        seen = durable(seen.unionByName(new))
+
+
 def anchored(transitions: DataFrame, masks: Masks, anchor: int) -> DataFrame:
     """Only clusters without the anchor, and all taxa divided into the anchor and the others."""
     kept = transitions.filter(~masks.has(F.col("parent"), anchor))

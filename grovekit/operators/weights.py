@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.masks import Masks
 
 PARTITIONS_IN_BLOCK = 8192
+PAIRS_WORTH_A_TASK = 20_000
 
 
 def c2(x: Column) -> Column:
@@ -30,16 +31,16 @@ def twice_binary(x: list[Column], y: list[Column], masks: Masks, exact: str = "l
     return total
 
 
-def twice_any(x: list[Column], parts: Column, masks: Masks) -> Column:
+def twice_any(x: list[Column], parts: Column, masks: Masks, exact: str = "long") -> Column:
     """The same against d parts, in time d: triples of distinct parts from sums of powers and products."""
 
     def step(s: Column, p: Column) -> Column:
-        a, b, c = (masks.shared(v, p) for v in x)
+        a, b, c = (masks.shared(v, p).cast(exact) for v in x)
         new = {"a": a, "b": b, "c": c, "aa": a * a, "bb": b * b, "cc": c * c, "ab": a * b, "ac": a * c, "bc": b * c, "aab": a * a * b, "aac": a * a * c, "abb": a * b * b, "bbc": b * b * c, "acc": a * c * c, "bcc": b * c * c, "abc": a * b * c, "aabc": a * a * b * c, "abbc": a * b * b * c, "abcc": a * b * c * c}
-        return F.struct(*[(s[k] + v).alias(k) for k, v in new.items()])
+        return F.struct(*[(s[k] + v).cast(exact).alias(k) for k, v in new.items()])
 
     names = ("a", "b", "c", "aa", "bb", "cc", "ab", "ac", "bc", "aab", "aac", "abb", "bbc", "acc", "bcc", "abc", "aabc", "abbc", "abcc")
-    zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in names])
+    zero = F.struct(*[F.lit(0).cast(exact).alias(k) for k in names])
 
     def distinct(s: Column, p: str, q: str, r: str, pq: str, pr: str, qr: str, pqr: str) -> Column:
         return s[p] * s[q] * s[r] - s[pq] * s[r] - s[pr] * s[q] - s[qr] * s[p] + 2 * s[pqr]
@@ -55,52 +56,69 @@ def twice_any(x: list[Column], parts: Column, masks: Masks) -> Column:
     return F.aggregate(parts, zero, step, done)
 
 
-def node_score(sides: Column, parts: Column, masks: Masks) -> Column:
+def node_score(sides: Column, parts: Column, masks: Masks, exact: str = "long") -> Column:
     """Agreeing quartets of a node with any number of sides and a partition, each seen from this node.
 
     For each pair of taxa in one cell of the table sides x parts, the pairs in other rows, other columns and not both
     in one row or column, by sums of squares.
     """
-    table = F.transform(sides, lambda s: F.transform(parts, lambda p: masks.shared(s, p)))
-    add = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda t, x: t + x)
+    zero = F.lit(0).cast(exact)
+    table = F.transform(sides, lambda s: F.transform(parts, lambda p: masks.shared(s, p).cast(exact)))
+    add = lambda v: F.aggregate(v, zero, lambda t, x: (t + x).cast(exact))
+    square = lambda x: (x * x).cast(exact)
     columns = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: add(F.transform(table, lambda r: F.element_at(r, k))))
+    pairs = lambda x: _half(F.when(x > 1, x * (x - 1)).otherwise(zero), 2, exact != "long")
 
     def of_row(r: Column, i: Column) -> Column:
         def cell(n: Column, k: Column) -> Column:
             row, col = add(r), F.element_at(columns, k + 1)
             total = add(columns) - row - col + n
-            rows2 = add(F.transform(table, lambda q, j: F.when(j == i, 0).otherwise(F.pow(add(q) - F.element_at(q, k + 1), F.lit(2)).cast("long"))))
-            cols2 = add(F.transform(columns, lambda c, j: F.when(j == k, 0).otherwise(F.pow(c - F.element_at(r, j + 1), F.lit(2)).cast("long"))))
-            cells2 = add(F.transform(table, lambda q, j: F.when(j == i, 0).otherwise(add(F.transform(q, lambda m, l: F.when(l == k, 0).otherwise(m * m))))))  # noqa: E741
-            return F.when(n > 1, c2(n) * ((total * total - rows2 - cols2 + cells2) / 2).cast("long")).otherwise(0).cast("long")
+            rows2 = add(F.transform(table, lambda q, j: F.when(j == i, zero).otherwise(square(add(q) - F.element_at(q, k + 1)))))
+            cols2 = add(F.transform(columns, lambda c, j: F.when(j == k, zero).otherwise(square(c - F.element_at(r, j + 1)))))
+            cells2 = add(F.transform(table, lambda q, j: F.when(j == i, zero).otherwise(add(F.transform(q, lambda m, l: F.when(l == k, zero).otherwise(square(m)))))))  # noqa: E741
+            return F.when(n > 1, (pairs(n) * _half(total * total - rows2 - cols2 + cells2, 2, exact != "long")).cast(exact)).otherwise(zero)
 
         return add(F.transform(r, cell))
 
     return add(F.transform(table, of_row))
 
 
-def _blocks(partitions: DataFrame) -> tuple[DataFrame, int]:
-    """The partitions in blocks of bounded size, by a hash."""
-    n = max(1, -(-partitions.count() // PARTITIONS_IN_BLOCK))
-    return partitions.withColumn("block", F.pmod(F.xxhash64("parts"), F.lit(n)).cast("int")), n
+def _met(splits: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Every split with every partition, dealt to tasks as a grid: blocks of partitions by blocks of splits.
+
+    A cell has at most PARTITIONS_IN_BLOCK of either, and there are at least as many cells as the cluster has cores,
+    so long as there is work for them; no key has more than its cell.
+    """
+    spark = partitions.sparkSession
+    n_parts, n_splits, cores = partitions.count(), splits.count(), spark.sparkContext.defaultParallelism
+    rows = max(1, -(-n_parts // PARTITIONS_IN_BLOCK), min(cores, n_parts * n_splits // PAIRS_WORTH_A_TASK, n_parts))
+    cols = max(1, -(-n_splits // PARTITIONS_IN_BLOCK))
+    seat = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    asked = splits.withColumn("col", seat(splits, cols)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    blocks = partitions.withColumn("row", seat(partitions, rows)).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    return asked.join(blocks, ["row", "col"])
 
 
 def split_weights(splits: DataFrame, partitions: DataFrame, masks: Masks, exact: str = "long") -> DataFrame:
     """lo, hi, weight: the agreeing quartets of the tripartition (lo, hi, all others), over all partitions.
 
-    Every split meets every block of partitions; the products are summed before anything is shuffled.
+    exact: "decimal(38,0)" where sums may leave 64 bits. The products are summed before anything is shuffled. The
+    splits and partitions are counted and then read, so both are best kept at hand (persisted or written).
     """
-    blocks, n = _blocks(partitions)
-    asked = splits.select("lo", "hi").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rest = masks.rest(masks.either(F.col("lo"), F.col("hi")))
-    asked = asked.withColumn("rest", rest)
+    wide = exact != "long"
+    kind = "decimal(38,0)" if wide else "long"
+    asked = splits.select("lo", "hi").distinct()
+    met = _met(asked, partitions).withColumn("rest", masks.rest(masks.either(F.col("lo"), F.col("hi"))))
     x = [F.col("lo"), F.col("hi"), F.col("rest")]
-    met = asked.join(blocks, "block")
     y = [F.element_at("parts", k) for k in (1, 2, 3)]
-    twice = F.when(F.col("d") == 3, twice_binary(x, y, masks, exact)).otherwise(twice_any(x, F.col("parts"), masks).cast(exact))
-    total = F.sum(twice * F.col("freq"))
-    summed = met.groupBy("lo", "hi").agg((total / 2).cast("decimal(38,0)" if exact != "long" else "long").alias("weight"))
-    return splits.select("lo", "hi").distinct().join(summed, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("weight", F.lit(0)).cast("decimal(38,0)" if exact != "long" else "long").alias("weight"))
+    twice = F.when(F.col("d") == 3, twice_binary(x, y, masks, exact)).otherwise(twice_any(x, F.col("parts"), masks, exact))
+    summed = met.groupBy("lo", "hi").agg(_half(F.sum(twice * F.col("freq")), 2, wide).alias("weight"))
+    return asked.join(summed, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("weight", F.lit(0)).cast(kind).alias("weight"))
+
+
+def _half(total: Column, by: int, wide: bool) -> Column:
+    """total / by for an even total, or one divisible by four."""
+    return (total.cast("decimal(38,0)") / by).cast("decimal(38,0)") if wide else F.shiftright(total.cast("long"), by // 2)
 
 
 def weight_stats(weights: DataFrame) -> DataFrame:
@@ -116,14 +134,12 @@ def species_sides(species: DataFrame, masks: Masks) -> DataFrame:
     return rows.select("node", sides.alias("sides")).filter("size(sides) > 2")
 
 
-def fixed_tree_score(species: DataFrame, partitions: DataFrame, masks: Masks) -> DataFrame:
+def fixed_tree_score(species: DataFrame, partitions: DataFrame, masks: Masks, exact: str = "long") -> DataFrame:
     """One row, quartet_score: each agreeing quartet is seen from two nodes, so the sum is halved. A root with two sides repeats what its children have."""
-    sides = species_sides(species, masks)
-    binary = sides.filter("size(sides) = 3").select(*[F.element_at("sides", k).alias(f"s{k}") for k in (1, 2, 3)])
-    blocks, n = _blocks(partitions)
-    each = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
-    x = [F.col(f"s{k}") for k in (1, 2, 3)]
+    wide = exact != "long"
+    met = _met(species_sides(species, masks).select("sides"), partitions)
+    x = [F.element_at("sides", k) for k in (1, 2, 3)]
     y = [F.element_at("parts", k) for k in (1, 2, 3)]
-    b = each(binary).select((F.when(F.col("d") == 3, twice_binary(x, y, masks)).otherwise(twice_any(x, F.col("parts"), masks)) * F.col("freq")).alias("v"))
-    many = each(sides.filter("size(sides) > 3")).select((2 * node_score(F.col("sides"), F.col("parts"), masks) * F.col("freq")).alias("v"))
-    return b.unionByName(many).agg((F.coalesce(F.sum("v"), F.lit(0)) / 4).cast("long").alias("quartet_score"))
+    three = F.when(F.col("d") == 3, twice_binary(x, y, masks, exact)).otherwise(twice_any(x, F.col("parts"), masks, exact))
+    twice = F.when(F.size("sides") == 3, three).otherwise(2 * node_score(F.col("sides"), F.col("parts"), masks, exact))
+    return met.agg(_half(F.coalesce(F.sum(twice * F.col("freq")), F.lit(0)), 4, wide).alias("quartet_score"))

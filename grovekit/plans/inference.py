@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.masks import Masks
 from ..operators import clusters, kernels, matrices, partitions, support, transitions, weights
 from ..sources import newick
+from ..sources.durable import durable
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,7 @@ class Options:
     keep_multifurcations: bool = False
     nearest_balls: bool = False
     random_leftovers: bool = False
+    sample_input: bool = False
     seed: int = 1
 
 
@@ -35,7 +37,7 @@ class Options:
 PRESETS = {
     "S1": Options(),
     "S2": Options(completion=True, full_search=True),
-    "S3": Options(completion=True, full_search=True, consensus=True, nearest_balls=True, random_leftovers=True),
+    "S3": Options(completion=True, full_search=True, consensus=True, nearest_balls=True, random_leftovers=True, sample_input=True),
 }
 INTERSECTION_METHODS = ("I1", "I2", "I3", "I4")
 
@@ -144,40 +146,81 @@ def enrich(x: DataFrame, nodes: DataFrame, s: np.ndarray, masks: Masks, o: Optio
     return x.unionByName(added)
 
 
-def infer_nodes(native: DataFrame, masks: Masks, names: list[str], o: Options = Options()) -> Result:
-    """The best tree for parsed gene trees. Searched are refined (completed, enriched) trees; the evidence stays what was read."""
-    spark = native.sparkSession
-    evidence = normalised(native, masks) if o.keep_multifurcations else refined(native, masks)
-    evidence = evidence.persist()
-    search, s = evidence, None
-    if o.completion or o.consensus:
-        similar = matrices.similarities(evidence)
-        s = dense(similar, masks.n)
-        if o.completion:
-            near = nearest_rows(s)
-            if o.by_distance:
-                d = np.full_like(s, np.inf)
-                for r in matrices.distances(evidence).toLocalIterator():
-                    d[r["a"], r["b"]] = d[r["b"], r["a"]] = r["dist"]
-                near = nearest_rows(-d)
-            guide = kernels.guide_tree(kernels.upgma(s), masks.n)
-            done = map_trees(evidence, lambda t: kernels.complete(t, s, near), masks)
-            search = done.unionByName(_single_tree(spark, guide, masks).withColumn("tree", F.lit(-1).cast("long")).select(done.columns)).persist()
+def sampled_unions(x: DataFrame, nodes: DataFrame, guide: kernels.Node, masks: Masks, o: Options) -> DataFrame:
+    """X with unions of the sides of multifurcating input nodes, as the guide tree has them on sampled taxa."""
+    whole = F.concat("kids", F.array("outside"))
+    sides = partitions.around(nodes, masks, root_too=True).select(F.filter(whole, lambda m: m != masks.empty).alias("sides")).filter("size(sides) between 4 and 31").distinct()
+    clades, full, a = kernels.clades(guide), (1 << masks.n) - 1, o.anchor
+
+    def run(parts):
+        for p in parts:
+            found = {m for row in p.sides for m in kernels.sample_multifurcation([masks.unpack(v) for v in row], clades, o.seed) if 2 <= m.bit_count() <= masks.n - 2}
+            yield pd.DataFrame({"mask": [masks.pack(full & ~m if a is not None and m >> a & 1 else m) for m in sorted(found)]})
+
+    emitted = sides.mapInPandas(run, f"mask {masks.type}").distinct()
+    added = emitted.join(x, "mask", "left_anti").select("mask", masks.count(F.col("mask")).alias("sz"), F.lit(0).cast("long").alias("freq"))
+    return x.unionByName(added)
+
+
+def completed(nodes: DataFrame, masks: Masks, by_distance: bool = False, s: np.ndarray | None = None) -> tuple[DataFrame, kernels.Node]:
+    """Every tree with all taxa, and the guide tree. by_distance: the nearest taxa are those fewest edges away."""
+    s = dense(matrices.similarities(nodes), masks.n) if s is None else s
+    near = nearest_rows(s)
+    if by_distance:
+        d = np.full_like(s, np.inf)
+        for r in matrices.distances(nodes).toLocalIterator():
+            d[r["a"], r["b"]] = d[r["b"], r["a"]] = r["dist"]
+        near = nearest_rows(-d)
+    return map_trees(nodes, lambda t: kernels.complete(t, s, near), masks), kernels.guide_tree(kernels.upgma(s), masks.n)
+
+
+def _resolved_space(native: DataFrame, masks: Masks, o: Options, like: DataFrame) -> DataFrame:
+    """The refined (and completed) trees with their guide, under numbers of their own: unresolved nodes propose nothing themselves, so a full search takes these besides."""
+    out = durable(refined(native, masks))
+    if o.completion:
+        done, guide = completed(out, masks, o.by_distance)
+        out = done.unionByName(_single_tree(native.sparkSession, guide, masks).withColumn("tree", F.lit(-1).cast("long")).select(done.columns))
+    return out.withColumn("tree", -F.col("tree") - 3).select(like.columns)
+
+
+def search_space(native: DataFrame, evidence: DataFrame, masks: Masks, o: Options) -> DataFrame:
+    """parent, lo, hi: the divisions that the options allow. Searched are the evidence's trees, completed and enriched."""
+    search, s, guide = evidence, None, None
+    if o.completion or o.consensus or o.sample_input:
+        s = dense(matrices.similarities(evidence), masks.n)
+        guide = kernels.guide_tree(kernels.upgma(s), masks.n)
+    whole = search
+    if o.completion:
+        whole = durable(completed(evidence, masks, o.by_distance, s)[0])
+        search = whole.unionByName(_single_tree(native.sparkSession, guide, masks).withColumn("tree", F.lit(-1).cast("long")).select(whole.columns))
+    if o.full_search and o.keep_multifurcations:
+        search = search.unionByName(_resolved_space(native, masks, o, search))
+    search = durable(search) if search is not evidence else search
     moves = transitions.from_nodes(search, masks)
     if o.anchor is None:
         moves = moves.unionByName(transitions.from_incomplete(search, masks)).distinct()
-    if o.full_search or o.consensus:
+    if o.full_search or o.consensus or o.sample_input:
         x = clusters.cluster_table(search, masks, o.anchor)
+        if o.sample_input:
+            x = durable(sampled_unions(x, whole, guide, masks, o))
         if o.consensus:
-            x = enrich(x, search, s, masks, o)
+            x = durable(enrich(x, whole, s, masks, o))
         moves = moves.unionByName(transitions.across_trees(x, masks)).distinct()
     if o.anchor is not None:
         moves = transitions.anchored(moves, masks, o.anchor)
-    parts = partitions.partition_table(evidence, masks).persist()
-    exact = "decimal(38,0)" if weights.is_wide(masks.n, native.select("tree").distinct().count()) else "long"
+    return durable(moves)
+
+
+def infer_nodes(native: DataFrame, masks: Masks, names: list[str], o: Options = Options()) -> Result:
+    """The best tree for parsed gene trees. Searched are refined (completed, enriched) trees; the evidence stays what was read."""
+    spark = native.sparkSession
+    native = durable(native)
+    evidence = durable(normalised(native, masks) if o.keep_multifurcations else refined(native, masks))
+    moves = search_space(native, evidence, masks, o)
+    parts = durable(partitions.partition_table(evidence, masks))
+    exact = _number(native, masks)
     weighed = moves.join(weights.split_weights(moves, parts, masks, exact), ["lo", "hi"])
-    rows = best_divisions(weighed, masks).toLocalIterator()
-    chosen = [tuple(int(v) for v in r) for r in rows]
+    chosen = [tuple(int(v) for v in r) for r in best_divisions(weighed, masks).toLocalIterator()]
     full = (1 << masks.n) - 1
     root, unresolved = kernels.tree_of({m: (lo, hi) for m, _, lo, hi, _ in chosen}, full)
     total = next((t for m, t, *_ in chosen if m == full), 0)
@@ -189,15 +232,19 @@ def infer_nodes(native: DataFrame, masks: Masks, names: list[str], o: Options =
     poly = native.filter("n_children > 2 and not (parent is null and n_children = 3)").limit(1).count() > 0
     if unresolved or poly and not o.keep_multifurcations:
         # the total holds for the refined input only
-        score = weights.fixed_tree_score(_single_tree(spark, root, masks), partitions.partition_table(normalised(native, masks), masks), masks).first()[0]
+        kept = durable(partitions.partition_table(normalised(native, masks), masks))
+        score = weights.fixed_tree_score(_single_tree(spark, root, masks), kept, masks, exact).first()[0]
     elif total % 2:
         raise ArithmeticError("an odd total: every quartet is counted at both ends of its path")
-    for df in (parts, evidence, search):
-        df.unpersist()
     return Result(kernels.to_newick(root, names), int(score), unresolved, chosen)
 
 
-def _universe(trees: DataFrame, keep: DataFrame | None) -> tuple[DataFrame, list[str], Masks]:
+def _number(nodes: DataFrame, masks: Masks) -> str:
+    """The type that sums of quartets fit."""
+    return "decimal(38,0)" if weights.is_wide(masks.n, nodes.select("tree").distinct().count()) else "long"
+
+
+def universe(trees: DataFrame, keep: DataFrame | None) -> tuple[DataFrame, list[str], Masks]:
     names = newick.taxa(trees)
     if keep is not None:
         from pyspark.sql import Window
@@ -211,7 +258,7 @@ def _universe(trees: DataFrame, keep: DataFrame | None) -> tuple[DataFrame, list
 
 def infer(trees: DataFrame, o: Options = Options(), keep: DataFrame | None = None) -> Result:
     """tree, newick in. keep: a list of taxon names; the others are cut before anything else."""
-    names, listed, masks = _universe(trees, keep)
+    names, listed, masks = universe(trees, keep)
     return infer_nodes(newick.parse(trees, names, masks, keep), masks, listed, o)
 
 
@@ -221,16 +268,17 @@ def score(genes: DataFrame, species: DataFrame, keep: DataFrame | None = None) -
         newick.check_species(species, newick.taxa(genes))
     else:
         keep = keep.select("name").intersect(newick.taxa(species).select("name"))
-    names, _, masks = _universe(genes, keep)
-    g = normalised(newick.parse(genes, names, masks, keep), masks)
+    names, _, masks = universe(genes, keep)
+    g = durable(normalised(newick.parse(genes, names, masks, keep), masks))
     s = normalised(newick.parse(species, names, masks, keep), masks)
-    return int(weights.fixed_tree_score(s, partitions.partition_table(g, masks), masks).first()[0])
+    parts = durable(partitions.partition_table(g, masks))
+    return int(weights.fixed_tree_score(s, parts, masks, _number(g, masks)).first()[0])
 
 
 def annotated(genes: DataFrame, species: DataFrame, prior: float = 0.5) -> DataFrame:
     """Support of every eligible branch, by the node's place (lo, hi) in the species tree."""
     newick.check_species(species, newick.taxa(genes))
-    names, _, masks = _universe(genes, None)
+    names, _, masks = universe(genes, None)
     g, s = newick.parse(genes, names, masks), newick.parse(species, names, masks)
     branch = support.branches(s, masks)
     found = support.annotate(support.quartet_frequencies(branch, support.gene_sides(g, masks), masks), branch, masks, prior)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masks import Masks
-from ..operators import clusters, kernels, matrices, partitions, support, taxa, transitions, weights
+from ..operators import clusters, kernels, matrices, partitions, perturb, support, taxa, transitions, weights
 from ..sources import derived, newick
 from . import inference
 
@@ -24,15 +24,20 @@ ANCHOR = 0
 
 
 def binary(spark: SparkSession, d: str) -> DataFrame:
-    return derived.block_nodes(derived.leaves(spark, d), MASKS, 1, 5)
+    """Kept at hand, as most queries read the nodes several times; lost parts are made again from the tables."""
+    return derived.block_nodes(derived.leaves(spark, d), MASKS, 1, 5).persist()
 
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
-    return derived.block_nodes(derived.leaves(spark, d), MASKS, 2, 3)
+    return derived.block_nodes(derived.leaves(spark, d), MASKS, 2, 3).persist()
 
 
 def summary(spark: SparkSession, d: str, bits: int = 1) -> DataFrame:
-    return derived.block_nodes(derived.label_leaves(spark, d), MASKS, bits, 5 if bits == 1 else 3)
+    return derived.block_nodes(derived.label_leaves(spark, d), MASKS, bits, 5 if bits == 1 else 3).persist()
+
+
+def _parts(nodes: DataFrame) -> DataFrame:
+    return partitions.partition_table(nodes, MASKS).persist()
 
 
 def _cte(name: str, bits: int, levels: int, leaf: str = "leaf") -> str:
@@ -93,14 +98,7 @@ def s4_nodes(spark, d):
 
 
 def _as_newick(nodes: DataFrame) -> DataFrame:
-    """Newick text of derived trees by plain aggregation: what opens before and closes after each leaf."""
-    leaf = nodes.filter("taxon is not null").select("tree", F.col("lo").alias("pos"), F.concat(F.lit("n"), "taxon").alias("name"))
-    inner = nodes.filter("n_children > 0")
-    opens = inner.groupBy("tree", F.col("lo").alias("pos")).agg(F.count("*").cast("int").alias("o"))
-    closes = inner.groupBy("tree", (F.col("hi") - 1).alias("pos")).agg(F.count("*").cast("int").alias("c"))
-    each = leaf.join(opens, ["tree", "pos"], "left").join(closes, ["tree", "pos"], "left")
-    text = F.concat(F.repeat(F.lit("("), F.coalesce("o", F.lit(0))), "name", F.repeat(F.lit(")"), F.coalesce("c", F.lit(0))))
-    return each.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))).alias("a")).select("tree", F.concat(F.array_join("a.t", ","), F.lit(";")).alias("newick"))
+    return newick.to_text(nodes, _names(nodes.sparkSession))
 
 
 def _names(spark: SparkSession) -> DataFrame:
@@ -194,6 +192,14 @@ def a11_bipartition_frequency(spark, d):
     return clusters.bipartition_table(binary(spark, d), MASKS)
 
 
+_SIDE = f"CASE WHEN least(a, b) = 1 THEN CASE WHEN a < b THEN r ELSE mask END WHEN a < b THEN mask WHEN a > b THEN r ELSE least(mask, r) END"
+
+
+@query(_with(_BINARY) + f" SELECT {_SIDE} AS mask, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT mask, freq, {_FULL} & ~mask AS r, bit_count(mask) AS a, {N} - bit_count(mask) AS b FROM (SELECT mask, count(*) AS freq FROM (SELECT unnest([mask, {_FULL} & ~mask]) AS mask FROM node WHERE psize IS NOT NULL) WHERE mask NOT IN (0, {_FULL}) GROUP BY mask)) WHERE a BETWEEN 2 AND {N - 1} GROUP BY 1")
+def a12_bipartitions_of_clusters(spark, d):
+    return clusters.bipartitions_from_clusters(clusters.cluster_table(binary(spark, d), MASKS), MASKS)
+
+
 @query(_with(_BINARY) + " SELECT a.taxon AS a, b.taxon AS b, CAST(sum(abs_path) AS BIGINT) AS total, count(*) AS trees, sum(abs_path) / count(*) AS dist FROM (SELECT x.tree, x.taxon AS ta, y.taxon AS tb, x.lvl + y.lvl - 2 * (SELECT count(*) - 1 FROM node p WHERE p.tree = x.tree AND p.lo <= least(x.lo, y.lo) AND p.hi >= greatest(x.hi, y.hi)) AS abs_path FROM node x JOIN node y ON x.tree = y.tree AND x.taxon < y.taxon) q JOIN (SELECT n_nationkey AS taxon FROM nation) a ON a.taxon = q.ta JOIN (SELECT n_nationkey AS taxon FROM nation) b ON b.taxon = q.tb GROUP BY 1, 2")
 def a6_distance_matrix(spark, d):
     return matrices.distances(binary(spark, d))
@@ -222,7 +228,7 @@ def a8_similarity_polytomous(spark, d):
 
 @query(_with(_BINARY) + _SIM.format(n="node") + " SELECT a, b, num FROM sim")
 def a9_similarity_closed_form(spark, d):
-    return matrices.similarities_closed(binary(spark, d))
+    return matrices.similarities(binary(spark, d)).select("a", "b", "num")
 
 
 _ROWS = ", both_ways AS (SELECT a AS x, b AS y, sim FROM sim UNION ALL SELECT b, a, sim FROM sim), ranked AS (SELECT x, y, CAST(row_number() OVER (PARTITION BY x ORDER BY sim DESC, y DESC) - 1 AS INT) AS rank FROM both_ways)"
@@ -285,8 +291,25 @@ _TERM = "bit_count(s1 & parts[i])::BIGINT * bit_count(s2 & parts[j]) * bit_count
 @query(_with(_BINARY, _KIDS.format(n="node")) + _TRANS.format(n="node") + _ANCH + _TRIPLES.format(p=_PARTS) + f" SELECT s1 AS lo, s2 AS hi, CAST(sum({_TERM}) // 2 AS BIGINT) AS weight FROM (SELECT DISTINCT lo AS s1, hi AS s2, {_FULL} & ~(lo | hi) AS s3 FROM anch) CROSS JOIN cell GROUP BY 1, 2")
 def a13_split_weights(spark, d):
     nodes = binary(spark, d)
-    t = transitions.anchored(transitions.from_nodes(nodes, MASKS), MASKS, ANCHOR)
-    return weights.split_weights(t, partitions.partition_table(nodes, MASKS), MASKS)
+    t = transitions.anchored(transitions.from_nodes(nodes, MASKS), MASKS, ANCHOR).persist()
+    return weights.split_weights(t, _parts(nodes), MASKS)
+
+
+_A13 = f"(SELECT s1 AS lo, s2 AS hi, CAST(sum({_TERM}) // 2 AS BIGINT) AS weight FROM (SELECT DISTINCT lo AS s1, hi AS s2, {_FULL} & ~(lo | hi) AS s3 FROM anch) CROSS JOIN cell GROUP BY 1, 2)"
+
+
+@query(_with(_BINARY, _KIDS.format(n="node")) + _TRANS.format(n="node") + _ANCH + _TRIPLES.format(p=_PARTS) + f" SELECT count(*) AS splits, max(weight) AS most, CAST(sum(weight) AS BIGINT) AS total FROM {_A13}")
+def a14_weight_stats(spark, d):
+    return weights.weight_stats(a13_split_weights(spark, d))
+
+
+_REACH = f", reach(parent) AS (SELECT {_FULL}::BIGINT UNION SELECT x.m FROM reach JOIN (SELECT parent, unnest([lo, hi]) AS m FROM {{t}}) x USING (parent))"
+
+
+@query(_with(_BINARY, _KIDS.format(n="node")) + _TRANS.format(n="node") + _ANCH + _REACH.format(t="anch") + " SELECT * FROM anch WHERE parent IN (SELECT parent FROM reach)")
+def f13_reachable_divisions(spark, d):
+    moves = transitions.anchored(transitions.from_nodes(binary(spark, d), MASKS), MASKS, ANCHOR).persist()
+    return transitions.reachable(moves, MASKS)
 
 
 _SP = ", sps AS (SELECT list_sort(list(c.mask)) AS kids, p.mask AS mask FROM {s} c JOIN {s} p ON p.lo = c.plo AND p.hi = c.phi GROUP BY p.mask), sides AS (SELECT list_filter(list_append(kids, " + str(_FULL) + " & ~mask), lambda m: m <> 0) AS s FROM sps), tri AS (SELECT s[1] AS s1, s[2] AS s2, s[3] AS s3 FROM sides WHERE len(s) = 3)"
@@ -295,12 +318,12 @@ _SP = ", sps AS (SELECT list_sort(list(c.mask)) AS kids, p.mask AS mask FROM {s}
 @query(_with(_WIDE, _KIDS.format(n="wnode"), _SPECIES) + _SP.format(s="sp") + _TRIPLES.format(p=_PARTS) + f" SELECT s1 AS lo, s2 AS hi, CAST(sum({_TERM}) // 2 AS BIGINT) AS weight FROM tri CROSS JOIN cell GROUP BY 1, 2")
 def t10_polytomous_weights(spark, d):
     sides = weights.species_sides(summary(spark, d), MASKS).select(F.element_at("sides", 1).alias("lo"), F.element_at("sides", 2).alias("hi"))
-    return weights.split_weights(sides, partitions.partition_table(wide(spark, d), MASKS), MASKS)
+    return weights.split_weights(sides, _parts(wide(spark, d)), MASKS)
 
 
 @query(_with(_BINARY, _KIDS.format(n="node"), _SPECIES) + _SP.format(s="sp") + _TRIPLES.format(p=_PARTS) + f" SELECT CAST(sum({_TERM}) // 4 AS BIGINT) AS quartet_score FROM tri CROSS JOIN cell")
 def t19_fixed_tree_score(spark, d):
-    return weights.fixed_tree_score(summary(spark, d), partitions.partition_table(binary(spark, d), MASKS), MASKS)
+    return weights.fixed_tree_score(summary(spark, d), _parts(binary(spark, d)), MASKS)
 
 
 #: Straight from the definition: pairs of cells that share neither row nor column, beside a pair within a third cell.
@@ -316,7 +339,7 @@ _T21 = f""",
 
 @query(_with(_WIDE, _KIDS.format(n="wnode"), _WSPECIES) + _SP.format(s="wsp") + _T21)
 def t21_polytomous_score(spark, d):
-    return weights.fixed_tree_score(summary(spark, d, 2), partitions.partition_table(wide(spark, d), MASKS), MASKS)
+    return weights.fixed_tree_score(summary(spark, d, 2), _parts(wide(spark, d)), MASKS)
 
 
 _NONTRIV = f"bip AS (SELECT DISTINCT tree, CASE WHEN mask & 1 = 1 THEN {_FULL} & ~mask ELSE mask END AS mask FROM node WHERE psize IS NOT NULL AND kids > 0 AND bit_count(mask) BETWEEN 2 AND {N - 2})"
@@ -334,24 +357,38 @@ def u5_degree_histogram(spark, d):
 
 
 def _weighed(nodes: DataFrame) -> DataFrame:
-    moves = transitions.anchored(transitions.from_nodes(nodes, MASKS), MASKS, ANCHOR)
-    return moves.join(weights.split_weights(moves, partitions.partition_table(nodes, MASKS), MASKS), ["lo", "hi"])
+    moves = transitions.anchored(transitions.from_nodes(nodes, MASKS), MASKS, ANCHOR).persist()
+    return moves.join(weights.split_weights(moves, _parts(nodes), MASKS), ["lo", "hi"])
 
 
-@query()
-def t17_best_divisions(spark, d):
-    """The dynamic program; its rows are checked by t17_division_faults."""
-    return inference.best_divisions(_weighed(binary(spark, d)), MASKS)
+#: Best totals by growing size, all earlier ones carried along; then down from all taxa. Ties: the lesser lo.
+_BEST = f""",
+    weighed AS (SELECT a.parent, a.lo, a.hi, coalesce(w.weight, 0) AS weight FROM anch a LEFT JOIN (SELECT s1 AS lo, s2 AS hi, CAST(sum({_TERM}) // 2 AS BIGINT) AS weight FROM (SELECT DISTINCT lo AS s1, hi AS s2, {_FULL} & ~(lo | hi) AS s3 FROM anch) CROSS JOIN cell GROUP BY 1, 2) w USING (lo, hi)),
+    known AS (SELECT DISTINCT m FROM (SELECT unnest([parent, lo, hi]) AS m FROM weighed)),
+    bare AS (SELECT m FROM known WHERE m NOT IN (SELECT parent FROM weighed)),
+    best AS (
+        SELECT 1 AS step, m AS mask, CAST(0 AS BIGINT) AS total, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi, CAST(NULL AS BIGINT) AS weight FROM bare
+        UNION ALL
+        SELECT step + 1, mask, total, lo, hi, weight FROM (
+            SELECT step, mask, total, lo, hi, weight FROM best
+            UNION ALL
+            SELECT * FROM (
+                SELECT l.step, s.parent AS mask, s.weight + l.total + h.total AS total, s.lo, s.hi, s.weight
+                FROM weighed s JOIN best l ON l.mask = s.lo JOIN best h ON h.mask = s.hi WHERE bit_count(s.parent) = l.step + 1
+                QUALIFY row_number() OVER (PARTITION BY s.parent ORDER BY s.weight + l.total + h.total DESC, s.lo) = 1))
+        WHERE step < {N}),
+    chosen AS (
+        SELECT mask, total, lo, hi, weight FROM best WHERE step = {N} AND mask = {_FULL}
+        UNION ALL
+        SELECT b.mask, b.total, b.lo, b.hi, b.weight FROM chosen c JOIN best b ON b.mask IN (c.lo, c.hi) WHERE b.step = {N} AND b.lo IS NOT NULL)
+    SELECT * FROM chosen"""
 
 
-@query("SELECT CAST(0 AS BIGINT) AS faults")
-def t17_division_faults(spark, d):
-    """Chosen divisions whose sides don't make up the cluster, or whose total isn't weight and the totals of both sides."""
-    best = t17_best_divisions(spark, d).select(*[F.col(c).cast("long").alias(c) for c in ("mask", "total", "lo", "hi", "weight")])
-    side = best.select("mask", "total")
-    j = best.join(side.select(F.col("mask").alias("lo"), F.col("total").alias("tl")), "lo", "left").join(side.select(F.col("mask").alias("hi"), F.col("total").alias("th")), "hi", "left")
-    wrong = (F.col("lo") + F.col("hi") != F.col("mask")) | (F.col("total") != F.col("weight") + F.coalesce("tl", F.lit(0)) + F.coalesce("th", F.lit(0)))
-    return j.agg(F.count_if(wrong).alias("faults"))
+@query(_with(_BINARY, _KIDS.format(n="node")) + _TRANS.format(n="node") + _ANCH + _TRIPLES.format(p=_PARTS) + _BEST)
+def t17_best_divisions(spark, d):
+    """The dynamic program: the divisions of the best summary tree and their totals."""
+    best = inference.best_divisions(_weighed(binary(spark, d)), MASKS)
+    return best.select(*[F.col(c).cast("long").alias(c) for c in ("mask", "total", "lo", "hi", "weight")])
 
 
 @query("SELECT CAST(0 AS BIGINT) AS faults")
@@ -380,7 +417,20 @@ def c5_completed_trees(spark, d):
     return done.groupBy("tree").agg(F.max("hi").alias("n_leaves"), F.count("*").alias("n_nodes"))
 
 
-@query()
+#: The accepted clusters so far are carried along, one bipartition a step.
+_CONSENSUS = f""",
+    bip AS (SELECT CASE WHEN mask & 1 = 1 THEN {_FULL} & ~mask ELSE mask END AS m, count(*) AS f FROM {_CANON} GROUP BY 1),
+    ranked AS (SELECT m, f, row_number() OVER (ORDER BY f DESC, m) AS r FROM bip WHERE bit_count(m) BETWEEN 2 AND {N - 2}),
+    walk AS (
+        SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept
+        UNION ALL
+        SELECT x.r, CASE WHEN len(list_filter(kept, lambda k: k & x.m <> 0 AND k & x.m <> k AND k & x.m <> x.m)) = 0 THEN list_append(kept, x.m) ELSE kept END FROM walk w JOIN ranked x ON x.r = w.r + 1),
+    chosen AS (SELECT unnest(kept) AS m FROM walk WHERE r = (SELECT count(*) FROM ranked)),
+    threshold AS (SELECT * FROM (VALUES {", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(kernels.THRESHOLDS))}) v(family, threshold))
+    SELECT family, threshold, m AS mask FROM chosen JOIN ranked USING (m) CROSS JOIN threshold WHERE threshold = 0 OR f > threshold * (SELECT count(DISTINCT tree) FROM leaf)"""
+
+
+@query(_with(_BINARY) + _CONSENSUS)
 def g1_greedy_consensus(spark, d):
     """The laminar families at all thresholds."""
     nodes = binary(spark, d)
@@ -389,6 +439,64 @@ def g1_greedy_consensus(spark, d):
     return spark.createDataFrame(rows, "family int, threshold double, mask long")
 
 
+_KEPT = "kept AS (SELECT tree, bit_or(1::BIGINT << taxon) AS k FROM (SELECT tree, taxon, row_number() OVER (PARTITION BY tree ORDER BY md5('42:' || tree || ':' || taxon), taxon) AS rank, count(*) OVER (PARTITION BY tree) AS n FROM leaf) WHERE rank > greatest(0, least(floor(n * 0.3::DOUBLE), n - 4)) GROUP BY tree)"
+
+
+@query(_with(_BINARY, _KEPT) + " SELECT DISTINCT tree, mask & k AS mask FROM node JOIN kept USING (tree) WHERE bit_count(mask & k) > 1")
+def u10_pruned_trees(spark, d):
+    """Inner nodes after three tenths of each tree's taxa are removed."""
+    return perturb.prune_taxa(binary(spark, d), MASKS).filter("n_children > 0").select("tree", "mask")
+
+
+@query(_with(_BINARY) + f" SELECT tree, lo, hi, mask FROM node WHERE NOT (psize IS NOT NULL AND kids > 0 AND substr(md5('42:' || tree || ':' || lo || ':' || hi), 1, 8) < '{int(0.3 * 2**32):08x}')")
+def u11_collapsed_edges(spark, d):
+    return perturb.collapse_edges(binary(spark, d)).select("tree", "lo", "hi", "mask")
+
+
+_OUTGROUP = "(SELECT n_nationkey AS taxon FROM nation WHERE n_regionkey = 4)"
+
+
+@query(_with(_BINARY, f"o AS (SELECT tree, bit_or(CASE WHEN taxon IN {_OUTGROUP} THEN 1::BIGINT << taxon ELSE 0 END) AS o, bit_or(1::BIGINT << taxon) AS whole, min(taxon) FILTER (WHERE taxon IN {_OUTGROUP}) AS first FROM leaf GROUP BY tree)", "r AS (SELECT tree, whole, CASE WHEN EXISTS (SELECT 1 FROM node n WHERE n.tree = o.tree AND n.mask IN (o.o, o.whole & ~o.o)) THEN o ELSE 1::BIGINT << first END AS side FROM o WHERE o NOT IN (0, whole))") + " SELECT tree::BIGINT AS tree, least(side, whole & ~side) AS a, greatest(side, whole & ~side) AS b FROM r")
+def u7_outgroup_roots(spark, d):
+    """The two sides of each tree's root after it is set beside an outgroup (trees with and without such taxa)."""
+    outgroup = {r["n_nationkey"] for r in spark.read.parquet(f"{d}/nation.parquet").filter("n_regionkey = 4").select("n_nationkey").collect()}
+    nodes = binary(spark, d)
+    bits = MASKS.lit(sum(1 << t for t in outgroup))
+    mixed = nodes.filter("parent is null").filter((MASKS.both(F.col("mask"), bits) != 0) & (MASKS.less(F.col("mask"), bits) != 0)).select("tree")
+    done = perturb.rooted(nodes.join(mixed, "tree", "left_semi"), outgroup, MASKS)
+    root = done.filter("parent is null").select("tree", F.col("node").alias("parent"))
+    return done.join(root, ["tree", "parent"]).groupBy("tree").agg(F.min("mask").alias("a"), F.max("mask").alias("b"))
+
+
+_BRANCH = f""",
+    spk AS (SELECT plo, phi, psize, arg_min(mask, lo) AS k0, arg_max(mask, lo) AS k1, count(*) AS k FROM sp WHERE psize IS NOT NULL GROUP BY 1, 2, 3),
+    cand AS (
+        SELECT x.lo, x.hi, x.mask, x.plo, x.phi, o.k0 AS c2, o.k1 AS c1, u.k0 AS s0, u.k1 AS s1, p.psize IS NULL AS at_root
+        FROM sp x JOIN spk o ON o.plo = x.lo AND o.phi = x.hi JOIN spk u ON u.plo = x.plo AND u.phi = x.phi JOIN sp p ON p.lo = x.plo AND p.hi = x.phi WHERE x.psize IS NOT NULL AND x.kids = 2),
+    sister AS (SELECT c.*, CASE WHEN s0 = c.mask THEN s1 ELSE s0 END AS sib FROM cand c),
+    branch AS (
+        SELECT row_number() OVER () AS node, c1, c2, CASE WHEN at_root THEN o.k1 ELSE sib END AS sister, CASE WHEN at_root THEN o.k0 ELSE {_FULL} & ~(x.mask | sib) END AS remaining
+        FROM sister x LEFT JOIN sp y ON y.mask = x.sib LEFT JOIN spk o ON o.plo = y.lo AND o.phi = y.hi WHERE NOT at_root OR (y.kids = 2 AND x.lo = 0)),
+    gside AS (SELECT tree, whole, list_filter([m1, m2, m3], lambda m: m <> 0) AS s FROM around WHERE m3 <> 0),
+    met AS (SELECT node, tree, s, [c1, c2, sister, remaining] AS g, bit_count(c1 & whole)::BIGINT * bit_count(c2 & whole) * bit_count(sister & whole) * bit_count(remaining & whole) AS product FROM branch, gside),
+    perm AS (SELECT * FROM (VALUES (1, 2, 3), (2, 1, 3), (3, 1, 2), (1, 3, 2), (2, 3, 1), (3, 2, 1)) p(i, j, k)),
+    pairing AS (SELECT * FROM (VALUES (1, 1, 2, 3, 4), (2, 1, 3, 2, 4), (3, 1, 4, 2, 3)) p(q, x, y, z, w)),
+    hit AS (
+        SELECT node, tree, product, q, sum(bit_count(g[z] & s[i])::BIGINT * bit_count(g[w] & s[i]) * bit_count(g[x] & s[j]) * bit_count(g[y] & s[k]) + bit_count(g[x] & s[i])::BIGINT * bit_count(g[y] & s[i]) * bit_count(g[z] & s[j]) * bit_count(g[w] & s[k])) AS n
+        FROM met, perm, pairing WHERE product > 0 GROUP BY 1, 2, 3, 4)
+    SELECT any_value(b.c1) AS c1, any_value(b.c2) AS c2, any_value(b.sister) AS sister, count(DISTINCT tree) AS n_genes,
+           round(sum(n / (2.0::DOUBLE * product)) FILTER (WHERE q = 1), 6) AS f1, round(sum(n / (2.0::DOUBLE * product)) FILTER (WHERE q = 2), 6) AS f2, round(sum(n / (2.0::DOUBLE * product)) FILTER (WHERE q = 3), 6) AS f3
+    FROM hit JOIN branch b USING (node) GROUP BY node"""
+
+
+@query(_with(_BINARY, _KIDS.format(n="node"), _SPECIES) + _BRANCH)
+def b2_quartet_frequencies(spark, d):
+    """The shares of the three pairings around each branch of the summary tree, to six decimals."""
+    branch = support.branches(summary(spark, d), MASKS)
+    found = support.quartet_frequencies(branch, support.gene_sides(binary(spark, d), MASKS), MASKS)
+    return found.join(branch, "node").select("c1", "c2", "sister", "n_genes", *[F.round(f, 6).alias(f) for f in ("f1", "f2", "f3")])
+
+
 @query()
 def b2_branch_support(spark, d):
     """Quartet frequencies, posteriors and lengths of the summary tree's branches."""

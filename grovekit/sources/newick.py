@@ -143,6 +143,19 @@ def with_parents(nodes: DataFrame) -> DataFrame:
     return twice.withColumn("n_children", kids.cast("int")).filter("not as_child").drop("as_child", "key")
 
 
+def to_text(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """tree, newick: topology and names, by plain aggregation: what opens before and closes after each leaf. names: taxon, name."""
+    raw = F.col("name")
+    name = F.when(raw.rlike(r"[(),:;'\[\]\s]"), F.concat(F.lit("'"), F.replace(raw, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(raw)
+    leaf = nodes.filter("taxon is not null").select("tree", F.col("lo").alias("pos"), "taxon").join(F.broadcast(names), "taxon").select("tree", "pos", name.alias("name"))
+    inner = nodes.filter("n_children > 0")
+    opens = inner.groupBy("tree", F.col("lo").alias("pos")).agg(F.count("*").cast("int").alias("o"))
+    closes = inner.groupBy("tree", (F.col("hi") - 1).alias("pos")).agg(F.count("*").cast("int").alias("c"))
+    each = leaf.join(opens, ["tree", "pos"], "left").join(closes, ["tree", "pos"], "left")
+    text = F.concat(F.repeat(F.lit("("), F.coalesce("o", F.lit(0))), "name", F.repeat(F.lit(")"), F.coalesce("c", F.lit(0))))
+    return each.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))).alias("a")).select("tree", F.concat(F.array_join("a.t", ","), F.lit(";")).alias("newick"))
+
+
 def leaf_table(nodes: DataFrame) -> DataFrame:
     """tree, pos, taxon."""
     return nodes.filter("taxon is not null").select("tree", F.col("lo").cast("int").alias("pos"), "taxon")

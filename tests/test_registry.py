@@ -11,7 +11,7 @@ from grovekit.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables here")
-NAMES = ["s3_newick_round_trip", "s6_restricted_nodes", "a2_cluster_table_anchored", "a5_partitions", "a7_similarity_matrix", "t3_t4_transitions", "a13_split_weights", "t19_fixed_tree_score", "t21_polytomous_score", "u2_all_pairs_rf", "t17_division_faults"]
+NAMES = sorted(registry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
