@@ -30,7 +30,7 @@ def split_statements(text: DataFrame, column: str = "value") -> DataFrame:
     """Several trees in one string, ended by semicolons: tree, newick."""
     parts = text.select(F.monotonically_increasing_id().alias("src"), F.posexplode(F.split(F.col(column), ";")).alias("k", "s"))
     parts = parts.select("src", "k", F.trim(F.regexp_replace("s", r"\s+", " ")).alias("s")).filter(F.length("s") > 0)
-    return parts.select((F.col("src") * (1 << 20) + F.col("k")).alias("tree"), F.concat("s", F.lit(";")).alias("newick"))
+    return parts.select(F.monotonically_increasing_id().alias("tree"), F.concat("s", F.lit(";")).alias("newick"))
 
 
 def concatenated(spark: SparkSession, pattern: str) -> DataFrame:
@@ -77,13 +77,17 @@ def parse(trees: DataFrame, names: DataFrame, masks: Masks, keep: DataFrame | No
     """tree, node, parent, lvl, lo, hi, n_children, child_ord, taxon, mask, label, length.
 
     names: taxon, name of all taxa. keep: names of the leaves to keep; the others go before ranges are made, as do
-    nodes with fewer than two children left and trees with fewer than two leaves.
+    nodes with fewer than two children left and trees with fewer than two leaves. A tree whose brackets don't match, or
+    that has a taxon twice, raises an error with its number when the result is read. A null text has no nodes.
     """
     t = tokens(trees)
     by = Window.partitionBy("tree").orderBy("i")
     opened = F.sum(F.when(F.col("tok") == "(", 1).otherwise(0)).over(by)
     closed = F.sum(F.when(F.col("prev") == ")", 1).otherwise(0)).over(by)
-    t = t.withColumn("depth", opened - closed).withColumn("leaf", is_leaf())
+    step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
+    t = t.withColumn("depth", opened - closed).withColumn("leaf", is_leaf()).withColumn("open_now", F.sum(step).over(by))
+    whole = Window.partitionBy("tree")
+    t = t.withColumn("broken", (F.min("open_now").over(whole) < 0) | (F.sum(step).over(whole) != 0))
     t = t.withColumn("name", F.when(F.col("leaf"), _name()))
     listed = names.join(keep.select("name"), "name", "left_semi") if keep is not None else names
     t = t.join(F.broadcast(listed), "name", "left")  # a dictionary of taxa
@@ -96,7 +100,7 @@ def parse(trees: DataFrame, names: DataFrame, masks: Masks, keep: DataFrame | No
     opens = F.col("tok") == "("
     nodes = t.filter(opens | (F.col("counted") == 1)).select(
         "tree",
-        F.col("i").cast("long").alias("node"),
+        F.when(F.col("broken"), F.raise_error(F.concat(F.lit("brackets don't match in tree "), F.col("tree").cast("string")))).otherwise(F.col("i")).cast("long").alias("node"),
         F.when(opens, F.col("seen")).otherwise(F.col("seen") - 1).cast("int").alias("lo"),
         F.when(opens, F.col("end")).otherwise(F.col("seen")).cast("int").alias("hi"),
         "taxon",
@@ -106,6 +110,9 @@ def parse(trees: DataFrame, names: DataFrame, masks: Masks, keep: DataFrame | No
     alone = F.row_number().over(Window.partitionBy("tree", "lo", "hi").orderBy(F.desc("node")))
     nodes = nodes.filter("hi > lo").withColumn("k", alone).filter("k = 1").drop("k")
     nodes = nodes.withColumn("n_leaves", F.max("hi").over(Window.partitionBy("tree"))).filter("n_leaves >= 2" if keep is not None else "n_leaves >= 1").drop("n_leaves")
+    again = F.col("taxon").isNotNull() & (F.count("taxon").over(Window.partitionBy("tree", "taxon")) > 1)
+    twice = F.raise_error(F.concat(F.lit("a taxon stands twice in tree "), F.col("tree").cast("string")))
+    nodes = nodes.withColumn("taxon", F.when(again, twice).otherwise(F.col("taxon")).cast("int"))
     label = F.regexp_extract("mark", r"^([^:]*)", 1)
     nodes = nodes.withColumn("label", F.when(F.col("taxon").isNull() & (F.trim(label) != ""), F.trim(label))).withColumn("length", F.regexp_extract("mark", r":\s*([^:]*)$", 1).try_cast("double")).drop("mark")
     return with_parents(with_masks(nodes, masks))

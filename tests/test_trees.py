@@ -298,6 +298,15 @@ def test_dumps(spark):
     assert dumps.cluster_lines(nodes, names, masks, 0).count() == len({r["mask"] for r in clusters.cluster_table(nodes, masks, 0).collect()})
 
 
+def test_broken_trees_raise(spark):
+    for text in ("((A,B),(C,D);", "(A,B)),(C,D);", "((A,B),(A,D));"):
+        with pytest.raises(Exception, match="in tree 1"):
+            parsed(spark, ["((A,B),(C,D));", text])[0].collect()
+    assert parsed(spark, ["((A,B),(C,D)); ", "(A,(B,'C(1)'));"])[0].count() == 7 + 5
+    t = spark.createDataFrame([(0, None), (1, "(A,B);")], "tree long, newick string")
+    assert newick.parse(t, newick.taxa(t), Masks(2)).count() == 3
+
+
 def test_command_line(spark, tmp_path, capsys):
     genes, species = tmp_path / "g.tre", tmp_path / "s.tre"
     genes.write_text("\n".join(FIVE) + "\n")
