@@ -96,9 +96,9 @@ def split_ranges(rows: DataFrame, pieces: int, per_piece: int = 24, slack: float
         over = parts.assign(load=load)[(load > slack) & (parts["n"] > fine)]
         if again == rounds or not len(over):
             return cuts, parts
-        # the range number and the chance of its records: at most `pieces` overfull ranges
-        chance = F.create_map(*[x for r in over.itertuples() for x in (F.lit(int(r.part)), F.lit(float(min(1.0, per_piece * r.load / r.n))))])
-        fresh = _draw(rows.withColumn("part", _range_of(cuts)).filter(F.col("part").isin([int(x) for x in over["part"]])), F.element_at(chance, F.col("part")), 2 + again)
+        # the range number and the chance of its records: at most `pieces` overfull ranges, so safe to broadcast
+        chance = rows.sparkSession.createDataFrame([(int(r.part), float(min(1.0, per_piece * r.load / r.n))) for r in over.itertuples()], "part long, share double")
+        fresh = _draw(rows.withColumn("part", _range_of(cuts)).join(F.broadcast(chance), "part"), F.col("share"), 2 + again)
         fresh["part"] = place(tuple(cuts[c].to_numpy(np.int64) for c in ("key", "doc", "uid")), *(fresh[c].to_numpy(np.int64) for c in ("key", "doc", "uid")))
         more = [_splitters(g, 1 + int(np.ceil(over.loc[over["part"] == p, "load"].iloc[0]))) for p, g in fresh.groupby("part")]
         cuts = _order(pd.concat([cuts, *more])).drop_duplicates().reset_index(drop=True)
