@@ -12,6 +12,8 @@ from .mixing import mix
 from .ngram_join import ngram_components
 from .packing import pack
 from .personal_data import find
+from .phrase_index import ORACLE as phrase_oracle
+from .phrase_index import decontaminate
 from .quality_rules import fit, score
 from .secrets import secret_scan
 from .sharding import shard
@@ -60,7 +62,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sampled_shards, op3_quality_rules, op4_personal_data, op5_warc, op6_license_scan, op7_temperature_mixing, op8_exact_dedup, op9_packing, op10_ngram_join)}
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sampled_shards, op3_quality_rules, op4_personal_data, op5_warc, op6_license_scan, op7_temperature_mixing, op8_exact_dedup, op9_packing, op10_ngram_join, op11_phrase_index)}
 
 ORACLES = {
     "op10_ngram_join": r"""
@@ -78,6 +84,7 @@ ORACLES = {
         reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
         SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = sets.doc_id) AS component_id FROM sets
     """,
+    "op11_phrase_index": phrase_oracle,
     "op6_license_scan": license_oracle(),
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
