@@ -17,6 +17,7 @@ from .phrase_index import decontaminate
 from .quality_rules import fit, score
 from .secrets import secret_scan
 from .sharding import shard
+from .spelling import variants
 from .warc import archive_round_trip
 
 
@@ -66,7 +67,11 @@ def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sampled_shards, op3_quality_rules, op4_personal_data, op5_warc, op6_license_scan, op7_temperature_mixing, op8_exact_dedup, op9_packing, op10_ngram_join, op11_phrase_index)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sampled_shards, op3_quality_rules, op4_personal_data, op5_warc, op6_license_scan, op7_temperature_mixing, op8_exact_dedup, op9_packing, op10_ngram_join, op11_phrase_index, op12_spelling_variants)}
 
 ORACLES = {
     "op10_ngram_join": r"""
