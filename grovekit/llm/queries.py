@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .hard_negatives import ORACLE as negatives_oracle
+from .hard_negatives import hard_negatives
 from .licenses import license_scan
 from .licenses import oracle as license_oracle
 from .mixing import mix
@@ -71,7 +73,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sampled_shards, op3_quality_rules, op4_personal_data, op5_warc, op6_license_scan, op7_temperature_mixing, op8_exact_dedup, op9_packing, op10_ngram_join, op11_phrase_index, op12_spelling_variants)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sampled_shards, op3_quality_rules, op4_personal_data, op5_warc, op6_license_scan, op7_temperature_mixing, op8_exact_dedup, op9_packing, op10_ngram_join, op11_phrase_index, op12_spelling_variants, op13_hard_negatives)}
 
 ORACLES = {
     "op10_ngram_join": r"""
@@ -90,6 +96,7 @@ ORACLES = {
         SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = sets.doc_id) AS component_id FROM sets
     """,
     "op11_phrase_index": phrase_oracle,
+    "op13_hard_negatives": negatives_oracle,
     "op6_license_scan": license_oracle(),
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
