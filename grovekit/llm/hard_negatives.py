@@ -76,7 +76,7 @@ class VPTree:
         if self.exact and float(q @ q) < 2.0**52:
             return (self.x[rows] @ q).astype(np.int64)
         whole = [int(c) for c in q]
-        return np.array([max(-_MOST - 1, min(_MOST, sum(a * int(b) for a, b in zip(whole, self.x[i], strict=True) if b))) for i in rows], dtype=np.int64)
+        return np.array([max(-_MOST, min(_MOST, sum(a * int(b) for a, b in zip(whole, self.x[i], strict=True) if b))) for i in rows], dtype=np.int64)
 
     def nearest(self, q: np.ndarray, accept: Callable[[np.ndarray], np.ndarray], low: int | None, high: int | None, seen: dict) -> Iterator[tuple[int, int]]:
         """(score, identifier) of accepted rows with low <= score <= high, higher scores first. seen keeps a query's leaf scores."""
