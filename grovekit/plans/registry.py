@@ -85,10 +85,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import growing  # noqa: F401  it registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import growing  # noqa: F401
+
     return dict(_SQL)
 
 

@@ -40,3 +40,32 @@ def block_nodes(leaf: DataFrame, masks: Masks, radix_bits: int = 1, levels: int
     kept = blocks.filter((F.col("l") == 0) | (F.col("size") > child))
     kept = kept.select("tree", (F.col("l") * 65536 + F.col("b")).cast("long").alias("node"), "lo", "hi", F.when(F.col("l") == 0, F.col("t")).alias("taxon"), "mask")
     return with_parents(kept)
+
+
+def customer_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tree, taxon, pos: a tree per order year, its leaves the customers who ordered, by nation and number. Taxa grow with the tables."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.year("o_orderdate").alias("tree")).distinct()
+    return _by_nation(orders, spark, sf_dir)
+
+
+def customer_label_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree of all customers who ever ordered."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.lit(0).alias("tree")).distinct()
+    return _by_nation(orders, spark, sf_dir)
+
+
+def _by_nation(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    pos = F.row_number().over(Window.partitionBy("tree").orderBy("c_nationkey", "c_custkey")) - 1
+    return rows.select("tree", F.col("c_custkey").cast("int").alias("taxon"), pos.cast("int").alias("pos"))
+
+
+def block_ranges(leaf: DataFrame, radix_bits: int = 1, levels: int = 20) -> DataFrame:
+    """The nodes of block_nodes() without masks, from the trees' sizes alone: tree, node, parent, lvl, lo, hi, n_children, child_ord."""
+    sizes = leaf.groupBy("tree").agg(F.count("*").cast("int").alias("n"))
+    at = sizes.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("w", F.expr(f"shiftleft(1L, l * {radix_bits})"))
+    at = at.filter((F.col("l") == 0) | (F.col("n") * (1 << radix_bits) > F.col("w")))
+    each = at.withColumn("b", F.explode(F.expr("sequence(0L, (n - 1) div w)"))).withColumn("lo", F.col("b") * F.col("w")).withColumn("hi", F.least("n", F.col("lo") + F.col("w")))
+    kept = each.filter((F.col("l") == 0) | (F.col("hi") - F.col("lo") > F.expr(f"w div {1 << radix_bits}")))
+    return with_parents(kept.select("tree", (F.col("l") * (1 << 40) + F.col("b")).alias("node"), F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi")))
