@@ -297,21 +297,6 @@ def complete(root: Node, similar: np.ndarray, nearest: np.ndarray) -> Node:
 THRESHOLDS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 1 / 3)
 
 
-def greedy_consensus(bipartitions: list[tuple[int, int]], n: int, n_trees: int, thresholds: Iterable[float] = THRESHOLDS) -> list[tuple[int, float, int]]:
-    """(index, threshold, cluster) of the laminar families: bipartitions by frequency, each taken if it fits those before.
-
-    Clusters are sides without taxon 0, so two fit if they are nested or disjoint. A threshold's family has the
-    bipartitions whose share of the trees is above it (all of them at 0).
-    """
-    full = (1 << n) - 1
-    sides = sorted(((f, full & ~m if m & 1 else m) for m, f in bipartitions), key=lambda x: (-x[0], x[1]))
-    kept: list[tuple[int, int]] = []
-    for f, m in sides:
-        if 1 < m.bit_count() < n - 1 and all(m & k in (0, m, k) for _, k in kept):
-            kept.append((f, m))
-    return [(i, t, m) for i, t in enumerate(thresholds) for f, m in kept if f > t * n_trees or t == 0]
-
-
 def arms(clusters: list[int], n: int) -> list[list[int]]:
     """The groups around every node of more than three neighbours in the tree of a laminar family."""
     full = (1 << n) - 1
@@ -349,46 +334,6 @@ def resolve_by_similarity(groups: list[int], similar: np.ndarray, reps: list[int
     return out
 
 
-def resolve_by_sampling(groups: list[int], trees: list[list[int]], seed: int, rounds: int = 10, bonus: int = 2, most: int = 100, similar: np.ndarray | None = None, balls: bool = False) -> list[int]:
-    """Unions of groups from greedy consensus of the splits that gene trees induce on one sampled taxon per group.
-
-    trees: the clusters of each gene tree. A round that adds a union seen in more than 5 trees and 1 % of them earns
-    two more rounds, up to `most`. The choice depends on the groups and the seed alone. With similarities, each round
-    with splits also gives the unions of UPGMA on its sampled taxa, and the first rounds, with balls, their nested balls.
-    """
-    d = len(groups)
-    if d < 4:
-        return []
-    rng = random.Random(f"{seed}:{groups}")
-    sets, out, near, earned, done = [_members(g) for g in groups], [], [], 0, 0
-    while done < rounds + earned:
-        done += 1
-        reps = [rng.choice(s) for s in sets]
-        sampled = sum(1 << t for t in reps)
-        seen: dict[int, int] = {}
-        for clusters in trees:
-            induced = {m & sampled for m in clusters}
-            for m in {min(m, sampled & ~m) for m in induced if 2 <= m.bit_count() <= d - 2}:
-                seen[m] = seen.get(m, 0) + 1
-        kept: list[int] = []
-        gain = False
-        for m, f in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-            side = m if not m >> reps[0] & 1 else sampled & ~m
-            if all(side & k in (0, side, k) for k in kept):
-                kept.append(side)
-                union = sum(g for g, t in zip(groups, reps, strict=True) if side >> t & 1)
-                if union not in out:
-                    out.append(union)
-                    gain |= f > 5 and f >= 0.01 * len(trees)
-        if gain:
-            earned = min(most, earned + bonus)
-        if seen and similar is not None:
-            near += resolve_by_similarity(groups, similar, reps)
-            if balls and done <= rounds:
-                near += nested_balls(groups, similar, reps)
-    return list(dict.fromkeys(out + near))
-
-
 def sample_multifurcation(groups: list[int], guide: list[int], seed: int, rounds: int = 3) -> list[int]:
     """Unions of the arms of an input multifurcation (4 to 31 arms) that the guide tree suggests for sampled taxa."""
     d = len(groups)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.masks import Masks
 from ..operators import clusters, kernels, matrices
 from ..sources import newick
-from . import inference
+from . import consensus, inference
 
 
 def _headed(spark, head: list[str], rows: DataFrame) -> DataFrame:
@@ -56,7 +56,6 @@ def cluster_lines(nodes: DataFrame, names: DataFrame, masks: Masks, anchor: int
 
 def consensus_lines(nodes: DataFrame, names: list[str], masks: Masks) -> DataFrame:
     """line: for each threshold its number and the sorted names of every cluster of the greedy consensus."""
-    counted = [(masks.unpack(r["mask"]), r["freq"]) for r in clusters.bipartition_table(nodes, masks).toLocalIterator()]
-    rows = kernels.greedy_consensus(counted, masks.n, nodes.select("tree").distinct().count())
+    rows = consensus.families(clusters.bipartition_table(nodes, masks), masks, nodes.select("tree").distinct().count())
     lines = sorted((i, ",".join(sorted(names[t] for t in range(masks.n) if m >> t & 1)), c) for i, c, m in rows)
     return nodes.sparkSession.createDataFrame([(f"threshold={c:g} {{{x}}}",) for _, x, c in lines] or [("",)], "line string")

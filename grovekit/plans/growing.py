@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import ranges
+from ..operators import ancestors, ranges
 from ..sources import derived
 from .registry import _FULL, _KIDS, _PARTS, _SP, _TERM, _TRANS, _TRIPLES, MASKS, _cte, query
 
@@ -175,3 +175,18 @@ def h7_node_weights_of_customers(spark, d):
 def t19_fixed_score_of_customers(spark, d):
     nodes, leaf, species, label = _customers(spark, d)
     return ranges.fixed_score(species, label, nodes, leaf).select(F.col("quartet_score").cast("long").alias("quartet_score"))
+
+
+@query(_wide(_sets("node", "wleaf")) + """,
+    pair AS (SELECT DISTINCT tree, a, b FROM (SELECT CAST(year(o_orderdate) AS INT) AS tree, CAST(o_custkey AS INT) AS a, CAST(lead(o_custkey) OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS INT) AS b FROM orders) WHERE b IS NOT NULL)
+    SELECT p.tree, p.a, p.b, CAST(count(*) - 1 AS INT) AS lvl, CAST(max(q.lo) AS INT) AS lo, CAST(min(q.hi) AS INT) AS hi
+    FROM pair p JOIN wleaf x ON x.tree = p.tree AND x.taxon = p.a JOIN wleaf y ON y.tree = p.tree AND y.taxon = p.b JOIN node q ON q.tree = p.tree AND q.lo <= least(x.pos, y.pos) AND q.hi > greatest(x.pos, y.pos) GROUP BY 1, 2, 3""")
+def j9_ancestors_of_customers(spark, d):
+    """The least common ancestors of customers whose orders follow each other."""
+    leaf = derived.customer_leaves(spark, d)
+    nodes = derived.block_ranges(leaf).join(leaf.select("tree", F.col("pos").alias("lo"), F.col("taxon").alias("t")), ["tree", "lo"]).withColumn("taxon", F.when(F.col("n_children") == 0, F.col("t"))).drop("t")
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.year("o_orderdate").alias("tree"), F.col("o_custkey").cast("int").alias("a"), "o_orderkey")
+    after = F.lead("a").over(Window.partitionBy("tree").orderBy("o_orderkey"))
+    pairs = orders.withColumn("b", after).filter("b IS NOT NULL").select("tree", "a", "b").distinct()
+    nodes = nodes.persist()
+    return ancestors.of_pairs(pairs, nodes).join(nodes.select("tree", "node", "lo", "hi"), ["tree", "node"]).select("tree", "a", "b", "lvl", "lo", "hi")

@@ -15,6 +15,7 @@ from ..functions.masks import Masks
 from ..operators import clusters, kernels, matrices, partitions, support, transitions, weights
 from ..sources import newick
 from ..sources.durable import durable
+from .enrich import proposals
 
 
 @dataclass(frozen=True)
@@ -113,36 +114,8 @@ def best_divisions(splits: DataFrame, masks: Masks, wide: bool = False) -> DataF
 
 def enrich(x: DataFrame, nodes: DataFrame, s: np.ndarray, masks: Masks, o: Options) -> DataFrame:
     """X with what the consensus of the trees proposes for its unresolved nodes, as sides without the anchor."""
-    spark, n = nodes.sparkSession, masks.n
-    counted = [(masks.unpack(r["mask"]), r["freq"]) for r in clusters.bipartition_table(nodes, masks).toLocalIterator()]
-    n_trees = nodes.select("tree").distinct().count()
-    families: dict[int, list[int]] = {}
-    for i, _, m in kernels.greedy_consensus(counted, n, n_trees):
-        families.setdefault(i, []).append(m)
-    pool = {tuple(g): i for i in sorted(families, reverse=True) for g in kernels.arms(families[i], n)} or {tuple(g): 0 for g in kernels.arms([], n)}
-    limit = kernels.within_budget([len(g) for g in pool], n)
-    tree_masks = nodes.filter("parent is not null and n_children > 0").groupBy("tree").agg(F.collect_list("mask").alias("m"))
-    trees = [[masks.unpack(v) for v in r["m"]] for r in tree_masks.toLocalIterator()]
-    tasks = spark.createDataFrame([([str(x) for x in g], i) for g, i in pool.items() if len(g) <= limit] or [(["1"], 0)], "groups array<string>, family int")
-
-    def run(parts):
-        for p in parts:
-            found = set()
-            for g, family in zip(p.groups, p.family, strict=True):
-                groups = [int(v) for v in g]
-                if len(groups) > 3:
-                    found.update(kernels.resolve_by_similarity(groups, s), kernels.resolve_by_sampling(groups, trees, o.seed, similar=s, balls=o.nearest_balls and family <= 2 and len(groups) <= 31))
-                    if o.nearest_balls:
-                        found.update(kernels.nested_balls(groups, s))
-            yield pd.DataFrame({"m": [str(v) for v in sorted(found)]})
-
-    full = (1 << n) - 1
-    a = 0 if o.anchor is None else o.anchor
-    said = {int(r["m"]) for r in tasks.mapInPandas(run, "m string").distinct().toLocalIterator()}
-    new = sorted({full & ~m if m >> a & 1 else m for m in said} - {0, full})
-    schema = T.StructType([T.StructField("mask", x.schema["mask"].dataType)])
-    emitted = spark.createDataFrame([(masks.pack(m),) for m in new], schema)
-    added = emitted.join(x, "mask", "left_anti").select("mask", masks.count(F.col("mask")).alias("sz"), F.lit(0).cast("long").alias("freq"))
+    found = proposals(nodes, s, masks, o.seed, o.nearest_balls, o.random_leftovers, 0 if o.anchor is None else o.anchor)
+    added = found.join(x, "mask", "left_anti").select("mask", masks.count(F.col("mask")).alias("sz"), F.lit(0).cast("long").alias("freq"))
     return x.unionByName(added)
 
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masks import Masks
-from ..operators import clusters, kernels, matrices, partitions, perturb, support, taxa, transitions, weights
+from ..operators import ancestors, clusters, kernels, matrices, partitions, perturb, support, taxa, transitions, weights
 from ..sources import derived, newick
-from . import inference
+from . import consensus, enrich, inference
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -438,11 +439,65 @@ _CONSENSUS = f""",
 def g1_greedy_consensus(spark, d):
     """The laminar families at all thresholds."""
     nodes = binary(spark, d)
-    counted = [(r["mask"], r["freq"]) for r in clusters.bipartition_table(nodes, MASKS).toLocalIterator()]
-    rows = kernels.greedy_consensus(counted, N, nodes.select("tree").distinct().count())
+    rows = consensus.families(clusters.bipartition_table(nodes, MASKS), MASKS, nodes.select("tree").distinct().count())
     return spark.createDataFrame(rows, "family int, threshold double, mask long")
 
 
+#: Inner nodes are the smaller sides; a node begins where its parent does, after the siblings with lesser taxa.
+_SNAPSHOT = _CONSENSUS.split("SELECT family, threshold, m AS mask")[0] + f""",
+    inside AS (
+        SELECT family, CASE WHEN bit_count(m) * 2 < {N} THEN m ELSE {_FULL} & ~m END AS mask FROM chosen JOIN ranked USING (m) CROSS JOIN threshold WHERE threshold = 0 OR f > threshold * (SELECT count(DISTINCT tree) FROM leaf)
+        UNION ALL SELECT family, 1::BIGINT << t FROM threshold, (SELECT unnest(range({N})) AS t)),
+    whole AS (SELECT * FROM inside UNION ALL SELECT family, {_FULL}::BIGINT FROM threshold),
+    kid AS (SELECT c.family, c.mask, min((bit_count(p.mask), p.mask))[2] AS up FROM inside c JOIN whole p ON p.family = c.family AND p.mask & c.mask = c.mask AND p.mask <> c.mask GROUP BY 1, 2),
+    placed AS (SELECT family, mask, up, sum(bit_count(mask)) OVER (PARTITION BY family, up ORDER BY mask & -mask) - bit_count(mask) AS off FROM kid),
+    walk2 AS (SELECT family, {_FULL}::BIGINT AS mask, 0::BIGINT AS lo FROM threshold UNION ALL SELECT k.family, k.mask, (w.lo + k.off)::BIGINT FROM walk2 w JOIN placed k ON k.family = w.family AND k.up = w.mask)
+    SELECT family, CAST(lo AS INT) AS lo, CAST(lo + bit_count(mask) AS INT) AS hi, CASE WHEN bit_count(mask) = 1 THEN CAST(log2(mask) AS INT) END AS taxon, CAST((SELECT count(*) FROM kid k WHERE k.family = w.family AND k.up = w.mask) AS INT) AS n_children FROM walk2 w"""
+
+
+@query(_with(_BINARY) + _SNAPSHOT)
+def g5_consensus_snapshots(spark, d):
+    """The ordered consensus trees at all thresholds, node by node."""
+    nodes = binary(spark, d)
+    trees = consensus.snapshots(clusters.bipartition_table(nodes, MASKS), MASKS, nodes.select("tree").distinct().count())
+    return trees.select(F.col("tree").alias("family"), "lo", "hi", "taxon", "n_children")
+
+
+@query(_with(_BINARY) + " SELECT mask, kind, family, ranges, freq FROM (SELECT mask, CAST(lvl % 5 AS INT) AS kind, CAST(tree % 7 AS INT) AS family, CAST(bit_count(mask & ~(mask << 1)) AS INT) AS ranges, size AS freq FROM node WHERE kids > 0) QUALIFY row_number() OVER (PARTITION BY mask ORDER BY kind, family, ranges, freq DESC) = 1")
+def g17_emission_preference(spark, d):
+    """Of equal proposals one is left: by kind, threshold and number of ranges."""
+    each = binary(spark, d).filter("n_children > 0")
+    ranges = F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not(F.shiftleft("mask", 1))))
+    return enrich.one_of_each(each.select("mask", (F.col("lvl") % 5).cast("int").alias("kind"), (F.col("tree") % 7).cast("int").alias("family"), ranges.cast("int").alias("ranges"), (F.col("hi") - F.col("lo")).cast("long").alias("freq")))
+
+
+@query(_with(_BINARY) + """,
+    rep AS (SELECT n_regionkey AS place, n_nationkey AS taxon, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS round FROM nation),
+    cut AS (SELECT DISTINCT x.tree, r.round, (SELECT sum(1 << q.place)::BIGINT FROM rep q WHERE q.round = r.round AND (x.mask >> q.taxon) & 1 = 1) AS side FROM node x, (SELECT DISTINCT round FROM rep) r WHERE x.psize IS NOT NULL)
+    SELECT round::INT AS round, least(side, 31 - side)::BIGINT AS side, count(DISTINCT tree) AS freq FROM cut WHERE bit_count(side) BETWEEN 2 AND 3 GROUP BY 1, 2""")
+def g11_induced_splits(spark, d):
+    """How the trees divide samples of one nation from each region."""
+    nation = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_regionkey", "n_nationkey").select("n_nationkey", "n_regionkey").collect()
+    regions = [[r["n_nationkey"] for r in nation if r["n_regionkey"] == k] for k in range(5)]
+    samples = [(0, k, np.array([g[k] for g in regions])) for k in range(5)]
+    counts = enrich.induced_counts(ancestors.lines(binary(spark, d)), samples)
+    return counts.select("round", F.col("side").cast("long").alias("side"), "freq")
+
+
+_LCA = " SELECT p.tree, p.a, p.b, CAST(count(*) - 1 AS INT) AS lvl, CAST(max(q.lo) AS INT) AS lo, CAST(min(q.hi) AS INT) AS hi FROM pair p JOIN {leaf} x ON x.tree = p.tree AND x.taxon = p.a JOIN {leaf} y ON y.tree = p.tree AND y.taxon = p.b JOIN {node} q ON q.tree = p.tree AND q.lo <= least(x.pos, y.pos) AND q.hi > greatest(x.pos, y.pos) GROUP BY 1, 2, 3"
+
+
+@query(_with(_WIDE) + ", pair AS (SELECT DISTINCT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) AS tree, CAST(c_nationkey AS INT) AS a, CAST(s_nationkey AS INT) AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)" + _LCA.format(leaf="leaf", node="wnode"))
+def j9_ancestors_of_traders(spark, d):
+    """The least common ancestor of each customer's and supplier's nations, in the tree of the order's month."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    made = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("int")
+    pairs = made.select(month.alias("tree"), F.col("c_nationkey").cast("int").alias("a"), F.col("s_nationkey").cast("int").alias("b")).distinct()
+    nodes = wide(spark, d)
+    return ancestors.of_pairs(pairs, nodes).join(nodes.select("tree", "node", "lo", "hi"), ["tree", "node"]).select("tree", "a", "b", "lvl", "lo", "hi")
+
+
 _KEPT = "kept AS (SELECT tree, bit_or(1::BIGINT << taxon) AS k FROM (SELECT tree, taxon, row_number() OVER (PARTITION BY tree ORDER BY md5('42:' || tree || ':' || taxon), taxon) AS rank, count(*) OVER (PARTITION BY tree) AS n FROM leaf) WHERE rank > greatest(0, least(floor(n * 0.3::DOUBLE), n - 4)) GROUP BY tree)"
 
 

@@ -364,19 +364,6 @@ def test_completion_keeps_the_tree():
     assert quartets(as_tree(part, names)) <= quartets(done)
 
 
-def test_consensus_is_laminar_and_emissions_are_unions():
-    r = random.Random(2)
-    bip = [(sum(1 << t for t in r.sample(range(8), r.randint(2, 5))), r.randint(1, 30)) for _ in range(40)]
-    families: dict = {}
-    for i, _, m in kernels.greedy_consensus(bip, 8, 60):
-        families.setdefault(i, []).append(m)
-    assert all(a & b in (0, a, b) for f in families.values() for a in f for b in f)
-    groups = [1, 2, 4, 8, 48, 192]
-    s = np.eye(8)
-    out = kernels.resolve_by_similarity(groups, s) + kernels.resolve_by_sampling(groups, [[3, 12, 15], [3, 48]] * 5, 1) + kernels.nested_balls(groups, s)
-    assert out and all(all(m & g in (0, g) for g in groups) for m in out)
-
-
 def test_rf_and_discordance(spark):
     nodes, names, masks = parsed(spark, FIVE)
     got = {(r["t1"], r["t2"]): r["rf"] for r in clusters.rf_distances(nodes, nodes, masks, True).collect()}
