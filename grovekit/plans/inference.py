@@ -250,6 +250,7 @@ def score(genes: DataFrame, species: DataFrame, keep: DataFrame | None = None) -
 
 def annotated(genes: DataFrame, species: DataFrame, prior: float = 0.5) -> DataFrame:
     """Support of every eligible branch, by the node's place (lo, hi) in the species tree."""
+    newick.check_strict(species)
     newick.check_species(species, newick.taxa(genes))
     names, _, masks = universe(genes, None)
     g, s = newick.parse(genes, names, masks), newick.parse(species, names, masks)
