@@ -8,13 +8,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import support, taxa
-from .plans import dumps, inference
+from .plans import checks, dumps, inference
 from .sources import newick
 
 _SPACES = {**{k: k for k in ("S1", "S2", "S3")}, "1": "S1", "2": "S2", "3": "S3", "incomplete-local": "S1", "complete-full": "S2", "exhaustive": "S3"}
 #: Flags that choose a device, a thread or batch size, or how much is logged: Spark's configuration does that here.
-_NO_EFFECT = ("--auto", "--cpu", "--gpu", "-q", "--quiet", "-vv", "-vvv", "--unrooted", "--no-gpu-batch", "--no-prune-search-space", "--prune-search-space")
-_NO_EFFECT_VALUE = ("-t", "-T", "--threads", "-m", "--seeds", "--large-n-score-type", "--stepb-restriction", "--gpu-batch-size", "--gpu-batches", "--log-file")
+_NO_EFFECT = ("--auto", "--cpu", "--gpu", "-q", "--quiet", "-vv", "-vvv", "--unrooted", "--no-gpu-batch", "--rooted", "--gpu-strict")
+_NO_EFFECT_VALUE = (
+    "-t", "-T", "--threads", "--num-threads", "-m", "--seeds", "--large-n-score-type", "--large-score-type", "--stepb-restriction", "--log-file", "--gpu-batch-size", "--gpu-batches", "--gpu-dist-tile-size", "--gpu-progress-interval", "--gpu-sim-vram-cap-mb",
+    "--gpu-treewalk-vram-cap-mb", "--gpu-vram-control-factor", "--gpu-vram-occupancy-factor", "--gpu-dp-state-space-construction-output-cap", "--gpu-dp-state-space-progress-max-steps", "--gpu-dp-state-space-progress-time-interval",
+)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-i", "--input")
     p.add_argument("-o", "--output", help="folder for the result; otherwise it is printed")
     p.add_argument("--search-space", default="S1", type=lambda x: _SPACES[x.upper() if x.upper() in _SPACES else x.lower()])
-    p.add_argument("--im", "--intersection-method", default="I4", help="accepted; all give the same counts")
+    p.add_argument("--im", "--intersection-method", "--weight-intersection-method", default="I4", help="accepted; all give the same counts")
     p.add_argument("--search-mode", choices=("local", "full"))
     p.add_argument("--keep-polytomy-during-inference", action="store_true")
     p.add_argument("--anchor", "--anchor-outgroup", dest="anchor", action="store_true", default=True)
@@ -50,6 +53,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--verify-greedy-consensus", action="store_true")
     p.add_argument("--dump-clusters", help="folder")
     p.add_argument("--dump-completed-gene-trees", help="folder")
+    p.add_argument("--prune-search-space", "--prune-unreachable", dest="prune", action="store_true", default=True)
+    p.add_argument("--no-prune-search-space", "--no-prune-unreachable", dest="prune", action="store_false")
+    for phase in checks.PHASES:
+        p.add_argument(f"--verify-{phase}", action="store_true", help="the phase's numbers and faults, and nothing else")
+    p.add_argument("--version", action="version", version="grovekit")
     p.add_argument("--diagnose", action="store_true")
     for flag in _NO_EFFECT:
         p.add_argument(flag, action="store_true", help=argparse.SUPPRESS)
@@ -59,7 +67,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def options(a: argparse.Namespace, names: list[str]) -> inference.Options:
-    changes: dict = {"keep_multifurcations": a.keep_polytomy_during_inference}
+    changes: dict = {"keep_multifurcations": a.keep_polytomy_during_inference, "prune": a.prune}
     if a.search_mode:
         changes["full_search"] = a.search_mode == "full"
     if a.completion_method:
@@ -131,7 +139,13 @@ def main(argv: list[str] | None = None) -> int:
         if a.branch_support or a.branch_support_only:
             put_support(species)
         return 0
-    # the tree is written before anything else can fail
+    phases = [x for x in checks.PHASES if getattr(a, f"verify_{x}")]
+    if phases:
+        nodes = inference.refined(newick.parse(genes, names, masks, keep), masks)
+        found = {r["phase"]: r for r in checks.phases(nodes, masks, 0 if a.anchor else None).collect()}
+        put([f"{x}: rows={found[x]['n']} total={found[x]['total']} faults={found[x]['faults']}" for x in phases], a.output)
+        return 0
+    # the tree is written before its score, which is computed then and may fail
     out = inference.infer(genes, options(a, listed), keep)
     put([out.newick], a.output)
     print(f"QUARTET_SCORE: {out.score}")

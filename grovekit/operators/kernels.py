@@ -129,7 +129,7 @@ def reroot(below: Node, root: Node) -> Node:
 
 
 def by_outgroup(root: Node, outgroup: set[int], rng: random.Random) -> tuple[Node, str]:
-    """Rooted by an outgroup: as a clade, else by the ingroup as a clade, else by one outgroup taxon, else at random."""
+    """Rooted by an outgroup: as a clade, else by the ingroup as a clade, else where a two-sided root has all of it on one side, else by one outgroup taxon, else at random."""
     below: dict[int, frozenset[int]] = {}
     for n in root.postorder():
         below[id(n)] = frozenset([n.taxon]) if n.taxon is not None else frozenset().union(*(below[id(k)] for k in n.kids))
@@ -141,6 +141,10 @@ def by_outgroup(root: Node, outgroup: set[int], rng: random.Random) -> tuple[Nod
             for n in order:
                 if below[id(n)] == wanted:
                     return reroot(n, root), how
+    if out and len(root.kids) == 2:
+        for k in root.kids:
+            if out <= below[id(k)]:
+                return reroot(k, root), "side"
     if out:
         return reroot(next(n for n in order if n.taxon == min(out)), root), "single"
     return reroot(rng.choice(order), root), "random"
@@ -226,71 +230,65 @@ def guide_tree(merges: list[tuple[int, int]], n: int) -> Node:
 
 
 def balance(root: Node) -> Node:
-    """Before completion: leaves go behind inner siblings, and the root to the branch above the most balanced node.
+    """Before completion: the first leaf among a node's children goes last, and the root to the branch above the most balanced node.
 
-    In postorder a node is taken if its distance from half the leaves is less than the (signed) one held so far.
+    Most balanced: of the inner nodes in postorder, those whose distance from half the leaves is less than all before (and
+    than half) set a record; the first record of a node with more than half the leaves is final, else the last record is.
     """
-    count: dict[int, int] = {}
     order = root.postorder()
-    half = sum(n.taxon is not None for n in order) // 2
-    held, best = half, None
-    for n in order:
-        count[id(n)] = 1 if n.taxon is not None else sum(count[id(k)] for k in n.kids)
-        if n.taxon is None and abs(half - count[id(n)]) < held:
-            best, held = n, half - count[id(n)]
-    for n in order:
-        if n.kids:
-            tip = next((k for k in n.kids if k.taxon is not None), None)
-            if tip is not None and (len(n.kids) > 2 or n.kids[0] is tip):
-                n.kids.remove(tip)
-                n.kids.append(tip)
-    return reroot(best, root) if best is not None and best is not root else root
-
-
-def _first_leaf(n: Node) -> int:
-    while n.taxon is None:
-        n = n.kids[0]
-    return n.taxon
+    size = {id(n): 1 for n in order if n.taxon is not None}
+    inner = [n for n in order if n.taxon is None]
+    for n in inner:
+        size[id(n)] = sum(size[id(k)] for k in n.kids)
+    half = size[id(root)] // 2
+    counts = np.array([size[id(n)] for n in inner])
+    away = np.abs(counts - half)
+    records = np.flatnonzero(away < np.minimum.accumulate([half, *away])[:-1])
+    over = records[counts[records] > half]
+    for n in inner:
+        tip = next((i for i, k in enumerate(n.kids) if k.taxon is not None), None)
+        if tip is not None and (tip == 0 or len(n.kids) > 2):
+            n.kids.append(n.kids.pop(tip))
+    if not len(records):
+        return root
+    best = inner[over[0] if len(over) else records[-1]]
+    return root if best is root else reroot(best, root)
+
+
+def four_points(similar: np.ndarray, x: int, a: int, b: int, c: int) -> int:
+    """Whether x goes with a (0), b (1) or c (2): the pairing with the best margin, of equal ones the first."""
+    with_a, with_b, with_c = (similar[x, p] + similar[q, r] for p, q, r in ((a, b, c), (b, a, c), (c, a, b)))
+    return int(np.argmax((with_a - with_b, with_b - with_a, with_c - with_b)))
 
 
 def complete(root: Node, similar: np.ndarray, nearest: np.ndarray) -> Node:
-    """The tree with all taxa: each missing one, in order, goes where the four-point rule leads.
+    """The tree with all taxa: each missing one, in order, joins below the first node where its anchor wins.
 
-    nearest: for each taxon the others, nearest first. The tree is rooted at the nearest taxon present; from there the
-    walk compares joining it with joining the first two children, and stops at a leaf or where the first wins.
+    nearest: for each taxon the others, nearest first; the anchor is the nearest that is present, and the tree is rooted there.
+    From the anchor's sister on, a node stands for its first two children by their first leaves, and the winner of the four
+    points says whether x joins here (beside all that is below) or which child is next.
     """
-    n = len(similar)
     root = balance(root)
-    at = {x.taxon: x for x in root.leaves()}
-    for x in range(n):
-        if x in at:
-            continue
-        anchor = next(int(y) for y in nearest[x] if int(y) in at)
+    at = {n.taxon: n for n in root.leaves()}
+    for x in sorted(set(range(len(similar))) - set(at)):
+        anchor = int(nearest[x][np.isin(nearest[x], list(at))][0])
         root = reroot(at[anchor], root)
-        start, b, c = root.kids[1], None, None
-        while start.taxon is None:
-            b = _first_leaf(start.kids[0]) if b is None else b
-            c = _first_leaf(start.kids[1]) if c is None else c
-            xa, xb, xc = similar[x, anchor], similar[x, b], similar[x, c]
-            bc, ac, ab = similar[b, c], similar[anchor, c], similar[anchor, b]
-            first, second, third = xa + bc - xb - ac, xb + ac - xa - bc, xc + ab - xb - ac
-            if first >= second and first >= third:
-                break
-            if first < second and second >= third:
-                start, c = start.kids[0], None
-            else:
-                start, b, c = start.kids[1], c, None
-        leaf = Node(x)
-        if start.taxon is not None:
-            parent = start.parent
-            parent.kids.remove(start)
-            parent.add(Node(kids=[start, leaf]))
+        first: dict[int, int] = {}
+        for n in root.kids[1].postorder():
+            first[id(n)] = n.taxon if n.taxon is not None else first[id(n.kids[0])]
+        here = root.kids[1]
+        while here.kids and (side := four_points(similar, x, anchor, *(first[id(k)] for k in here.kids[:2]))):
+            here = here.kids[side - 1]
+        at[x] = Node(x)
+        if here.kids:
+            below = Node(kids=here.kids)
+            here.kids = []
+            here.add(at[x])
+            here.add(below)
         else:
-            inner = Node(kids=start.kids)
-            start.kids = []
-            start.add(leaf)
-            start.add(inner)
-        at[x] = leaf
+            up = here.parent
+            up.kids.remove(here)
+            up.add(Node(kids=[here, at[x]]))
     return root
 
 

@@ -47,7 +47,7 @@ def collapse_edges(nodes: DataFrame, share: float = 0.3, seed: int = 42) -> Data
 
 
 def rooted(nodes: DataFrame, outgroup: set[int], masks: Masks, seed: int = 1) -> DataFrame:
-    """Every tree with its root beside an outgroup: as a clade, else where the others are one, else beside its lowest taxon, else anywhere."""
+    """Every tree with its root beside an outgroup: as a clade, else where the others are one, else where the root has all of it on one side, else beside its lowest taxon, else anywhere."""
     from ..plans.inference import map_trees
 
     def change(root: kernels.Node) -> kernels.Node:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,30 @@ def across_trees(clusters: DataFrame, masks: Masks, with_all: bool = True) -> Da
     return met.join(x.withColumnRenamed("mask", "other"), "other").select(*_pair(F.col("parent"), F.col("side"), F.col("other")))
 
 
-def reachable(transitions: DataFrame, masks: Masks) -> DataFrame:
-    """Only divisions of clusters that repeated division of all taxa leads to. One round for each level of the deepest way."""
+def reachable(transitions: DataFrame, masks: Masks, one_task: int = 200_000) -> DataFrame:
+    """Only divisions of clusters that repeated division of all taxa leads to.
+
+    Up to one_task divisions that is a walk in one bounded task; beyond, a round of joins for each level of the deepest way.
+    """
+    transitions = durable(transitions)
+    if transitions.count() <= one_task:
+        full = masks.pack((1 << masks.n) - 1)
+
+        def walk(rows: pd.DataFrame) -> pd.DataFrame:
+            key = (lambda m: tuple(m)) if masks.wide else int
+            of: dict = {}
+            for i, p in enumerate(rows["parent"]):
+                of.setdefault(key(p), []).append(i)
+            seen, line, kept = set(), [key(full)], []
+            while line:
+                m = line.pop()
+                if m not in seen:
+                    seen.add(m)
+                    kept += of.get(m, [])
+                    line += [key(rows[c].iat[i]) for i in of.get(m, []) for c in ("lo", "hi")]
+            return rows.iloc[sorted(kept)]
+
+        return transitions.groupBy(F.lit(0).alias("one")).applyInPandas(walk, transitions.schema)
     start = transitions.sparkSession.range(1).select(masks.full.alias("parent"))
     seen = new = start
     while True:

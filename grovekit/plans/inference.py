@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -32,6 +33,7 @@ class Options:
     random_leftovers: bool = False
     sample_input: bool = False
     seed: int = 1
+    prune: bool = True  # divisions of clusters that nothing reachable is divided into aren't weighed
 
 
 #: The presets of search spaces; I1 to I4 name ways to count intersections, of which this engine needs one.
@@ -92,24 +94,61 @@ def _single_tree(spark, root: kernels.Node, masks: Masks) -> DataFrame:
 
 @dataclass
 class Result:
+    """The tree, and its score, which is computed when it is first asked for: a tree is never lost to a score that fails."""
+
     newick: str
-    score: int
     unresolved: bool
+    scored: Callable[[], int]
     divisions: list[tuple[int, int, int, int, int]] = field(default_factory=list)
 
+    @functools.cached_property
+    def score(self) -> int:
+        return self.scored()
 
-def best_divisions(splits: DataFrame, masks: Masks, wide: bool = False) -> DataFrame:
-    """mask, total, lo, hi, weight of the best divisions, as decimal text so that any width fits.
 
-    parent, lo, hi, weight in; the dynamic program visits clusters by size in one task, on masks and numbers alone.
-    """
+#: Up to so many divisions the dynamic program is one bounded task; beyond, a job for each size of cluster.
+ONE_TASK = 200_000
+
+
+def best_divisions(splits: DataFrame, masks: Masks, one_task: int = ONE_TASK) -> DataFrame:
+    """mask, total, lo, hi, weight of the best divisions, as decimal text so that any width fits. splits: parent, lo, hi, weight."""
+    splits = durable(splits.select("parent", "lo", "hi", F.col("weight").cast("decimal(38,0)").alias("weight")))
+    if splits.count() > one_task:
+        return _best_by_size(splits, masks)
     full = (1 << masks.n) - 1
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = kernels.best_divisions(((masks.unpack(p), masks.unpack(a), masks.unpack(b), int(w)) for p, a, b, w in zip(rows.parent, rows.lo, rows.hi, rows.weight, strict=True)), full)
         return pd.DataFrame([tuple(map(str, r)) for r in out], columns=["mask", "total", "lo", "hi", "weight"])
 
-    return splits.select("parent", "lo", "hi", F.col("weight").cast("string").alias("weight")).groupBy(F.lit(0).alias("one")).applyInPandas(run, "mask string, total string, lo string, hi string, weight string")
+    # at most one_task rows
+    return splits.withColumn("weight", F.col("weight").cast("string")).groupBy(F.lit(0).alias("one")).applyInPandas(run, "mask string, total string, lo string, hi string, weight string")
+
+
+def _best_by_size(splits: DataFrame, masks: Masks) -> DataFrame:
+    """The same as DataFrame rounds: clusters of one size at a time take the best of their divisions, all smaller ones being known.
+
+    A cluster without divisions counts 0. Of equal totals the division with the lesser lo is taken.
+    """
+    spark = splits.sparkSession
+    low = F.reverse("lo") if masks.wide else F.col("lo")
+    sized = durable(splits.withColumn("sz", masks.count(F.col("parent"))))
+    sizes = [r["sz"] for r in sized.select("sz").distinct().orderBy("sz").collect()]  # at most a number for each taxon
+    known = spark.createDataFrame([], T.StructType([*splits.select(F.col("parent").alias("mask")).schema, *splits.select(F.col("weight").alias("total"), "lo", "hi", "weight").schema]))
+    for size in sizes:
+        part = sized.filter(F.col("sz") == size)
+        for side in ("lo", "hi"):
+            part = part.join(known.select(F.col("mask").alias(side), F.col("total").alias(f"total_{side}")), side, "left")
+        total = (F.col("weight") + F.coalesce("total_lo", F.lit(0)) + F.coalesce("total_hi", F.lit(0))).cast("decimal(38,0)")
+        best = part.withColumn("total", total).groupBy("parent").agg(F.min(F.struct((-F.col("total")).alias("m"), low.alias("l"), "total", "lo", "hi", "weight")).alias("b"))
+        known = durable(known.unionByName(best.select(F.col("parent").alias("mask"), "b.total", "b.lo", "b.hi", "b.weight")))
+    chosen = new = durable(known.filter(F.col("mask") == masks.full))
+    while not new.isEmpty():
+        sides = new.select(F.explode(F.array("lo", "hi")).alias("mask")).distinct()
+        new = durable(known.join(sides, "mask", "left_semi"))
+        chosen = durable(chosen.unionByName(new))
+    text = F.udf(lambda m: str(masks.unpack(m)), "string")  # a row for each node of one tree
+    return chosen.select(text("mask").alias("mask"), F.col("total").cast("string"), text("lo").alias("lo"), text("hi").alias("hi"), F.col("weight").cast("string"))
 
 
 def enrich(x: DataFrame, nodes: DataFrame, s: np.ndarray, masks: Masks, o: Options) -> DataFrame:
@@ -190,6 +229,8 @@ def infer_nodes(native: DataFrame, masks: Masks, names: list[str], o: Options =
     native = durable(native)
     evidence = durable(normalised(native, masks) if o.keep_multifurcations else refined(native, masks))
     moves = search_space(native, evidence, masks, o)
+    if o.prune:
+        moves = durable(transitions.reachable(moves, masks))
     parts = durable(partitions.partition_table(evidence, masks))
     exact = _number(native, masks)
     weighed = moves.join(weights.split_weights(moves, parts, masks, exact), ["lo", "hi"])
@@ -201,15 +242,18 @@ def infer_nodes(native: DataFrame, masks: Masks, names: list[str], o: Options =
         import random
 
         root = kernels.resolve(root, random.Random(o.seed))
-    score = total // 2
     poly = native.filter("n_children > 2 and not (parent is null and n_children = 3)").limit(1).count() > 0
-    if unresolved or poly and not o.keep_multifurcations:
+    if total % 2:
+        raise ArithmeticError("an odd total: every quartet is counted at both ends of its path")
+
+    def scored() -> int:
+        if not unresolved and (not poly or o.keep_multifurcations):
+            return total // 2
         # the total holds for the refined input only
         kept = durable(partitions.partition_table(normalised(native, masks), masks))
-        score = weights.fixed_tree_score(_single_tree(spark, root, masks), kept, masks, exact).first()[0]
-    elif total % 2:
-        raise ArithmeticError("an odd total: every quartet is counted at both ends of its path")
-    return Result(kernels.to_newick(root, names), int(score), unresolved, chosen)
+        return int(weights.fixed_tree_score(_single_tree(spark, root, masks), kept, masks, exact).first()[0])
+
+    return Result(kernels.to_newick(root, names), unresolved, scored, chosen)
 
 
 def _number(nodes: DataFrame, masks: Masks) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.masks import Masks
 from ..operators import ancestors, clusters, kernels, matrices, partitions, perturb, support, taxa, transitions, weights
 from ..sources import derived, newick
-from . import consensus, enrich, inference
+from . import checks, consensus, enrich, inference
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -404,6 +404,25 @@ def s28_node_faults(spark, d):
     return around.agg(F.count_if(F.aggregate("kids", F.lit(0).cast("long"), lambda t, m: t + m) != F.col("mask")).alias("faults"))
 
 
+_CHECKS = f""",
+    allx AS {_A2},
+    parts AS {_PARTS},
+    dp AS (SELECT * FROM chosen)
+    SELECT 'parse' AS phase, count(*) AS n, sum(size)::BIGINT AS total, count(*) FILTER (WHERE bit_count(mask) <> size) AS faults FROM node
+    UNION ALL SELECT 'hash', count(DISTINCT mask), count(*), 0 FROM node WHERE psize IS NOT NULL
+    UNION ALL SELECT 'clusters', count(*), sum(freq)::BIGINT, count(*) FILTER (WHERE mask IN (0, {_FULL})) FROM allx
+    UNION ALL SELECT 'partitions', count(*), sum(freq)::BIGINT, count(*) FILTER (WHERE list_sum(list_transform(parts, lambda m: bit_count(m))) <> bit_count(list_bit_or(parts))) FROM parts
+    UNION ALL SELECT 'transitions', count(*), sum(bit_count(parent))::BIGINT, count(*) FILTER (WHERE lo & hi <> 0 OR lo | hi <> parent) FROM anch
+    UNION ALL SELECT 'weights', count(*), sum(weight)::BIGINT, count(*) FILTER (WHERE weight < 0) FROM (SELECT DISTINCT lo, hi, weight FROM weighed)
+    UNION ALL SELECT 'dp', count(*), sum(total)::BIGINT, count(*) FILTER (WHERE total <> weight + coalesce((SELECT any_value(l.total) FROM dp l WHERE l.mask = dp.lo), 0) + coalesce((SELECT any_value(h.total) FROM dp h WHERE h.mask = dp.hi), 0)) FROM dp"""
+
+
+@query(_with(_BINARY, _KIDS.format(n="node")) + _TRANS.format(n="node") + _ANCH + _TRIPLES.format(p=_PARTS) + _BEST.removesuffix("SELECT * FROM chosen").rstrip() + _CHECKS)
+def s28_phase_checks(spark, d):
+    """The numbers of all phases of a search, and their faults."""
+    return checks.phases(binary(spark, d), MASKS, ANCHOR)
+
+
 @query()
 def c8_upgma_guide(spark, d):
     """The merges of the guide tree on the similarities of all taxa."""
@@ -515,7 +534,7 @@ def u11_collapsed_edges(spark, d):
 _OUTGROUP = "(SELECT n_nationkey AS taxon FROM nation WHERE n_regionkey = 4)"
 
 
-@query(_with(_BINARY, f"o AS (SELECT tree, bit_or(CASE WHEN taxon IN {_OUTGROUP} THEN 1::BIGINT << taxon ELSE 0 END) AS o, bit_or(1::BIGINT << taxon) AS whole, min(taxon) FILTER (WHERE taxon IN {_OUTGROUP}) AS first FROM leaf GROUP BY tree)", "r AS (SELECT tree, whole, CASE WHEN EXISTS (SELECT 1 FROM node n WHERE n.tree = o.tree AND n.mask IN (o.o, o.whole & ~o.o)) THEN o ELSE 1::BIGINT << first END AS side FROM o WHERE o NOT IN (0, whole))") + " SELECT tree::BIGINT AS tree, least(side, whole & ~side) AS a, greatest(side, whole & ~side) AS b FROM r")
+@query(_with(_BINARY, f"o AS (SELECT tree, bit_or(CASE WHEN taxon IN {_OUTGROUP} THEN 1::BIGINT << taxon ELSE 0 END) AS o, bit_or(1::BIGINT << taxon) AS whole, min(taxon) FILTER (WHERE taxon IN {_OUTGROUP}) AS first FROM leaf GROUP BY tree)", "halves AS (SELECT c.tree, c.mask FROM node c JOIN node p ON p.tree = c.tree AND p.psize IS NULL AND p.lo = c.plo AND p.hi = c.phi)", "r AS (SELECT tree, whole, CASE WHEN EXISTS (SELECT 1 FROM node n WHERE n.tree = o.tree AND n.mask IN (o.o, o.whole & ~o.o)) THEN o ELSE coalesce((SELECT min(h.mask) FROM halves h WHERE h.tree = o.tree AND h.mask & o = o), 1::BIGINT << first) END AS side FROM o WHERE o NOT IN (0, whole))") + " SELECT tree::BIGINT AS tree, least(side, whole & ~side) AS a, greatest(side, whole & ~side) AS b FROM r")
 def u7_outgroup_roots(spark, d):
     """The two sides of each tree's root after it is set beside an outgroup (trees with and without such taxa)."""
     outgroup = {r["n_nationkey"] for r in spark.read.parquet(f"{d}/nation.parquet").filter("n_regionkey = 4").select("n_nationkey").collect()}
