@@ -202,23 +202,31 @@ def tree_of(divisions: dict[int, tuple[int, int]], cluster: int) -> tuple[Node,
 
 
 def upgma(similar: np.ndarray) -> list[tuple[int, int]]:
-    """Merges of the most similar pair, averages weighted by size. Items are 0 .. n-1, merges n, n+1, ... Ties: the pair of lowest numbers."""
+    """Merges of the most similar pair, averages weighted by size. Items are 0 .. n-1, merges n, n+1, ... Ties: the pair of lowest numbers.
+
+    Each row keeps its best; a merge looks again only at rows whose best was one of the two.
+    """
     n = len(similar)
     s = similar.astype(float).copy()
     np.fill_diagonal(s, -np.inf)
-    name, size, live, out = list(range(n)), [1] * n, list(range(n)), []
+    name, size, out = np.arange(n), np.ones(n), []
+    top = s.max(axis=1, initial=-np.inf)
     for step in range(n - 1):
-        sub = s[np.ix_(live, live)]
-        top = sub.max()
-        pairs = [(min(name[live[i]], name[live[j]]), max(name[live[i]], name[live[j]]), live[i], live[j]) for i, j in zip(*np.nonzero(sub == top), strict=True) if i != j]
-        a, b, i, j = min(pairs)
-        out.append((a, b))
+        rows = np.flatnonzero(top == top.max())
+        r, c = np.nonzero(s[rows] == top.max())
+        lo, hi = np.minimum(name[rows[r]], name[c]), np.maximum(name[rows[r]], name[c])
+        k = np.lexsort((hi, lo))[0]
+        i, j = int(rows[r[k]]), int(c[k])
+        out.append((int(lo[k]), int(hi[k])))
+        again = (top == s[:, i]) | (top == s[:, j])
         merged = (size[i] * s[i] + size[j] * s[j]) / (size[i] + size[j])
-        s[i], s[:, i] = merged, merged
-        s[i, i] = -np.inf
-        size[i] += size[j]
-        name[i] = n + step
-        live.remove(j)
+        merged[[i, j]] = -np.inf
+        s[i], s[:, i], s[j], s[:, j] = merged, merged, -np.inf, -np.inf
+        size[i], name[i] = size[i] + size[j], n + step
+        again[i] = True
+        top = np.maximum(top, s[:, i])
+        top[again] = s[again].max(axis=1)
+        top[j] = -np.inf
     return out
 
 

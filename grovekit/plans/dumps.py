@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.masks import Masks
-from ..operators import clusters, kernels, matrices
+from ..operators import clusters, matrices
 from ..sources import newick
-from . import consensus, inference
+from . import consensus, guide, inference
 
 
 def _headed(spark, head: list[str], rows: DataFrame) -> DataFrame:
@@ -34,10 +34,11 @@ def matrix(nodes: DataFrame, names: list[str], similarity: bool) -> DataFrame:
 
 def guide_bipartitions(nodes: DataFrame, names: list[str], masks: Masks) -> DataFrame:
     """line: header, n, taxa and the sorted names below each inner node of the guide tree but the root, lower nodes first."""
-    s = inference.dense(matrices.similarities(nodes), masks.n)
+    taxa = nodes.sparkSession.range(masks.n).select(F.col("id").alias("taxon"))
+    merges = guide.numbered(guide.merge_rounds(matrices.similarities(nodes), taxa), list(range(masks.n)))
     sets: dict[int, frozenset[int]] = {i: frozenset([i]) for i in range(masks.n)}
     lines = []
-    for k, (a, b) in enumerate(kernels.upgma(s)):
+    for k, (a, b) in enumerate(merges):
         sets[masks.n + k] = sets[a] | sets[b]
         if len(sets[masks.n + k]) < masks.n:
             lines.append((k, "bipartition=" + ",".join(sorted(names[t] for t in sets[masks.n + k]))))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.masks import Masks
 from ..operators import clusters, kernels, matrices, partitions, support, transitions, weights
 from ..sources import newick
-from ..sources.durable import durable
+from ..sources.durable import Rounds, durable
 from .enrich import proposals
 
 
@@ -131,8 +131,9 @@ def _best_by_size(splits: DataFrame, masks: Masks) -> DataFrame:
     A cluster without divisions counts 0. Of equal totals the division with the lesser lo is taken.
     """
     spark = splits.sparkSession
+    kept = Rounds(spark)
     low = F.reverse("lo") if masks.wide else F.col("lo")
-    sized = durable(splits.withColumn("sz", masks.count(F.col("parent"))))
+    sized = kept.keep(splits.withColumn("sz", masks.count(F.col("parent"))))
     sizes = [r["sz"] for r in sized.select("sz").distinct().orderBy("sz").collect()]  # at most a number for each taxon
     known = spark.createDataFrame([], T.StructType([*splits.select(F.col("parent").alias("mask")).schema, *splits.select(F.col("weight").alias("total"), "lo", "hi", "weight").schema]))
     for size in sizes:
@@ -141,12 +142,12 @@ def _best_by_size(splits: DataFrame, masks: Masks) -> DataFrame:
             part = part.join(known.select(F.col("mask").alias(side), F.col("total").alias(f"total_{side}")), side, "left")
         total = (F.col("weight") + F.coalesce("total_lo", F.lit(0)) + F.coalesce("total_hi", F.lit(0))).cast("decimal(38,0)")
         best = part.withColumn("total", total).groupBy("parent").agg(F.min(F.struct((-F.col("total")).alias("m"), low.alias("l"), "total", "lo", "hi", "weight")).alias("b"))
-        known = durable(known.unionByName(best.select(F.col("parent").alias("mask"), "b.total", "b.lo", "b.hi", "b.weight")))
-    chosen = new = durable(known.filter(F.col("mask") == masks.full))
+        known = kept.keep(known.unionByName(best.select(F.col("parent").alias("mask"), "b.total", "b.lo", "b.hi", "b.weight")))
+    chosen = new = kept.keep(known.filter(F.col("mask") == masks.full))
     while not new.isEmpty():
         sides = new.select(F.explode(F.array("lo", "hi")).alias("mask")).distinct()
-        new = durable(known.join(sides, "mask", "left_semi"))
-        chosen = durable(chosen.unionByName(new))
+        new = kept.keep(known.join(sides, "mask", "left_semi"))
+        chosen = kept.keep(chosen.unionByName(new))
     text = F.udf(lambda m: str(masks.unpack(m)), "string")  # a row for each node of one tree
     return chosen.select(text("mask").alias("mask"), F.col("total").cast("string"), text("lo").alias("lo"), text("hi").alias("hi"), F.col("weight").cast("string"))
 

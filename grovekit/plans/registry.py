@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.masks import Masks
 from ..operators import ancestors, clusters, kernels, matrices, partitions, perturb, support, taxa, transitions, weights
 from ..sources import derived, newick
-from . import checks, consensus, enrich, inference
+from . import checks, consensus, enrich, guide, inference
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -423,11 +423,25 @@ def s28_phase_checks(spark, d):
     return checks.phases(binary(spark, d), MASKS, ANCHOR)
 
 
-@query()
+#: One merge a step on the sums of similarities; a cluster is named by its least taxon. A row of -1 outlives the last merge.
+_UPGMA = """,
+    start AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b, coalesce(sim, 0) AS s, 1::BIGINT AS c FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey LEFT JOIN sim ON sim.a = x.n_nationkey AND sim.b = y.n_nationkey),
+    up AS (
+        SELECT 0 AS step, a::INT AS a, b::INT AS b, s::DOUBLE AS s, c, NULL::INT AS ma, NULL::INT AS mb, NULL::DOUBLE AS sim FROM start UNION ALL SELECT 0, -1, -1, 0, 1, NULL, NULL, NULL
+        UNION ALL
+        SELECT step, a, b, s, c, ma, mb, sim FROM (
+            SELECT u.step + 1 AS step, least(CASE WHEN u.a = m.b THEN m.a ELSE u.a END, CASE WHEN u.b = m.b THEN m.a ELSE u.b END) AS a, greatest(CASE WHEN u.a = m.b THEN m.a ELSE u.a END, CASE WHEN u.b = m.b THEN m.a ELSE u.b END) AS b,
+                   sum(u.s) AS s, sum(u.c)::BIGINT AS c, any_value(m.a) AS ma, any_value(m.b) AS mb, any_value(m.s / m.c) AS sim
+            FROM up u CROSS JOIN (SELECT a, b, s, c FROM up WHERE a >= 0 ORDER BY s / c DESC, a, b LIMIT 1) m GROUP BY 1, 2, 3)
+        WHERE a <> b OR a = -1)
+    SELECT ma AS a, mb AS b, round(sim, 9) AS sim FROM up WHERE a = -1 AND ma IS NOT NULL"""
+
+
+@query(_with(_BINARY) + _SIM.format(n="node") + _UPGMA)
 def c8_upgma_guide(spark, d):
-    """The merges of the guide tree on the similarities of all taxa."""
-    s = inference.dense(matrices.similarities(binary(spark, d)), N)
-    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(kernels.upgma(s))], "step int, a int, b int")
+    """The merges of the guide tree on the similarities of all taxa, with their averages."""
+    nations = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("taxon"))
+    return guide.merge_rounds(matrices.similarities(binary(spark, d)), nations).select("a", "b", F.round("sim", 9).alias("sim"))
 
 
 @query(_with() + f" SELECT tree::BIGINT AS tree, {N} AS n_leaves, {2 * N - 1}::BIGINT AS n_nodes FROM leaf GROUP BY tree HAVING count(*) > 1")
