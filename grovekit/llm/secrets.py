@@ -4,9 +4,12 @@ Besides the three fixed patterns, the scan reads a whole text as source or confi
 string literals, bare values, signs, brackets and line ends, builds name-literal pairs, carries constants from one
 statement to later ones (also through concatenation), and scores each literal by how sensitive the name is that it
 reaches and by how much the literal looks like a key. A target may be a name, a string or a subscript, with or
-without a type; a value may stand in brackets, on the next line, as a default within a call, under nested keys
-(by braces or by indentation), or as the text of an XML element. A text without any part of a sensitive name has
-no such pair and isn't split.
+without a type; a value may stand in brackets, on the next line, behind a comment, as a default or an argument in a call, as either
+side of a choice, in several assignments at once, under nested keys (by braces or by indentation), or as the text of
+an XML element. A text without any part of a sensitive name has no such pair and isn't split.
+
+A constant keeps what its score needs (length, classes and counts of characters) and links to its operands, so the time is
+in proportion to the text, however long the chain of constants.
 """
 
 from __future__ import annotations
@@ -46,7 +49,8 @@ _STRINGS = {'"': r'"(?:\\.|[^"\\\n])*+(?P<no_double>")?+', "'": r"'(?:\\.|[^'\\\
 def _token(quotes: str) -> re.Pattern:
     """One token; strings only in the given quotes, and those that no quote ends reach to the end of the line."""
     strings = "|".join(_STRINGS[q] for q in quotes) or "(?!)"
-    return re.compile(rf"""(?P<nl>\n[^\S\n]*)|(?P<str>{strings})|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)|(?P<sign>:=|=>|==|!=|<=|>=|[=:+])|(?P<space>[^\S\n]+)|(?P<bare>[^\s"'`=:+,;(){{}}\[\]<>#]+)|(?P<other>.)""", re.S)
+    triple = "|".join(rf"{3 * q}(?:[^{q}\\]|\\.|{q}(?!{q}{q}))*+{3 * q}" for q in "\"'") if len(quotes) == 3 else "(?!)"
+    return re.compile(rf"""(?P<long>{triple})|(?P<nl>\n[^\S\n]*)|(?P<str>{strings})|(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*)|(?P<sign>:=|=>|==|!=|<=|>=|[=:+])|(?P<space>[^\S\n]+)|(?P<sigil>[*@]+(?=[A-Za-z_])|--(?=[A-Za-z]))|(?P<bare>[^\s"'`=:+,;(){{}}\[\]<>#]+)|(?P<other>.)""", re.S)
 
 
 def tokens(text: str, start: int = 0, end: int | None = None, quotes: str = "\"'`") -> Iterator[tuple[str, int, int]]:
@@ -57,11 +61,13 @@ def tokens(text: str, start: int = 0, end: int | None = None, quotes: str = "\"'
     four times.
     """
     for m in _token(quotes).finditer(text, start, len(text) if end is None else end):
-        if m["str"] is not None and (m.end() - m.start() < 2 or not any(m.groupdict().get(x) for x in ("no_double", "no_single", "no_back"))):
+        if m["long"] is not None:
+            yield "str", m.start(), m.end()
+        elif m["str"] is not None and (m.end() - m.start() < 2 or not any(m.groupdict().get(x) for x in ("no_double", "no_single", "no_back"))):
             yield "other", m.start(), m.start() + 1
             yield from tokens(text, m.start() + 1, m.end(), quotes.replace(text[m.start()], ""))
         elif m["space"] is None:
-            yield next(k for k in ("nl", "str", "name", "sign", "bare", "other") if m[k] is not None), m.start(), m.end()
+            yield next((k for k in ("nl", "str", "name", "sign", "bare") if m[k] is not None), "other"), m.start(), m.end()
 
 
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -69,6 +75,9 @@ _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.5, "access": 0.4, "auth": 0.6, "bearer": 0.8, "key": 0.5, "pass": 0.7, "signature": 0.5, "salt": 0.6, "api": 0.4}
 HARMLESS = {"public": -0.6, "name": -0.5, "id": -0.3, "count": -0.8, "length": -0.8, "size": -0.8, "type": -0.5, "url": -0.4, "path": -0.5, "file": -0.5, "max": -0.6, "min": -0.6, "field": -0.6, "label": -0.6, "hint": -0.6}
 _DUMMY = re.compile(r"(?i)x{4,}|\*{3,}|changeme|example|placeholder|your|dummy|todo|none|null|true|false|\$\{|\{\{|<")
+_REACH = 16  # no dummy word is longer
+_SETTER = re.compile(r"(?:.*[.$-])?(?:set|with|use|put|add)(?=[A-Z_])")
+_CHOICES = ("?", "if", "or", "and", "||", "&&", "??", "?:")
 LEAST_SCORE = 0.5
 #: Each sensitive name part has one of these within it.
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "private", "access", "auth", "bearer", "signature", "salt", "api")
@@ -78,19 +87,44 @@ _SIGNS = ("=", ":", ":=", "=>")
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
-def name_score(name: str) -> float:
-    parts = [p.lower() for p in _PART.findall(name)]
-    return max(0.0, min(1.0, sum(SENSITIVE.get(p, 0) + HARMLESS.get(p, 0) for p in parts)))
-
+def name_sum(name: str) -> float:
+    return sum(SENSITIVE.get(p, 0) + HARMLESS.get(p, 0) for p in map(str.lower, _PART.findall(name)))
+
+
+class Value:
+    """A literal, or literals joined: what the score of the whole text needs, and where it comes from."""
+
+    __slots__ = ("alnum", "classes", "counts", "dummy", "head", "n", "parts", "place", "space", "tail")
+
+    def __init__(self, text: str, place: tuple[int, int] | None = None):
+        self.n, self.place, self.parts = len(text), place, ()
+        self.space, self.dummy = any(map(str.isspace, text)), _DUMMY.search(text) is not None
+        self.classes = tuple(any(map(f, text)) for f in (str.islower, str.isupper, str.isdigit))
+        self.alnum = all(map(str.isalnum, text))
+        self.counts = Counter(ord(c) & 255 for c in text)  # at most 256 kinds, so that joining takes no longer for long values
+        self.head, self.tail = text[:_REACH], text[-_REACH:]
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        out = cls("")
+        for p in parts:
+            out.n, out.space = out.n + p.n, out.space or p.space
+            out.dummy = out.dummy or p.dummy or _DUMMY.search(out.tail + p.head) is not None
+            out.classes = tuple(a or b for a, b in zip(out.classes, p.classes, strict=True))
+            out.alnum = out.alnum and p.alnum
+            out.counts.update(p.counts)
+            out.head, out.tail = (out.head + p.head)[:_REACH], (out.tail + p.tail)[-_REACH:]
+        out.parts = tuple(parts)
+        return out
 
-def literal_score(value: str) -> float:
-    """0 for short, spaced or dummy values; rises with length, entropy and mixed classes of characters."""
-    if len(value) < 8 or any(c.isspace() for c in value) or _DUMMY.search(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return min(1.0, bits / 4) * (1.0 if classes >= 2 else 0.4)
+    def score(self) -> float:
+        """0 for short, spaced or dummy values; rises with entropy and mixed classes of characters."""
+        if self.n < 8 or self.space or self.dummy:
+            return 0.0
+        bits = -sum(k / self.n * math.log2(k / self.n) for k in self.counts.values())
+        return min(1.0, bits / 4) * (1.0 if sum(self.classes) + (not self.alnum) >= 2 else 0.4)
 
 
 class _Reader:
@@ -99,7 +133,15 @@ class _Reader:
     def __init__(self, text: str):
         self.text = text
         self.t = list(tokens(text))
-        self.known: dict[str, tuple[str, dict]] = {}
+        self.known: dict[str, Value] = {}
+        self.values: dict[int, Value] = {}  # of the literals, by token
+        self.line_end, self.comment_end = [0] * len(self.t), [-1] * len(self.t)  # for each token the next line end, and the next end of a comment
+        line, comment = len(self.t), -1
+        for i in range(len(self.t) - 1, -1, -1):
+            kind, a, b = self.t[i]
+            line = i if kind == "nl" else line
+            comment = i if kind == "bare" and text.endswith("*/", a, b) else comment
+            self.line_end[i], self.comment_end[i] = line, comment
         self.closed: dict[int, int] = {}  # opening brackets, with the closing ones
         opened = []
         for i, (kind, a, b) in enumerate(self.t):
@@ -191,42 +233,102 @@ class _Reader:
             j += 1
         return out
 
-    def piece(self, j: int, one_line: bool) -> tuple[str, dict, int] | None:
-        """Value, places and end of one operand."""
+    def literal(self, j: int) -> Value:
+        """The literal at a token, without its quotes."""
+        if j not in self.values:
+            a, b = self.t[j][1:]
+            q = 3 if b - a >= 6 and self.text[a : a + 3] in ('"' * 3, "'" * 3) else 1
+            self.values[j] = Value(self.text[a + q : b - q], (a + q, b - q))
+        return self.values[j]
+
+    def piece(self, j: int, one_line: bool) -> tuple[Value, int] | None:
+        """Value and end of one operand."""
         kind, a, b = self.t[j]
         if kind == "str":
-            return self.text[a + 1 : b - 1], {(a + 1, b - 1): None}, j + 1
+            return self.literal(j), j + 1
         if kind == "name" and self.text[a:b] in self.known:
-            return *self.known[self.text[a:b]], j + 1
-        if kind == "name" and j + 2 < len(self.t) and self.kind(j + 1) == "str" and self.t[j + 1][1] == b and b - a <= 2:
+            return self.known[self.text[a:b]], j + 1
+        if kind == "name" and self.kind(j + 1) == "str" and self.t[j + 1][1] == b and b - a <= 2:
             return self.piece(j + 1, one_line)  # a prefixed string
         if kind in ("name", "bare") and one_line:
             while j + 1 < len(self.t) and self.t[j + 1][0] in ("name", "bare", "sign") and self.t[j + 1][1] == b:
                 j, b = j + 1, self.t[j + 1][2]  # a bare value as in a shell or configuration line
-            return self.text[a:b], {(a, b): None}, j + 1
+            if self.word(j + 1) in ("[", "(") and self.t[j + 1][1] == b:
+                return None  # an expression
+            return Value(self.text[a:b], (a, b)), j + 1
         return None
 
-    def joined(self, j: int, inside: bool) -> tuple[str, dict, int]:
-        """Operands joined by plus signs or, within brackets, side by side. An operand whose literals all are there adds nothing."""
-        values, places = [], {}
+    def joined(self, j: int, inside: bool) -> tuple[Value | None, int]:
+        """Operands joined by plus signs, or strings side by side (on one line, or within brackets). An operand that comes again adds nothing."""
+        values: list[Value] = []
+        seen: set[int] = set()
         while j < len(self.t):
             found = self.piece(j, not inside)
             if not found:
                 break
-            piece, where, j = found
-            if not where.keys() <= places.keys():
+            text_next = self.kind(j) == "str"
+            piece, j = found
+            if id(piece) not in seen:
+                seen.add(id(piece))
                 values.append(piece)
-                places.update(where)
             k = self.skip_lines(j)
             if self.word(k) == "+" and self.kind(self.skip_lines(k + 1)) in ("str", "name", "bare"):
                 j = self.skip_lines(k + 1)
-            elif not (inside and self.kind(k) == "str"):
-                break
-            else:
+            elif self.kind(k) == "str" and (inside or text_next and k == j and not self.sign(k + 1)):
                 j = k
-        return "".join(values), places, j
+            else:
+                break
+        return Value.joined(values) if values else None, j
+
+    def choices(self, j: int) -> list[Value]:
+        """The literals on the rest of a line behind a sign of choice, up to its end or the end of what holds it."""
+        out, depth = [], 0
+        if self.word(j) in _CHOICES:
+            for k in range(j + 1, self.line_end[j]):
+                word = self.word(k)
+                depth += (word in _OPEN) - (word in _CLOSE)
+                if depth < 0 or not depth and word in (";", ","):
+                    break
+                if self.kind(k) == "str" and not depth:
+                    out.append(self.literal(k))
+        return out
 
-    def pairs(self) -> Iterator[tuple[str, str, dict]]:
+    def several(self, i: int, owners: list) -> list[str]:
+        """The names that an equals sign at i gives values to, if they are more than one and begin a line outside brackets."""
+        if self.word(i) != "=" or owners and owners[-1][0] in _OPEN:
+            return []
+        at, names = i - 1, []
+        while self.kind(at) == "name":
+            names.append(self.bare_name(at))
+            if self.word(at - 1) != ",":
+                return names[::-1] if len(names) > 1 and self.kind(at - 1) in (None, "nl") else []
+            at -= 2
+        return []
+
+    def behind(self, j: int, at: int) -> int:
+        """Where the value begins behind comments, and behind an anchor or a tag."""
+        while True:
+            word = self.word(j)
+            if word.startswith("/*") and self.comment_end[j] >= 0 and self.comment_end[j] < self.line_end[j]:
+                j = self.comment_end[j] + 1
+            elif (word.startswith("//") or word == "#") and self.t[j][1] > self.t[j - 1][2] and self.line_end[j] < len(self.t):
+                return self.line_end[j]
+            elif self.word(at) == ":" and self.kind(j) == "bare" and word[:1] in "&!" and len(word) > 1:
+                j += 1
+            else:
+                return j
+
+    def called(self, i: int) -> Iterator[tuple[tuple[str, ...], Value]]:
+        """The literals that the call whose bracket is at i gives to what it names: by a first literal, or by a setter's own name."""
+        for first, k in self.call_defaults(i):
+            if first:
+                yield (first,), self.literal(k)
+        if self.kind(i + 1) == "str" and self.word(i + 2) in (")", ",") and _SETTER.match(self.word(i - 1)):
+            yield (self.bare_name(i - 1),), self.literal(i + 1)
+
+    def pairs(self) -> Iterator[tuple[tuple[str, ...], Value]]:
+        """Names (of what holds the target, and the target's own) and values."""
+        read = 0  # brackets of calls before this place are read
         owners: list[tuple[str, str, int]] = []  # bracket or indentation, name, indentation
         given: dict[int, str] = {}  # the opening brackets of values, with their names
         last, i = -1, 0
@@ -236,6 +338,9 @@ class _Reader:
                 while owners and owners[-1][0] == "line" and len(word) - 1 <= owners[-1][2]:
                     owners.pop()
             elif word in _OPEN:
+                if word == "(" and i >= read and self.kind(i - 1) == "name" and self.t[i - 1][2] == self.t[i][1]:
+                    yield from self.called(i)
+                    read = self.closed.get(i, len(self.t))
                 owners.append((word, given.pop(i, ""), 0))
             elif word in _CLOSE:
                 while owners and owners[-1][0] == "line":
@@ -243,15 +348,32 @@ class _Reader:
                 if owners:
                     owners.pop()
             elif self.kind(i) == "str" and owners and owners[-1][0] == "[" and owners[-1][1] and not self.sign(i + 1) and i >= last:
-                value, places, last = self.joined(i, True)
-                yield owners[-1][1], value, places
+                value, last = self.joined(i, True)
+                yield (owners[-1][1],), value
+            elif (word == "define" and self.word(i - 1) == "#" or word in ("ENV", "ARG") and self.kind(i - 1) in (None, "nl")) and self.kind(i + 1) == "name" and i + 2 < self.line_end[i] and not self.sign(i + 2):
+                value, last = self.joined(i + 2, False)
+                if value:
+                    self.known[self.word(i + 1)] = value
+                    yield (self.word(i + 1),), value
+            elif self.sign(i) and i >= last and (names := self.several(i, owners)):
+                j = i + 1
+                for name in names:
+                    value, end = self.joined(j, False)
+                    if not value:
+                        break
+                    self.known[name] = value
+                    yield (name,), value
+                    last = end
+                    if self.word(end) != ",":
+                        break
+                    j = end + 1
             elif self.sign(i) and i >= last and (name := self.target(i)):
                 at = i
                 if word == ":" and (typed := self.after_type(i)):
                     at = typed
-                outer = " ".join(n for _, n, _ in owners[-3:] if n)
-                full = f"{outer} {name}".strip()
-                j = at + 1
+                outer = tuple(n for _, n, _ in owners[-3:] if n)
+                full = (*outer, name)
+                j = self.behind(at + 1, at)
                 if self.word(at) == ":" and self.word(j) in ("|", ">", "|-", ">-", "|+", ">+") and self.kind(self.skip_lines(j + 1)) and self.kind(j + 1) == "nl":
                     j += 1
                 if self.word(j) == "\\":
@@ -268,7 +390,7 @@ class _Reader:
                         i += 1
                         continue
                 if self.word(j) == "(":
-                    value, places, end = self.joined(self.skip_lines(j + 1), True)
+                    value, end = self.joined(self.skip_lines(j + 1), True)
                 elif self.word(j) in _OPEN:
                     given[j] = name
                     i = max(i + 1, at)
@@ -276,19 +398,20 @@ class _Reader:
                     continue
                 elif self.kind(j) == "name" and self.word(j + 1) == "(" and self.t[j + 1][1] == self.t[j][2]:
                     for first, k in self.call_defaults(j + 1):
-                        a, b = self.t[k][1] + 1, self.t[k][2] - 1
-                        yield full, self.text[a:b], {(a, b): None}
+                        yield full, self.literal(k)
                         if first:
-                            yield first, self.text[a:b], {(a, b): None}
+                            yield (first,), self.literal(k)
                     i, last = max(i + 1, j), max(last, at + 1)
                     continue
                 else:
-                    value, places, end = self.joined(j, False)
-                if places:
-                    self.known[name] = (value, places)
-                    yield full, value, places
-                    if full != name:
-                        yield name, value, places
+                    value, end = self.joined(j, False)
+                if value:
+                    self.known[name] = value
+                    yield full, value
+                    if outer:
+                        yield (name,), value
+                    for other in self.choices(end):
+                        yield (name,), other
                     last = end
                     i = max(i + 1, end)
                     if self.word(j) == "(":
@@ -298,14 +421,35 @@ class _Reader:
             i += 1
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """Name, value and the places of the literals that make it up, for every assignment of a known value."""
-    for name, value, places in _Reader(text).pairs():
-        yield name, value, list(places)
+def pairs(text: str) -> Iterator[tuple[tuple[str, ...], Value]]:
+    """Names and value of every assignment of a known value."""
+    yield from _Reader(text).pairs()
     for m in _XML.finditer(text):
-        yield m[1], m[2], [m.span(2)]
+        yield (m[1],), Value(m[2], m.span(2))
     for m in _ATTRIBUTES.finditer(text):
-        yield m[2], m[4], [m.span(4)]
+        yield (m[2],), Value(m[4], m.span(4))
+
+
+def secret_places(text: str) -> set[tuple[int, int]]:
+    """The places of all literals that make up a sensitive value. Each name is scored once, and each literal is reached once."""
+    sums: dict[str, float] = {}
+    line: list[Value] = []
+    for names, value in pairs(text):
+        for n in names:
+            if n not in sums:
+                sums[n] = name_sum(n)
+        weight = max(0.0, min(1.0, sum(sums[n] for n in names)))
+        if weight and weight * value.score() >= LEAST_SCORE:
+            line.append(value)
+    found, seen = set(), set()
+    while line:
+        v = line.pop()
+        if id(v) not in seen:
+            seen.add(id(v))
+            line += v.parts
+            if v.place and v.place[1] - v.place[0] >= 4:
+                found.add(v.place)
+    return found
 
 
 def _disjoint(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -330,12 +474,8 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind. The fixed patterns come first; a literal that meets one of theirs is left out."""
     base = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     base += [(kind, m.start(), m.end()) for kind, p in (("access", _ACCESS), ("hex", _HEX)) for m in p.finditer(text)]
-    found = set()
     low = text.lower()
-    for name, value, places in pairs(text) if any(h in low for h in _HINTS) else ():
-        weight = name_score(name)
-        if weight and weight * literal_score(value) >= LEAST_SCORE:
-            found.update(p for p in places if p[1] - p[0] >= 4)
+    found = secret_places(text) if any(h in low for h in _HINTS) else set()
     starts, ends = _disjoint((s, e) for _, s, e in base)
     found = {(a, b) for a, b in found if not _meets(starts, ends, a, b)}
     base += [("literal", a, b) for a, b in found]
