@@ -6,8 +6,9 @@ take the longest length left, find by a bitset subset-sum over the other lengths
 multiset that fills the window closest, trace back how often each length is used, and apply this pattern as
 often as the counts allow. Each step uses up a length, so there are about `window` patterns.
 
-Rows find their place by their rank among the rests of their length, which is counted in salted groups, so a
-length that a third of all rows share doesn't meet in one task.
+Rows find their place by their rank among the pieces of their length, which is counted in salted groups. A length has as
+many groups as its rows need, so neither full windows, which are most pieces of long texts, nor a length that a
+third of all rows share meet in a few tasks; all lengths together have at most 2**18 groups and one for each length.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def _segments(patterns: list[tuple[dict[int, int], int]]) -> list[tuple]:
     return out
 
 
-def pack(docs: DataFrame, window: int = WINDOW, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, rows_in_group: int = 2000, groups: int = 1 << 18) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the closing id alone. A null doc_id stays null. Repeated rows are packed each.
@@ -174,16 +175,17 @@ def pack(docs: DataFrame, window: int = WINDOW, salts: int = 64) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), body(docs).alias("text")).mapInArrow(_cut(window), _PIECES)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-    rows = durable(rows)
-    by_salt = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = durable(by_salt)  # at most window * salts rows
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    rows = durable(rows.withColumn("draw", F.xxhash64("doc_id", "start", F.monotonically_increasing_id())))
+    totals = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most window rows
+    most = max(rows_in_group, sum(totals.values()) // groups)
+    salts = spark.createDataFrame([(k, -(-n // most)) for k, n in totals.items()] or [(0, 1)], "length int, salts int")
+    rows = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod("draw", "salts").cast("int")).drop("draw", "salts")
+    counts = durable(rows.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most groups + window rows
     segments = _segments(plan(totals, window)) or [(0, 0, 0, 1, 0, 0)]
     places = spark.createDataFrame(segments, "length int, first long, until long, in_one long, place long, sequence long")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
-    # both sides are bounded by the window alone: window * salts and about 45 * window rows
+    # both sides are bounded, by groups + window and by about 45 * window rows
     ranked = rows.withColumn("rank", rank - 1).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(places), "length").filter("rank >= first AND rank < until").withColumn("k", F.col("rank") - F.col("first"))
     return placed.select(

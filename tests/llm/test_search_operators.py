@@ -205,3 +205,20 @@ def test_traversal_is_nearest_first_and_prunes():
         seen = {}
         next(tree.nearest(q, lambda rows: np.ones(len(rows), bool), None, None, seen))
         assert abs(q.mean()) < 100 or len(seen) < 50  # of about 120 leaves; from the middle all rows are about as far
+
+
+def test_packing_in_many_small_groups(spark):
+    from grovekit.llm import packing
+
+    rows = [(i, "word " * (3000 if i % 3 == 0 else i % 40)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for in_group in (1, 7, 10**6):
+        got = packing.pack(frame, rows_in_group=in_group).collect()
+        taken = defaultdict(list)
+        for r in got:
+            taken[r["sequence_id"]].append((r["offset"], r["length"]))
+        for spans in taken.values():
+            spans.sort()
+            assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and spans[-1][0] + spans[-1][1] <= 1024
+        assert sorted(taken) == list(range(len(taken))) and len(got) == len({(r["doc_id"], r["start"]) for r in got})
+    assert packing.pack(frame, rows_in_group=1, groups=4).count() == len(got)
