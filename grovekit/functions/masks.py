@@ -96,6 +96,11 @@ class Masks:
     def has(self, a: Column, taxon: int) -> Column:
         return self.both(a, self.lit(1 << taxon)) != self.empty
 
+    def members(self, a: Column) -> Column:
+        """The taxa of a set, as an array."""
+        word = (lambda t: F.element_at(a, (t / WORD).cast("int") + 1)) if self.wide else (lambda t: a)
+        return F.filter(F.sequence(F.lit(0), F.lit(self.n - 1)), lambda t: F.getbit(word(t), t % WORD) == 1)
+
     def least(self, a: Column) -> Column:
         """The lowest taxon of a set that isn't empty."""
         low = lambda x: F.bit_count(x.bitwiseXOR(x - F.lit(1).cast("long"))) - 1

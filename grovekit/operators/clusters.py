@@ -94,9 +94,14 @@ def degree_histogram(nodes: DataFrame) -> DataFrame:
     return inner.groupBy((F.col("n_children") + F.col("parent").isNotNull().cast("int")).alias("degree")).agg(F.count("*").alias("nodes"))
 
 
+def tips(nodes: DataFrame) -> DataFrame:
+    """tree, tips, inner_nodes, multifurcations (nodes of more than two children, roots too)."""
+    k = F.col("n_children")
+    return nodes.groupBy("tree").agg(F.count_if(k == 0).alias("tips"), F.count_if(k > 0).alias("inner_nodes"), F.count_if(k > 2).alias("multifurcations"))
+
+
 def dump(clusters: DataFrame, names: DataFrame, masks: Masks) -> DataFrame:
     """line: the sorted names of each cluster in braces. names: taxon, name."""
-    bit = names.groupBy("name").agg(masks.union_of("taxon").alias("bit"))
-    hit = clusters.select("mask").join(F.broadcast(bit), masks.both(F.col("mask"), F.col("bit")) != masks.empty)
-    lines = hit.groupBy("mask").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    each = clusters.select("mask", F.explode(masks.members(F.col("mask"))).alias("taxon"))
+    lines = each.join(names.select("taxon", "name"), "taxon").groupBy("mask").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return lines.select(F.concat(F.lit("{"), F.array_join("names", ","), F.lit("}")).alias("line")).orderBy("line")

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from .weights import c2
 
 
+PAIR_BLOCK = 1024
+
+
 def _ancestor_pairs(nodes: DataFrame) -> DataFrame:
     """tree, n, a, b (a < b), lvl of their least common ancestor, and for either taxon x: lvl_x, size_x, part_x.
 
     size_x is the size of the ancestor's child that holds x. part_x sums, over the nodes between x and the ancestor, the
     pairs of taxa that such a node has besides its child on the path. Every node is met by the leaves of each of its
-    children, so each pair of a tree comes once, at its ancestor.
+    children, so each pair of a tree comes once, at its ancestor. The root of a large tree meets all its leaves with all, so a
+    node's leaves are dealt by PAIR_BLOCK neighbouring places, and each block meets all of them: no key has more than PAIR_BLOCK times
+    the tree's leaves.
     """
     size = F.col("hi") - F.col("lo")
-    up = nodes.select("tree", F.col("node").alias("parent"), size.cast("long").alias("up_size"), F.col("lvl").alias("up_lvl"))
+    up = nodes.select("tree", F.col("node").alias("parent"), size.cast("long").alias("up_size"), F.col("lvl").alias("up_lvl"), F.col("lo").alias("up_lo"), F.col("hi").alias("up_hi"))
     own = nodes.select("tree", "node", "parent", "lo", "hi", "taxon", "lvl").join(up, ["tree", "parent"], "left")
     own = own.withColumn("weight", F.coalesce(c2(F.col("up_size") - size), F.lit(0)))
     # what a node weighs counts for all in its range: running sums over where ranges begin and end
@@ -25,11 +30,12 @@ def _ancestor_pairs(nodes: DataFrame) -> DataFrame:
     summed = edges.withColumn("part", F.sum(F.when(F.col("e.kind") == 1, F.col("weight")).otherwise(-F.col("weight"))).over(order)).filter("e.kind = 1").drop("e")
     n = nodes.filter("parent is null").select("tree", F.col("hi").cast("long").alias("n"))
     leaf = summed.filter("taxon is not null").select("tree", F.col("lo").alias("pos"), "taxon", "lvl", F.col("part").alias("leaf_part"))
-    child = summed.filter("parent is not null").select("tree", "parent", "node", "up_lvl", size.cast("long").alias("size"), "part", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
+    child = summed.filter("parent is not null").select("tree", "parent", "node", "up_lvl", "up_lo", "up_hi", size.cast("long").alias("size"), "part", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"))
     placed = child.join(leaf, ["tree", "pos"]).join(n, "tree")
-    x = placed.select("tree", "parent", "n", F.col("up_lvl").alias("lvl"), F.col("node").alias("node_a"), F.col("taxon").alias("a"), F.col("lvl").alias("lvl_a"), F.col("size").alias("size_a"), (F.col("leaf_part") - F.col("part")).alias("part_a"))
-    y = placed.select("tree", "parent", F.col("node").alias("node_b"), F.col("taxon").alias("b"), F.col("lvl").alias("lvl_b"), F.col("size").alias("size_b"), (F.col("leaf_part") - F.col("part")).alias("part_b"))
-    return x.join(y, ["tree", "parent"]).filter("a < b and node_a <> node_b").drop("parent", "node_a", "node_b")
+    block = lambda c: F.floor(c / PAIR_BLOCK).cast("int")
+    x = placed.select("tree", "parent", block(F.col("pos")).alias("block"), "n", F.col("up_lvl").alias("lvl"), F.col("node").alias("node_a"), F.col("taxon").alias("a"), F.col("lvl").alias("lvl_a"), F.col("size").alias("size_a"), (F.col("leaf_part") - F.col("part")).alias("part_a"))
+    y = placed.select("tree", "parent", F.explode(F.sequence(block(F.col("up_lo")), block(F.col("up_hi") - 1))).alias("block"), F.col("node").alias("node_b"), F.col("taxon").alias("b"), F.col("lvl").alias("lvl_b"), F.col("size").alias("size_b"), (F.col("leaf_part") - F.col("part")).alias("part_b"))
+    return x.join(y, ["tree", "parent", "block"]).filter("a < b and node_a <> node_b").drop("parent", "block", "node_a", "node_b")
 
 
 def distances(nodes: DataFrame) -> DataFrame:
@@ -60,8 +66,9 @@ def sorted_rows(similar: DataFrame) -> DataFrame:
 
 def nearest_present(ranks: DataFrame, present: DataFrame) -> DataFrame:
     """tree, x, y: for each taxon missing from a tree the nearest that is there. present: tree, taxon."""
-    all_taxa = ranks.select(F.col("x")).distinct()
-    missing = present.select("tree").distinct().join(all_taxa, how="cross").join(present.select("tree", F.col("taxon").alias("x")), ["tree", "x"], "left_anti")
+    every = ranks.select("x").distinct().agg(F.collect_list("x").alias("every"))  # one row
+    there = present.groupBy("tree").agg(F.collect_list("taxon").alias("there"))
+    missing = there.crossJoin(F.broadcast(every)).select("tree", F.explode(F.array_except("every", "there")).alias("x"))
     found = missing.join(ranks, "x").join(present.select("tree", F.col("taxon").alias("y")), ["tree", "y"])
     return found.groupBy("tree", "x").agg(F.min_by("y", "rank").alias("y"))
 

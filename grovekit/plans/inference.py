@@ -288,7 +288,11 @@ def score(genes: DataFrame, species: DataFrame, keep: DataFrame | None = None) -
         keep = keep.select("name").intersect(newick.taxa(species).select("name"))
     names, _, masks = universe(genes, keep)
     g = durable(normalised(newick.parse(genes, names, masks, keep), masks))
-    s = normalised(newick.parse(species, names, masks, keep), masks)
+    parsed = newick.parse(species, names, masks, keep)
+    left = parsed.filter("taxon is not null").agg(F.count("*"), F.countDistinct("tree")).first()
+    if tuple(left) != (masks.n, 1):
+        raise newick.StrictTreeError(f"the species tree keeps {left[0]} of {masks.n} taxa")
+    s = normalised(parsed, masks)
     parts = durable(partitions.partition_table(g, masks))
     return int(weights.fixed_tree_score(s, parts, masks, _number(g, masks)).first()[0])
 

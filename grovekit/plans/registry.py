@@ -6,6 +6,7 @@ up to four children, and the summary tree in the order of the nations.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.masks import Masks
 from ..operators import ancestors, clusters, kernels, matrices, partitions, perturb, support, taxa, transitions, weights
 from ..sources import derived, newick
+from ..sources.durable import shared_dir
 from . import checks, consensus, enrich, guide, inference
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +129,15 @@ def f3_taxa_intersection(spark, d):
     return taxa.intersection(_as_newick(binary(spark, d)))
 
 
+@query(_with() + " SELECT tree, n_leaves FROM (SELECT row_number() OVER (ORDER BY tree) - 1 AS tree, count(*) AS n_leaves FROM leaf GROUP BY leaf.tree) WHERE tree < 50")
+def o5_first_trees(spark, d):
+    """The trees written as lines of text in order, read back by number, and the first fifty of them."""
+    folder = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    _as_newick(binary(spark, d)).orderBy("tree").select("newick").write.text(folder)
+    first = newick.first_trees(newick.read_lines(spark, folder), 50)
+    return newick.leaf_names(first).groupBy("tree").agg(F.count("*").alias("n_leaves"))
+
+
 _ASIA = "(SELECT n_nationkey AS taxon FROM nation WHERE n_regionkey <= 1)"
 
 
@@ -356,6 +367,11 @@ def u2_all_pairs_rf(spark, d):
     return clusters.rf_distances(nodes, nodes, MASKS, pairs_below=True)
 
 
+@query(_with(_WIDE) + " SELECT tree, count(*) FILTER (WHERE kids = 0) AS tips, count(*) FILTER (WHERE kids > 0) AS inner_nodes, count(*) FILTER (WHERE kids > 2) AS multifurcations FROM wnode GROUP BY tree")
+def u5_tree_tips(spark, d):
+    return clusters.tips(wide(spark, d))
+
+
 @query(_with(_WIDE) + " SELECT CAST(kids + CASE WHEN psize IS NULL THEN 0 ELSE 1 END AS INT) AS degree, count(*) AS nodes FROM wnode WHERE kids > 0 GROUP BY 1")
 def u5_degree_histogram(spark, d):
     return clusters.degree_histogram(wide(spark, d))

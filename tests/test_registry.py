@@ -17,7 +17,7 @@ NAMES = sorted(registry.oracle_sql())
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "customer", "nation"):
+    for t in ("orders", "customer", "nation", "lineitem", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = registry.queries()[name](spark, str(DATA))
     columns = sorted(df.columns)
