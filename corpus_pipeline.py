@@ -15,27 +15,27 @@ from grovekit.llm.quality_rules import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or a learned one go. Null and empty texts fail it; repeated rows go or stay together."""
+    """Documents that fail the base rule or a learned one go. Null and empty texts fail it; repeated rows go or stay together. Other columns stay as they are; an empty table stays empty."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays, that with the smallest doc_id; null texts count as empty ones, and of repeated rows one stays."""
+    """Of equal texts one document stays, that with the smallest doc_id; null texts count as empty ones, and of repeated rows one stays. Other columns stay as they are; an empty table stays empty."""
     return drop_copies(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 on five words, one stays, that with the smallest doc_id. Texts without words are linked with nothing."""
+    """Of documents linked by a similarity of 0.8 on five words, one stays, that with the smallest doc_id. Texts without words are linked with nothing; of repeated rows one stays. Other columns stay as they are; an empty table stays empty."""
     return one_of_each(docs, Join(words=5, num=80))
 
 
 def temperature_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of small sources come several times; none is lost. A null source is a source of its own."""
+    """Documents of small sources come several times; none is lost. A null source is a source of its own; repeated rows come each. Other columns stay as they are; an empty table stays empty."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences. A null or empty text is its closing id."""
+    """The pieces of all documents with their places in sequences. A null or empty text is its closing id; repeated rows are packed each. Other columns are left out; an empty table gives none."""
     return pack(docs)
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.durable import durable, shared_dir  # noqa: F401
+
 #: The separators of words in every contract: space and the control characters 9 to 13.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
@@ -18,35 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) a local one is made."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="grovekit-")
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Python functions get at most so many rows at once: texts may be long, and a worker holds a batch several times over.
 
-    This is a setting of the session; a smaller one is left as it is.
+    This is a setting of the caller's session and stays, as plans are lazy; a smaller one is left as it is.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Intermediate tables as Parquet in the shared folder, compressed, which an operator drops when it is done with them."""
 
@@ -71,6 +52,12 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+    def only(self, *tables: DataFrame) -> None:
+        """Deletes all tables of keep() but these."""
+        kept = {id(t) for t in tables}
+        self.drop(*[t for k, (t, _) in list(self._paths.items()) if k not in kept])
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df doesn't use (Spark compares without case)."""
     taken, out = {c.lower() for c in df.columns}, []

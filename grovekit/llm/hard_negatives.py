@@ -202,7 +202,9 @@ def hard_negatives(vectors: DataFrame, n_positives: int = 5, k: int = 5, anchor_
     best = _grid(rows, asked, k, True, row_blocks, anchor_blocks)
     best = best.select(F.col("anchor").alias("uid"), F.col("pair").alias("positive_score"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     named = positives.join(anchors.select("uid", F.col("vec_id").alias("anchor_id")), "uid")
-    return named.join(best, ["uid", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    out = scratch.keep(named.join(best, ["uid", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
+    scratch.only(out)
+    return out
 
 
 ORACLE = """

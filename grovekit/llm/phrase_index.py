@@ -126,6 +126,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     """
     index = PhraseIndex.build(docs, items, window)
     runs = index.scratch.keep(index.runs())
+    index.scratch.only(index.texts, runs)
     by = Window.partitionBy("uid").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(by), F.lit(0))))
     hits = runs.withColumn("hit", covered).groupBy("uid").agg(F.sum("hit").cast("long").alias("n_hit"))

@@ -502,7 +502,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and the counts, digest and spans of its secrets.
 
     A null text counts as empty: no spans, the digest of the empty string. A null doc_id stays null; repeated
-    rows give repeated results; extra columns are ignored.
+    rows give repeated results; extra columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), find_secrets(body(docs)).alias("s")).select("doc_id", "s.*")

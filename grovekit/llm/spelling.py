@@ -218,9 +218,10 @@ def variants(docs: DataFrame, factor: int = 5, least_length: int = 6, least_n: i
     """
     scratch = Scratch(docs.sparkSession, "spelling")
     words = scratch.keep(word_counts(docs, least_length, least_n))
-    near = scratch.keep(words.join(near_words(words, scratch), "word", "left"))
+    met = scratch.keep(words.join(near_words(words, scratch), "word", "left"))
     good = F.col("minus_n") <= -factor * F.col("n")
-    near = near.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(good, F.col("form")).alias("form"), F.when(good, -F.col("minus_n")).alias("form_n"))
+    near = met.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(good, F.col("form")).alias("form"), F.when(good, -F.col("minus_n")).alias("form_n"))
     largest = words.agg(F.max("n")).first()[0] or 0
     ends = roots(near.filter("form IS NOT NULL"), largest, factor, scratch)
+    scratch.only(met, ends)
     return near.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

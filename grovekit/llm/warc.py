@@ -157,7 +157,11 @@ def _parse(with_payload: bool):
 
 
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
-    """A row per record of the archives in a folder. A record that fails its framing raises; digests that fail are marked."""
+    """A row per record of the archives in a folder. A record that fails its framing raises; digests that fail are marked.
+
+    Archives that repeat give their records again; an empty folder has no records; a record without a numbered page has a null page_id.
+    An archive is read as one value, so none may have 2 GB or more.
+    """
     files = spark.read.format("binaryFile").load(path)
     return files.select("content").mapInArrow(_parse(with_payload), READ)
 
