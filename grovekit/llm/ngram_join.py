@@ -41,7 +41,6 @@ from .components import components
 from .count_rtree import CountRTree, reaches
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_MOST_WORDS = 1 << 17
 _BITS = 23
 
 
@@ -58,21 +57,6 @@ class Join:
     block_hashes: int = 1 << 21  # and hashes of their sets
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= _MOST_WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_hash = _WordHash()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -80,10 +64,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: bytes, words: int) -> np.ndarray:
     """The distinct hashes of the n-grams, in ascending order. Bytes split and lower as the contract's classes do."""
+    import xxhash
+
     w = text.lower().split()
     if not w:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hash.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
     k = min(words, len(w))
     out = np.full(len(w) - k + 1, k, np.uint64)
     for i in range(k):
