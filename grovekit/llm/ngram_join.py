@@ -41,7 +41,7 @@ from .components import components
 from .count_rtree import CountRTree, reaches
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 23
+_LEAST_BITS, _MOST_BITS = 17, 27  # of a bit table, as powers of two: at most 2**21 rows are broadcast
 
 
 @dataclass(frozen=True)
@@ -401,11 +401,11 @@ class _Tables:
     filed: DataFrame
     points: DataFrame
 
-    def with_sets(self, rows: DataFrame, join: Join) -> DataFrame:
-        """rows, in blocks, with the sets of their classes; only these are made again from the texts."""
+    def with_sets(self, rows: DataFrame, most: int, join: Join) -> DataFrame:
+        """rows, in blocks, with the sets of their classes (at most `most` of them); only these are made again from the texts."""
         ids = rows.select("c").distinct()
         readers = self.classes.select("c", F.col("rep").alias("doc_id")).join(ids, "c", "left_semi")
-        sets = _asked(self.texts, readers, "doc_id").select("text").mapInArrow(_sets(join), _SETS)
+        sets = _asked(self.texts, readers, "doc_id", most).select("text").mapInArrow(_sets(join), _SETS)
         return rows.join(sets.join(ids, "c", "left_semi").dropDuplicates(["c"]), "c")
 
 
@@ -420,7 +420,7 @@ def _contract(t: _Tables, labels: DataFrame | None, join: Join, scratch: Scratch
     chosen = rows.groupBy("label").agg(F.max(F.struct("m", "key", "one")).alias("x"))
     chosen = scratch.keep(chosen.select("label", F.col("x.key").alias("place"), "x.one.*", F.lit(True).alias("host"), F.lit(True).alias("guest")))
     near = scratch.keep(_meet(_seated(chosen, join, False).join(t.points, "c"), _near(join), _SURVIVOR))
-    found = scratch.keep(_meet(t.with_sets(_seated(near, join, False), join), _contracted(join), "label binary, into binary").filter("label <> into"))
+    found = scratch.keep(_meet(t.with_sets(_seated(near, join, False), near.count(), join), _contracted(join), "label binary, into binary").filter("label <> into"))
     if labels is None:
         labels = chosen.select("c", "label")
     return scratch.keep(labels.join(found, "label", "left").select("c", F.coalesce("into", "label").alias("label")))
@@ -436,15 +436,21 @@ def _survivors(t: _Tables, labels: DataFrame, join: Join) -> DataFrame:
     return _meet(_seated(rows, join, True).join(t.points, "c"), _filtered(join), _SURVIVOR)
 
 
-def _bit(value: Column) -> tuple[Column, Column]:
-    """Where a value stands in a bit table of fixed size: the word, and the bit within it."""
-    at = F.pmod(F.xxhash64(value), F.lit(1 << _BITS))
-    return F.shiftright(at, 5).alias("word"), F.expr("1L") * F.pow(F.lit(2.0), at % 32).cast("long")
+def _bit(value: Column, bits: int) -> tuple[Column, Column]:
+    """Where a value stands in a table of 2**bits bits: the word, and the bit within it."""
+    at = F.pmod(F.xxhash64(value), F.lit(1 << bits))
+    return F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.expr("1L"), (at % 64).cast("int"))
 
 
-def _asked(rows: DataFrame, readers: DataFrame, by: str) -> DataFrame:
-    """The rows whose `by` may be among the readers'. The table of bits has at most 2**(_BITS - 5) rows, so it is broadcast, and the other rows are not shuffled; what passes wrongly is sorted out by the join that follows."""
-    word, bit = _bit(F.col(by))
+def _asked(rows: DataFrame, readers: DataFrame, by: str, most: int) -> DataFrame:
+    """The rows whose `by` may be among the readers', of whom there are at most `most`.
+
+    The table has 8 to 16 bits for each reader, so an eighth of the other rows pass at most, up to 2**24 readers;
+    with more of them more pass. It has at most 2**(_MOST_BITS - 6) rows, so it is broadcast, and rows that don't pass
+    are not shuffled; what passes wrongly is sorted out by the join that follows.
+    """
+    bits = min(max((8 * most).bit_length(), _LEAST_BITS), _MOST_BITS)
+    word, bit = _bit(F.col(by), bits)
     table = readers.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     met = rows.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word")
     return met.filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*rows.columns)
@@ -486,12 +492,12 @@ def class_components(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]
     classes = scratch.keep(whole.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first")))
     filed = _filed(classes, join, scratch)
     ids = filed.select("c").distinct()
-    points = _asked(whole.select("c", "counts"), ids, "c").dropDuplicates(["c"]).join(ids, "c", "left_semi")
+    points = _asked(whole.select("c", "counts"), ids, "c", classes.count()).dropDuplicates(["c"]).join(ids, "c", "left_semi")
     t = _Tables(texts, classes, filed, scratch.keep(points))
     labels = _contract(t, None, join, scratch)
     labels = _contract(t, labels, join, scratch)
     left = scratch.keep(_survivors(t, labels, join).groupBy("place", "c").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.max("host").alias("host"), F.max("guest").alias("guest")))
-    links = components(_meet(t.with_sets(_seated(left, join, True), join), _refined(join), "a binary, b binary"), scratch)
+    links = components(_meet(t.with_sets(_seated(left, join, True), left.count(), join), _refined(join), "a binary, b binary"), scratch)
     labels = labels.join(links.select(F.col("node").alias("label"), F.col("label").alias("into")), "label", "left").select("c", F.coalesce("into", "label").alias("label"))
     return whole.select("doc_id", "n", "c"), labels
 
