@@ -90,7 +90,8 @@ def h5_transitions_by_day(spark, d):
     nodes, leaf = _day_nodes(spark, d)
     rows = ranges.signed(nodes, leaf)
     known = _masks(ranges.cluster_table(rows.withColumn("parent", F.coalesce("parent", F.lit(-1)))), leaf)  # and the trees' own taxa
-    known = known.unionByName(ranges.everything(leaf).select(F.col("all").alias("sig"), MASKS.full.alias("mask"))).persist()
+    # a complete tree's own taxa are all taxa, which must not stand twice
+    known = known.unionByName(ranges.everything(leaf).select(F.col("all").alias("sig"), MASKS.full.alias("mask"))).dropDuplicates(["sig"]).persist()
     t = ranges.transitions(rows)
     for c in ("parent", "lo", "hi"):
         t = t.join(known.select(F.col("sig").alias(c), F.col("mask").alias(f"{c}_mask")), c)
