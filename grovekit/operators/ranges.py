@@ -11,18 +11,21 @@ complement is what is left of the whole. Trees meet in a grid of bounded blocks,
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUM_BITS = 40
-BLOCK_LEAVES = 1 << 18  # leaves of the trees in a block, at least one tree
-CHUNK_NODES = 2048  # nodes of a scored tree in one row
-_CELLS = 1 << 22  # numbers in one of the kernel's arrays
-_WORK = 20_000  # pairs of nodes worth a task
+BLOCK_LEAVES = 1 << 22  # leaves of the gene trees' rows in a block, at least one row
+STRETCH = 1 << 14  # neighbouring leaves summed by one task
+CHUNK_NODES = 1 << 14  # nodes of a gene tree in one row, or so
+_CELLS = 1 << 19  # numbers in one of the kernel's arrays
+_WORK = 50_000  # leaves below gene nodes worth a task
 _EXACT_LEAVES = 40_000  # beyond, a pair of nodes may have more than 2**63 quartets, and whole numbers of any size are used
 
 
@@ -45,12 +48,28 @@ def taxon_hashes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("taxon", F.lit(1))).withColumn("g", F.shiftrightunsigned(F.xxhash64("taxon", F.lit(2)), 64 - SUM_BITS))
 
 
+def running(rows: DataFrame, sums: list[str], xors: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the totals of columns up to each pos of its tree, in place of the columns.
+
+    Stretches of STRETCH positions are summed on their own, and then the stretches' totals, so that no task has a whole tree.
+    """
+    keys, ops = ["tree", "_stretch"], [*((c, F.sum) for c in sums), *((c, F.bit_xor) for c in xors)]
+    rows = rows.withColumn("_stretch", F.shiftright("pos", STRETCH.bit_length() - 1))
+    totals = rows.groupBy(*keys).agg(*[f(c).alias(c) for c, f in ops])
+    past = Window.partitionBy("tree").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, *[F.coalesce(f(c).over(past), F.lit(0)).alias(f"_{c}") for c, f in ops])
+    by = Window.partitionBy(*keys).orderBy("pos")
+    own = rows.withColumns({c: f(c).over(by) for c, f in ops}).join(before, keys)
+    add = lambda c, f: F.col(c) + F.col(f"_{c}") if f is F.sum else F.col(c).bitwiseXOR(F.col(f"_{c}"))
+    return own.withColumns({c: add(c, f) for c, f in ops}).drop("_stretch", *[f"_{c}" for c, _ in ops])
+
+
 def prefixes(leaf: DataFrame) -> DataFrame:
-    """tree, pos, taxon, and the signatures of all leaves before pos and up to it. leaf: tree, pos, taxon."""
-    by = Window.partitionBy("tree").orderBy("pos")
+    """tree, pos, taxon, and the signatures of all leaves before pos and up to it. leaf: tree, pos (gapless from 0), taxon."""
     rows = taxon_hashes(leaf.select("tree", "pos", "taxon"))
-    rows = rows.withColumn("upto", signature(F.row_number().over(by), F.bit_xor("h").over(by), F.sum("g").over(by)))
-    return rows.withColumn("before", less(F.col("upto"), signature(F.lit(1), F.col("h"), F.col("g")))).drop("h", "g")
+    rows = running(rows.withColumns({"x": F.col("h"), "s": F.col("g")}), ["s"], ("x",))
+    rows = rows.withColumn("upto", signature(F.col("pos") + 1, F.col("x"), F.col("s")))
+    return rows.withColumn("before", less(F.col("upto"), signature(F.lit(1), F.col("h"), F.col("g")))).drop("h", "g", "x", "s")
 
 
 def everything(leaf: DataFrame) -> DataFrame:
@@ -116,8 +135,8 @@ def transitions(rows: DataFrame) -> DataFrame:
 def trees_as_rows(nodes: DataFrame, leaf: DataFrame, chosen: DataFrame | None = None, root_too: bool = False, chunk: int | None = None) -> DataFrame:
     """tree, taxa (in the order of the leaves), nodes (node, freq, bounds): bounds are where the children begin, and the end.
 
-    chosen: tree, node, freq of the inner nodes to keep; else all below the root (root_too: and it). chunk: at most so many nodes in a row.
-    A row is as long as its tree has leaves.
+    chosen: tree, node, freq of the inner nodes to keep; else all below the root (root_too: and it). chunk: so many nodes in a row, or
+    so; a hash deals them out. A row is as long as its tree has leaves.
     """
     taxa = leaf.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("pos", "taxon")))["taxon"].cast("array<int>").alias("taxa"))
     kids = nodes.filter("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.array_sort(F.collect_list(F.col("lo").cast("int"))).alias("starts"))
@@ -125,18 +144,13 @@ def trees_as_rows(nodes: DataFrame, leaf: DataFrame, chosen: DataFrame | None =
     inner = inner.join(kids, ["tree", "node"])
     inner = inner.join(chosen, ["tree", "node"]) if chosen is not None else inner.withColumn("freq", F.lit(1).cast("long"))
     item = F.struct("node", "freq", F.concat("starts", F.array(F.col("hi").cast("int"))).alias("bounds"))
-    part = F.floor((F.row_number().over(Window.partitionBy("tree").orderBy("node")) - 1) / F.lit(chunk)) if chunk else F.lit(0)
+    part = F.lit(0)
+    if chunk:
+        inner = inner.join(leaf.groupBy("tree").agg(F.count("*").alias("n")), "tree")
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(chunk)))
     return inner.withColumn("part", part.cast("int")).groupBy("tree", "part").agg(F.collect_list(item).alias("nodes")).join(taxa, "tree")
 
 
-def _bounds(nodes: list[dict]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By number of children: the nodes' numbers, frequencies, and bounds."""
-    by: dict[int, list] = {}
-    for x in nodes:
-        by.setdefault(len(x["bounds"]) - 1, []).append(x)
-    return {k: (np.array([x["node"] for x in v]), np.array([x["freq"] for x in v]), np.array([x["bounds"] for x in v])) for k, v in by.items()}
-
-
 def quartets(table: np.ndarray) -> np.ndarray:
     """Agreeing quartets for tables of counts (sides, parts, ...): pairs in one cell, with pairs in other rows and columns, not both in one."""
     if table.shape[:2] == (3, 3):  # a pair in one of three cells that share neither row nor column, and one in each of the others
@@ -161,85 +175,241 @@ def quartets(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def shared_counts(place: np.ndarray, bounds: np.ndarray, gene_bounds: np.ndarray, kind: type) -> np.ndarray:
-    """Counts (sides, parts, nodes, gene nodes): sides are a node's children and all else, parts likewise.
-
-    place: where each leaf of the gene tree stands in the scored tree, -1 if it doesn't.
+_BITS = 31  # a whole number beyond 64 bits is high * 2**31 + low
+_LOW = (1 << _BITS) - 1
+
+
+def _even(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return high + (low >> _BITS), low & _LOW
+
+
+def _times(x: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x times n, with n < 2**31."""
+    return _even(x[0] * n, x[1] * n)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _even(np.zeros_like(a), a * b)
+
+
+def _twice(table: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """Twice the quartets of each table."""
+    if table.shape[:2] != (3, 3):
+        q = 2 * quartets(table.astype(np.int64 if leaves <= _EXACT_LEAVES else object))
+        return (q >> _BITS).astype(np.int64), (q & _LOW).astype(np.int64)
+    high, low = 0, 0
+    for i, j, k in itertools.permutations(range(3)):
+        a, b, c = table[0, i], table[1, j], table[2, k]
+        h, m = _times(_times(_product(a, b), c), np.maximum(a + b + c - 3, 0))
+        high, low = high + h, low + m
+    return _even(high, low)
+
+
+def _lists(nodes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row's nodes: numbers, frequencies, how many bounds each has, and all bounds."""
+    bounds = nodes.field("bounds")
+    return nodes.field("node").to_numpy(), nodes.field("freq").to_numpy(), pc.list_value_length(bounds).to_numpy().astype(np.int64), bounds.flatten().to_numpy().astype(np.int64)
+
+
+def _by_width(widths: np.ndarray, flat: np.ndarray):
+    """Places of the nodes with equally many bounds, and their bounds as a table."""
+    first = np.cumsum(widths) - widths
+    for w in np.unique(widths):
+        at = np.flatnonzero(widths == w)
+        yield at, flat[first[at][:, None] + np.arange(w)]
+
+
+class _Scored:
+    """A scored tree for look-ups: its inner nodes in preorder (an ancestor has a lesser number), -1 for a root that isn't among them."""
+
+    def __init__(self, taxa: np.ndarray, nodes: pa.Array):
+        self.n, (ids, _, widths, flat) = len(taxa), _lists(nodes)
+        self.order = np.argsort(taxa)
+        self.taxa = taxa[self.order]
+        first = np.cumsum(widths) - widths
+        pre = np.lexsort((-flat[first + widths - 1], flat[first]))
+        self.ids, self.widths = ids[pre], widths[pre]
+        self.first = np.cumsum(self.widths) - self.widths
+        owner = np.repeat(np.arange(len(pre)), self.widths)
+        self.flat = flat[np.arange(len(flat)) + (first[pre] - self.first)[owner]]
+        self.lo, self.hi = self.flat[self.first], self.flat[self.first + self.widths - 1]
+        self.end = np.searchsorted(self.lo, self.hi)  # below a node are those from it on, up to here
+        self.gap = np.full(self.n + 1, -1, np.int32)  # the node whose children part before a leaf
+        inner = (self.flat > self.lo[owner]) & (self.flat < self.hi[owner])
+        self.gap[self.flat[inner]] = owner[inner]
+        self.up = np.maximum(self.gap[self.lo], self.gap[self.hi]).astype(np.int64)
+        self.key = owner * (self.n + 1) + self.flat
+        self.kid = np.full(len(flat), -1)  # beside a child's first bound, its number, -1 for a leaf
+        has = np.flatnonzero(self.up >= 0)
+        self.kid[np.searchsorted(self.key, self.up[has] * (self.n + 1) + self.lo[has])] = has
+        self.least = [self.gap]  # minima over 2**k gaps
+        while 1 << len(self.least) <= self.n:
+            w = 1 << (len(self.least) - 1)
+            self.least.append(np.append(np.minimum(self.least[-1][:-w], self.least[-1][w:]), self.least[-1][-w:]))
+        self.least = np.stack(self.least)
+
+    def place(self, taxa: np.ndarray) -> np.ndarray:
+        """Where leaves stand here, -1 if they don't."""
+        at = np.minimum(np.searchsorted(self.taxa, taxa), self.n - 1)
+        return np.where(self.taxa[at] == taxa, self.order[at], -1)
+
+    def ancestor(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of leaves a < b: the least of the gaps between them, as an ancestor has the least number."""
+        k = np.frexp(b - a)[1] - 1
+        return np.minimum(self.least[k, a + 1], self.least[k, b + 1 - (1 << k)])
+
+    def child(self, node: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        return self.kid[np.searchsorted(self.key, node * (self.n + 1) + leaf, side="right") - 1]
+
+
+class _Weights:
+    """Twice the agreeing quartets of each node of a scored tree with the nodes of one gene tree.
+
+    A node s and a gene node g have none unless leaves below g stand on two sides of s, one of them below s. If they stand below two
+    children of s, then s is where neighbours among g's leaves (in the scored tree's order) meet: at most as many s as g has leaves,
+    and each gets its table of counts. If they stand below one child and outside alone, a quartet takes a leaf of another child, which has b
+    leaves of the gene tree, and is counted by b * u + b**2 * v, where u and v are the same on the whole way up to the next
+    meeting: they are put down where it begins, taken away where it ends, and summed below each child. So the work is that of g's leaves, summed over all g.
     """
-    sides, parts = bounds.shape[1], gene_bounds.shape[1]
-    out = np.empty((sides, parts, len(bounds), len(gene_bounds)), kind)
-    whole = np.zeros((len(bounds), 1 + len(place)), np.int64)
-    for i in range(sides):
-        if i < sides - 1:
-            before = np.zeros_like(whole)
-            np.cumsum((place >= bounds[:, i : i + 1]) & (place < bounds[:, i + 1 : i + 2]), axis=1, out=before[:, 1:])
-            whole += before
-        else:
-            before = np.arange(1 + len(place)) - whole  # the complement, by subtraction
-        at = before[:, gene_bounds]
-        inside = at[:, :, 1:] - at[:, :, :-1]
-        out[i, : parts - 1] = inside.transpose(2, 0, 1)
-        out[i, parts - 1] = before[:, -1:] - inside.sum(2)
-    return out
+
+    def __init__(self, scored: _Scored, place: np.ndarray):
+        self.t, self.place = scored, place
+        self.high, self.low = np.zeros(len(scored.ids), np.int64), np.zeros(len(scored.ids), np.int64)
+        self.ways = {"leaf": np.zeros((4, scored.n), np.int64), "node": np.zeros((4, len(scored.ids)), np.int64)}  # u and v, each high and low
+
+    def _way(self, kind: str, at: np.ndarray, parent: np.ndarray, meets: np.ndarray, leaf: np.ndarray, uv: list[np.ndarray]) -> None:
+        """From a leaf or node up to where it meets others (below 0: up to the root)."""
+        open_ = parent != meets
+        ends = open_ & (meets >= 0)
+        top = self.t.child(meets[ends], leaf[ends])
+        for k, x in enumerate(uv):
+            np.add.at(self.ways[kind][k], at[open_], x[open_])
+            np.subtract.at(self.ways["node"][k], top, x[ends])
+
+    def add(self, freq: np.ndarray, bounds: np.ndarray) -> None:
+        """Gene nodes with equally many children."""
+        t, n, (m, p) = self.t, self.t.n, (len(bounds), bounds.shape[1] - 1)
+        size, parts = bounds[:, -1] - bounds[:, 0], np.diff(bounds, axis=1)
+        own = np.repeat(np.arange(m), size)
+        x = self.place[np.arange(len(own)) - np.repeat(np.cumsum(size) - size - bounds[:, 0], size)]
+        part = np.repeat(np.arange(m * p), parts.ravel())
+        here = x >= 0
+        own, x, part = own[here], x[here], part[here]
+        order = np.argsort(own * n + x, kind="stable")
+        own, x, part = own[order], x[order], part[order]
+        key, by_part = own * n + x, np.sort(part * n + x, kind="stable")
+        meet = np.full(len(x) + 1, -2, np.int64)  # before each leaf, where it meets the one before it
+        again = np.flatnonzero(own[1:] == own[:-1])
+        meet[again + 1] = t.ancestor(x[again], x[again + 1])
+        # from each leaf up
+        k, k2 = parts.sum(1), (parts * parts).sum(1)
+        mine = parts.ravel()[part]
+        v = k[own] - mine
+        u = k2[own] - mine * mine - 2 * v
+        uv = [*_times((u >> _BITS, u & _LOW), freq[own]), *_times((v >> _BITS, v & _LOW), freq[own])]
+        self._way("leaf", x, np.maximum(t.gap[x], t.gap[x + 1]), np.maximum(meet[:-1], meet[1:]), x, uv)
+        # where leaves meet, and from there up
+        met = np.flatnonzero(meet >= 0)
+        g, s = np.divmod(np.unique(own[met] * len(t.ids) + meet[met]), max(1, len(t.ids)))
+        for w in np.unique(t.widths[s]):
+            which = np.flatnonzero(t.widths[s] == w)
+            step = max(1, _CELLS // int(w * (p + 1)))
+            for a in range(0, len(which), step):
+                self._meetings(g[which[a : a + step]], s[which[a : a + step]], int(w) - 1, parts, freq, key, by_part, meet)
+
+    def _meetings(self, g, s, d, parts, freq, key, by_part, meet) -> None:
+        t, n, p = self.t, self.t.n, parts.shape[1]
+        bounds = t.flat[t.first[s][:, None] + np.arange(d + 1)]
+        before = np.searchsorted(by_part, ((g[:, None] * p + np.arange(p)) * n)[:, :, None] + bounds[:, None, :])
+        table = np.empty((d + 1, p + 1, len(g)), np.int64)
+        table[:d, :p] = np.diff(before, axis=2).transpose(2, 1, 0)
+        table[:d, p] = np.diff(self.before[bounds], axis=1).T - table[:d, :p].sum(1)
+        a, k = table[:d, :p].sum(0), parts[g].T
+        c = table[d, :p] = k - a
+        table[d, p] = len(self.place) - k.sum(0) - table[:d, p].sum(0)
+        high, low = _times(_twice(table, len(self.place)), freq[g])
+        np.add.at(self.high, s, high)
+        np.add.at(self.low, s, low)
+        # u: a * c * (a + c - 3) over different parts; v: a * c
+        v = a.sum(0) * c.sum(0) - (a * c).sum(0)
+        terms = (_times(_product(a, a), c.sum(0) - c), _times(_product(c, c), a.sum(0) - a))
+        u = [sum(x[h].sum(0) for x in terms) for h in (0, 1)]
+        v = (v >> _BITS, v & _LOW)
+        u = _even(u[0] - 3 * v[0], u[1] - 3 * v[1])
+        first, last = np.searchsorted(key, g * n + t.lo[s]), np.searchsorted(key, g * n + t.hi[s])
+        self._way("node", s, t.up[s], np.maximum(meet[first], meet[last]), t.lo[s], [*_times(u, freq[g]), *_times(v, freq[g])])
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        t = self.t
+        leaf, node = (np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(self.ways[x], axis=1)], axis=1) for x in ("leaf", "node"))
+        for at, bounds in _by_width(t.widths, t.flat):
+            kid = t.kid[t.first[at][:, None] + np.arange(bounds.shape[1] - 1)]
+            below = leaf[:, bounds[:, 1:]] - leaf[:, bounds[:, :-1]] + np.where(kid >= 0, node[:, t.end[kid]] - node[:, kid], 0)
+            u, v = _even(below[0], below[1]), _even(below[2], below[3])
+            b = np.diff(self.before[bounds], axis=1)
+            rest, squares = b.sum(1, keepdims=True) - b, (b * b).sum(1, keepdims=True) - b * b
+            more = _times(v, squares >> _BITS)  # times 2**31
+            for high, low in (_times(u, rest), _times(v, squares & _LOW), ((more[0] << _BITS) + more[1], 0 * b)):
+                self.high[at] += high.sum(1)
+                self.low[at] += low.sum(1)
+        return _even(self.high, self.low)
+
+    @functools.cached_property
+    def before(self) -> np.ndarray:
+        """Leaves of the gene tree before each place of the scored tree."""
+        return np.append(0, np.cumsum(np.bincount(self.place[self.place >= 0], minlength=self.t.n)))
 
 
 def _score(hosts: pa.Table, genes: pa.Table) -> pa.Table:
-    """tree, node, high, low of every node of the scored trees: agreeing quartets, over the gene trees of the block, as high * 2**32 + low."""
-    rows = []
-    trees = [(np.array(t.as_py()), _bounds(n.as_py())) for t, n in zip(genes.column("taxa"), genes.column("nodes"), strict=True)] if hosts.num_rows else []
+    """tree, node, high, low of every node of the scored trees: agreeing quartets, over the gene trees of the block, as high * 2**31 + low."""
+    found = [pa.table([pa.array([], pa.int64())] * 4, names=["tree", "node", "high", "low"])]
     for tree, taxa, nodes in zip(hosts.column("tree").to_pylist(), hosts.column("taxa"), hosts.column("nodes"), strict=True):
-        own = np.array(taxa.as_py())
-        order = np.argsort(own)
-        for ids, _, bounds in _bounds(nodes.as_py()).values():
-            high, low = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-            for gene_taxa, gene_nodes in trees:
-                where = np.minimum(np.searchsorted(own, gene_taxa, sorter=order), len(own) - 1)
-                place = np.where(own[order[where]] == gene_taxa, order[where], -1)
-                kind = np.int64 if len(place) <= _EXACT_LEAVES else object
-                for _, freq, gene_bounds in gene_nodes.values():
-                    cells = bounds.shape[1] * gene_bounds.shape[1]
-                    per = max(1, _CELLS // max(1, cells * 256))
-                    for g in range(0, len(gene_bounds), per):  # blocks, so that no array has more than _CELLS numbers or so
-                        some = slice(g, g + per)
-                        step = max(1, _CELLS // max(cells * min(per, len(gene_bounds)), 1 + len(place)))
-                        for a in range(0, len(ids), step):
-                            q = quartets(shared_counts(place, bounds[a : a + step], gene_bounds[some], kind))
-                            high[a : a + step] += ((q >> 32) * freq[some]).sum(1).astype(np.int64)
-                            low[a : a + step] += ((q & 0xFFFFFFFF) * freq[some]).sum(1).astype(np.int64)
-            high, low = high + (low >> 32), low & 0xFFFFFFFF
-            rows += zip([tree] * len(ids), ids.tolist(), high.tolist(), low.tolist(), strict=True)
-    cols = zip(*rows, strict=True) if rows else ([], [], [], [])
-    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["tree", "node", "high", "low"])
+        scored = _Scored(taxa.values.to_numpy(), nodes.values)
+        high, low = np.zeros(len(scored.ids), np.int64), np.zeros(len(scored.ids), np.int64)
+        for gene_taxa, gene_nodes in zip(genes.column("taxa"), genes.column("nodes"), strict=True):
+            one = _Weights(scored, scored.place(gene_taxa.values.to_numpy()))
+            _, freq, widths, flat = _lists(gene_nodes.values)
+            for at, bounds in _by_width(widths, flat):
+                # so many gene nodes at once that their leaves are _CELLS or so
+                cuts = np.flatnonzero(np.diff(np.cumsum(bounds[:, -1] - bounds[:, 0]) // _CELLS)) + 1
+                for some in np.split(np.arange(len(at)), cuts):
+                    one.add(freq[at[some]], bounds[some])
+            h, m = one.total()
+            high, low = _even(high + h, low + m)
+        # all are even
+        found.append(pa.table([np.full(len(high), tree, np.int64), scored.ids, high >> 1, (low + ((high & 1) << _BITS)) >> 1], names=["tree", "node", "high", "low"]))
+    return pa.concat_tables(found)
 
 
 def node_weights(hosts: DataFrame, genes: DataFrame) -> DataFrame:
     """tree, node, weight (decimal): agreeing quartets between each node of the scored trees and all partitions of the gene trees.
 
-    Both are rows of trees_as_rows(). They meet in a grid of blocks: at most BLOCK_LEAVES leaves of gene trees (or one tree) by one row of the scored trees.
+    Both are rows of trees_as_rows(), a scored tree in one. They meet in a grid of blocks: about BLOCK_LEAVES leaves of gene trees (or one row) by one scored tree.
     """
+    hosts, genes = hosts.persist(), genes.persist()
     spark = genes.sparkSession
-    size = genes.agg(F.count("*").alias("trees"), F.coalesce(F.sum(F.size("taxa")), F.lit(0)).alias("leaves"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("nodes")).first()
-    asked = hosts.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("nodes")).first()
+    visits = F.aggregate("nodes", F.lit(0).cast("long"), lambda acc, x: acc + F.element_at(x["bounds"], -1) - F.element_at(x["bounds"], 1))
+    size = genes.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("taxa")), F.lit(0)).alias("leaves"), F.coalesce(F.sum(visits), F.lit(0)).alias("visits")).first()
     cores = spark.sparkContext.defaultParallelism
-    blocks = max(1, -(-size["leaves"] // BLOCK_LEAVES), min(cores, size["trees"], size["nodes"] * asked["nodes"] // _WORK))
-    cols = max(1, asked["rows"])
+    blocks = max(1, -(-size["leaves"] // BLOCK_LEAVES), min(cores, size["rows"], size["visits"] // _WORK))
+    cols = max(1, hosts.count())
     seat = lambda n: F.pmod(F.xxhash64("tree", "part"), F.lit(n)).cast("int")
     left = hosts.withColumn("col", seat(cols)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("tree", "taxa", "nodes", "row", "col")
     right = genes.withColumn("row", seat(blocks)).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))).select("taxa", "nodes", "row", "col")
     met = left.withColumn("tree", F.col("tree").cast("long")).groupBy("row", "col").cogroup(right.groupBy("row", "col"))
     found = met.applyInArrow(_score, "tree long, node long, high long, low long")
     exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
-    return found.groupBy("tree", "node").agg((exact("high") * F.lit(2**32).cast("decimal(20,0)") + exact("low")).cast("decimal(38,0)").alias("weight"))
+    return found.groupBy("tree", "node").agg((exact("high") * F.lit(1 << _BITS).cast("decimal(20,0)") + exact("low")).cast("decimal(38,0)").alias("weight"))
 
 
 def fixed_score(species_nodes: DataFrame, species_leaf: DataFrame, nodes: DataFrame, leaf: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
     """One row, quartet_score (decimal). partitions: of partition_table(), so that equal ones are scored once; else each node is scored."""
     chosen = partitions.select("exemplar.tree", "exemplar.node", "freq") if partitions is not None else None
-    weights = node_weights(scored(species_nodes, species_leaf), trees_as_rows(nodes, leaf, chosen))
+    weights = node_weights(scored(species_nodes, species_leaf), trees_as_rows(nodes, leaf, chosen, chunk=CHUNK_NODES))
     return weights.agg((F.coalesce(F.sum("weight"), F.lit(0)) / 2).cast("decimal(38,0)").alias("quartet_score"))
 
 
 def scored(species_nodes: DataFrame, species_leaf: DataFrame) -> DataFrame:
     """Rows of the nodes of trees to score; a two-sided root repeats what its children have and is left out."""
     kept = species_nodes.withColumn("n_children", F.when(F.col("parent").isNull() & (F.col("n_children") == 2), 0).otherwise(F.col("n_children")))
-    return trees_as_rows(kept, species_leaf, root_too=True, chunk=CHUNK_NODES)
+    return trees_as_rows(kept, species_leaf, root_too=True)

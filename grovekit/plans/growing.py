@@ -53,9 +53,8 @@ _SUMS = "len(s) AS sz, list_sum(s)::BIGINT AS taxon_sum, list_sum(list_transform
 
 def _sums(table: DataFrame, leaf: DataFrame) -> DataFrame:
     """taxon_sum and taxon_sq of each exemplar."""
-    by = Window.partitionBy("tree").orderBy("pos")
     t = F.col("taxon").cast("long")
-    run = leaf.select("tree", "pos", F.sum(t).over(by).alias("s"), F.sum(t * t).over(by).alias("q"), t.alias("t"))
+    run = ranges.running(leaf.select("tree", "pos", t.alias("t"), t.alias("s"), (t * t).alias("q")), ["s", "q"])
     ends = run.select("tree", (F.col("pos") + 1).alias("hi"), "s", "q")
     starts = run.select("tree", F.col("pos").alias("lo"), (F.col("s") - F.col("t")).alias("s0"), (F.col("q") - F.col("t") * F.col("t")).alias("q0"))
     every = leaf.select(t.alias("t")).distinct().agg(F.sum("t").alias("s_all"), F.sum(F.col("t") * F.col("t")).alias("q_all"))
@@ -130,7 +129,7 @@ def t14_fixed_score_by_day(spark, d):
     SELECT {_SUMS}, freq FROM x""")
 def a1_clusters_of_customers(spark, d):
     """Clusters of over a thousand taxa, both sides."""
-    leaf = derived.customer_leaves(spark, d)
+    leaf = derived.customer_leaves(spark, d).persist()
     table = ranges.cluster_table(ranges.signed(derived.block_ranges(leaf), leaf))
     return _sums(table, leaf).select("sig.sz", "taxon_sum", "taxon_sq", "freq")
 
@@ -140,7 +139,7 @@ def a1_clusters_of_customers(spark, d):
     tri AS (SELECT kids, outside, count(*) AS freq FROM (SELECT k.kids, list(l.taxon ORDER BY l.taxon) AS outside FROM node x JOIN kid k USING (tree, lo, hi) JOIN wleaf l ON l.tree = x.tree AND (l.pos < x.lo OR l.pos >= x.hi) WHERE x.up IS NOT NULL GROUP BY x.tree, x.lo, x.hi, k.kids) GROUP BY 1, 2)
     SELECT least(len(kids[1]), len(kids[2])) AS sz1, greatest(len(kids[1]), len(kids[2])) AS sz2, len(outside) AS sz3, freq FROM tri""")
 def a4_tripartitions_of_customers(spark, d):
-    leaf = derived.customer_leaves(spark, d)
+    leaf = derived.customer_leaves(spark, d).persist()
     p = ranges.partition_table(ranges.signed(derived.block_ranges(leaf), leaf))
     at = lambda k: F.element_at("parts", k)["sz"]
     return p.select(F.least(at(1), at(2)).alias("sz1"), F.greatest(at(1), at(2)).alias("sz2"), at(3).alias("sz3"), "freq")
@@ -160,7 +159,7 @@ _PAIRS = """,
 
 
 def _customers(spark, d):
-    leaf, label = derived.customer_leaves(spark, d), derived.customer_label_leaves(spark, d)
+    leaf, label = derived.customer_leaves(spark, d).persist(), derived.customer_label_leaves(spark, d).persist()
     return derived.block_ranges(leaf), leaf, derived.block_ranges(label), label
 
 
@@ -184,7 +183,7 @@ def t19_fixed_score_of_customers(spark, d):
     FROM pair p JOIN wleaf x ON x.tree = p.tree AND x.taxon = p.a JOIN wleaf y ON y.tree = p.tree AND y.taxon = p.b JOIN node q ON q.tree = p.tree AND q.lo <= least(x.pos, y.pos) AND q.hi > greatest(x.pos, y.pos) GROUP BY 1, 2, 3""")
 def j9_ancestors_of_customers(spark, d):
     """The least common ancestors of customers whose orders follow each other."""
-    leaf = derived.customer_leaves(spark, d)
+    leaf = derived.customer_leaves(spark, d).persist()
     nodes = derived.block_ranges(leaf).join(leaf.select("tree", F.col("pos").alias("lo"), F.col("taxon").alias("t")), ["tree", "lo"]).withColumn("taxon", F.when(F.col("n_children") == 0, F.col("t"))).drop("t")
     orders = spark.read.parquet(f"{d}/orders.parquet").select(F.year("o_orderdate").alias("tree"), F.col("o_custkey").cast("int").alias("a"), "o_orderkey")
     after = F.lead("a").over(Window.partitionBy("tree").orderBy("o_orderkey"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import math
+import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from grovekit.operators import ranges
 from grovekit.plans import registry
 
 
@@ -39,3 +44,76 @@ def same_as_sql(spark, name, d):
 def test_complete_trees_by_day(spark, complete, name):
     rows = same_as_sql(spark, name, complete)
     assert len(set(rows)) == len(rows) > 0
+
+
+def _rows(taxa, nodes):
+    """A tree as trees_as_rows() has it; nodes: bounds."""
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("freq", pa.int64()), ("bounds", pa.list_(pa.int32()))]))
+    return pa.table({"tree": [0], "taxa": pa.array([taxa], pa.list_(pa.int32())), "nodes": pa.array([[{"node": i, "freq": 1, "bounds": b} for i, b in enumerate(nodes)]], kind)})
+
+
+def _balanced(n):
+    """Bounds of all binary nodes of blocks but the root."""
+    widths = [1 << k for k in range(n.bit_length())]
+    return [[lo, lo + w, min(n, lo + 2 * w)] for w in widths for lo in range(0, n, 2 * w) if lo + w < n and min(n, lo + 2 * w) - lo < n]
+
+
+def _total(rows):
+    return sum((h << 31) + low for h, low in zip(rows["high"].to_pylist(), rows["low"].to_pylist(), strict=True))
+
+
+def test_weights_of_large_trees():
+    """Tens of thousands of leaves, which a table of counts for each pair of nodes would take many minutes for."""
+    n = 50_001
+    r, nodes = random.Random(2), _balanced(n)
+    mixed = r.sample(range(n), n)
+    a, b = _rows(list(range(n)), nodes), _rows(mixed, nodes)
+    assert _total(ranges._score(a, a)) == 2 * math.comb(n, 4)
+    some = _total(ranges._score(a, b))
+    assert some == _total(ranges._score(b, a)) and 0.33 < some / (2 * math.comb(n, 4)) < 0.34
+
+
+def _tree(r, taxa, kids):
+    """Taxa in order, and bounds of the inner nodes, the root's first."""
+    forest = list(taxa)
+    while len(forest) > 1:
+        k = min(len(forest), r.choice(kids))
+        if r.random() < 0.7:
+            r.shuffle(forest)
+        forest = [tuple(forest[:k]), *forest[k:]]
+    order, nodes = [], []
+
+    def walk(x):
+        begin = len(order)
+        if isinstance(x, tuple):
+            at = len(nodes)
+            nodes.append(None)
+            nodes[at] = [walk(c) for c in x]
+            nodes[at].append(len(order))
+        else:
+            order.append(x)
+        return begin
+
+    walk(forest[0])
+    return order, nodes
+
+
+def test_weights_by_definition():
+    """Trees of any degree over different taxa, against a table of counts for each pair of nodes."""
+    r = random.Random(5)
+    for _ in range(25):
+        (own, nodes), (taxa, gene) = (_tree(r, r.sample(range(20), r.randint(5, 18)), kids) for kids in ((2, 2, 3), r.choice([(2,), (2, 3, 5)])))
+        nodes, gene = nodes if len(nodes[0]) > 3 else nodes[1:], gene[1:]
+        side = lambda b, at: next((j for j in range(len(b) - 1) if at is not None and b[j] <= at < b[j + 1]), len(b) - 1)
+        where = [own.index(t) if t in own else None for t in taxa]
+        want = []
+        for b in nodes:
+            total = 0
+            for g in gene:
+                table = np.zeros((len(b), len(g), 1), np.int64)
+                for i, at in enumerate(where):
+                    table[side(b, at), side(g, i), 0] += 1
+                total += int(ranges.quartets(table)[0])
+            want.append(total)
+        got = ranges._score(_rows(own, nodes), _rows(taxa, gene)).to_pylist()
+        assert [(x["high"] << 31) + x["low"] for x in sorted(got, key=lambda x: x["node"])] == want
