@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SUM_BITS = 40
 BLOCK_LEAVES = 1 << 22  # leaves of the gene trees' rows in a block, at least one row
-STRETCH = 1 << 14  # neighbouring leaves summed by one task
+STRETCH = 1 << 12  # neighbouring leaves summed by one task
 CHUNK_NODES = 1 << 14  # nodes of a gene tree in one row, or so
 _CELLS = 1 << 19  # numbers in one of the kernel's arrays
 _WORK = 50_000  # leaves below gene nodes worth a task
@@ -49,59 +49,63 @@ def taxon_hashes(rows: DataFrame) -> DataFrame:
 
 
 def running(rows: DataFrame, sums: list[str], xors: tuple[str, ...] = ()) -> DataFrame:
-    """rows with the totals of columns up to each pos of its tree, in place of the columns.
+    """rows with the totals of columns up to each pos of its tree, in place of the columns, and the whole tree's as whole_<column>.
 
     Stretches of STRETCH positions are summed on their own, and then the stretches' totals, so that no task has a whole tree.
     """
     keys, ops = ["tree", "_stretch"], [*((c, F.sum) for c in sums), *((c, F.bit_xor) for c in xors)]
     rows = rows.withColumn("_stretch", F.shiftright("pos", STRETCH.bit_length() - 1))
     totals = rows.groupBy(*keys).agg(*[f(c).alias(c) for c, f in ops])
-    past = Window.partitionBy("tree").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, *[F.coalesce(f(c).over(past), F.lit(0)).alias(f"_{c}") for c, f in ops])
+    tree = Window.partitionBy("tree")
+    past = tree.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, *[F.coalesce(f(c).over(past), F.lit(0)).alias(f"_{c}") for c, f in ops], *[f(c).over(tree).alias(f"whole_{c}") for c, f in ops])
     by = Window.partitionBy(*keys).orderBy("pos")
     own = rows.withColumns({c: f(c).over(by) for c, f in ops}).join(before, keys)
     add = lambda c, f: F.col(c) + F.col(f"_{c}") if f is F.sum else F.col(c).bitwiseXOR(F.col(f"_{c}"))
     return own.withColumns({c: add(c, f) for c, f in ops}).drop("_stretch", *[f"_{c}" for c, _ in ops])
 
 
-def prefixes(leaf: DataFrame) -> DataFrame:
-    """tree, pos, taxon, and the signatures of all leaves before pos and up to it. leaf: tree, pos (gapless from 0), taxon."""
-    rows = taxon_hashes(leaf.select("tree", "pos", "taxon"))
-    rows = running(rows.withColumns({"x": F.col("h"), "s": F.col("g")}), ["s"], ("x",))
-    rows = rows.withColumn("upto", signature(F.col("pos") + 1, F.col("x"), F.col("s")))
-    return rows.withColumn("before", less(F.col("upto"), signature(F.lit(1), F.col("h"), F.col("g")))).drop("h", "g", "x", "s")
+def everything(leaf: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
+    """One row: the signature of all taxa of the collection, and their totals as all_<name>."""
+    rows = taxon_hashes(leaf.select("taxon").distinct())
+    more = [F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{k}") for k, c in (sums or {}).items()]
+    return rows.agg(signature(F.count("*"), F.coalesce(F.bit_xor("h"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).alias("all"), *more)
 
 
-def everything(leaf: DataFrame) -> DataFrame:
-    """One row: the signature of all taxa of the collection."""
-    return taxon_hashes(leaf.select("taxon").distinct()).agg(signature(F.count("*"), F.coalesce(F.bit_xor("h"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).alias("all"))
+def signed(nodes: DataFrame, leaf: DataFrame, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Nodes (tree, node, parent, lo, hi, n_children, child_ord) with own, whole (of their tree) and all.
 
-
-def signed(nodes: DataFrame, leaf: DataFrame) -> DataFrame:
-    """Nodes (tree, node, parent, lo, hi, n_children, child_ord) with own, whole (of their tree) and all."""
-    p = prefixes(leaf)
-    ends = p.select("tree", (F.col("pos") + 1).alias("hi"), "upto")
-    starts = p.select("tree", F.col("pos").alias("lo"), "before")
-    rows = nodes.join(ends, ["tree", "hi"]).join(starts, ["tree", "lo"])
-    rows = rows.withColumn("own", less(F.col("upto"), F.col("before"))).drop("upto", "before")
-    roots = rows.filter("parent IS NULL").select("tree", F.col("own").alias("whole"))
-    return rows.join(roots, "tree").crossJoin(F.broadcast(everything(leaf)))  # one row
-
-
-def cluster_table(rows: DataFrame, anchor_at: DataFrame | None = None) -> DataFrame:
-    """sig, freq, exemplar (tree, lo, hi, comp: all taxa but these) over all nodes of signed() but roots, both sides.
+    leaf: tree, pos (gapless from 0), taxon. sums: numbers of a taxon; a node gets the totals of its taxa, and all taxa's as all_<name>.
+    What stands up to a place is looked up twice from one table: at a node's end, and where it begins, which for the first leaf is nothing.
+    """
+    sums = sums or {}
+    rows = taxon_hashes(leaf.select("tree", "pos", "taxon")).withColumns(sums)
+    rows = running(rows.select("tree", "pos", F.lit(1).alias("n"), F.col("h").alias("x"), F.col("g").alias("s"), *sums), ["n", "s", *sums], ("x",))
+    at, added = (F.col("pos") + 1), ["x", "s", *sums]
+    whole = signature(F.col("whole_n"), F.col("whole_x"), F.col("whole_s")).alias("whole")
+    ends = rows.select("tree", at.alias("hi"), *[F.col(c).alias(f"_{c}1") for c in added], whole)
+    starts = rows.select("tree", at.alias("lo"), *[F.col(c).alias(f"_{c}0") for c in added])
+    found = nodes.join(ends, ["tree", "hi"]).join(starts, ["tree", "lo"], "left")
+    end, start = ({c: F.coalesce(F.col(f"_{c}{k}"), F.lit(0)) for c in added} for k in (1, 0))
+    own = signature(F.col("hi") - F.col("lo"), end["x"].bitwiseXOR(start["x"]), end["s"] - start["s"])
+    found = found.select(*nodes.columns, own.alias("own"), "whole", *[(end[c] - start[c]).alias(c) for c in sums])
+    return found.crossJoin(F.broadcast(everything(leaf, sums)))  # one row
+
+
+def cluster_table(rows: DataFrame, anchor_at: DataFrame | None = None, sums: tuple[str, ...] = ()) -> DataFrame:
+    """sig, freq, exemplar (tree, lo, hi, comp: all taxa but these), and sums of signed(), over all nodes of signed() but roots, both sides.
 
     anchor_at: tree, anchor_pos of the trees that have the anchor; then only the sides without it count.
     """
-    side = lambda sig, comp: F.struct(sig.alias("sig"), F.struct("tree", "lo", "hi", F.lit(comp).alias("comp")).alias("exemplar"))
-    own, rest = side(F.col("own"), False), side(less(F.col("all"), F.col("own")), True)
+    side = lambda sig, comp, of: F.struct(sig.alias("sig"), F.struct("tree", "lo", "hi", F.lit(comp).alias("comp")).alias("exemplar"), *[of(c).alias(c) for c in sums])
+    own, rest = side(F.col("own"), False, F.col), side(less(F.col("all"), F.col("own")), True, lambda c: F.col(f"all_{c}") - F.col(c))
     kept = rows.filter("parent IS NOT NULL")
     if anchor_at is None:
         each = kept.select(F.explode(F.array(own, rest)).alias("e"))
     else:
         has = F.coalesce((F.col("anchor_pos") >= F.col("lo")) & (F.col("anchor_pos") < F.col("hi")), F.lit(False))
         each = kept.join(anchor_at, "tree", "left").select(F.when(has, rest).otherwise(own).alias("e"))
-    return each.filter("e.sig.sz > 0").groupBy("e.sig").agg(F.count("*").alias("freq"), F.min("e.exemplar").alias("exemplar"))
+    return each.filter("e.sig.sz > 0").groupBy("e.sig").agg(F.count("*").alias("freq"), F.min("e.exemplar").alias("exemplar"), *[F.min(f"e.{c}").alias(c) for c in sums])
 
 
 def around(rows: DataFrame, root_too: bool = False) -> DataFrame:

@@ -51,18 +51,6 @@ def _wide(*parts: str) -> str:
 _SUMS = "len(s) AS sz, list_sum(s)::BIGINT AS taxon_sum, list_sum(list_transform(s, lambda x: x::BIGINT * x))::BIGINT AS taxon_sq"
 
 
-def _sums(table: DataFrame, leaf: DataFrame) -> DataFrame:
-    """taxon_sum and taxon_sq of each exemplar."""
-    t = F.col("taxon").cast("long")
-    run = ranges.running(leaf.select("tree", "pos", t.alias("t"), t.alias("s"), (t * t).alias("q")), ["s", "q"])
-    ends = run.select("tree", (F.col("pos") + 1).alias("hi"), "s", "q")
-    starts = run.select("tree", F.col("pos").alias("lo"), (F.col("s") - F.col("t")).alias("s0"), (F.col("q") - F.col("t") * F.col("t")).alias("q0"))
-    every = leaf.select(t.alias("t")).distinct().agg(F.sum("t").alias("s_all"), F.sum(F.col("t") * F.col("t")).alias("q_all"))
-    rows = table.select("*", "exemplar.*").join(ends, ["tree", "hi"]).join(starts, ["tree", "lo"]).crossJoin(F.broadcast(every))  # one row
-    own = lambda a, b, c: F.when(F.col("comp"), F.col(c) - (F.col(a) - F.col(b))).otherwise(F.col(a) - F.col(b))
-    return rows.withColumn("taxon_sum", own("s", "s0", "s_all")).withColumn("taxon_sq", own("q", "q0", "q_all"))
-
-
 def _masks(table: DataFrame, leaf: DataFrame) -> DataFrame:
     """sig, mask of each exemplar."""
     each = table.select("sig", "exemplar.*").withColumn("pos", F.explode(F.sequence("lo", F.col("hi") - 1)))
@@ -130,8 +118,10 @@ def t14_fixed_score_by_day(spark, d):
 def a1_clusters_of_customers(spark, d):
     """Clusters of over a thousand taxa, both sides."""
     leaf = derived.customer_leaves(spark, d).persist()
-    table = ranges.cluster_table(ranges.signed(derived.block_ranges(leaf), leaf))
-    return _sums(table, leaf).select("sig.sz", "taxon_sum", "taxon_sq", "freq")
+    taxon = F.col("taxon").cast("long")
+    sums = {"taxon_sum": taxon, "taxon_sq": taxon * taxon}
+    table = ranges.cluster_table(ranges.signed(derived.block_ranges(leaf), leaf, sums), sums=tuple(sums))
+    return table.select("sig.sz", "taxon_sum", "taxon_sq", "freq")
 
 
 @query(_wide(_sets("node", "wleaf")) + """,

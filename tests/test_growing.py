@@ -131,3 +131,48 @@ def test_node_tables_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """Customers of three nations and of none, who order in some of three years, and an order without a date."""
+    d, r = str(tmp_path_factory.mktemp("few")), random.Random(3)
+    spark.range(25).select(F.col("id").cast("int").alias("n_nationkey"), F.lit(0).alias("n_regionkey")).write.parquet(f"{d}/nation.parquet")
+    spark.createDataFrame([(k, r.choice([None, 4, 2, 9])) for k in range(40)], "c_custkey long, c_nationkey int").write.parquet(f"{d}/customer.parquet")
+    rows = [(i, r.choice([0, *range(3, 40)]), datetime.datetime(r.choice([1995, 1996, 1998]), 3, 1)) for i in range(60)]
+    spark.createDataFrame([*rows, (60, 2, None)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{d}/orders.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["a1_clusters_of_customers", "j9_ancestors_of_customers"])
+def test_customers_without_a_nation_stand_last(spark, few, name):
+    assert same_as_sql(spark, name, few)
+
+
+def _times_made(df):
+    """How often a plan makes a tree's blocks."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Generate explode(sequence((k")
+
+
+def test_clusters_make_their_nodes_once(spark, few):
+    """One table of nodes gets both sides' sums; beforehand the roots and exemplars were looked up besides."""
+    assert _times_made(registry.queries()["a1_clusters_of_customers"](spark, few)) == 1
+
+
+@pytest.mark.parametrize(("bits", "levels"), [(1, 20), (1, 5), (1, 3), (2, 6), (3, 2)])
+def test_blocks_by_definition(spark, bits, levels):
+    """Nodes, parents, levels and children from the blocks themselves."""
+    sizes = [1, 2, 3, 5, 8, 9, 16, 17, 31, 33, 64, 100, 129]
+    leaf = spark.createDataFrame([(t, p, p) for t, n in enumerate(sizes) for p in range(n)], "tree int, pos int, taxon int")
+    want = set()
+    for t, n in enumerate(sizes):
+        nodes = [(lv, b, b << lv * bits, min(n, (b + 1) << lv * bits)) for lv in range(levels + 1) for b in range(n) if b << lv * bits < n]
+        nodes = [x for x in nodes if x[0] == 0 or x[3] - x[2] > 1 << (x[0] - 1) * bits]
+        number = lambda x: x[0] * (1 << 40) + x[1]
+        ups = {x: sorted(y for y in nodes if y[0] > x[0] and y[2] <= x[2] and y[3] >= x[3]) for x in nodes}
+        kids = {x: sorted((y for y in nodes if ups[y] and ups[y][0] == x), key=lambda y: y[2]) for x in nodes}
+        for x in nodes:
+            up = ups[x][0] if ups[x] else None
+            want.add((t, number(x), up and number(up), len(ups[x]), x[2], x[3], len(kids[x]), kids[up].index(x) if up else 0))
+    got = derived.block_ranges(leaf, bits, levels).select("tree", "node", "parent", "lvl", "lo", "hi", "n_children", "child_ord").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
