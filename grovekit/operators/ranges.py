@@ -110,10 +110,14 @@ def cluster_table(rows: DataFrame, anchor_at: DataFrame | None = None, sums: tup
 
 def around(rows: DataFrame, root_too: bool = False) -> DataFrame:
     """tree, node, lo, hi, kids (signatures, sorted), outside (the rest of the tree), beyond (the rest of all taxa)."""
-    kids = rows.filter("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("own")).alias("kids"))
-    inner = rows.filter("n_children > 1" if root_too else "parent IS NOT NULL AND n_children > 1")
-    inner = inner.select("tree", "node", "lo", "hi", less(F.col("whole"), F.col("own")).alias("outside"), less(F.col("all"), F.col("own")).alias("beyond"))
-    return inner.join(kids, ["tree", "node"])
+    here = F.struct("lo", "hi", less(F.col("whole"), F.col("own")).alias("outside"), less(F.col("all"), F.col("own")).alias("beyond"))
+    inner = F.expr("n_children > 1" if root_too else "parent IS NOT NULL AND n_children > 1")
+    as_kid = F.struct(F.col("parent").alias("node"), F.col("own").alias("kid"), F.when(F.lit(False), here).alias("here"))
+    as_node = F.struct(F.when(inner, F.col("node")).alias("node"), F.when(F.lit(False), F.col("own")).alias("kid"), here.alias("here"))
+    each = rows.select("tree", F.explode(F.array(as_kid, as_node)).alias("e")).select("tree", "e.*").filter("node IS NOT NULL")
+    # with the rows of a key together first, no list of one child is made and sent
+    found = each.repartition("tree", "node").groupBy("tree", "node").agg(F.sort_array(F.collect_list("kid")).alias("kids"), F.max("here").alias("here"))
+    return found.filter("here IS NOT NULL").select("tree", "node", "here.*", "kids")
 
 
 def partition_table(rows: DataFrame) -> DataFrame:

@@ -159,6 +159,11 @@ def test_clusters_make_their_nodes_once(spark, few):
     assert _times_made(registry.queries()["a1_clusters_of_customers"](spark, few)) == 1
 
 
+def test_tripartitions_make_their_nodes_once(spark, few):
+    """A node and its children come together in one exchange."""
+    assert _times_made(registry.queries()["a4_tripartitions_of_customers"](spark, few)) == 1
+
+
 @pytest.mark.parametrize(("bits", "levels"), [(1, 20), (1, 5), (1, 3), (2, 6), (3, 2)])
 def test_blocks_by_definition(spark, bits, levels):
     """Nodes, parents, levels and children from the blocks themselves."""
