@@ -140,22 +140,24 @@ def transitions(rows: DataFrame) -> DataFrame:
     return each.select("t.*").distinct()
 
 
-def trees_as_rows(nodes: DataFrame, leaf: DataFrame, chosen: DataFrame | None = None, root_too: bool = False, chunk: int | None = None) -> DataFrame:
+def trees_as_rows(nodes: DataFrame, leaf: DataFrame, chosen: DataFrame | None = None, root_too: bool = False, chunk: int | Column | None = None) -> DataFrame:
     """tree, taxa (in the order of the leaves), nodes (node, freq, bounds): bounds are where the children begin, and the end.
 
     chosen: tree, node, freq of the inner nodes to keep; else all below the root (root_too: and it). chunk: so many nodes in a row, or
-    so; a hash deals them out. A row is as long as its tree has leaves.
+    so (a column says it of each tree); a hash deals them out. A row is as long as its tree has leaves.
     """
-    taxa = leaf.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("pos", "taxon")))["taxon"].cast("array<int>").alias("taxa"))
-    kids = nodes.filter("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.array_sort(F.collect_list(F.col("lo").cast("int"))).alias("starts"))
-    inner = nodes.filter("n_children > 1" if root_too else "parent IS NOT NULL AND n_children > 1").select("tree", "node", "hi")
-    inner = inner.join(kids, ["tree", "node"])
+    taxa = leaf.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("pos", "taxon")))["taxon"].cast("array<int>").alias("taxa"))
+    inner = F.expr("n_children > 1" if root_too else "parent IS NOT NULL AND n_children > 1")
+    begin = F.struct(F.col("parent").alias("node"), F.col("lo").cast("int").alias("bound"), F.lit(False).alias("is_end"))
+    end = F.struct(F.when(inner, F.col("node")).alias("node"), F.col("hi").cast("int").alias("bound"), F.lit(True).alias("is_end"))
+    each = nodes.select("tree", F.explode(F.array(begin, end)).alias("e")).select("tree", "e.*").filter("node IS NOT NULL").repartition("tree", "node")
+    inner = each.groupBy("tree", "node").agg(F.sort_array(F.collect_list("bound")).alias("bounds"), F.max("is_end").alias("kept")).filter("kept").drop("kept")
     inner = inner.join(chosen, ["tree", "node"]) if chosen is not None else inner.withColumn("freq", F.lit(1).cast("long"))
-    item = F.struct("node", "freq", F.concat("starts", F.array(F.col("hi").cast("int"))).alias("bounds"))
+    item = F.struct("node", "freq", "bounds")
     part = F.lit(0)
-    if chunk:
+    if chunk is not None:
         inner = inner.join(leaf.groupBy("tree").agg(F.count("*").alias("n")), "tree")
-        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(chunk)))
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (chunk if isinstance(chunk, Column) else F.lit(chunk))))
     return inner.withColumn("part", part.cast("int")).groupBy("tree", "part").agg(F.collect_list(item).alias("nodes")).join(taxa, "tree")
 
 
@@ -392,29 +394,35 @@ def _score(hosts: pa.Table, genes: pa.Table) -> pa.Table:
 def node_weights(hosts: DataFrame, genes: DataFrame) -> DataFrame:
     """tree, node, weight (decimal): agreeing quartets between each node of the scored trees and all partitions of the gene trees.
 
-    Both are rows of trees_as_rows(), a scored tree in one. They meet in a grid of blocks: about BLOCK_LEAVES leaves of gene trees (or one row) by one scored tree.
+    Both are rows of trees_as_rows(), a scored tree in one, and are read twice, so they should be kept at hand. They meet in a grid of blocks: about BLOCK_LEAVES leaves of gene trees (or one row) by one scored tree.
     """
-    hosts, genes = hosts.persist(), genes.persist()
-    spark = genes.sparkSession
     visits = F.aggregate("nodes", F.lit(0).cast("long"), lambda acc, x: acc + F.element_at(x["bounds"], -1) - F.element_at(x["bounds"], 1))
-    size = genes.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("taxa")), F.lit(0)).alias("leaves"), F.coalesce(F.sum(visits), F.lit(0)).alias("visits")).first()
-    cores = spark.sparkContext.defaultParallelism
-    blocks = max(1, -(-size["leaves"] // BLOCK_LEAVES), min(cores, size["rows"], size["visits"] // _WORK))
-    cols = max(1, hosts.count())
+    size = genes.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("taxa")), F.lit(0)).alias("leaves"), F.coalesce(F.sum(visits), F.lit(0)).alias("visits"))
+    size = size.crossJoin(hosts.agg(F.count("*").alias("hosts"))).first()
+    cores = genes.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-size["leaves"] // BLOCK_LEAVES), min(2 * cores, size["rows"], size["visits"] // _WORK))
+    cols = max(1, size["hosts"])
+    # blocks are few and of unlike work: places enough that most have a task of their own
+    spread = lambda df: df.repartition(min(1_000, 3 * blocks * cols), "row", "col")
     seat = lambda n: F.pmod(F.xxhash64("tree", "part"), F.lit(n)).cast("int")
-    left = hosts.withColumn("col", seat(cols)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("tree", "taxa", "nodes", "row", "col")
+    left = hosts.withColumn("col", seat(cols)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("tree", F.col("taxa").alias("taxa"), F.col("nodes").alias("nodes"), "row", "col")  # new columns, as both may be parts of one table
     right = genes.withColumn("row", seat(blocks)).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))).select("taxa", "nodes", "row", "col")
-    met = left.withColumn("tree", F.col("tree").cast("long")).groupBy("row", "col").cogroup(right.groupBy("row", "col"))
+    met = spread(left.withColumn("tree", F.col("tree").cast("long"))).groupBy("row", "col").cogroup(spread(right).groupBy("row", "col"))
     found = met.applyInArrow(_score, "tree long, node long, high long, low long")
     exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
     return found.groupBy("tree", "node").agg((exact("high") * F.lit(1 << _BITS).cast("decimal(20,0)") + exact("low")).cast("decimal(38,0)").alias("weight"))
 
 
+def total(weights: DataFrame) -> DataFrame:
+    """One row, quartet_score (decimal), from the weights of a tree's nodes."""
+    return weights.agg((F.coalesce(F.sum("weight"), F.lit(0)) / 2).cast("decimal(38,0)").alias("quartet_score"))
+
+
 def fixed_score(species_nodes: DataFrame, species_leaf: DataFrame, nodes: DataFrame, leaf: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
     """One row, quartet_score (decimal). partitions: of partition_table(), so that equal ones are scored once; else each node is scored."""
     chosen = partitions.select("exemplar.tree", "exemplar.node", "freq") if partitions is not None else None
-    weights = node_weights(scored(species_nodes, species_leaf), trees_as_rows(nodes, leaf, chosen, chunk=CHUNK_NODES))
-    return weights.agg((F.coalesce(F.sum("weight"), F.lit(0)) / 2).cast("decimal(38,0)").alias("quartet_score"))
+    hosts, genes = scored(species_nodes, species_leaf), trees_as_rows(nodes, leaf, chosen, chunk=CHUNK_NODES)
+    return total(node_weights(hosts.persist(), genes.persist()))
 
 
 def scored(species_nodes: DataFrame, species_leaf: DataFrame) -> DataFrame:

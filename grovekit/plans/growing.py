@@ -149,22 +149,24 @@ _PAIRS = """,
 
 
 def _customers(spark, d):
-    leaf, label = derived.customer_leaves(spark, d).persist(), derived.customer_label_leaves(spark, d).persist()
-    return derived.block_ranges(leaf), leaf, derived.block_ranges(label), label
+    """Rows of the tree of all customers, and of the years' trees, from one table. A two-sided root isn't scored, and these trees have no other."""
+    leaf = derived.customer_leaves_and_label(spark, d).persist()
+    is_label = F.col("tree") == derived.LABEL
+    rows = ranges.trees_as_rows(derived.block_ranges(leaf), leaf, chunk=F.when(is_label, F.col("n")).otherwise(ranges.CHUNK_NODES)).persist()
+    return rows.filter(is_label), rows.filter(~is_label)
 
 
 @query(_wide(_sets("node", "wleaf"), _sets("sp", "cleaf")) + _PAIRS + " SELECT CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, CAST(twice // 2 AS BIGINT) AS weight FROM w")
 def h7_node_weights_of_customers(spark, d):
     """The agreeing quartets around each node of a tree of over a thousand taxa."""
-    nodes, leaf, species, label = _customers(spark, d)
-    found = ranges.node_weights(ranges.scored(species, label), ranges.trees_as_rows(nodes, leaf))
-    return found.join(species.select("node", "lo", "hi"), "node").select("lo", "hi", F.col("weight").cast("long").alias("weight"))
+    hosts, genes = _customers(spark, d)
+    ends = hosts.select(F.explode("nodes").alias("x")).select("x.node", F.element_at("x.bounds", 1).alias("lo"), F.element_at("x.bounds", -1).alias("hi"))
+    return ranges.node_weights(hosts, genes).join(ends, "node").select("lo", "hi", F.col("weight").cast("long").alias("weight"))
 
 
 @query(_wide(_sets("node", "wleaf"), _sets("sp", "cleaf")) + _PAIRS + " SELECT CAST(sum(twice) // 4 AS BIGINT) AS quartet_score FROM w")
 def t19_fixed_score_of_customers(spark, d):
-    nodes, leaf, species, label = _customers(spark, d)
-    return ranges.fixed_score(species, label, nodes, leaf).select(F.col("quartet_score").cast("long").alias("quartet_score"))
+    return ranges.total(ranges.node_weights(*_customers(spark, d))).select(F.col("quartet_score").cast("long").alias("quartet_score"))
 
 
 @query(_wide(_sets("node", "wleaf")) + """,

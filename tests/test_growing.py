@@ -144,7 +144,7 @@ def few(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["a1_clusters_of_customers", "j9_ancestors_of_customers"])
+@pytest.mark.parametrize("name", ["a1_clusters_of_customers", "a4_tripartitions_of_customers", "h7_node_weights_of_customers", "t19_fixed_score_of_customers", "j9_ancestors_of_customers"])
 def test_customers_without_a_nation_stand_last(spark, few, name):
     assert same_as_sql(spark, name, few)
 
@@ -164,6 +164,12 @@ def test_tripartitions_make_their_nodes_once(spark, few):
     assert _times_made(registry.queries()["a4_tripartitions_of_customers"](spark, few)) == 1
 
 
+def test_rows_of_trees_make_their_nodes_once(spark, few):
+    leaf = derived.customer_leaves(spark, few)
+    assert _times_made(ranges.trees_as_rows(derived.block_ranges(leaf), leaf)) == 1
+    assert _times_made(ranges.trees_as_rows(derived.block_ranges(leaf), leaf, chunk=4)) == 1
+
+
 @pytest.mark.parametrize(("bits", "levels"), [(1, 20), (1, 5), (1, 3), (2, 6), (3, 2)])
 def test_blocks_by_definition(spark, bits, levels):
     """Nodes, parents, levels and children from the blocks themselves."""
