@@ -140,6 +140,16 @@ def transitions(rows: DataFrame) -> DataFrame:
     return each.select("t.*").distinct()
 
 
+def bounded(nodes: DataFrame, root_too: bool = False) -> DataFrame:
+    """tree, node, bounds (where the children begin, and the end), is_root of the inner nodes below the root (root_too: and it)."""
+    inner = F.expr("n_children > 1" if root_too else "parent IS NOT NULL AND n_children > 1")
+    begin = F.struct(F.col("parent").alias("node"), F.col("lo").cast("int").alias("bound"), F.lit(0).alias("end"))
+    end = F.struct(F.when(inner, F.col("node")).alias("node"), F.col("hi").cast("int").alias("bound"), F.when(F.col("parent").isNull(), 2).otherwise(1).alias("end"))
+    each = nodes.select("tree", F.explode(F.array(begin, end)).alias("e")).select("tree", "e.*").filter("node IS NOT NULL").repartition("tree", "node")
+    found = each.groupBy("tree", "node").agg(F.sort_array(F.collect_list("bound")).alias("bounds"), F.max("end").alias("end"))
+    return found.filter("end > 0").select("tree", "node", "bounds", (F.col("end") == 2).alias("is_root"))
+
+
 def trees_as_rows(nodes: DataFrame, leaf: DataFrame, chosen: DataFrame | None = None, root_too: bool = False, chunk: int | Column | None = None) -> DataFrame:
     """tree, taxa (in the order of the leaves), nodes (node, freq, bounds): bounds are where the children begin, and the end.
 
@@ -147,11 +157,7 @@ def trees_as_rows(nodes: DataFrame, leaf: DataFrame, chosen: DataFrame | None =
     so (a column says it of each tree); a hash deals them out. A row is as long as its tree has leaves.
     """
     taxa = leaf.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("pos", "taxon")))["taxon"].cast("array<int>").alias("taxa"))
-    inner = F.expr("n_children > 1" if root_too else "parent IS NOT NULL AND n_children > 1")
-    begin = F.struct(F.col("parent").alias("node"), F.col("lo").cast("int").alias("bound"), F.lit(False).alias("is_end"))
-    end = F.struct(F.when(inner, F.col("node")).alias("node"), F.col("hi").cast("int").alias("bound"), F.lit(True).alias("is_end"))
-    each = nodes.select("tree", F.explode(F.array(begin, end)).alias("e")).select("tree", "e.*").filter("node IS NOT NULL").repartition("tree", "node")
-    inner = each.groupBy("tree", "node").agg(F.sort_array(F.collect_list("bound")).alias("bounds"), F.max("is_end").alias("kept")).filter("kept").drop("kept")
+    inner = bounded(nodes, root_too).drop("is_root")
     inner = inner.join(chosen, ["tree", "node"]) if chosen is not None else inner.withColumn("freq", F.lit(1).cast("long"))
     item = F.struct("node", "freq", "bounds")
     part = F.lit(0)
@@ -215,6 +221,27 @@ def _twice(table: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
     return _even(high, low)
 
 
+def _ways(a: np.ndarray, c: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of a and c leaves by part: u, a * c * (a + c - 3) over different parts, and v, a * c."""
+    v = a.sum(0) * c.sum(0) - (a * c).sum(0)
+    terms = (_times(_product(a, a), c.sum(0) - c), _times(_product(c, c), a.sum(0) - a))
+    u = [sum(x[h].sum(0) for x in terms) for h in (0, 1)]
+    v = (v >> _BITS, v & _LOW)
+    return _even(u[0] - 3 * v[0], u[1] - 3 * v[1]), v
+
+
+def _below(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from begin to end of each node: the node, the place."""
+    size = end - begin
+    own = np.repeat(np.arange(len(size)), size)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(size) - size - begin, size)
+
+
+def _shares(nodes: np.ndarray, visits: np.ndarray) -> list[np.ndarray]:
+    """Places of the nodes in runs that have _CELLS visits or so."""
+    return np.split(np.arange(len(nodes)), np.flatnonzero(np.diff(np.cumsum(visits) // _CELLS)) + 1)
+
+
 def _lists(nodes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a row's nodes: numbers, frequencies, how many bounds each has, and all bounds."""
     bounds = nodes.field("bounds")
@@ -230,12 +257,10 @@ def _by_width(widths: np.ndarray, flat: np.ndarray):
 
 
 class _Scored:
-    """A scored tree for look-ups: its inner nodes in preorder (an ancestor has a lesser number), -1 for a root that isn't among them."""
+    """A scored tree of n places, or a part of one, for look-ups: its inner nodes in preorder (an ancestor has a lesser number), -1 for a root that isn't among them."""
 
-    def __init__(self, taxa: np.ndarray, nodes: pa.Array):
-        self.n, (ids, _, widths, flat) = len(taxa), _lists(nodes)
-        self.order = np.argsort(taxa)
-        self.taxa = taxa[self.order]
+    def __init__(self, n: int, ids: np.ndarray, widths: np.ndarray, flat: np.ndarray):
+        self.n = n
         first = np.cumsum(widths) - widths
         pre = np.lexsort((-flat[first + widths - 1], flat[first]))
         self.ids, self.widths = ids[pre], widths[pre]
@@ -258,11 +283,6 @@ class _Scored:
             self.least.append(np.append(np.minimum(self.least[-1][:-w], self.least[-1][w:]), self.least[-1][-w:]))
         self.least = np.stack(self.least)
 
-    def place(self, taxa: np.ndarray) -> np.ndarray:
-        """Where leaves stand here, -1 if they don't."""
-        at = np.minimum(np.searchsorted(self.taxa, taxa), self.n - 1)
-        return np.where(self.taxa[at] == taxa, self.order[at], -1)
-
     def ancestor(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of leaves a < b: the least of the gaps between them, as an ancestor has the least number."""
         k = np.frexp(b - a)[1] - 1
@@ -280,10 +300,15 @@ class _Weights:
     and each gets its table of counts. If they stand below one child and outside alone, a quartet takes a leaf of another child, which has b
     leaves of the gene tree, and is counted by b * u + b**2 * v, where u and v are the same on the whole way up to the next
     meeting: they are put down where it begins, taken away where it ends, and summed below each child. So the work is that of g's leaves, summed over all g.
+
+    leaves: of the whole gene tree. at: where those that stand below scored nodes stand in it, rising; place: and in the scored tree. Several
+    may stand in one place, which no scored node divides. count: how many stand there, if not one each. of_tree: place and count of
+    all leaves of the gene tree, if these are of a part of it.
     """
 
-    def __init__(self, scored: _Scored, place: np.ndarray):
-        self.t, self.place = scored, place
+    def __init__(self, scored: _Scored, leaves: int, at: np.ndarray, place: np.ndarray, count: np.ndarray | None = None, of_tree: tuple[np.ndarray, np.ndarray] | None = None):
+        self.t, self.leaves, self.at, self.place, self.count = scored, leaves, at, place, count
+        self.of_tree = (place, count) if of_tree is None else of_tree
         self.high, self.low = np.zeros(len(scored.ids), np.int64), np.zeros(len(scored.ids), np.int64)
         self.ways = {"leaf": np.zeros((4, scored.n), np.int64), "node": np.zeros((4, len(scored.ids)), np.int64)}  # u and v, each high and low
 
@@ -296,27 +321,47 @@ class _Weights:
             np.add.at(self.ways[kind][k], at[open_], x[open_])
             np.subtract.at(self.ways["node"][k], top, x[ends])
 
+    def add_all(self, freq: np.ndarray, widths: np.ndarray, flat: np.ndarray) -> None:
+        for at, bounds in _by_width(widths, flat):
+            # so many gene nodes at once that their leaves are _CELLS or so
+            visits = np.searchsorted(self.at, bounds[:, -1]) - np.searchsorted(self.at, bounds[:, 0])
+            for some in _shares(at, visits):
+                self.add(freq[at[some]], bounds[some])
+
     def add(self, freq: np.ndarray, bounds: np.ndarray) -> None:
         """Gene nodes with equally many children."""
         t, n, (m, p) = self.t, self.t.n, (len(bounds), bounds.shape[1] - 1)
-        size, parts = bounds[:, -1] - bounds[:, 0], np.diff(bounds, axis=1)
-        own = np.repeat(np.arange(m), size)
-        x = self.place[np.arange(len(own)) - np.repeat(np.cumsum(size) - size - bounds[:, 0], size)]
-        part = np.repeat(np.arange(m * p), parts.ravel())
-        here = x >= 0
-        own, x, part = own[here], x[here], part[here]
+        parts, found = np.diff(bounds, axis=1), np.searchsorted(self.at, bounds)
+        own, leaf = _below(found[:, 0], found[:, -1])
+        x, part = self.place[leaf], np.repeat(np.arange(m * p), np.diff(found, axis=1).ravel())
+        count = None if self.count is None else self.count[leaf]
         order = np.argsort(own * n + x, kind="stable")
-        own, x, part = own[order], x[order], part[order]
-        key, by_part = own * n + x, np.sort(part * n + x, kind="stable")
-        meet = np.full(len(x) + 1, -2, np.int64)  # before each leaf, where it meets the one before it
+        own, x, part, count = own[order], x[order], part[order], None if count is None else count[order]
+        key, by_part = own * n + x, part * n + x
+        if count is None:
+            by_part = np.sort(by_part, kind="stable")
+            before = functools.partial(np.searchsorted, by_part)
+        else:
+            order = np.argsort(by_part, kind="stable")
+            by_part, so_far = by_part[order], np.append(0, np.cumsum(count[order]))
+            before = lambda k: so_far[np.searchsorted(by_part, k)]
+        # from each leaf up
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        if count is None and new.all():
+            k, k2 = parts.sum(1), (parts * parts).sum(1)
+            mine = parts.ravel()[part]
+            v = k[own] - mine
+            u = k2[own] - mine * mine - 2 * v
+            u, v = (u >> _BITS, u & _LOW), (v >> _BITS, v & _LOW)
+        else:
+            a = np.zeros((p, new.sum()), np.int64)
+            np.add.at(a, (part % p, np.cumsum(new) - 1), 1 if count is None else count)
+            own, x, key = own[new], x[new], key[new]
+            u, v = _ways(a, parts[own].T - a)
+        meet = np.full(len(x) + 1, -2, np.int64)  # before each place, where it meets the one before it
         again = np.flatnonzero(own[1:] == own[:-1])
         meet[again + 1] = t.ancestor(x[again], x[again + 1])
-        # from each leaf up
-        k, k2 = parts.sum(1), (parts * parts).sum(1)
-        mine = parts.ravel()[part]
-        v = k[own] - mine
-        u = k2[own] - mine * mine - 2 * v
-        uv = [*_times((u >> _BITS, u & _LOW), freq[own]), *_times((v >> _BITS, v & _LOW), freq[own])]
+        uv = [*_times(u, freq[own]), *_times(v, freq[own])]
         self._way("leaf", x, np.maximum(t.gap[x], t.gap[x + 1]), np.maximum(meet[:-1], meet[1:]), x, uv)
         # where leaves meet, and from there up
         met = np.flatnonzero(meet >= 0)
@@ -325,27 +370,22 @@ class _Weights:
             which = np.flatnonzero(t.widths[s] == w)
             step = max(1, _CELLS // int(w * (p + 1)))
             for a in range(0, len(which), step):
-                self._meetings(g[which[a : a + step]], s[which[a : a + step]], int(w) - 1, parts, freq, key, by_part, meet)
+                self._meetings(g[which[a : a + step]], s[which[a : a + step]], int(w) - 1, parts, freq, key, before, meet)
 
-    def _meetings(self, g, s, d, parts, freq, key, by_part, meet) -> None:
+    def _meetings(self, g, s, d, parts, freq, key, count_before, meet) -> None:
         t, n, p = self.t, self.t.n, parts.shape[1]
         bounds = t.flat[t.first[s][:, None] + np.arange(d + 1)]
-        before = np.searchsorted(by_part, ((g[:, None] * p + np.arange(p)) * n)[:, :, None] + bounds[:, None, :])
+        before = count_before(((g[:, None] * p + np.arange(p)) * n)[:, :, None] + bounds[:, None, :])
         table = np.empty((d + 1, p + 1, len(g)), np.int64)
         table[:d, :p] = np.diff(before, axis=2).transpose(2, 1, 0)
         table[:d, p] = np.diff(self.before[bounds], axis=1).T - table[:d, :p].sum(1)
         a, k = table[:d, :p].sum(0), parts[g].T
         c = table[d, :p] = k - a
-        table[d, p] = len(self.place) - k.sum(0) - table[:d, p].sum(0)
-        high, low = _times(_twice(table, len(self.place)), freq[g])
+        table[d, p] = self.leaves - k.sum(0) - table[:d, p].sum(0)
+        high, low = _times(_twice(table, self.leaves), freq[g])
         np.add.at(self.high, s, high)
         np.add.at(self.low, s, low)
-        # u: a * c * (a + c - 3) over different parts; v: a * c
-        v = a.sum(0) * c.sum(0) - (a * c).sum(0)
-        terms = (_times(_product(a, a), c.sum(0) - c), _times(_product(c, c), a.sum(0) - a))
-        u = [sum(x[h].sum(0) for x in terms) for h in (0, 1)]
-        v = (v >> _BITS, v & _LOW)
-        u = _even(u[0] - 3 * v[0], u[1] - 3 * v[1])
+        u, v = _ways(a, c)
         first, last = np.searchsorted(key, g * n + t.lo[s]), np.searchsorted(key, g * n + t.hi[s])
         self._way("node", s, t.up[s], np.maximum(meet[first], meet[last]), t.lo[s], [*_times(u, freq[g]), *_times(v, freq[g])])
 
@@ -367,30 +407,40 @@ class _Weights:
     @functools.cached_property
     def before(self) -> np.ndarray:
         """Leaves of the gene tree before each place of the scored tree."""
-        return np.append(0, np.cumsum(np.bincount(self.place[self.place >= 0], minlength=self.t.n)))
+        return np.append(0, np.cumsum(np.bincount(*self.of_tree, self.t.n).astype(np.int64)))
+
+
+def _half(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of even numbers."""
+    return high >> 1, (low + ((high & 1) << _BITS)) >> 1
 
 
 def _score(hosts: pa.Table, genes: pa.Table) -> pa.Table:
     """tree, node, high, low of every node of the scored trees: agreeing quartets, over the gene trees of the block, as high * 2**31 + low."""
     found = [pa.table([pa.array([], pa.int64())] * 4, names=["tree", "node", "high", "low"])]
     for tree, taxa, nodes in zip(hosts.column("tree").to_pylist(), hosts.column("taxa"), hosts.column("nodes"), strict=True):
-        scored = _Scored(taxa.values.to_numpy(), nodes.values)
+        taxa, (ids, _, widths, flat) = taxa.values.to_numpy(), _lists(nodes.values)
+        scored, order = _Scored(len(taxa), ids, widths, flat), np.argsort(taxa)
         high, low = np.zeros(len(scored.ids), np.int64), np.zeros(len(scored.ids), np.int64)
         for gene_taxa, gene_nodes in zip(genes.column("taxa"), genes.column("nodes"), strict=True):
-            one = _Weights(scored, scored.place(gene_taxa.values.to_numpy()))
+            gene_taxa = gene_taxa.values.to_numpy()
+            place = order[np.minimum(np.searchsorted(taxa, gene_taxa, sorter=order), len(taxa) - 1)]
+            here = np.flatnonzero(taxa[place] == gene_taxa)
+            one = _Weights(scored, len(gene_taxa), here, place[here])
             _, freq, widths, flat = _lists(gene_nodes.values)
-            for at, bounds in _by_width(widths, flat):
-                # so many gene nodes at once that their leaves are _CELLS or so
-                cuts = np.flatnonzero(np.diff(np.cumsum(bounds[:, -1] - bounds[:, 0]) // _CELLS)) + 1
-                for some in np.split(np.arange(len(at)), cuts):
-                    one.add(freq[at[some]], bounds[some])
+            one.add_all(freq, widths, flat)
             h, m = one.total()
             high, low = _even(high + h, low + m)
-        # all are even
-        found.append(pa.table([np.full(len(high), tree, np.int64), scored.ids, high >> 1, (low + ((high & 1) << _BITS)) >> 1], names=["tree", "node", "high", "low"]))
+        found.append(pa.table([np.full(len(high), tree, np.int64), scored.ids, *_half(high, low)], names=["tree", "node", "high", "low"]))
     return pa.concat_tables(found)
 
 
+def summed() -> Column:
+    """weight (decimal), from high and low."""
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    return (exact("high") * F.lit(1 << _BITS).cast("decimal(20,0)") + exact("low")).cast("decimal(38,0)").alias("weight")
+
+
 def node_weights(hosts: DataFrame, genes: DataFrame) -> DataFrame:
     """tree, node, weight (decimal): agreeing quartets between each node of the scored trees and all partitions of the gene trees.
 
@@ -409,8 +459,7 @@ def node_weights(hosts: DataFrame, genes: DataFrame) -> DataFrame:
     right = genes.withColumn("row", seat(blocks)).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))).select("taxa", "nodes", "row", "col")
     met = spread(left.withColumn("tree", F.col("tree").cast("long"))).groupBy("row", "col").cogroup(spread(right).groupBy("row", "col"))
     found = met.applyInArrow(_score, "tree long, node long, high long, low long")
-    exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
-    return found.groupBy("tree", "node").agg((exact("high") * F.lit(1 << _BITS).cast("decimal(20,0)") + exact("low")).cast("decimal(38,0)").alias("weight"))
+    return found.groupBy("tree", "node").agg(summed())
 
 
 def total(weights: DataFrame) -> DataFrame:

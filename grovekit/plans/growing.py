@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import ancestors, ranges
+from ..operators import ancestors, parts, ranges
 from ..sources import derived
 from .registry import _FULL, _KIDS, _PARTS, _SP, _TERM, _TRANS, _TRIPLES, MASKS, _cte, query
 
@@ -149,24 +149,25 @@ _PAIRS = """,
 
 
 def _customers(spark, d):
-    """Rows of the tree of all customers, and of the years' trees, from one table. A two-sided root isn't scored, and these trees have no other."""
+    """Weights of the tree of all customers against the years' trees, from one table of nodes; and the type for numbers of quartets: BIGINT as long as it holds all that the years' trees have."""
     leaf = derived.customer_leaves_and_label(spark, d).persist()
-    is_label = F.col("tree") == derived.LABEL
-    rows = ranges.trees_as_rows(derived.block_ranges(leaf), leaf, chunk=F.when(is_label, F.col("n")).otherwise(ranges.CHUNK_NODES)).persist()
-    return rows.filter(is_label), rows.filter(~is_label)
+    inner = ranges.bounded(derived.block_ranges(leaf), root_too=True).persist()
+    n = F.col("leaves").cast("double")
+    most = parts.roots(inner).filter(F.col("tree") != derived.LABEL).agg(F.sum(n * (n - 1) * (n - 2) * (n - 3) / 24)).first()[0]
+    return parts.node_weights(inner, leaf, derived.LABEL), "long" if (most or 0) < 2.0**62 else "decimal(38,0)"
 
 
 @query(_wide(_sets("node", "wleaf"), _sets("sp", "cleaf")) + _PAIRS + " SELECT CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, CAST(twice // 2 AS BIGINT) AS weight FROM w")
 def h7_node_weights_of_customers(spark, d):
     """The agreeing quartets around each node of a tree of over a thousand taxa."""
-    hosts, genes = _customers(spark, d)
-    ends = hosts.select(F.explode("nodes").alias("x")).select("x.node", F.element_at("x.bounds", 1).alias("lo"), F.element_at("x.bounds", -1).alias("hi"))
-    return ranges.node_weights(hosts, genes).join(ends, "node").select("lo", "hi", F.col("weight").cast("long").alias("weight"))
+    weights, kind = _customers(spark, d)
+    return weights.select("lo", "hi", F.col("weight").cast(kind).alias("weight"))
 
 
 @query(_wide(_sets("node", "wleaf"), _sets("sp", "cleaf")) + _PAIRS + " SELECT CAST(sum(twice) // 4 AS BIGINT) AS quartet_score FROM w")
 def t19_fixed_score_of_customers(spark, d):
-    return ranges.total(ranges.node_weights(*_customers(spark, d))).select(F.col("quartet_score").cast("long").alias("quartet_score"))
+    weights, kind = _customers(spark, d)
+    return ranges.total(weights).select(F.col("quartet_score").cast(kind).alias("quartet_score"))
 
 
 @query(_wide(_sets("node", "wleaf")) + """,
