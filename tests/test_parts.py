@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import random
 
 import duckdb
@@ -61,6 +62,16 @@ def test_no_task_has_a_whole_tree(spark, some, name):
     assert "collect_list(struct(pos" not in plan and "CartesianProduct" not in plan
 
 
+def test_more_quartets_than_a_bigint_holds(spark, tmp_path, monkeypatch):
+    """Beforehand the last step failed. All customers order in one year, so that its tree is the scored one and each quartet agrees."""
+    n = 125_000
+    assert math.comb(n, 4) > 2**63
+    monkeypatch.setattr(parts, "PART_LEAVES", 1 << 14)
+    orders = spark.range(n).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit(datetime.datetime(1995, 3, 1)).cast("timestamp_ntz").alias("o_orderdate"))
+    d = tables(spark, str(tmp_path), spark.range(n).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey")), orders)
+    assert int(registry.queries()["t19_fixed_score_of_customers"](spark, d).first()[0]) == math.comb(n, 4)
+
+
 @pytest.mark.parametrize(("text", "leaves"), [("((((0,1),2),(3,4)),(5,6),(7,8));", 2), ("(((((((0,5),3),(1,8)),4),2),6),7);", 1), ("((0,3,6,7),(1,2,(4,5,8)));", 4)])
 def test_parts_of_trees_of_any_form(spark, text, leaves, monkeypatch):
     """Gene trees of any degree that lack taxa, against whole trees."""
