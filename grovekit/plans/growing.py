@@ -154,7 +154,7 @@ def _customers(spark, d):
     inner = ranges.bounded(derived.block_ranges(leaf), root_too=True).persist()
     n = F.col("leaves").cast("double")
     most = parts.roots(inner).filter(F.col("tree") != derived.LABEL).agg(F.sum(n * (n - 1) * (n - 2) * (n - 3) / 24)).first()[0]
-    return parts.node_weights(inner, leaf, derived.LABEL), "long" if (most or 0) < 2.0**62 else "decimal(38,0)"
+    return parts.node_weights(inner, leaf, derived.LABEL), "long" if (most or 0) < 0.999 * 2.0**63 else "decimal(38,0)"
 
 
 @query(_wide(_sets("node", "wleaf"), _sets("sp", "cleaf")) + _PAIRS + " SELECT CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, CAST(twice // 2 AS BIGINT) AS weight FROM w")
