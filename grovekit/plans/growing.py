@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ancestors, parts, ranges
 from ..sources import derived
+from ..sources.durable import Rounds
 from .registry import _FULL, _KIDS, _PARTS, _SP, _TERM, _TRANS, _TRIPLES, MASKS, _cte, query
 
 _DAY = """
@@ -150,8 +151,10 @@ _PAIRS = """,
 
 def _customers(spark, d):
     """Weights of the tree of all customers against the years' trees, from one table of nodes; and the type for numbers of quartets: BIGINT as long as it holds all that the years' trees have."""
-    leaf = derived.customer_leaves_and_label(spark, d).persist()
-    inner = ranges.bounded(derived.block_ranges(leaf), root_too=True).persist()
+    # files, as a plan that names a table at hand many times has the table's own plan each time, which fills the driver
+    tables = Rounds(spark)
+    leaf = tables.keep(derived.customer_leaves_and_label(spark, d))
+    inner = tables.keep(ranges.bounded(derived.block_ranges(leaf), root_too=True))
     n = F.col("leaves").cast("double")
     most = parts.roots(inner).filter(F.col("tree") != derived.LABEL).agg(F.sum(n * (n - 1) * (n - 2) * (n - 3) / 24)).first()[0]
     return parts.node_weights(inner, leaf, derived.LABEL), "long" if (most or 0) < 0.999 * 2.0**63 else "decimal(38,0)"
